@@ -61,6 +61,33 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return per.select("source", "source_size", "largest", target.cast("double").alias("target"))
 
 
+def _draw(rows: DataFrame, bins: int, last: bool) -> DataFrame:
+    """``rows`` with ``drawn`` raised for those that this pass draws: of the documents that are not drawn yet, have words
+    and, in the last pass, are no longer than what is wanted, in rank order until ``want`` is reached. The document that
+    crosses the target is drawn in the last pass, if that comes nearer to it."""
+    left = rows.groupBy("group").agg((F.first("want") - F.sum(F.col("drawn") * F.col("size"))).alias("left")).select(F.col("group").alias("lg"), "left")
+    rows = rows.join(left, F.col("group") == F.col("lg")).drop("lg")
+    free = (F.col("drawn") == 0) & F.col("odds").isNotNull() & (F.col("size") > 0) & (F.col("left") > 0)
+    free = free & (F.col("size") <= F.col("left")) if last else free
+    rows = rows.withColumn("bin", F.when(free, F.floor(F.col("odds") / (1 + F.col("odds")) * bins).cast("int")))
+    by_bin = rows.where("bin IS NOT NULL").groupBy("group", "bin").agg(F.sum("size").alias("bin_size"), F.first("left").alias("left"))
+    w = Window.partitionBy("group").orderBy("bin")
+    borders = by_bin.withColumn("upto", F.sum("bin_size").over(w))
+    borders = borders.where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("bin_size") < F.col("left")))
+    borders = borders.select(F.col("group").alias("bg"), F.col("bin").alias("border"), (F.col("left") - F.col("upto") + F.col("bin_size")).alias("room"))
+    marked = rows.join(borders, F.col("group") == F.col("bg"), "left").drop("bg")
+    inside = F.coalesce(F.col("bin") == F.col("border"), F.lit(False))
+    # without a border all that is free fits
+    below = F.coalesce((F.col("bin") < F.col("border")) | (F.col("bin").isNotNull() & F.col("border").isNull()), F.lit(False))
+    fixed = marked.where(~inside).withColumn("take", below)
+    ranked = Window.partitionBy("group").orderBy("odds", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    at_border = marked.where(inside).withColumn("upto", F.sum("size").over(ranked))
+    over, short = F.col("upto") - F.col("room"), F.col("room") - (F.col("upto") - F.col("size"))
+    at_border = at_border.withColumn("take", (over <= short) if last else (over <= 0)).drop("upto")
+    out = fixed.unionByName(at_border)
+    return out.withColumn("drawn", F.when(F.col("take"), 1).otherwise(F.col("drawn"))).drop("take", "bin", "border", "room", "left")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_copies: float = MAX_COPIES, seed: int = 7, tilt: float = 0.0, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every document; ``taken = copies * size``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
@@ -68,29 +95,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     # one row per source; null-safe keys let the null source join as any other
     targets = durable(source_targets(rows, weights, share, max_copies), "targets").withColumnsRenamed({"source": "of"})
     joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    expected = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     joined = joined.withColumn("expected", expected).withColumn("whole", F.floor("expected"))
     joined = joined.withColumn("part", F.greatest(F.col("expected") - F.col("whole"), F.lit(0.0)))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    chance = F.least(F.col("part") * F.pow(F.col("size") / F.col("largest"), F.lit(tilt)), F.lit(1 - 1e-9)) if tilt else F.least(F.col("part"), F.lit(1 - 1e-9))
-    joined = joined.withColumn("odds", (u / (1 - u)) / (chance / (1 - chance)))
-    # only documents with words and sources with a fractional part take part in the draw
-    draws = (F.col("part") > 0) & (F.col("size") > 0)
-    joined = joined.withColumn("bin", F.when(draws, F.floor(F.col("odds") / (1 + F.col("odds")) * bins).cast("int")))
-    key = F.coalesce(F.col("source"), F.lit(""))
-    joined = joined.withColumn("group", F.struct(F.col("source").isNull().alias("none"), key.alias("name")))
-    by_bin = joined.where("bin IS NOT NULL").groupBy("group", "bin").agg(F.sum("size").alias("bin_size"), F.first("part").alias("part"), F.first("source_size").alias("source_size"))
-    w = Window.partitionBy("group").orderBy("bin")
-    borders = by_bin.withColumn("upto", F.sum("bin_size").over(w)).withColumn("want", F.col("part") * F.col("source_size"))
-    borders = borders.where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("bin_size") < F.col("want")))
-    borders = borders.select(F.col("group").alias("g"), F.col("bin").alias("border"), (F.col("want") - F.col("upto") + F.col("bin_size")).alias("left"))
-    marked = joined.join(borders, F.col("group") == F.col("g"), "left").drop("g")
-    inside = F.col("bin") == F.col("border")
-    fixed = marked.where(~F.coalesce(inside, F.lit(False))).withColumn("drawn", F.coalesce(F.col("bin") < F.col("border"), F.lit(False)).cast("long"))
-    ranked = Window.partitionBy("group").orderBy("odds", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    at_border = marked.where(inside).withColumn("upto", F.sum("size").over(ranked))
-    # the document that crosses the target is taken if that comes nearer to it
-    at_border = at_border.withColumn("drawn", (F.col("upto") - F.col("left") <= F.col("left") - (F.col("upto") - F.col("size"))).cast("long")).drop("upto")
-    out = fixed.unionByName(at_border)
+    chance = F.least(F.col("part") * F.pow(F.try_divide("size", "largest"), F.lit(tilt)), F.lit(1 - 1e-9)) if tilt else F.least(F.col("part"), F.lit(1 - 1e-9))
+    joined = joined.withColumn("odds", F.try_divide(u / (1 - u), chance / (1 - chance))).withColumn("want", F.col("part") * F.col("source_size"))
+    joined = joined.withColumn("group", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))).withColumn("drawn", F.lit(0))
+    # the second pass fills the gap that a long document at the border leaves
+    first = durable(_draw(joined.drop("largest", "expected", "part"), bins, last=False), "draw")
+    out = _draw(first, bins, last=True)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("drawn")).otherwise(F.lit(0)).cast("long")
     return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
