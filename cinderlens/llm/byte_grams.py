@@ -1,0 +1,154 @@
+"""Counts of byte n-grams over all texts, for models of a bounded size.
+
+A text is normalised (A-Z lower-cased, words joined by one space) and read as bytes. Number 0 is the start of a text, 1
+its end, 2 stands for all rare bytes, and the other numbers are the most frequent bytes; there are ``SYMBOLS`` numbers,
+so that all n-grams of ``ORDER`` fit into a table of a fixed size and a model never grows with the corpus. A rare byte's
+probability is that of number 2, shared evenly. Every task counts into one table and sends the places in use; Spark sums
+them. Counting reads every text whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cinderlens.llm.text import LOWER, utf8, words
+
+START, END, RARE = 0, 1, 2
+SYMBOLS = 64
+ORDER = 4
+#: Bytes that are coded at once.
+CHUNK = 1 << 22
+
+
+@dataclass
+class Alphabet:
+    """Number of each byte, how many bytes share number 2, and how many bytes of text there are."""
+
+    number_of_byte: np.ndarray
+    n_rare: int
+    text_bytes: int
+    size: int = SYMBOLS
+    order: int = ORDER
+
+    def rare_log10(self) -> float:
+        return -float(np.log10(max(1, self.n_rare)))
+
+
+def normalised(text: bytes) -> bytes:
+    return b" ".join(words(text.translate(LOWER)))
+
+
+def alphabet_of(docs: DataFrame, text_col: str = "text") -> Alphabet:
+    """The alphabet of all texts: one pass that sends and collects at most 256 rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(256, np.int64)
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                seen += np.bincount(np.frombuffer(text.translate(LOWER), np.uint8), minlength=256)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(seen[used])], ["byte", "n"])
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    ranked = sorted(rows, key=lambda r: (-r["n"], r["byte"]))
+    number = np.full(256, RARE, np.int64)
+    for i, r in enumerate(ranked[: SYMBOLS - 3]):
+        number[r["byte"]] = i + 3
+    return Alphabet(number, 256 - min(len(ranked), SYMBOLS - 3), sum(r["n"] for r in rows))
+
+
+def codes_of(texts: list[bytes], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram ending at each byte and at each end mark, as a number in base ``size``, and the number of codes of each
+    text. Texts start with order - 1 start marks."""
+    pad = alphabet.order - 1
+    clean = [normalised(t) for t in texts]
+    lengths = np.array([len(t) + 1 for t in clean], np.int64)
+    spaced = lengths + pad
+    ends = np.cumsum(spaced)
+    symbols = np.full(int(ends[-1]) if len(ends) else 0, START, np.int64)
+    mask = np.ones(len(symbols), bool)
+    for k in range(pad):
+        mask[ends - spaced + k] = False
+    body = np.frombuffer(b"\x00".join(clean) + b"\x00" if clean else b"", np.uint8)
+    numbers = alphabet.number_of_byte[body]
+    numbers[np.cumsum(lengths) - 1] = END
+    symbols[mask] = numbers
+    code = symbols.copy()
+    for k in range(1, alphabet.order):
+        code[k:] += symbols[:-k] * alphabet.size**k
+    return code[mask], lengths
+
+
+def batches_of(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Slices of about CHUNK bytes; a longer text is a slice of its own."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= CHUNK:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def count_grams(docs: DataFrame, alphabet: Alphabet, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams of all texts, ascending. At most
+    ``SYMBOLS**ORDER`` pairs are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(alphabet.size**alphabet.order, np.uint32)
+        for batch in batches:
+            texts = utf8(batch.column(0))
+            for a, b in batches_of(texts):
+                np.add.at(table, codes_of(texts[a:b], alphabet)[0], np.uint32(1))
+        used = np.flatnonzero(table)
+        for k in range(0, len(used), 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(used[k : k + (1 << 20)].astype(np.int32)), pa.array(table[used[k : k + (1 << 20)]].astype(np.int64))], ["code", "n"])
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    table = counts.toArrow()
+    codes, n = table["code"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int64)
+    order = np.argsort(codes)
+    return codes[order], n[order]
+
+
+def sums_per_text(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of these lengths (each at least 1)."""
+    return np.add.reduceat(values, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
+
+
+class LazyTable:
+    """log10 probabilities of n-gram codes, each worked out by ``model`` when a task first meets it."""
+
+    def __init__(self, model, alphabet: Alphabet):
+        self.model = model
+        self.alphabet = alphabet
+        self.table = np.full(alphabet.size**alphabet.order, np.nan, np.float32)
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The sum over each text, and its number of bytes with the end mark."""
+        out, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for a, b in batches_of(texts):
+            codes, lengths = codes_of(texts[a:b], self.alphabet)
+            values = self.table[codes]
+            new = np.unique(codes[np.isnan(values)])
+            if len(new):
+                self.table[new] = self.model.log10(new)
+                values = self.table[codes]
+            values = values.astype(np.float64)
+            values[codes % self.alphabet.size == RARE] += self.alphabet.rare_log10()
+            out.append(sums_per_text(values, lengths))
+            sizes.append(lengths)
+        return np.concatenate(out), np.concatenate(sizes)
+
+
+def lookup(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of codes in the sorted keys, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, codes), max(len(keys) - 1, 0))
+    return at, (keys[at] == codes) if len(keys) else np.zeros(len(codes), bool)
