@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cinderlens.functions import scalars
+from cinderlens.operators import classify, detections, diffs, extract, records, retrieval
+from cinderlens.streaming import ingest
+
+_PARTS = (detections, diffs, records, retrieval, scalars, extract, classify, ingest)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Name to query."""
+    return {name: run for part in _PARTS for name, (run, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Name to SQL, for queries that SQL can express."""
+    return {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}
