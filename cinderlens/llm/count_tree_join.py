@@ -37,7 +37,7 @@ from cinderlens.llm.text import LOWER, utf8, words
 #: Coordinates of one block in the index's top level.
 BLOCK_GROUPS = 1024
 #: Coordinates of the points in the trees.
-TREE_GROUPS = 32
+TREE_GROUPS = 256
 #: Points of a leaf and boxes of a node.
 FANOUT = 16
 #: Members of a cell that one task searches at once.
@@ -339,9 +339,11 @@ def link_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     keys = met.select("key", low.alias("a"), high.alias("b")).join(apart, ["a", "b"], "left_semi").select("key").distinct()
     members = met.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
-    large = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 2").select("key")
-    members = members.join(large, "key", "left_semi").join(classes, F.col("id") == F.col("v"), "left")
-    members = members.select("key", "id", F.coalesce("label", "id").alias("label")).join(sets.select("id", "point"), "id")
+    members = members.join(classes, F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    # of cells with the same members one is enough; a cell of two members has had its pair verified
+    shape = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), (F.min("label") != F.max("label")).alias("mixed"))
+    large = shape.where("m > 2 AND mixed").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = members.join(large, "key", "left_semi").join(sets.select("id", "point"), "id")
     more = remaining_pairs(members, p, q).join(pairs, ["a", "b"], "left_anti")
     more = durable(more, "more")
     found = durable(verify(more, sets, p, q).where("linked").select("a", "b"), "found")

@@ -36,6 +36,8 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.uint64)
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
+#: Texts that are cut into words at once.
+CHUNK_TEXTS = 256
 #: Words kept for reuse by one task.
 CACHE_WORDS = 800_000
 BLOCK_SCHEMA = "part long, block long, rel_start long, n_ids long, doc_ids binary, lengths binary, words binary, escapes binary"
@@ -165,7 +167,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1,
             row = [part, block, total, len(values), known.tobytes(), lengths.tobytes(), words.tobytes(), escapes.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
-        for batch in batches:
+        for batch in (b.slice(k, CHUNK_TEXTS) for b in batches for k in range(0, b.num_rows, CHUNK_TEXTS)):
             coder = encoder_of(tokenizer_path, end_id)
             for doc, own in zip(batch.column(0).to_pylist(), coder.encode(utf8(batch.column(1))), strict=True):
                 ids.append(own)
