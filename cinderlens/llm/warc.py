@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlens.llm.scratch import new_path
+from cinderlens.llm.scratch import durable, new_path
 
 #: Payloads below this size are stored again rather than referred to.
 MIN_REVISIT_BYTES = 1000
@@ -110,10 +110,14 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def resolve(captures: DataFrame) -> DataFrame:
-    """Captures with the payload size of the response that a revisit refers to, and that response's page. The referred
-    side has one row per identifier; a response that many revisits name is a skewed key that Spark splits."""
-    held = captures.where(F.col("response.type") == "response").select(F.col("record_id").alias("held_id"), F.col("response.payload_bytes").alias("held_bytes"), F.col("response.page_id").alias("held_page")).dropDuplicates(["held_id"])
-    return captures.join(held, F.col("response.refers_to") == F.col("held_id"), "left").drop("held_id")
+    """Captures with the payload size of the response that a revisit refers to, and that response's page. Only revisits
+    are joined; both sides are written first, so that Spark can split a response that many revisits name."""
+    captures = durable(captures, "captures")
+    refers_to = F.col("response.refers_to")
+    held = captures.where(F.col("response.type") == "response").select(F.col("record_id").alias("held_id"), F.col("response.payload_bytes").alias("held_bytes"), F.col("response.page_id").alias("held_page"))
+    held = durable(held.dropDuplicates(["held_id"]), "held")
+    revisits = captures.where(refers_to.isNotNull()).join(held, refers_to == F.col("held_id"), "left").drop("held_id")
+    return revisits.unionByName(captures.where(refers_to.isNull()), allowMissingColumns=True)
 
 
 def capture_digest(pages: DataFrame) -> DataFrame:
