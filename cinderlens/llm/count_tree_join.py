@@ -3,16 +3,19 @@
 A text's distinct word n-grams are hashed into groups, and the counts by group are the coordinates of its point. Of two
 texts with Jaccard similarity p/q or more, the larger having at most U n-grams, the n-grams that only one of them has
 number at most T = floor(2 U (q - p) / (q + p)), so their points differ by at most T in sum. The coordinates are dealt
-to T + 1 blocks: the two points then agree on all coordinates of at least one block. The top level of the index is
-therefore a hash of (size band, block, the block's coordinates): pairs that can be similar meet in one of its cells,
-without comparing all points. A text of band k meets partners of its own band and of the next one, so it is put into
+to T + 1 + s blocks: the two points then agree on all coordinates of at least s + 1 blocks. The top level of the index
+is therefore a hash of (size band, block, the block's coordinates): pairs that can be similar meet in one of its cells,
+without comparing all points. A text with at most s empty blocks leaves these out, as one of the blocks that it shares
+with a similar text has an n-gram; s is a little more than the number of empty blocks to expect. A text of band k meets partners of its own band and of the next one, so it is put into
 the cells of both. Below that level cells are R-trees: boxes of points, whose overlap with a point is bounded by the
 summed minima of coordinates. Survivors are verified with the n-grams themselves.
 
-Only classes of linked texts are wanted, so a cell first links each member with one of them (after each task has done
-so for its own members, which keeps a frequent cell to one row per task); these pairs are verified. Cells whose members
-then still lie in different classes are searched with the tree for all remaining pairs across classes, so no link
-between classes is lost. Large cells are cut into chunks and searched chunk by chunk.
+Only classes of linked texts are wanted. Texts with equal sets are stood for by one of them. A cell first pairs each
+member with one of them (after each task has done so for its own members, which keeps a frequent cell to one row per
+task); these pairs are verified, first one for each text and then those that still lie in different classes. Cells whose
+members then are in different classes are searched with the tree, first for one partner of each member in each other
+class and then for all remaining pairs across classes, so no link between classes is lost. Large cells are cut into
+chunks and searched chunk by chunk.
 
 Defined results: A-Z are lower-cased and words are runs of characters other than 0x20 and 0x09-0x0D; a text of fewer
 words than n has its whole sequence as its one n-gram; null and empty texts have none and are linked with nothing;
@@ -22,6 +25,7 @@ follow the same path; an empty table gives an empty result. N-grams are compared
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,17 +99,29 @@ class Bands:
     def __init__(self, p: int, q: int):
         self.p, self.q = p, q
         self.starts = [1]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
             self.starts.append(self.starts[-1] * self.q // self.p + 1)
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
-    def blocks(self, band: int) -> int:
-        while len(self.starts) <= band + 1:
-            self.starts.append(self.starts[-1] * self.q // self.p + 1)
-        largest = self.starts[band + 1] - 1
-        return 2 * largest * (self.q - self.p) // (self.q + self.p) + 1
+    def blocks(self, band: int) -> tuple[int, int]:
+        """The number of blocks, and how many of them may be empty in a text that leaves its empty blocks out."""
+        if band not in self.known:
+            while len(self.starts) <= band + 1:
+                self.starts.append(self.starts[-1] * self.q // self.p + 1)
+            largest = self.starts[band + 1] - 1
+            apart = 2 * largest * (self.q - self.p) // (self.q + self.p)
+            smallest = self.starts[band] * self.p / self.q
+            spare, empty = 0, 1.0
+            while spare < empty + 2 * empty**0.5:
+                spare += 1
+                empty = (apart + 1 + spare) * math.exp(-smallest / (apart + 1 + spare))
+                if spare > apart + 2:
+                    break
+            self.known[band] = apart + 1 + spare, spare
+        return self.known[band]
 
     def cells(self, shingles: np.ndarray) -> np.ndarray:
         """The keys of the cells that a text belongs to."""
@@ -117,13 +133,15 @@ class Bands:
         return np.concatenate(out)
 
     def _keys(self, shingles: np.ndarray, band: int) -> np.ndarray:
-        m = self.blocks(band)
+        m, spare = self.blocks(band)
         block = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         group = mix((block << np.uint64(20)) + shingles % np.uint64(BLOCK_GROUPS))
         # the sum over n-grams of a number for each group stands for the counts by group
         total = np.zeros(m, np.uint64)
         np.add.at(total, block.astype(np.int64), group)
-        return mix(total ^ mix(np.arange(m, dtype=np.uint64) + (np.uint64(band) << np.uint64(40))))
+        keys = mix(total ^ mix(np.arange(m, dtype=np.uint64) + (np.uint64(band) << np.uint64(40))))
+        full = np.bincount(block.astype(np.int64), minlength=m) > 0
+        return keys[full] if m - full.sum() <= spare else keys
 
 
 def point_of(shingles: np.ndarray) -> np.ndarray:
@@ -171,12 +189,13 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
 
 
-_NAMES = ["kind", "key", "a", "b"]
-_SCHEMA = "kind byte, key long, a long, b long"
+_NAMES = ["kind", "key", "a", "b", "c"]
+_SCHEMA = "kind byte, key long, a long, b long, c long"
 
 
-def _rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(a), pa.array(b)], _NAMES)
+def _rows(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None) -> pa.RecordBatch:
+    c = np.zeros(len(key), np.int64) if c is None else c
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(a), pa.array(b), pa.array(c)], _NAMES)
 
 
 def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[pa.RecordBatch, pa.RecordBatch]:
@@ -191,33 +210,33 @@ def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[pa.RecordBatch, pa.RecordB
 
 
 def cell_rows(rows: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """``kind, key, a, b``: documents (a: id, b: number of n-grams), cell members (a: id) and pairs that met in a cell."""
+    """``kind, key, a, b, c``: documents (a: id, b: number of n-grams, c: hash of the set), cell members (a: id) and pairs
+    that met in a cell. Of equal sets in one task only the first goes through the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(n), Bands(p, q)
-        seen: dict[bytes, int] = {}
+        seen: set[bytes] = set()
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         held = 0
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            sizes = np.zeros(len(docs), np.int64)
+            sizes, marks = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
             for i, text in enumerate(utf8(batch.column(1))):
                 shingles = shingler.set_of(text)
                 sizes[i] = len(shingles)
                 if not len(shingles):
                     continue
                 whole = xxhash.xxh3_128_digest(shingles.tobytes())
-                first = seen.setdefault(whole, docs[i])
-                if first != docs[i]:
-                    # an equal set went through all cells already
-                    yield _rows(PAIR, np.array([int.from_bytes(whole[:8])], np.uint64), np.array([first]), docs[i : i + 1])
+                marks[i] = int.from_bytes(whole[:8], signed=True)
+                if whole in seen:
                     continue
+                seen.add(whole)
                 own = bands.cells(shingles)
                 keys.append(own)
                 ids.append(np.full(len(own), docs[i]))
                 held += len(own)
-            yield _rows(DOCUMENT, mix(docs.astype(np.uint64)), docs, sizes)
+            yield _rows(DOCUMENT, mix(docs.astype(np.uint64)), docs, sizes, marks)
             if held >= HELD_ROWS:
                 yield from _star(np.concatenate(keys), np.concatenate(ids))
                 keys, ids, held = [], [], 0
@@ -261,21 +280,34 @@ def sets_of(rows: DataFrame, n: int) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """``a, b, linked`` of the pairs: those that pass the bound by summed minima are verified with their n-grams."""
-    points = sets.select("id", "point", F.size("shingles").alias("size"))
-    bounded = pairs.join(points.select(F.col("id").alias("a"), F.col("point").alias("pa"), F.col("size").alias("na")), "a")
-    bounded = bounded.join(points.select(F.col("id").alias("b"), F.col("point").alias("pb"), F.col("size").alias("nb")), "b")
-    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    bounded = bounded.withColumn("may", bound * (p + q) >= (F.col("na") + F.col("nb")) * p).drop("pa", "pb")
-    no = bounded.where(~F.col("may")).select("a", "b", F.lit(False).alias("linked"))
-    full = bounded.where("may").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    full = full.withColumn("common", common)
-    return full.select("a", "b", (F.col("common") * q >= (F.col("na") + F.col("nb") - F.col("common")) * p).alias("linked")).unionByName(no)
-
-
-def remaining_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for k in (2, 3):
+                column = batch.column(k)
+                values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+                sides.append([values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+            linked = [_similar(x, y, p, q) for x, y in zip(*sides, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    side = lambda c, s: sets.select(F.col("id").alias(c), F.col("shingles").alias(s))
+    both = pairs.select("a", "b").join(side("a", "sa"), "a").join(side("b", "sb"), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
+    """Whether two sorted sets are similar: first by the bound of their count vectors, then by their n-grams."""
+    total = len(x) + len(y)
+    if (p + q) * int(np.minimum(point_of(x), point_of(y)).sum()) < p * total:
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common * q >= (total - common) * p
+
+
+def remaining_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
     """``a, b``: pairs of members of one cell that lie in different classes and that the cell's tree does not rule out.
-    ``members``: ``key, id, label, point``. A cell of more than ``CHUNK`` members is cut into chunks by a hash of the
+    ``members``: ``key, id, label, point``. With ``nearest``, a member only gets the first one of each other class. A cell of more than ``CHUNK`` members is cut into chunks by a hash of the
     id, and each pair of chunks is a cell of its own."""
     chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = members.join(chunks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -305,8 +337,13 @@ def remaining_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
             if len(np.unique(labels[s:e])) < 2:
                 continue
             tree = CountTree(points[s:e], p, q)
-            found = [(s + k, s + tree.search(points[s + k])) for k in range(e - s)]
-            pairs = [(ids[k], ids[x]) for k, near in found for x in near[(ids[near] > ids[k]) & (labels[near] != labels[k])].tolist()]
+            pairs = []
+            for k in range(s, e):
+                near = s + tree.search(points[k])
+                near = near[labels[near] != labels[k]] if nearest else near[(ids[near] > ids[k]) & (labels[near] != labels[k])]
+                if nearest:
+                    near = near[np.unique(labels[near], return_index=True)[1]]
+                pairs += [(min(ids[k], x), max(ids[k], x)) for x in ids[near].tolist()]
             if pairs:
                 a, b = np.array(pairs, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -324,37 +361,67 @@ def link_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = rows.where("id IS NOT NULL")
     cells = durable(cell_rows(named, n, p, q), "cells")
-    met = cells.where(F.col("kind") == PAIR)
-    pairs = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    sizes = cells.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"), F.col("c").alias("mark"))
+    copies = copies_of(sizes)
+    met = cells.where(F.col("kind") == PAIR).select("key", "a", "b")
+    for c in ("a", "b"):
+        met = met.join(copies.select(F.col("id").alias("of"), "rep"), F.col(c) == F.col("of"), "left").withColumn(c, F.coalesce("rep", c)).drop("of", "rep")
+    met = durable(met.where("a <> b").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "met")
+    pairs = durable(met.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = durable(sets_of(named.join(wanted, "id", "left_semi"), n).groupBy("id").agg(F.max("shingles").alias("shingles"), F.max("point").alias("point")), "sets")
-    checked = durable(verify(pairs, sets, p, q), "checked")
+    sets = durable(sets_of(named.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), n), "sets")
+
+    # first each text with the one it met most often, then what is still apart
+    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    checked = durable(verify(first, sets, p, q), "checked")
     links = checked.where("linked").select("a", "b")
     classes = components(links)
+    rest = between_classes(pairs.select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"), classes)
+    again = durable(verify(rest, sets, p, q), "checked")
+    links = links.unionByName(again.where("linked").select("a", "b"))
+    classes = components(links)
 
-    # cells with a pair that is not in one class yet, and at least one more member
-    side = lambda c: classes.select(F.col("v").alias(c), F.col("label").alias(f"l{c}"))
-    apart = checked.where("NOT linked").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    keys = met.select("key", low.alias("a"), high.alias("b")).join(apart, ["a", "b"], "left_semi").select("key").distinct()
-    members = met.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
-    members = members.join(classes, F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    # of cells with the same members one is enough; a cell of two members has had its pair verified
-    shape = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), (F.min("label") != F.max("label")).alias("mixed"))
-    large = shape.where("m > 2 AND mixed").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
-    members = members.join(large, "key", "left_semi").join(sets.select("id", "point"), "id")
-    more = remaining_pairs(members, p, q).join(pairs, ["a", "b"], "left_anti")
-    more = durable(more, "more")
-    found = durable(verify(more, sets, p, q).where("linked").select("a", "b"), "found")
-    if found.limit(1).count():
-        classes = components(links.unionByName(found))
-    sizes = cells.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"))
-    out = sizes.join(classes, F.col("id") == F.col("v"), "left").select("id", "n_shingles", F.coalesce("label", "id").alias("component_id"))
+    # members of the cells with a pair that is not in one class yet, and at least one more member
+    done = checked.unionByName(again).select("a", "b")
+    apart = between_classes(checked.unionByName(again).where("NOT linked").select("a", "b"), classes)
+    keys = met.join(apart, ["a", "b"], "left_semi").select("key").distinct()
+    members = durable(met.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
+    for nearest in (True, False):
+        labelled = members.join(classes, F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        # of cells with the same members one is enough; a cell of two members has had its pair verified
+        shape = labelled.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), (F.min("label") != F.max("label")).alias("mixed"))
+        mixed = shape.where("m > 2 AND mixed").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+        searched = labelled.join(mixed, "key", "left_semi").join(sets.select("id", "point"), "id")
+        more = remaining_pairs(searched, p, q, nearest).join(done, ["a", "b"], "left_anti")
+        found = durable(verify(more, sets, p, q), "found")
+        if not found.limit(1).count():
+            break
+        done = done.unionByName(found.select("a", "b"))
+        links = links.unionByName(found.where("linked").select("a", "b"))
+        classes = components(links)
+    reps = sizes.join(copies.select(F.col("id").alias("of"), "rep"), F.col("id") == F.col("of"), "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
+    out = reps.join(classes, F.col("rep") == F.col("v"), "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     unnamed = cell_rows_of_nulls(rows.where("id IS NULL"), n)
     return out.unionByName(unnamed)
 
 
+def copies_of(sizes: DataFrame) -> DataFrame:
+    """``id, rep`` of every text whose set another one with a smaller id has: equal in size and 64-bit hash."""
+    groups = sizes.where("n_shingles > 0").groupBy("n_shingles", "mark").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    groups = durable(groups.where("rep <> last").select(F.col("n_shingles").alias("gn"), F.col("mark").alias("gm"), "rep"), "copies")
+    same = (F.col("n_shingles") == F.col("gn")) & (F.col("mark") == F.col("gm")) & (F.col("id") != F.col("rep"))
+    found = sizes.join(groups, same).select("id", "rep")
+    # an id with several rows may belong to several groups; the smallest one is taken
+    return durable(found.groupBy("id").agg(F.min("rep").alias("rep")), "copies")
+
+
+def between_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different classes."""
+    side = lambda c: classes.select(F.col("v").alias(c), F.col("label").alias(f"l{c}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def cell_rows_of_nulls(rows: DataFrame, n: int) -> DataFrame:
     """Rows without an id: they have a size but no class."""
     sized = sets_of(rows, n).select("id", F.size("shingles").cast("long").alias("n_shingles"))
