@@ -44,21 +44,23 @@ def _indices(n: Column) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, tuple_len: int = TUPLE_LEN, bin_bits: int = BIN_BITS) -> DataFrame:
     """``df`` with ``out``, an array of one integer per bin that has a k-mer: the bin in the top 8 bits, 24 bits of the
     tuple's hash below, in order of bins."""
-    w, s, at, t, kept, first = (f"__{out}_{x}" for x in ("words", "kmers", "starts", "numbered", "kept", "first"))
+    w, s, again, at, t, kept, first = (f"__{out}_{x}" for x in ("words", "kmers", "again", "starts", "numbered", "kept", "first"))
     get = lambda name, i: F.get(F.col(name), i)
-    plain = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    df = df.withColumn(w, F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " +")))
+    plain = F.coalesce(F.col(text), F.lit(""))
+    for space in "\t\n\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    df = df.withColumn(w, F.array_remove(F.split(plain, " "), ""))
     n_kmers = F.when(F.size(w) > 0, F.greatest(F.size(w) - (k - 1), F.lit(1))).otherwise(F.lit(0))
-    kmers = F.transform(_indices(n_kmers), lambda i: _pack(F.xxhash64(*(get(w, i + j) for j in range(k))), i.cast("long")))
+    kmers = F.transform(_indices(n_kmers), lambda i: _pack(F.xxhash64(*(get(w, i + j) if j else get(w, i) for j in range(k))), i.cast("long")))
     df = df.withColumn(s, F.sort_array(kmers))
     key = lambda x: F.shiftright(x, 26)
-    df = df.withColumn(at, F.filter(_indices(F.size(s)), lambda i: (i == 0) | (key(get(s, i)) != key(get(s, i - 1)))))
+    # a k-mer's first place keeps its hash; each further one hashes it with the occurrence's number
+    df = df.withColumn(again, F.filter(F.col(s), lambda x, i: key(x) == key(get(s, i - 1))))
+    df = df.withColumn(at, F.filter(_indices(F.size(again)), lambda i: (i == 0) | (key(get(again, i)) != key(get(again, i - 1)))))
     number = lambda x, nth: _pack(F.xxhash64(key(x), nth), x.bitwiseAND(F.lit(_POSITION)))
-    length = lambda j: F.coalesce(get(at, j + 1), F.size(s)) - get(at, j)
-    firsts = F.transform(F.col(at), lambda i: number(get(s, i), F.lit(0)))
-    repeated = F.filter(_indices(F.size(at)), lambda j: length(j) > 1)
-    others = F.flatten(F.transform(repeated, lambda j: F.transform(F.slice(F.col(s), get(at, j) + 2, length(j) - 1), lambda x, nth: number(x, nth + 1))))
-    df = df.withColumn(t, F.sort_array(F.when(F.size(at) == F.size(s), firsts).otherwise(F.concat(firsts, others))))
+    length = lambda j: F.coalesce(get(at, j + 1), F.size(again)) - get(at, j)
+    others = F.flatten(F.transform(_indices(F.size(at)), lambda j: F.transform(F.slice(F.col(again), get(at, j) + 1, length(j)), lambda x, nth: number(x, nth + 1))))
+    df = df.withColumn(t, F.when(F.size(again) == 0, F.col(s)).otherwise(F.sort_array(F.concat(F.array_except(s, again), others))))
     bin_of = lambda x: _bin(x, bin_bits)
     df = df.withColumn(kept, F.filter(F.col(t), lambda x, i: (i < tuple_len) | (bin_of(get(t, i - tuple_len)) != bin_of(x))))
     df = df.withColumn(first, F.filter(_indices(F.size(kept)), lambda i: (i == 0) | (bin_of(get(kept, i)) != bin_of(get(kept, i - 1)))))
