@@ -46,6 +46,8 @@ TREE_GROUPS = 256
 FANOUT = 16
 #: Members of a cell that one task searches at once.
 CHUNK = 2048
+#: Smallest cells of a member that its rows carry, to report a pair in one of its cells only.
+LOW_CELLS = 64
 #: Cell rows that a task holds before it combines them.
 HELD_ROWS = 3_000_000
 #: Word hashes that a task keeps.
@@ -307,13 +309,19 @@ def _similar(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
 
 def remaining_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
     """``a, b``: pairs of members of one cell that lie in different classes and that the cell's tree does not rule out.
-    ``members``: ``key, id, label, point``. With ``nearest``, a member only gets the first one of each other class. A cell of more than ``CHUNK`` members is cut into chunks by a hash of the
-    id, and each pair of chunks is a cell of its own."""
+    ``members``: ``key, id, label, point``. With ``nearest``, a member only gets the first one of each other class.
+
+    A cell of more than ``CHUNK`` members is cut into chunks by a hash of the id; each pair of chunks is a cell of its
+    own, in which only members of different chunks are compared. A pair that meets in several cells is reported by the
+    smallest one. Each member's rows carry its smallest cells: if two members have one of these in common, the smallest
+    of them is the smallest cell that they share at all; otherwise all their cells report the pair."""
+    low = members.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW_CELLS).alias("low"))
+    members = members.join(low, "id")
     chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = members.join(chunks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = dealt.select("key", "id", "label", "point", "own", other.alias("other")).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "point"
+    dealt = dealt.select("key", "id", "label", "point", "low", "own", other.alias("other")).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "point", "low"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,21 +339,36 @@ def remaining_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFr
     def search(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
+        keys, i, j, own = (table[c].to_numpy() for c in ("key", "i", "j", "own"))
         ids, labels = table["id"].to_numpy(), table["label"].to_numpy()
         points = np.array(table["point"].to_pylist(), np.int32).reshape(-1, TREE_GROUPS)
+        low = [frozenset(x) for x in table["low"].to_pylist()]
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             if len(np.unique(labels[s:e])) < 2:
                 continue
-            tree = CountTree(points[s:e], p, q)
-            pairs = []
-            for k in range(s, e):
-                near = s + tree.search(points[k])
-                near = near[labels[near] != labels[k]] if nearest else near[(ids[near] > ids[k]) & (labels[near] != labels[k])]
-                if nearest:
-                    near = near[np.unique(labels[near], return_index=True)[1]]
-                pairs += [(min(ids[k], x), max(ids[k], x)) for x in ids[near].tolist()]
+            every = np.arange(s, e)
+            if i[s] == j[s]:
+                sides = [(every, every)]
+            else:
+                sides = [(every[own[s:e] == i[s]], every[own[s:e] == j[s]])]
+                sides += [sides[0][::-1]] if nearest else []
+            pairs = set()
+            for asking, asked in sides:
+                if not len(asking) or not len(asked):
+                    continue
+                tree = CountTree(points[asked], p, q)
+                for k in asking.tolist():
+                    near = asked[tree.search(points[k])]
+                    near = near[labels[near] != labels[k]]
+                    if nearest:
+                        near = near[np.unique(labels[near], return_index=True)[1]]
+                    elif i[s] == j[s]:
+                        near = near[ids[near] > ids[k]]
+                    for x in near.tolist():
+                        if min(low[k] & low[x], default=keys[s]) == keys[s]:
+                            pairs.add((min(ids[k], ids[x]), max(ids[k], ids[x])))
             if pairs:
-                a, b = np.array(pairs, np.int64).T
+                a, b = np.array(sorted(pairs), np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
