@@ -1,50 +1,59 @@
 """Katz backoff scoring of texts.
 
-The model's n-grams are bytes of the normalised texts (A-Z lower-cased, words joined by one space, an end mark), so a
-token's probability is the product of those of its bytes and its border, and no token is unknown. Counts up to ``K``
-are discounted by Good-Turing; the weight of the order below is what makes each context's probabilities sum to 1
-exactly. A context whose counts are all too large to be discounted gets one more unit in its denominator, so that it
-leaves something to unseen symbols. The model is written to tables partitioned by order, read back, and evaluated by
-recursion over the orders. Its size is bounded by the alphabet (see ``byte_grams``).
-
-The base score needs each word's count. Documents are dealt to blocks by a hash of their id; a block sends each of its
-distinct words once, words are counted by one aggregation, and each block gets the counts of its own words back. So
-what is moved is a row per block and distinct word rather than per word, and a frequent word has one row per block.
-
-Defined results: null text is empty and has one token, its end; a null id counts as the empty text for the split and is
-trained on; repeated rows are scored alike; without training texts all scores are uniform; an empty table gives an
-empty result.
+The model is over word tokens (A-Z lower-cased, words, an end mark): word pairs back off to words, and a word that no
+training text holds counts as one more kind, as in the base score. Counts up to ``K`` are discounted by Good-Turing with
+the counts of counts of all texts; the weight of the order below is what makes each context's probabilities sum to 1. A
+context whose counts are all too large to be discounted gets one more unit in its denominator, so that it leaves
+something to unseen words. Nothing of the size of the vocabulary is collected or broadcast:
+
+* Documents are dealt to blocks by a hash of their id and text; a block sends each of its distinct words and pairs once,
+  packed and dealt to buckets by the pair's last word, so a frequent pair has one entry per block.
+* A bucket knows the counts of its words and pairs. It answers each block with them, in the order of the block's own
+  entries, and sends what it adds to each context (the word before) to the context's bucket: counts and counts of counts,
+  from which discounted mass and the mass of the order below follow once the discounts are known.
+* A context's bucket sums these and answers each block with the denominators and backoff weights of its own words.
+* Each block scores its texts with the two answers.
+
+Words are told apart by 64-bit hashes. Defined results: null text is empty and has one token, its end; a null id counts
+as the empty text for the split and is trained on; repeated rows are scored alike; without training texts every token is
+of the one unknown kind and all scores are 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlens.llm.byte_grams import START, Alphabet, LazyTable, alphabet_of, count_grams, lookup
-from cinderlens.llm.scratch import durable, new_path
+from cinderlens.llm.byte_grams import START, lookup
+from cinderlens.llm.scratch import durable
 from cinderlens.llm.text import LOWER, utf8, words
 
 #: Counts up to this one are discounted.
 K = 5
 #: Bytes of text in a block.
 BLOCK_BYTES = 20_000_000
-#: The end token's key; no word holds this byte.
+#: Contexts in a message, and bytes of messages that are written and read at once.
+CONTEXTS = 1024
+GROUP_BYTES = 8_000_000
+#: Keys of the end token and of the context at the start; no word holds these bytes.
 END_TOKEN = b"\n"
+START_TOKEN = b"\t"
 
 
 def good_turing(counts: np.ndarray, k: int = K) -> np.ndarray:
     """Discount ratios for counts 0 .. k (place 0 unused). Where the counts of counts give no ratio in (0, 1), half a
     unit is taken off instead."""
-    n = np.array([0.0, *((counts == r).sum() for r in range(1, k + 2))])
+    return ratios(np.array([0.0, *((counts == r).sum() for r in range(1, k + 2))]), k)
+
+
+def ratios(n: np.ndarray, k: int = K) -> np.ndarray:
+    """Discount ratios from the counts of counts ``n`` (places 1 .. k + 1)."""
     r = np.arange(1, k + 1)
     half = np.concatenate([[1.0], (r - 0.5) / r])
     if n[1:].min() == 0:
@@ -65,7 +74,7 @@ class Order:
 
 
 class Katz:
-    """``orders[k]`` is order k + 1; below order 1 every symbol but the start is equally likely."""
+    """The model of a small table of codes, in memory, which the distributed one is compared with. ``orders[k]`` is order k + 1; below order 1 every symbol but the start is equally likely."""
 
     def __init__(self, orders: list[Order], size: int):
         self.orders = orders
@@ -115,21 +124,6 @@ class Katz:
     def log10(self, codes: np.ndarray) -> np.ndarray:
         return np.log10(np.maximum(self.probability(codes), 1e-300))
 
-    def write(self, spark: SparkSession, path: str) -> None:
-        """Tables of n-grams and of contexts, partitioned by kind and order."""
-        parts = []
-        for n, o in enumerate(self.orders, 1):
-            for kind, keys, values in (("gram", o.codes, o.probability), ("context", o.contexts, o.backoff)):
-                parts.append(pa.table({"kind": pa.array([kind] * len(keys), pa.string()), "n": pa.array([n] * len(keys), pa.int32()), "code": keys, "value": values}))
-        spark.createDataFrame(pa.concat_tables(parts)).write.partitionBy("kind", "n").parquet(path)
-
-    @classmethod
-    def read(cls, spark: SparkSession, path: str, size: int, order: int) -> Katz:
-        """The model from its tables: at most ``size**order`` rows."""
-        table = spark.read.schema("code long, value double, kind string, n int").parquet(path).toArrow().to_pandas().sort_values("code")
-        side = lambda kind, n: (lambda t: (t.code.to_numpy(), t.value.to_numpy()))(table[(table.kind == kind) & (table.n == n)])
-        return cls([Order(*side("gram", n), *side("context", n)) for n in range(1, order + 1)], size)
-
 
 def held_out(id_col: Column, folds: int = 5, fold: int = 1) -> Column:
     """Whether an id's text belongs to the held-out fold."""
@@ -146,60 +140,216 @@ def _tokens(text: bytes) -> list[bytes]:
     return own
 
 
-def block_words(blocks: DataFrame) -> DataFrame:
-    """``key, block, n``: each distinct token of each block once, with its count in training texts."""
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the distinct tokens (the start first), the number of each token of each text, and how many a text has. The
+    texts are taken off the list as they are read."""
+    place = {START_TOKEN: 0}
+    cut = []
+    for i, text in enumerate(texts):
+        cut.append(np.fromiter((place.setdefault(w, len(place)) for w in _tokens(text)), np.int32))
+        texts[i] = b""
+    sizes = np.array([len(c) for c in cut], np.int64)
+    return np.fromiter(map(_key, place), np.uint64, len(place)), np.concatenate([np.zeros(0, np.int32), *cut]), sizes
+
+
+@dataclass
+class Grams:
+    """Distinct words and pairs of a block's texts. Words are ordered by bucket and key, pairs by last word and word before."""
+
+    keys: np.ndarray
+    pairs: np.ndarray
+    word_at: np.ndarray
+    pair_at: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes], n_buckets: int) -> Grams:
+        keys, now, sizes = _numbered(texts)
+        order = np.lexsort((keys, keys % np.uint64(n_buckets)))
+        keys = keys[order]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        start, now = rank[0], rank[now]
+        code = now * np.int64(len(keys))
+        code[1:] += now[:-1]
+        first = np.cumsum(sizes) - sizes
+        code[first] = now[first] * np.int64(len(keys)) + start
+        pairs, pair_at = np.unique(code, return_inverse=True)
+        return cls(keys, pairs, now, pair_at.astype(np.int32), sizes)
+
+    @property
+    def last(self) -> np.ndarray:
+        return self.pairs // len(self.keys)
+
+    @property
+    def context(self) -> np.ndarray:
+        return self.pairs % len(self.keys)
+
+
+def _borders(of: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the numbers 0 .. n - 1 starts in the sorted ``of``, and the end."""
+    return np.searchsorted(of, np.arange(n + 1))
+
+
+def _bytes(table: pa.Table, column: str, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in table[column].to_pylist()]
+
+
+def block_grams(blocks: DataFrame, n_buckets: int) -> DataFrame:
+    """A row for each block and bucket: the block's words ``w`` of the bucket, how many pairs end in each, and for these the
+    word before and the count in training texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        counts: Counter[bytes] = Counter()
-        texts, held = utf8(table["text"].combine_chunks()), table["held_out"].to_pylist()
-        counts.update(itertools.chain.from_iterable(_tokens(t) for t, h in zip(texts, held, strict=True) if not h))
-        for t, h in zip(texts, held, strict=True):
-            if h:
-                for w in _tokens(t):
-                    if w not in counts:
-                        counts[w] = 0
-        keys = np.fromiter(map(_key, counts), np.uint64, len(counts)).view(np.int64)
-        block = table["block"][0].as_py()
-        return pa.table({"key": keys, "block": pa.array(np.full(len(keys), block, np.int32)), "n": np.fromiter(counts.values(), np.int64, len(counts))})
+        grams = Grams.of(utf8(table["text"].combine_chunks()), n_buckets)
+        trained = np.repeat(~np.array(table["held_out"].to_pylist(), bool), grams.sizes)
+        counts = np.bincount(grams.pair_at[trained], minlength=len(grams.pairs)).astype(np.uint32)
+        kinds = np.bincount(grams.last, minlength=len(grams.keys)).astype(np.uint32)
+        of = _borders((grams.keys % np.uint64(n_buckets)).astype(np.int64), n_buckets)
+        upto = np.concatenate([[0], np.cumsum(kinds, dtype=np.int64)])[of]
+        used = np.flatnonzero(np.diff(of))
+        before = grams.keys[grams.context]
+        cut = lambda x, at: pa.array([x[at[b] : at[b + 1]].tobytes() for b in used], pa.binary())
+        block = np.full(len(used), table["block"][0].as_py(), np.int32)
+        return pa.table({"bucket": used.astype(np.int32), "block": block, "w": cut(grams.keys, of), "kinds": cut(kinds, of), "v": cut(before, upto), "c": cut(counts, upto)})
+
+    return blocks.groupBy("block").applyInArrow(run, "bucket int, block int, w binary, kinds binary, v binary, c binary")
+
+
+_MESSAGE = "kind string, bucket int, block int, a binary, b binary"
 
-    return blocks.groupBy("block").applyInArrow(run, "key long, block int, n long")
+
+def count_grams_of_buckets(sent: DataFrame, n_buckets: int, k: int = K) -> DataFrame:
+    """Messages: ``count`` (to a block: counts of its words and of its pairs), ``ask`` (the block's words), ``context`` (to a
+    context's bucket: what is added to each context) and ``total`` (numbers of the bucket).
+
+    A context's row is the sum of its pairs' counts, the sum of the last words' counts, and how many pairs, and last words,
+    have each count from 1 to k."""
+
+    def run(table: pa.Table) -> pa.Table:
+        w, kinds, v, c = (_bytes(table, x, t) for x, t in (("w", np.uint64), ("kinds", np.uint32), ("v", np.uint64), ("c", np.uint32)))
+        bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
+        own, word_at = np.unique(np.concatenate(w), return_inverse=True)
+        contexts, context_at = np.unique(np.concatenate(v), return_inverse=True)
+        code, pair_at = np.unique(np.repeat(word_at, np.concatenate(kinds)) * max(1, len(contexts)) + context_at, return_inverse=True)
+        pairs = np.bincount(pair_at, weights=np.concatenate(c), minlength=len(code)).astype(np.int64)
+        last, of = code // max(1, len(contexts)), code % max(1, len(contexts))
+        singles = np.bincount(last, weights=pairs, minlength=len(own)).astype(np.int64)
+        seen = pairs > 0
+        mine, n, m = of[seen], pairs[seen], singles[last[seen]]
+        count = lambda x: np.bincount(mine, weights=x, minlength=len(contexts)).astype(np.int64)
+        added = np.stack([count(n), count(m), *(count(n == r) for r in range(1, k + 1)), *(count(m == r) for r in range(1, k + 1))])
+        rows = [("total", bucket, 0, np.array([singles.sum(), (singles > 0).sum(), *((x == r).sum() for x in (singles, pairs) for r in range(1, k + 2))], np.int64), b"")]
+        word_ends, pair_ends = np.cumsum([len(x) for x in w]), np.cumsum([len(x) for x in v])
+        for i, block in enumerate(blocks):
+            its = word_at[word_ends[i] - len(w[i]) : word_ends[i]]
+            rows.append(("count", bucket, block, singles[its], pairs[pair_at[pair_ends[i] - len(v[i]) : pair_ends[i]]].astype(np.uint32).tobytes()))
+            rows.append(("ask", bucket, block, w[i], b""))
+        known = np.flatnonzero(added[0] > 0)
+        to = (contexts[known] % np.uint64(n_buckets)).astype(np.int64)
+        known = known[np.argsort(to, kind="stable")]
+        at = _borders(np.sort(to), n_buckets)
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            for start in range(at[b], at[b + 1], CONTEXTS):
+                its = known[start : min(start + CONTEXTS, at[b + 1])]
+                rows.append(("context", b, -1, contexts[its], np.ascontiguousarray(added[:, its]).tobytes()))
+        return pa.Table.from_pylist([{"kind": x[0], "bucket": x[1], "block": x[2], "a": x[3].tobytes(), "b": x[4]} for x in rows], schema=_SCHEMA)
+
+    return sent.groupBy("bucket").applyInArrow(run, _MESSAGE)
+
+
+_SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+@dataclass
+class Discounts:
+    """Discount ratios of words and pairs, the denominator of words, and the probability of an unknown word."""
+
+    word: np.ndarray
+    pair: np.ndarray
+    words_total: float
+    unknown: float
+
+    @classmethod
+    def of(cls, totals: np.ndarray, k: int = K) -> Discounts:
+        """From the sums of ``total`` messages."""
+        n = totals[0]
+        ones, twos = (np.concatenate([[0.0], totals[2 + i * (k + 1) : 2 + (i + 1) * (k + 1)]]) for i in (0, 1))
+        word, pair = ratios(ones, k), ratios(twos, k)
+        off = ((1 - word[1:]) * np.arange(1, k + 1) * ones[1 : k + 1]).sum()
+        total = float(n) if off > 0 else float(n + 1)
+        return cls(word, pair, total, 1 - (n - off) / total)
+
+    def words_left(self, c: np.ndarray) -> np.ndarray:
+        """Probability of words with these counts; unknown ones share one."""
+        return np.where(c > 0, c * self.word_ratio(c) / self.words_total, self.unknown)
+
+    def word_ratio(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c < len(self.word), self.word[np.minimum(c, len(self.word) - 1)], 1.0)
+
+    def pair_ratio(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c < len(self.pair), self.pair[np.minimum(c, len(self.pair) - 1)], 1.0)
+
+    def contexts(self, added: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Denominators and backoff weights of contexts from their summed rows."""
+        k = len(self.pair) - 1
+        r = np.arange(1, k + 1)
+        off = ((1 - self.pair[1:]) * r) @ added[2 : 2 + k]
+        total = added[0] + (off <= 0)
+        lower = (added[1] - ((1 - self.word[1:]) * r) @ added[2 + k : 2 + 2 * k]) / self.words_total
+        return total.astype(np.float64), (1 - (added[0] - off) / total) / (1 - lower)
+
+
+def context_weights(messages: DataFrame, discounts: Discounts, k: int = K) -> DataFrame:
+    """``weight`` messages to blocks: denominators and backoff weights of their words as contexts; 1 for a new context."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table["kind"].to_pylist()
+        a, b = _bytes(table, "a", np.uint64), _bytes(table, "b", np.int64)
+        sent = [i for i, x in enumerate(kinds) if x == "context"]
+        contexts, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(a[i] for i in sent)]), return_inverse=True)
+        added = np.concatenate([np.zeros((2 + 2 * k, 0), np.int64), *(b[i].reshape(2 + 2 * k, -1) for i in sent)], axis=1)
+        total, weight = discounts.contexts(np.stack([np.bincount(at, weights=x, minlength=len(contexts)) for x in added]))
+        rows = []
+        for i, x in enumerate(kinds):
+            if x == "ask":
+                place, known = lookup(contexts, a[i])
+                its = np.ones((2, len(a[i])))
+                its[0, known], its[1, known] = total[place[known]], weight[place[known]]
+                rows.append({"kind": "weight", "bucket": table["bucket"][i].as_py(), "block": table["block"][i].as_py(), "a": its[0].tobytes(), "b": its[1].tobytes()})
+        return pa.Table.from_pylist(rows, schema=_SCHEMA)
+
+    return messages.where("kind IN ('ask', 'context')").groupBy("bucket").applyInArrow(run, _MESSAGE)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    training = rows.where(~F.col("held_out"))
-    alphabet: Alphabet = alphabet_of(rows)
-    model = Katz.train(*count_grams(training, alphabet), alphabet.size, alphabet.order)
-    path = new_path(spark, "katz")
-    model.write(spark, path)
-    shared = spark.sparkContext.broadcast((Katz.read(spark, path, alphabet.size, alphabet.order), alphabet))
-    n_blocks = max(1, alphabet.text_bytes // block_bytes)
+    text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # as many buckets as blocks
+    n_blocks = max(1, text_bytes // block_bytes)
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    counted = durable(block_words(blocks).groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), "words")
-    totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("n") > 0).alias("kinds"))
-    replies = counted.select(F.explode("blocks").alias("block"), "key", "n")
+    messages = durable(count_grams_of_buckets(block_grams(blocks, n_blocks), n_blocks), "counts", group_bytes=GROUP_BYTES)
+    # a row of 14 numbers per bucket
+    totals = sum((np.frombuffer(r["a"], np.int64) for r in messages.where("kind = 'total'").select("a").toLocalIterator()), np.zeros(2 + 2 * (K + 1), np.int64))
+    discounts = Discounts.of(totals)
+    train_tokens, kinds = int(totals[0]), int(totals[1])
+    replies = messages.where("kind = 'count'").unionByName(context_weights(messages, discounts))
 
     def run(table: pa.Table, reply: pa.Table) -> pa.Table:
-        texts = utf8(table["text"].combine_chunks())
-        known_keys, counts = reply["key"].to_numpy().view(np.uint64), reply["n"].to_numpy()
-        order = np.argsort(known_keys)
-        known_keys, counts = known_keys[order], counts[order]
-        place: dict[bytes, int] = {}
-        cut = [np.fromiter((place.setdefault(w, len(place)) for w in _tokens(t)), np.int64) for t in texts]
-        keys = np.fromiter(map(_key, place), np.uint64, len(place))
-        n = counts[np.searchsorted(known_keys, keys)]
-        logs, known = np.log10(n + 0.5), n > 0
-        size = np.array([len(c) for c in cut], np.int64)
-        total, _ = LazyTable(*shared.value).scores(texts)
-        return pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": size, "n_known": np.array([known[c].sum() for c in cut], np.int64), "logs": np.array([logs[c].sum() for c in cut], np.float64), "score": total})
+        reply = reply.sort_by("bucket")
+        counts, weights = (reply.filter(pa.compute.equal(reply["kind"], x)) for x in ("count", "weight"))
+        grams = Grams.of(utf8(table["text"].combine_chunks()), n_blocks)
+        singles, pairs = (np.concatenate([np.zeros(0, t), *_bytes(counts, x, t)]) for x, t in (("a", np.int64), ("b", np.uint32)))
+        total, weight = (np.concatenate([np.zeros(0), *_bytes(weights, x, np.float64)]) for x in ("a", "b"))
+        p = weight[grams.context] * discounts.words_left(singles)[grams.last]
+        seen = np.flatnonzero(pairs)
+        p[seen] = pairs[seen] * discounts.pair_ratio(pairs[seen]) / total[grams.context[seen]]
+        sums = lambda x: np.add.reduceat(x, np.cumsum(grams.sizes) - grams.sizes)
+        return pa.table({"doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": grams.sizes, "n_known": sums((singles > 0)[grams.word_at].astype(np.int64)), "logs": sums(np.log10(singles + 0.5)[grams.word_at]), "score": sums(np.log10(p)[grams.pair_at])})
 
     scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
-    # totals is one row
-    scored = scored.crossJoin(F.broadcast(totals))
-    base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("kinds") + 1))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(train_tokens + 0.5 * (kinds + 1))))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 #: The base columns over ``documents``, with the split given as a list of ids.

@@ -31,9 +31,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def durable(df: DataFrame, label: str = "step", codec: str = "zstd") -> DataFrame:
-    """``df`` written to the shared folder and read again."""
+def durable(df: DataFrame, label: str = "step", codec: str = "zstd", group_bytes: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again; with ``group_bytes`` as the size of Parquet's row groups, which
+    are read at once when rows are long."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.option("parquet.block.size", group_bytes) if group_bytes else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
