@@ -1,8 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a run of at most ``block_words`` words inside one line, or inside one of its overlapping windows when the line
-is longer; windows start every ``block_words / 2`` words, so any run of half that many words lies in one block whole. A
-block meets a template when it holds at least ``threshold`` of the template's distinct words. The join is exact:
+A block is one of the overlapping windows of ``block_words`` words over the whole text, line ends or not, as notices are
+often wrapped; windows start every ``block_words / 2`` words, so any run of half that many words lies in one block whole,
+and windows are made larger where half of one is shorter than the longest template. A block meets a template when it holds at least ``threshold`` of the template's distinct words. The join is exact:
 
 * tokens are ordered by how many texts hold them, counted by Spark over all texts (only template tokens can matter);
 * prefix: a block that meets a template of n words holds one of its n - ceil(threshold * n) + 1 rarest words;
@@ -15,7 +15,7 @@ Templates are a bounded list given by the caller and go to the tasks as they are
 
 Words are runs of 0-9, a-z and all characters from 0x80 on, after A-Z are lower-cased. Defined results: a null text is
 empty, has no words and no labels; labels are distinct and sorted; a repeated row gets the same result; empty tables
-give empty results; very long lines are cut into blocks, never dropped.
+give empty results; long texts are cut into blocks, never dropped.
 """
 
 from __future__ import annotations
@@ -54,12 +54,12 @@ THRESHOLD = 0.9
 #: Words of a block.
 BLOCK_WORDS = 64
 
-#: Word bytes lower-cased; line ends kept; all else a space.
-_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 or b == 0x0A else 0x20 for b in range(256))
+#: Word bytes lower-cased; all else a space.
+_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
 def normalised(text: bytes) -> bytes:
-    """Words separated by spaces, lines by line ends."""
+    """Words separated by spaces."""
     return text.translate(_WORDS)
 
 
@@ -115,7 +115,7 @@ class TemplateIndex:
 
 
 def blocks_of(words: list[bytes], size: int) -> Iterator[tuple[int, int]]:
-    """Start and end of the blocks of one line."""
+    """Start and end of the blocks of one text."""
     step = max(1, size // 2)
     for start in range(0, max(1, len(words) - step), step):
         yield start, min(len(words), start + size)
@@ -126,6 +126,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
     word positions."""
     templates = TEMPLATES if templates is None else templates
     phrases = {normalised(p.encode()): label for p, label in (PHRASES if phrases is None else phrases).items()}
+    longest = max((len(normalised(t.encode()).split()) for own in templates.values() for t in own), default=0)
+    block_words = max(block_words, 2 * longest)
     tokens = frozenset().union(*(own for _, own in template_sets(templates)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = token_order(rows, tokens)
@@ -144,14 +146,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
                     at = joined.find(b" " + phrase + b" ", at + 1)
         hits = []
         if not index.prefix_words.isdisjoint(all_words):
-            at = 0
-            for line in text.split(b"\n"):
-                own = line.split()
-                if not index.prefix_words.isdisjoint(own):
-                    for a, b in blocks_of(own, block_words):
-                        block = sorted({index.rank[w] for w in own[a:b] if w in index.rank})
-                        hits.extend({"label": index.templates[k][0], "start": at + a, "end": at + b, "score": score} for k, score in index.matches(block))
-                at += len(own)
+            for a, b in blocks_of(all_words, block_words):
+                if not index.prefix_words.isdisjoint(all_words[a:b]):
+                    block = sorted({index.rank[w] for w in all_words[a:b] if w in index.rank})
+                    hits.extend({"label": index.templates[k][0], "start": a, "end": b, "score": score} for k, score in index.matches(block))
         return len(all_words), sorted(found, key=lambda x: x["start"]), hits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
