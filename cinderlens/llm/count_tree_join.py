@@ -417,8 +417,9 @@ def link_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col:
         searched = labelled.join(mixed, "key", "left_semi").join(sets.select("id", "point"), "id")
         more = remaining_pairs(searched, p, q, nearest).join(done, ["a", "b"], "left_anti")
         found = durable(verify(more, sets, p, q), "found")
+        # what is nearest may have been checked before; the pass over all pairs comes in any case
         if not found.limit(1).count():
-            break
+            continue
         done = done.unionByName(found.select("a", "b"))
         links = links.unionByName(found.where("linked").select("a", "b"))
         classes = components(links)
