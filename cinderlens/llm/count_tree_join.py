@@ -1,31 +1,33 @@
 """N-gram Jaccard join by a forest of count-vector R-trees.
 
-A text's distinct word n-grams are hashed into groups, and the counts by group are the coordinates of its point. Of two
-texts with Jaccard similarity p/q or more, the larger having at most U n-grams, the n-grams that only one of them has
-number at most T = floor(2 U (q - p) / (q + p)), so their points differ by at most T in sum. The coordinates are dealt
-to T + 1 + s blocks: the two points then agree on all coordinates of at least s + 1 blocks. The top level of the index
-is therefore a hash of (size band, block, the block's coordinates): pairs that can be similar meet in one of its cells,
-without comparing all points. A text with at most s empty blocks leaves these out, as one of the blocks that it shares
-with a similar text has an n-gram; s is a little more than the number of empty blocks to expect. A text of band k meets partners of its own band and of the next one, so it is put into
-the cells of both. Below that level cells are R-trees: boxes of points, whose overlap with a point is bounded by the
-summed minima of coordinates. Survivors are verified with the n-grams themselves.
-
-Only classes of linked texts are wanted. Texts with equal sets are stood for by one of them. A cell first pairs each
-member with one of them (after each task has done so for its own members, which keeps a frequent cell to one row per
-task); these pairs are verified, first one for each text and then those that still lie in different classes. Cells whose
-members then are in different classes are searched with the tree, first for one partner of each member in each other
-class and then for all remaining pairs across classes, so no link between classes is lost. Large cells are cut into
-chunks and searched chunk by chunk.
+A text's distinct word n-grams are hashed into groups, and the counts by group are the coordinates of its point. Texts
+with equal sets are one vertex. Of two texts with Jaccard similarity p/q or more and x and y n-grams, at most
+D = floor((x + y)(q - p) / (q + p)) n-grams are in one of them only, so their points differ by at most D in sum. The
+coordinates are dealt to blocks, and each n-gram belongs to one block: the two points agree on all coordinates of all but
+D blocks. The top level of the index is therefore a hash of (size band, block, the block's coordinates), its cells. If
+all cells are put into one order, the first cell that two similar texts share is among the first D + 1 of either, so
+these are all that a text needs. The order is by how many n-grams a block holds, most first, so that cells of one or no
+n-gram, in which unlike texts meet, are left out. Bands double in size; a text that can have a partner in the next band
+is put into cells of both. Below that level cells are R-trees: boxes of points, whose overlap with a point is bounded by
+the summed minima of coordinates. Survivors are verified with the n-grams themselves.
+
+Only classes of linked texts are wanted. A cell first pairs each member with one of them (after each task has done so for
+its own members, which keeps a frequent cell to one row per task); these pairs are verified, first one for each text and
+then those that still lie in different classes. Cells whose members then are in different classes are searched with the
+tree, first for one partner of each member in each other class and then for all remaining pairs across classes, so no
+link between classes is lost. Large cells are cut into chunks and searched chunk by chunk. Most links come from the cells
+and their first pairs; the trees settle the mixed cells.
 
 Defined results: A-Z are lower-cased and words are runs of characters other than 0x20 and 0x09-0x0D; a text of fewer
 words than n has its whole sequence as its one n-gram; null and empty texts have none and are linked with nothing;
-null ids are linked with nothing and have a null class; rows with one id form one vertex; repeated and very long texts
-follow the same path; an empty table gives an empty result. N-grams are compared by 64-bit hashes.
+rows with one id and different texts are one vertex of the classes, which links all their partners; null ids are linked
+with nothing and have a null class in the report, while ``keep_one`` tells rows apart by all their columns, so rows
+without an id are removed as copies like any others; repeated and very long texts follow the same path; an empty table
+gives an empty result. N-grams and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlens.llm.components import components
-from cinderlens.llm.scratch import durable
-from cinderlens.llm.text import LOWER, utf8, words
+from cinderlens.llm.rows import ROW, anti_join, semi_join, with_row_key
+from cinderlens.llm.scratch import durable, release
+from cinderlens.llm.text import WordHasher, gram_hashes, mix, utf8
 
 #: Coordinates of one block in the index's top level.
 BLOCK_GROUPS = 1024
@@ -50,19 +53,10 @@ CHUNK = 2048
 LOW_CELLS = 64
 #: Cell rows that a task holds before it combines them.
 HELD_ROWS = 3_000_000
-#: Word hashes that a task keeps.
-CACHE_WORDS = 1_000_000
+#: Pairs of points that are bounded at once.
+AT_ONCE = 4096
 
 DOCUMENT, MEMBER, PAIR = 0, 1, 2
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = x + _MIX[2]
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
@@ -70,80 +64,54 @@ class Shingler:
 
     def __init__(self, n: int):
         self.n = n
-        self.hashes: dict[bytes, int] = {}
-
-    def _hash(self, own: list[bytes]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.hashes.__getitem__, own), np.uint64, len(own))
-        except KeyError:
-            if len(self.hashes) > CACHE_WORDS:
-                self.hashes.clear()
-            for w in own:
-                if w not in self.hashes:
-                    self.hashes[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(self.hashes.__getitem__, own), np.uint64, len(own))
+        self.hasher = WordHasher()
 
     def set_of(self, text: bytes) -> np.ndarray:
-        own = words(text.translate(LOWER))
-        if not own:
-            return np.zeros(0, np.uint64)
-        h = self._hash(own)
-        n = min(self.n, len(own))
-        out = np.full(len(h) - n + 1, n, np.uint64)
-        for k in range(n):
-            out = mix(out ^ h[k : len(h) - n + 1 + k])
-        return np.unique(out)
+        h = self.hasher.of(text)[0]
+        if not len(h):
+            return h
+        out = gram_hashes(h, min(self.n, len(h)))
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 class Bands:
-    """Size bands and their numbers of blocks for a similarity of p / q."""
+    """The cells of texts for a similarity of p / q. Band b holds the sizes from 2**b to 2**(b + 1) - 1."""
 
     def __init__(self, p: int, q: int):
         self.p, self.q = p, q
-        self.starts = [1]
-        self.known: dict[int, tuple[int, int]] = {}
-
-    def of(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            self.starts.append(self.starts[-1] * self.q // self.p + 1)
-        return int(np.searchsorted(self.starts, size, side="right")) - 1
-
-    def blocks(self, band: int) -> tuple[int, int]:
-        """The number of blocks, and how many of them may be empty in a text that leaves its empty blocks out."""
-        if band not in self.known:
-            while len(self.starts) <= band + 1:
-                self.starts.append(self.starts[-1] * self.q // self.p + 1)
-            largest = self.starts[band + 1] - 1
-            apart = 2 * largest * (self.q - self.p) // (self.q + self.p)
-            smallest = self.starts[band] * self.p / self.q
-            spare, empty = 0, 1.0
-            while spare < empty + 2 * empty**0.5:
-                spare += 1
-                empty = (apart + 1 + spare) * math.exp(-smallest / (apart + 1 + spare))
-                if spare > apart + 2:
-                    break
-            self.known[band] = apart + 1 + spare, spare
-        return self.known[band]
+
+    def apart(self, size: int, most: int) -> int:
+        """How many n-grams at most a text of this size and a similar one of at most this many do not share."""
+        return (size + min(most, size * self.q // self.p)) * (self.q - self.p) // (self.q + self.p)
+
+    def blocks(self, band: int) -> int:
+        """A quarter more than the largest text of the band needs, so that poor cells can be left out."""
+        largest = 2 ** (band + 1) - 1
+        return (self.apart(largest, largest) + 1) * 5 // 4 + 2
 
     def cells(self, shingles: np.ndarray) -> np.ndarray:
         """The keys of the cells that a text belongs to."""
         size = len(shingles)
-        band = self.of(size)
-        out = [self._keys(shingles, band)]
-        if size * self.q // self.p >= self.starts[band + 1]:
-            out.append(self._keys(shingles, band + 1))
-        return np.concatenate(out)
+        band = size.bit_length() - 1
+        out = self._keys(shingles, band)
+        if size * self.q // self.p >= 2 ** (band + 1):
+            out = np.concatenate([out, self._keys(shingles, band + 1)])
+        return out
 
     def _keys(self, shingles: np.ndarray, band: int) -> np.ndarray:
-        m, spare = self.blocks(band)
+        m = self.blocks(band)
+        # the shingles are sorted, so those of a block stand together
         block = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        group = mix((block << np.uint64(20)) + shingles % np.uint64(BLOCK_GROUPS))
+        ends = np.searchsorted(block, np.arange(m + 1, dtype=np.uint64))
         # the sum over n-grams of a number for each group stands for the counts by group
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, block.astype(np.int64), group)
-        keys = mix(total ^ mix(np.arange(m, dtype=np.uint64) + (np.uint64(band) << np.uint64(40))))
-        full = np.bincount(block.astype(np.int64), minlength=m) > 0
-        return keys[full] if m - full.sum() <= spare else keys
+        upto = np.zeros(len(shingles) + 1, np.uint64)
+        np.cumsum(mix((block << np.uint64(20)) + shingles % np.uint64(BLOCK_GROUPS)), out=upto[1:])
+        keys = mix((upto[ends[1:]] - upto[ends[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) + (np.uint64(band) << np.uint64(40))))
+        needed = self.apart(len(shingles), 2 ** (band + 1) - 1) + 1
+        poor = (np.uint64(0xFFFF) - np.minimum(np.diff(ends), 0xFFFF).astype(np.uint64) << np.uint64(48)) | (keys >> np.uint64(16))
+        # all of the last place are taken, so that the choice depends on the cells alone
+        return keys[poor <= np.partition(poor, needed - 1)[needed - 1]]
 
 
 def point_of(shingles: np.ndarray) -> np.ndarray:
@@ -152,38 +120,55 @@ def point_of(shingles: np.ndarray) -> np.ndarray:
 
 
 class CountTree:
-    """An R-tree over count vectors, packed in order of size."""
+    """An R-tree over count vectors, packed in order of size. ``levels[0]`` are the points, the last one the root's boxes;
+    a box is kept as its upper corner and the smallest size in it."""
 
-    def __init__(self, points: np.ndarray, p: int, q: int):
+    def __init__(self, points: np.ndarray):
         self.order = np.lexsort((points[:, 0], points.sum(1)))
-        self.points = points[self.order]
-        self.p, self.q = p, q
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        upper, least = self.points, self.points.sum(1)
+        upper = points[self.order]
+        least = upper.sum(1)
+        self.levels = [(upper, least)]
         while len(upper) > FANOUT:
             starts = np.arange(0, len(upper), FANOUT)
             upper, least = np.maximum.reduceat(upper, starts), np.minimum.reduceat(least, starts)
             self.levels.append((upper, least))
 
-    def _meets(self, point: np.ndarray, uppers: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Whether the bound on the overlap reaches what a similar text of at least this size needs."""
-        size = int(point.sum())
-        bound = np.minimum(uppers, point).sum(1)
-        return (self.p + self.q) * bound >= self.p * (size + least)
-
-    def search(self, point: np.ndarray) -> np.ndarray:
-        """Places (in the given order of points) whose overlap with the point may be large enough."""
-        at = np.arange(len(self.levels[-1][0]) if self.levels else len(self.points))
-        for upper, least in reversed(self.levels):
-            at = at[self._meets(point, upper[at], least[at])]
-            at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            below = len(self.levels[self._level(upper) - 1][0]) if self._level(upper) else len(self.points)
-            at = at[at < below]
-        at = at[self._meets(point, self.points[at], self.points[at].sum(1))]
-        return self.order[at]
-
-    def _level(self, upper: np.ndarray) -> int:
-        return next(i for i, (u, _) in enumerate(self.levels) if u is upper)
+    def level(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.levels[min(k, len(self.levels) - 1)]
+
+
+def tree_join(a: CountTree, b: CountTree, p: int, q: int, wanted) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in the given orders of points) of the pairs whose overlap may reach what a similar pair needs. Both trees
+    are gone down together: a pair of boxes is followed if the summed minima of their upper corners reach what the
+    smallest texts in them would need. ``wanted(i, j)`` says which pairs of points are asked for at all."""
+    top = max(len(a.levels), len(b.levels)) - 1
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.level(top)[0])), np.arange(len(b.level(top)[0])), indexing="ij"))
+    for k in range(top, -1, -1):
+        if k == 0:
+            asked = wanted(a.order[i], b.order[j])
+            i, j = i[asked], j[asked]
+        (upper_a, least_a), (upper_b, least_b) = a.level(k), b.level(k)
+        meets = np.zeros(len(i), bool)
+        for s in range(0, len(i), AT_ONCE):
+            x, y = i[s : s + AT_ONCE], j[s : s + AT_ONCE]
+            bound = np.minimum(upper_a[x], upper_b[y]).sum(1)
+            meets[s : s + AT_ONCE] = (p + q) * bound >= p * (least_a[x] + least_b[y])
+        i, j = i[meets], j[meets]
+        if k:
+            i, j = _children(i, j, len(a.level(k - 1)[0]) if k < len(a.levels) else 0, len(b.level(k - 1)[0]) if k < len(b.levels) else 0)
+    return a.order[i], b.order[j]
+
+
+def _children(i: np.ndarray, j: np.ndarray, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of children; a side with 0 has no level here and stays as it is."""
+    for first in (True, False):
+        own, other, n = (i, j, n_a) if first else (j, i, n_b)
+        if n:
+            child = (own[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            other = np.repeat(other, FANOUT)[child < n]
+            child = child[child < n]
+            i, j = (child, other) if first else (other, child)
+    return i, j
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -212,38 +197,35 @@ def _star(keys: np.ndarray, ids: np.ndarray) -> tuple[pa.RecordBatch, pa.RecordB
 
 
 def cell_rows(rows: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """``kind, key, a, b, c``: documents (a: id, b: number of n-grams, c: hash of the set), cell members (a: id) and pairs
-    that met in a cell. Of equal sets in one task only the first goes through the cells."""
+    """``kind, key, a, b, c`` from ``row, text``: the rows (a: row, b: number of n-grams, c: the set's hash), and pairs of
+    sets (a, b) that met in a cell. Of equal sets in one task only the first goes through the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(n), Bands(p, q)
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         keys: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            sizes, marks = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+            row = batch.column(0).to_numpy()
+            sizes, own = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
             for i, text in enumerate(utf8(batch.column(1))):
                 shingles = shingler.set_of(text)
                 sizes[i] = len(shingles)
-                if not len(shingles):
-                    continue
-                whole = xxhash.xxh3_128_digest(shingles.tobytes())
-                marks[i] = int.from_bytes(whole[:8], signed=True)
-                if whole in seen:
+                own[i] = mark = mark_of(shingles)
+                if not len(shingles) or mark in seen:
                     continue
-                seen.add(whole)
-                own = bands.cells(shingles)
-                keys.append(own)
-                ids.append(np.full(len(own), docs[i]))
-                held += len(own)
-            yield _rows(DOCUMENT, mix(docs.astype(np.uint64)), docs, sizes, marks)
+                seen.add(mark)
+                cells = bands.cells(shingles)
+                keys.append(cells)
+                marks.append(np.full(len(cells), mark))
+                held += len(cells)
+            yield _rows(DOCUMENT, mix(row.view(np.uint64)), row, sizes, own)
             if held >= HELD_ROWS:
-                yield from _star(np.concatenate(keys), np.concatenate(ids))
-                keys, ids, held = [], [], 0
+                yield from _star(np.concatenate(keys), np.concatenate(marks))
+                keys, marks, held = [], [], 0
         if keys:
-            yield from _star(np.concatenate(keys), np.concatenate(ids))
+            yield from _star(np.concatenate(keys), np.concatenate(marks))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, None
@@ -263,37 +245,53 @@ def cell_rows(rows: DataFrame, n: int, p: int, q: int) -> DataFrame:
             other = every != a
             last, pivot = key[-1], pivots[-1]
             if other.any():
-                yield _rows(PAIR, key[other], every[other], a[other])
+                yield _rows(PAIR, key[other], np.minimum(every[other], a[other]), np.maximum(every[other], a[other]))
 
     return rows.mapInArrow(run, _SCHEMA).repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, _SCHEMA)
 
 
+def mark_of(shingles: np.ndarray) -> int:
+    """A hash of a set, as a signed number; 0 for the empty one."""
+    return int.from_bytes(xxhash.xxh3_128_digest(shingles.tobytes())[:8], signed=True) if len(shingles) else 0
+
+
 def sets_of(rows: DataFrame, n: int) -> DataFrame:
-    """``id, shingles array<long>, point array<int>``."""
+    """``mark, shingles array<long>`` from ``row, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
             sets = [shingler.set_of(t) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([point_of(x) for x in sets], pa.list_(pa.int32()))], ["id", "shingles", "point"])
+            yield pa.RecordBatch.from_arrays([pa.array([mark_of(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["mark", "shingles"])
+
+    return rows.mapInArrow(run, "mark long, shingles array<long>")
+
+
+def points_of(sets: DataFrame) -> DataFrame:
+    """``mark, point array<int>``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([point_of(x) for x in _lists(batch.column(1))], pa.list_(pa.int32()))], ["mark", "point"])
 
-    return rows.mapInArrow(run, "id long, shingles array<long>, point array<int>")
+    return sets.select("mark", "shingles").mapInArrow(run, "mark long, point array<int>")
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy().tolist()
+    return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """``a, b, linked`` of the pairs: those that pass the bound by summed minima are verified with their n-grams."""
+    """``a, b, linked`` of the pairs: those that pass the bound by summed minima are verified with their n-grams. Only the
+    sets that a pair names are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for k in (2, 3):
-                column = batch.column(k)
-                values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-                sides.append([values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
-            linked = [_similar(x, y, p, q) for x, y in zip(*sides, strict=True)]
+            linked = [_similar(x, y, p, q) for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    side = lambda c, s: sets.select(F.col("id").alias(c), F.col("shingles").alias(s))
+    side = lambda c, s: semi_join(sets, pairs.select(F.col(c).alias("mark")), "mark").select(F.col("mark").alias(c), F.col("shingles").alias(s))
     both = pairs.select("a", "b").join(side("a", "sa"), "a").join(side("b", "sb"), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
 
@@ -341,102 +339,117 @@ def remaining_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFr
             return
         keys, i, j, own = (table[c].to_numpy() for c in ("key", "i", "j", "own"))
         ids, labels = table["id"].to_numpy(), table["label"].to_numpy()
-        points = np.array(table["point"].to_pylist(), np.int32).reshape(-1, TREE_GROUPS)
-        low = [frozenset(x) for x in table["low"].to_pylist()]
+        points = _lists_of_equal_length(table["point"])
+        low = table["low"].combine_chunks()
+        low_ends, low_keys = low.offsets.to_numpy() - low.offsets[0].as_py(), low.flatten().to_numpy()
+        smallest = lambda x: low_keys[low_ends[x] : low_ends[x + 1]]
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             if len(np.unique(labels[s:e])) < 2:
                 continue
             every = np.arange(s, e)
-            if i[s] == j[s]:
-                sides = [(every, every)]
-            else:
-                sides = [(every[own[s:e] == i[s]], every[own[s:e] == j[s]])]
-                sides += [sides[0][::-1]] if nearest else []
-            pairs = set()
-            for asking, asked in sides:
-                if not len(asking) or not len(asked):
-                    continue
-                tree = CountTree(points[asked], p, q)
-                for k in asking.tolist():
-                    near = asked[tree.search(points[k])]
-                    near = near[labels[near] != labels[k]]
-                    if nearest:
-                        near = near[np.unique(labels[near], return_index=True)[1]]
-                    elif i[s] == j[s]:
-                        near = near[ids[near] > ids[k]]
-                    for x in near.tolist():
-                        if min(low[k] & low[x], default=keys[s]) == keys[s]:
-                            pairs.add((min(ids[k], ids[x]), max(ids[k], ids[x])))
-            if pairs:
-                a, b = np.array(sorted(pairs), np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            alone = i[s] == j[s]
+            left, right = (every, every) if alone else (every[own[s:e] == i[s]], every[own[s:e] == j[s]])
+            if not len(left) or not len(right):
+                continue
+            tree = CountTree(points[left])
+            wanted = lambda x, y, left=left, right=right: (labels[left[x]] != labels[right[y]]) & (ids[left[x]] < ids[right[y]] if right is left else True)
+            x, y = tree_join(tree, tree if alone else CountTree(points[right]), p, q, wanted)
+            x, y = left[x], right[y]
+            if nearest and len(x):
+                # of the partners of a member in one other class the one with the smallest id
+                chosen = np.zeros(len(x), bool)
+                for one, other in ((x, y), (y, x)):
+                    order = np.lexsort((ids[other], labels[other], one))
+                    new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (labels[other[order]][1:] != labels[other[order]][:-1])])
+                    chosen[order[new]] = True
+                x, y = x[chosen], y[chosen]
+            first = [k for k, (u, v) in enumerate(zip(x.tolist(), y.tolist(), strict=True)) if min(np.intersect1d(smallest(u), smallest(v), assume_unique=True), default=keys[s]) == keys[s]]
+            if first:
+                a, b = ids[x[first]], ids[y[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def _lists_of_equal_length(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
 def _runs_of_rows(cell: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1, [len(cell)]])
 
 
-def link_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id`` of every row: the smallest id reachable over links, where two texts link when
-    their Jaccard similarity over distinct word n-grams is at least p / q."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    named = rows.where("id IS NOT NULL")
-    cells = durable(cell_rows(named, n, p, q), "cells")
-    sizes = cells.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("n_shingles"), F.col("c").alias("mark"))
-    copies = copies_of(sizes)
-    met = cells.where(F.col("kind") == PAIR).select("key", "a", "b")
-    for c in ("a", "b"):
-        met = met.join(copies.select(F.col("id").alias("of"), "rep"), F.col(c) == F.col("of"), "left").withColumn(c, F.coalesce("rep", c)).drop("of", "rep")
-    met = durable(met.where("a <> b").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "met")
+def set_classes(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """From ``row, text`` (one row per key): ``row, n_shingles, mark`` of every row, and ``v, label`` of the sets that are
+    linked with another one; the label is the smallest mark of the class."""
+    cells = durable(cell_rows(rows, n, p, q), "cells")
+    marks = durable(cells.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("row"), F.col("b").alias("n_shingles"), F.col("c").alias("mark")), "marks")
+    met = durable(cells.where(F.col("kind") == PAIR).select("key", "a", "b"), "met")
+    release(cells)
     pairs = durable(met.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = durable(sets_of(named.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), n), "sets")
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct(), "wanted")
+    holders = semi_join(marks, wanted, "mark").groupBy("mark").agg(F.min("row").alias("row"))
+    sets = durable(sets_of(semi_join(rows, durable(holders.select("row"), "holders"), "row"), n), "sets")
 
     # first each text with the one it met most often, then what is still apart
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    first = durable(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "first")
     checked = durable(verify(first, sets, p, q), "checked")
     links = checked.where("linked").select("a", "b")
     classes = components(links)
-    rest = between_classes(pairs.select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"), classes)
+    rest = durable(between_classes(pairs.select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"), classes), "rest")
     again = durable(verify(rest, sets, p, q), "checked")
-    links = links.unionByName(again.where("linked").select("a", "b"))
-    classes = components(links)
+    if again.where("linked").limit(1).count():
+        links = links.unionByName(again.where("linked").select("a", "b"))
+        classes = components(links)
+    release(pairs, first, rest)
 
     # members of the cells with a pair that is not in one class yet, and at least one more member
     done = checked.unionByName(again).select("a", "b")
     apart = between_classes(checked.unionByName(again).where("NOT linked").select("a", "b"), classes)
     keys = met.join(apart, ["a", "b"], "left_semi").select("key").distinct()
     members = durable(met.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
+    release(met)
     for nearest in (True, False):
         labelled = members.join(classes, F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         # of cells with the same members one is enough; a cell of two members has had its pair verified
         shape = labelled.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), (F.min("label") != F.max("label")).alias("mixed"))
         mixed = shape.where("m > 2 AND mixed").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
-        searched = labelled.join(mixed, "key", "left_semi").join(sets.select("id", "point"), "id")
-        more = remaining_pairs(searched, p, q, nearest).join(done, ["a", "b"], "left_anti")
+        searched = durable(labelled.join(mixed, "key", "left_semi"), "searched")
+        points = points_of(semi_join(sets, searched.select(F.col("id").alias("mark")), "mark"))
+        more = remaining_pairs(searched.join(points, F.col("id") == F.col("mark")).drop("mark"), p, q, nearest)
+        more = durable(more.join(done, ["a", "b"], "left_anti"), "more")
         found = durable(verify(more, sets, p, q), "found")
+        release(searched, more)
         # what is nearest may have been checked before; the pass over all pairs comes in any case
         if not found.limit(1).count():
             continue
         done = done.unionByName(found.select("a", "b"))
         links = links.unionByName(found.where("linked").select("a", "b"))
         classes = components(links)
-    reps = sizes.join(copies.select(F.col("id").alias("of"), "rep"), F.col("id") == F.col("of"), "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    out = reps.join(classes, F.col("rep") == F.col("v"), "left").select("id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    unnamed = cell_rows_of_nulls(rows.where("id IS NULL"), n)
-    return out.unionByName(unnamed)
+    release(sets, members, wanted)
+    return marks, classes
 
 
-def copies_of(sizes: DataFrame) -> DataFrame:
-    """``id, rep`` of every text whose set another one with a smaller id has: equal in size and 64-bit hash."""
-    groups = sizes.where("n_shingles > 0").groupBy("n_shingles", "mark").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    groups = durable(groups.where("rep <> last").select(F.col("n_shingles").alias("gn"), F.col("mark").alias("gm"), "rep"), "copies")
-    same = (F.col("n_shingles") == F.col("gn")) & (F.col("mark") == F.col("gm")) & (F.col("id") != F.col("rep"))
-    found = sizes.join(groups, same).select("id", "rep")
-    # an id with several rows may belong to several groups; the smallest one is taken
-    return durable(found.groupBy("id").agg(F.min("rep").alias("rep")), "copies")
+def link_classes(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_shingles, component_id`` of every row: the smallest id reachable over links, where two texts link when
+    their Jaccard similarity over distinct word n-grams is at least p / q."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_row_key(rows, "id", "text")
+    marks, classes = set_classes(rows.select(F.col(ROW).alias("row"), "text"), n, p, q)
+    of = durable(rows.select("id", F.col(ROW).alias("row")), "ids").join(marks.dropDuplicates(["row"]), "row")
+    of = of.join(classes, F.col("mark") == F.col("v"), "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "mark")).alias("label"))
+    of = durable(of, "of")
+    # the smallest id of each class that has more than one
+    named = of.where("id IS NOT NULL AND label IS NOT NULL").groupBy("label").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    low = durable(named.select(F.col("label").alias("class"), "low"), "low")
+    out = durable(of.join(low, F.col("label") == F.col("class"), "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("low", "id")).alias("component_id")), "out")
+    # an id with several texts joins their classes
+    several = durable(out.where("id IS NOT NULL").groupBy("id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b"), "several")
+    if several.limit(1).count():
+        links = out.join(several.select("id", "a"), "id").select("a", F.col("component_id").alias("b")).where("a <> b")
+        joined = components(links.distinct())
+        out = out.join(joined, F.col("component_id") == F.col("v"), "left").select("id", "n_shingles", F.coalesce("label", "component_id").alias("component_id"))
+    return out
 
 
 def between_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -446,18 +459,24 @@ def between_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def cell_rows_of_nulls(rows: DataFrame, n: int) -> DataFrame:
-    """Rows without an id: they have a size but no class."""
-    sized = sets_of(rows, n).select("id", F.size("shingles").cast("long").alias("n_shingles"))
-    return sized.withColumn("component_id", F.lit(None).cast("long"))
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for 3-word shingles and a similarity of 0.9."""
     return link_classes(docs, n=3, p=90, q=100).withColumnRenamed("id", "doc_id")
 
 
-def keep_one(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """The documents without those that a document with a smaller id stands for."""
-    classes = link_classes(docs, n, p, q).where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, n: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: that with the smallest id (rows without an id last, ties by a hash of the row).
+    Rows without words are kept; rows that are equal in all columns are one."""
+    rows = with_row_key(docs)
+    counted = durable(rows.groupBy(ROW).agg(F.count("*").alias("times"), F.first(F.col(id_col).cast("long")).alias("id")), "counted")
+    marks, classes = set_classes(rows.select(F.col(ROW).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), n, p, q)
+    of = marks.dropDuplicates(["row"]).join(classes, F.col("mark") == F.col("v"), "left").where("n_shingles > 0").select(F.col("row").alias(ROW), F.coalesce("label", "mark").alias("label"))
+    of = durable(of.join(counted, ROW), "of")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col(ROW))
+    best = of.groupBy("label").agg(F.min_by(ROW, order).alias("best"), F.count("*").alias("n")).where("n > 1").select(F.col("label").alias("class"), "best")
+    gone = durable(of.join(best, F.col("label") == F.col("class")).where(F.col(ROW) != F.col("best")).select(ROW), "gone")
+    kept = anti_join(rows, gone, ROW)
+    # of rows that are equal in all columns one stays
+    again = durable(counted.where("times > 1").select(ROW), "again")
+    repeated = semi_join(kept, again, ROW).dropDuplicates([ROW])
+    return anti_join(kept, again, ROW).unionByName(repeated).select(*docs.columns)

@@ -1,12 +1,15 @@
 """Intermediate tables that outlive a lost executor.
 
 ``durable(df)`` writes ``df`` as Parquet under the shared folder named by ``spark.checkpoint.dir`` and returns the
-table read back, so lineage ends there and no later step recomputes it. Only where that setting is missing (tests) a
-local folder is set up. The files are deleted when the driver's JVM ends.
+table read back, so lineage ends there and no later step recomputes it. ``release`` deletes such tables once nothing
+reads them any more; the others are deleted when the driver's JVM ends. Where the setting is missing, a local session
+(as in tests), whose only executor is the driver itself, gets a temporary folder; any other session gets an error, as
+its executors would not see such a folder.
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -17,17 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='cinderlens-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _local_dir()
     return folder.rstrip("/")
 
 
+@functools.cache
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='cinderlens-')}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted at the end of the application."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    hadoop, files = _file_system(spark, path)
+    files.deleteOnExit(hadoop)
     return path
 
 
@@ -38,4 +52,13 @@ def durable(df: DataFrame, label: str = "step", codec: str = "zstd", group_bytes
     path = new_path(spark, label)
     writer = df.write.option("compression", codec)
     (writer.option("parquet.block.size", group_bytes) if group_bytes else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` returned and that nothing reads from now on."""
+    for t in tables:
+        hadoop, files = _file_system(t.sparkSession, t.stored_at)
+        files.delete(hadoop, True)

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cinderlens.llm.byte_grams import START
-from cinderlens.llm.count_tree_join import Bands, CountTree, _similar, point_of
+from cinderlens.llm.count_tree_join import Bands, CountTree, _similar, point_of, tree_join
 from cinderlens.llm.katz import Katz
 from cinderlens.llm.kneser_ney import KneserNey
 from cinderlens.llm.licenses import TemplateIndex, template_sets
@@ -55,7 +55,7 @@ def test_models_without_texts():
 def near_sets(seed):
     rng = np.random.default_rng(seed)
     out = []
-    for _ in range(8):
+    for _ in range(16):
         base = rng.integers(0, 2**63, int(rng.integers(1, 120)), dtype=np.uint64)
         for share in (1.0, 0.97, 0.9, 0.8):
             own = base[rng.random(len(base)) < share]
@@ -69,15 +69,20 @@ def test_similar_sets_share_a_cell_and_the_tree_finds_them(p, seed):
     sets, bands = near_sets(seed), Bands(p, 100)
     cells = [set(bands.cells(x).tolist()) for x in sets]
     points = np.stack([point_of(x) for x in sets])
-    tree = CountTree(points, p, 100)
+    half = len(sets) // 3
+    pairs = set()
+    for a, b in ((0, 0), (0, half), (half, half)):
+        end = lambda k: half if not k else len(sets)
+        found = tree_join(CountTree(points[a : end(a)]), CountTree(points[b : end(b)]), p, 100, lambda i, j: np.ones(len(i), bool))
+        pairs |= {(int(i) + a, int(j) + b) for i, j in zip(*found)}
+    pairs |= {(j, i) for i, j in pairs}
     for i, x in enumerate(sets):
-        found = set(tree.search(points[i]).tolist())
         for j, y in enumerate(sets):
             common = len(np.intersect1d(x, y))
             linked = common * 100 >= (len(x) + len(y) - common) * p
             assert _similar(x, y, p, 100) == linked
             if linked:
-                assert cells[i] & cells[j] and j in found
+                assert cells[i] & cells[j] and (i, j) in pairs
 
 
 @settings(max_examples=60, deadline=None)
