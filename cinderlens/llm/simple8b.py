@@ -10,14 +10,17 @@ The file format is one Parquet row per block, so that any file system Spark writ
 words, little-endian), ``escapes``. Blocks hold whole documents, and ``rel_start`` is the offset of a block's first id
 within its part, so that a reader can go to any document without reading what comes before.
 
-Defined results: null text is the empty text, which has only the end id; equal document ids stay in one part, ordered
-by text; null ids come first; very long texts make a long block of their own; an empty table writes no block.
+Defined results: null text is the empty text, which has only the end id; equal document ids are ordered by a hash of the
+text, so that rows of one id may be dealt to several parts; null ids come first; very long texts make a long block of
+their own; an empty table writes no block. Texts that hold the vocabulary's special tokens get their ids, as the
+tokenizers library gives them by default.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -108,22 +111,26 @@ def unpack(words: np.ndarray, n: int, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: How added tokens begin; a text with it is not lower-cased beforehand.
+_ADDED = b"<|"
+
+
 class WordEncoder:
     """Whole texts to ids with a tokenizers file. For vocabularies whose normaliser and pre-tokenizer treat white space
-    only as a border, the ids of a text are those of its white-space-separated pieces, which are kept for reuse."""
+    only as a border, and whose added tokens hold none, the ids of a text are those of its white-space-separated pieces,
+    which are kept for reuse."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end = np.array([end_id], np.uint32).tobytes()
         self.cache: dict[bytes, bytes] = {}
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Put new pieces into the cache. A comma or full stop after a letter is a pre-token of its own, so the ids of
         such a piece are those of the word and of the mark."""
-        marked = [p for p in pieces if len(p) > 1 and p[-1:] in (b",", b".") and p[:-1].decode()[-1].isalpha()]
+        marked = [p for p in pieces if len(p) > 1 and p[-1:] in (b",", b".") and _ADDED not in p and _ends_in_letter(p[:-1])]
         whole = dict.fromkeys([b",", b".", *(p[:-1] for p in marked), *(set(pieces) - set(marked))])
         new = [p for p in whole if p not in self.cache]
         for piece, coded in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
@@ -134,13 +141,18 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id. A-Z are lower-cased first, as the vocabulary's
         normaliser does, so that fewer pieces are new."""
-        cut = [t.translate(LOWER).split() for t in texts]
+        cut = [(t if _ADDED in t else t.translate(LOWER)).split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         self._learn([p for p in set(itertools.chain.from_iterable(cut)) if p not in self.cache])
         return [b"".join(map(self.cache.__getitem__, pieces)) + self.end for pieces in cut]
 
 
+def _ends_in_letter(piece: bytes) -> bool:
+    """Whether the normalised piece ends in a letter: some letters end in a combining mark when lower-cased."""
+    return piece[-1:].isalpha() or unicodedata.normalize("NFC", piece.decode())[-1].lower()[-1].isalpha()
+
+
 @functools.lru_cache(maxsize=1)
 def encoder_of(path: str, end_id: int) -> WordEncoder:
     """One encoder for all tasks of a Python worker."""
@@ -181,7 +193,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1,
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = max(1, rows.rdd.getNumPartitions())
-    rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows.repartitionByRange(parts, "id", tie).sortWithinPartitions("id", tie).mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

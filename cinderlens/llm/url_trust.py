@@ -4,9 +4,12 @@ Rules are a bounded list of (verdict, host and path); a rule fits its host and a
 with the rule's, and the longest one wins. Hosts are then seeds: trusted by the share of their pages that rules allow,
 distrusted by the share that rules block. Trust follows links (personalised PageRank from the trusted seeds), distrust
 follows them backwards (a host that links to blocked ones is suspect). Vertices are hosts, edges the links between
-different hosts weighted by how many there are; a host without links keeps its own value. Scores are not divided by the
-number of seeds, so they do not shrink as hosts are added: an isolated host has exactly the shares of its seeds. A host
-is blocked if its distrust reaches ``threshold`` and exceeds its trust.
+different hosts weighted by how many there are; a host without links keeps its own value. Both scores are shares, so they
+do not shrink as hosts are added: trust is the part of a host's PageRank (that with every host as a seed) that comes from
+trusted seeds, and distrust is the part of the PageRank personalised to the host itself that lies on blocked seeds, which
+is what distrust passed on from a host to all that link to it, by the share of their links, adds up to. So each host of a
+link farm is suspect, whatever the farm's size. A host's own share as a seed is the least score it gets. A host is blocked
+if its distrust reaches ``threshold`` and exceeds its trust.
 
 Pages are reduced to one row per pair of hosts before anything iterates. A host with any share of all pages or links is
 combined before its shuffle; joins at such a host are split by Spark. Ranks are written after each round.
@@ -21,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlens.llm.scratch import durable
+from cinderlens.llm.scratch import durable, release
 
 #: Verdict and rule of the contract's query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-ROUNDS = 20
+ROUNDS = 40
 TOLERANCE = 1e-6
 THRESHOLD = 0.5
 #: Absolute and scheme-relative link targets; other links stay on their host.
@@ -77,29 +80,29 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     if not links.limit(1).count():
         return seeds.select("host", "trust", "distrust")
     out = links.groupBy(F.col("src").alias("s")).agg(F.sum("n").alias("out_n"))
-    into = links.groupBy(F.col("dst").alias("d")).agg(F.sum("n").alias("in_n"))
-    weighed = links.join(out, F.col("src") == F.col("s")).join(into, F.col("dst") == F.col("d"))
-    weighed = durable(weighed.select("src", "dst", (F.col("n") / F.col("out_n")).alias("forth"), (F.col("n") / F.col("in_n")).alias("back")), "edges")
-    # a host that nothing leaves keeps its trust, one that nothing enters keeps its distrust
+    edges = durable(links.join(out, F.col("src") == F.col("s")).select("src", "dst", (F.col("n") / F.col("out_n")).alias("share")), "edges")
     hosts = seeds.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0")).unionByName(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("t0"), F.lit(0.0).alias("d0")).distinct())
     hosts = hosts.groupBy("host").agg(F.max("t0").alias("t0"), F.max("d0").alias("d0"))
-    ends = weighed.select(F.col("src").alias("h"), F.lit(1).alias("leaves"), F.lit(0).alias("enters")).unionByName(weighed.select(F.col("dst").alias("h"), F.lit(0).alias("leaves"), F.lit(1).alias("enters")))
-    ends = ends.groupBy("h").agg(F.max("leaves").alias("leaves"), F.max("enters").alias("enters"))
-    base = hosts.join(ends, F.col("host") == F.col("h"), "left").drop("h").na.fill(0, ["leaves", "enters"])
-    ranks = durable(base.withColumn("trust", F.col("t0")).withColumn("distrust", F.col("d0")), "ranks")
+    # a host that nothing leaves keeps its trust and its own distrust
+    leaves = out.select(F.col("s").alias("h"), F.lit(True).alias("leaves"))
+    base = hosts.join(leaves, F.col("host") == F.col("h"), "left").drop("h").na.fill(False, ["leaves"])
+    ranks = durable(base.select("*", F.col("t0").alias("t"), F.lit(1.0).alias("r"), F.col("d0").alias("d")), "ranks")
+    old = None
     for _ in range(rounds):
-        forth = weighed.join(ranks.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("to"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
-        back = weighed.join(ranks.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
-        got = forth.unionByName(back).groupBy("to").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        step = ranks.join(got, F.col("host") == F.col("to"), "left").na.fill(0.0, ["t", "d"])
-        trust = F.lit(1 - damping) * F.col("t0") + damping * (F.col("t") + F.when(F.col("leaves") == 0, F.col("trust")).otherwise(0.0))
-        distrust = F.lit(1 - damping) * F.col("d0") + damping * (F.col("d") + F.when(F.col("enters") == 0, F.col("distrust")).otherwise(0.0))
-        step = step.select("host", "t0", "d0", "leaves", "enters", trust.alias("trust"), distrust.alias("distrust"), F.greatest(F.abs(trust - F.col("trust")), F.abs(distrust - F.col("distrust"))).alias("moved"))
-        step = durable(step, "ranks")
-        ranks = step.drop("moved")
+        forth = edges.join(ranks.select(F.col("host").alias("src"), "t", "r"), "src").select(F.col("dst").alias("to"), (F.col("t") * F.col("share")).alias("gt"), (F.col("r") * F.col("share")).alias("gr"), F.lit(0.0).alias("gd"))
+        back = edges.join(ranks.select(F.col("host").alias("dst"), "d"), "dst").select(F.col("src").alias("to"), F.lit(0.0).alias("gt"), F.lit(0.0).alias("gr"), (F.col("d") * F.col("share")).alias("gd"))
+        got = forth.unionByName(back).groupBy("to").agg(F.sum("gt").alias("gt"), F.sum("gr").alias("gr"), F.sum("gd").alias("gd"))
+        step = ranks.join(got, F.col("host") == F.col("to"), "left").drop("to").na.fill(0.0, ["gt", "gr", "gd"])
+        kept = lambda c: F.when(F.col("leaves"), F.lit(0.0)).otherwise(F.col(c))
+        new = {"t": (1 - damping) * F.col("t0") + damping * (F.col("gt") + kept("t")), "r": F.lit(1 - damping) + damping * (F.col("gr") + kept("r")), "d": (1 - damping) * F.col("d0") + damping * (F.col("gd") + kept("d"))}
+        moved = F.greatest(*(F.abs(v - F.col(c)) / F.greatest(F.col("r"), F.lit(1.0)) for c, v in new.items()))
+        step = durable(step.select("host", "t0", "d0", "leaves", *(v.alias(c) for c, v in new.items()), moved.alias("moved")), "ranks")
+        if old is not None:
+            release(old)
+        old, ranks = step, step.drop("moved")
         if step.agg(F.max("moved")).first()[0] <= tolerance:
             break
-    return ranks.select("host", "trust", "distrust")
+    return ranks.select("host", F.greatest("t0", F.col("t") / F.col("r")).alias("trust"), F.greatest("d0", "d").alias("distrust"))
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -6,17 +6,21 @@ payload that another record holds) and a ``metadata`` record. The request and th
 through ``WARC-Refers-To``.
 
 Archives are gzip files of plain WARC/1.1 records, written with Spark's text writer (records are UTF-8, separated by
-two line ends) and read with its binary reader, so any file system works. ``records_per_file`` bounds what one task
-holds: a file is read whole.
+two line ends) and read with its text reader, which cuts a file at what looks like the start of a record; pieces are put
+together again until a record has the length that it states. A task thus holds one record at a time, whatever the size of
+its file, and any file system works.
+
+Record ids hold a random part, so that repeated and null page ids do not meet in one capture; only a response that others
+refer to has an id made of its page id and digest.
 
 Defined results: a null page is an empty payload; payloads below ``min_revisit_bytes`` are never revisits; among equal
-payloads the largest id is the response; null ids are kept, as a capture without an id, and sort before all others;
-repeated ids give one capture each; an empty table gives no records.
+payloads the largest id is the response, and a payload that only rows without an id hold is stored by each; null ids are
+kept, as a capture without an id, and sort before all others; repeated ids give one capture each; an empty table gives no
+records.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -52,10 +56,14 @@ def _record(kind: Column | str, record_id: Column, page_id: Column, url: Column,
 
 def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, **columns) -> None:
     """Write the three records of every page to gzip archives at ``path``."""
-    rows = plan_records(pages, **columns)
+    # the random part is made once per row
+    rows = plan_records(pages, **columns).withColumn("part", F.expr("uuid()"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     rid = lambda kind, which: F.concat(F.lit(f"<urn:page:{kind}:"), which, F.lit(">"))
-    own, holder = rid("response", name), rid("response", F.col("holder").cast("string"))
+    held = lambda page: F.concat(page, F.lit(":"), F.col("digest"))
+    name = F.concat(name, F.lit(":"), F.col("part"))
+    holder = rid("response", held(F.col("holder").cast("string")))
+    own = F.when(F.col("holder") == F.col("page_id"), holder).otherwise(rid("response", name))
     again = F.col("holder").isNotNull() & ~F.col("holder").eqNullSafe(F.col("page_id"))
     empty = F.lit("")
     to = [("WARC-Concurrent-To", own)]
@@ -68,15 +76,28 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
     rows.select(F.explode(records).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and body of each record of an uncompressed archive."""
-    at = 0
-    while (end := content.find(b"\r\n\r\n", at)) >= 0:
-        lines = content[at:end].decode().split("\r\n")
-        heads = dict(line.split(": ", 1) for line in lines[1:])
-        at = end + 4
-        body = content[at : at + int(heads["Content-Length"])]
-        at += len(body) + 4
+#: What separates records, and what stands between two of them.
+_START = b"WARC/1.1\r\n"
+_BETWEEN = b"\r\n\r\n" + _START
+
+
+def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and body of each record, from the parts that archives fall into when cut between records. A body that holds
+    such a place is in several pieces."""
+    held = None
+    for piece in pieces:
+        if held is None:
+            content = piece.removeprefix(_START)
+        else:
+            content = held + _BETWEEN + piece
+        end = content.index(b"\r\n\r\n")
+        heads = dict(line.split(": ", 1) for line in content[:end].decode().split("\r\n"))
+        size = int(heads["Content-Length"])
+        body = content[end + 4 : end + 4 + size]
+        if len(body) < size:
+            held = content
+            continue
+        held = None
         yield heads, body
 
 
@@ -85,17 +106,21 @@ def read_records(spark: SparkSession, path: str, with_body: bool = True) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("body", pa.binary())])
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rows = []
-                for h, body in parse_archive(gzip.decompress(content)):
-                    kind = h["WARC-Type"]
-                    digest = hashlib.sha1(body).hexdigest() if kind == "response" else h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
-                    page = h.get("X-Page-ID")
-                    rows.append({"record_id": h["WARC-Record-ID"], "type": kind, "concurrent_to": h.get("WARC-Concurrent-To"), "refers_to": h.get("WARC-Refers-To"), "target_uri": h["WARC-Target-URI"], "page_id": int(page) if page else None, "payload_digest": digest, "payload_bytes": len(body), "body": body if with_body or kind != "response" else None})
+        pieces = (x for batch in batches for x in batch.column(0).cast(pa.binary()).to_pylist())
+        rows, held = [], 0
+        for h, body in parse_records(pieces):
+            kind = h["WARC-Type"]
+            digest = hashlib.sha1(body).hexdigest() if kind == "response" else h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+            page = h.get("X-Page-ID")
+            rows.append({"record_id": h["WARC-Record-ID"], "type": kind, "concurrent_to": h.get("WARC-Concurrent-To"), "refers_to": h.get("WARC-Refers-To"), "target_uri": h["WARC-Target-URI"], "page_id": int(page) if page else None, "payload_digest": digest, "payload_bytes": len(body), "body": body if with_body or kind != "response" else None})
+            held += len(body)
+            if len(rows) >= 3000 or held > 1 << 24:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
+    return spark.read.option("lineSep", _BETWEEN.decode()).schema("value string").text(path).mapInArrow(run, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -95,7 +95,6 @@ def test_token_files(results):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    coder.encode_special_tokens = True
     at = 0
     got = collections.defaultdict(list)
     for r in results("op5_token_output"):
