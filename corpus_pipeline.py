@@ -1,15 +1,15 @@
 """A corpus pipeline: quality rules, near-duplicate removal, mixing to target weights, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's documents. All stages but the last return the columns of documents. No SQL can express the stages, so
-``ORACLE_SQL`` is None and the tests compare with brute-force versions.
+stage's documents. All stages but the last return the columns of documents. A decision holds for the row it was made on,
+also where ids are missing or repeated. No SQL can express the stages, so ``ORACLE_SQL`` is None and the tests compare
+each stage with what brute force gives for its input.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cinderlens.llm import byte_bpe, count_tree_join, mixing, quality
 from cinderlens.llm.scratch import durable
@@ -19,8 +19,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    rejected = quality.judge(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    return quality.keep(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +29,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or twice."""
-    mixed = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    # as many rows as copies; at most two
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"])).drop(mixed["doc_id"])
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixing.take(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
