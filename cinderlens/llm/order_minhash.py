@@ -136,6 +136,8 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     starts = docs.sparkSession.createDataFrame([(i, t, (k - 1) % len(heads)) for k, (i, t) in enumerate(heads)], "hid long, htie long, part int")
     guests = single.join(F.broadcast(starts), F.col("id").eqNullSafe(F.col("hid")) & (F.col("tie") == F.col("htie"))).drop("hid", "htie")
     everyone = placed.select("id", "tie", "key", "text", "part", "guest").unionByName(guests.withColumn("guest", F.lit(True)).select("id", "tie", "key", "text", "part", "guest"))
+    # as many partitions as parts, so that parts that meet in one partition are a small share
+    everyone = everyone.repartition(len(heads), "part")
     order = Window.partitionBy("part").orderBy("guest", F.col("id").desc_nulls_last(), "tie")
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     found = everyone.withColumn("next", F.lead("text").over(order)).withColumn("n_chars", n)
