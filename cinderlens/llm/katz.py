@@ -26,13 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlens.llm.byte_grams import START, lookup
 from cinderlens.llm.scratch import durable
-from cinderlens.llm.text import LOWER, utf8, words
+from cinderlens.llm.text import WordHasher, lookup, utf8
 
 #: Counts up to this one are discounted.
 K = 5
@@ -41,9 +39,9 @@ BLOCK_BYTES = 20_000_000
 #: Contexts in a message, and bytes of messages that are written and read at once.
 CONTEXTS = 1024
 GROUP_BYTES = 8_000_000
-#: Keys of the end token and of the context at the start; no word holds these bytes.
-END_TOKEN = b"\n"
-START_TOKEN = b"\t"
+#: Keys of the end token and of the context at the start.
+END_KEY = np.uint64(1)
+START_KEY = np.uint64(0)
 
 
 def good_turing(counts: np.ndarray, k: int = K) -> np.ndarray:
@@ -63,93 +61,23 @@ def ratios(n: np.ndarray, k: int = K) -> np.ndarray:
     return np.concatenate([[1.0], ratio]) if ((ratio > 0) & (ratio < 1)).all() else half
 
 
-@dataclass
-class Order:
-    """Sorted n-grams with probabilities, sorted contexts with backoff weights."""
-
-    codes: np.ndarray
-    probability: np.ndarray
-    contexts: np.ndarray
-    backoff: np.ndarray
-
-
-class Katz:
-    """The model of a small table of codes, in memory, which the distributed one is compared with. ``orders[k]`` is order k + 1; below order 1 every symbol but the start is equally likely."""
-
-    def __init__(self, orders: list[Order], size: int):
-        self.orders = orders
-        self.size = size
-
-    @classmethod
-    def train(cls, codes: np.ndarray, counts: np.ndarray, size: int, order: int, k: int = K) -> Katz:
-        model = cls([], size)
-        for n in range(1, order + 1):
-            own, at = np.unique(codes % size**n, return_inverse=True)
-            c = np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)
-            ratio = good_turing(c, k)
-            kept = c * np.where(c <= k, ratio[np.minimum(c, k)], 1.0)
-            contexts, of = np.unique(own // size, return_inverse=True)
-            total = np.bincount(of, weights=c, minlength=len(contexts))
-            mass = np.bincount(of, weights=kept, minlength=len(contexts))
-            kinds = np.bincount(of, minlength=len(contexts))
-            total += (mass >= total) & (kinds < size - 1)
-            p = kept / total[of]
-            lower = np.bincount(of, weights=model.probability(own % size ** (n - 1) if n > 1 else own), minlength=len(contexts))
-            left = 1 - np.bincount(of, weights=p, minlength=len(contexts))
-            backoff = np.where(kinds < size - 1, left / np.maximum(1 - lower, 1e-300), 0.0)
-            # a context that has seen every symbol keeps all of its mass
-            full = kinds >= size - 1
-            p = np.where(full[of], c / np.maximum(np.bincount(of, weights=c, minlength=len(contexts)), 1)[of], p)
-            model.orders.append(Order(own, p, contexts, backoff))
-        return model
-
-    def probability(self, codes: np.ndarray) -> np.ndarray:
-        return self._at(len(self.orders), codes)
-
-    def _at(self, n: int, codes: np.ndarray) -> np.ndarray:
-        if n == 0:
-            return np.where(codes % self.size == START, 0.0, 1 / (self.size - 1))
-        order = self.orders[n - 1]
-        at, seen = lookup(order.codes, codes)
-        out = np.empty(len(codes))
-        out[seen] = order.probability[at[seen]]
-        rest = codes[~seen]
-        if len(rest):
-            c, known = lookup(order.contexts, rest // self.size)
-            weight = np.ones(len(rest))
-            weight[known] = order.backoff[c[known]]
-            out[~seen] = weight * self._at(n - 1, rest % self.size ** (n - 1))
-        return out
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        return np.log10(np.maximum(self.probability(codes), 1e-300))
-
-
 def held_out(id_col: Column, folds: int = 5, fold: int = 1) -> Column:
     """Whether an id's text belongs to the held-out fold."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def _key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def _tokens(text: bytes) -> list[bytes]:
-    own = words(text.translate(LOWER))
-    own.append(END_TOKEN)
-    return own
-
-
 def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the distinct tokens (the start first), the number of each token of each text, and how many a text has. The
     texts are taken off the list as they are read."""
-    place = {START_TOKEN: 0}
+    hasher = WordHasher()
     cut = []
     for i, text in enumerate(texts):
-        cut.append(np.fromiter((place.setdefault(w, len(place)) for w in _tokens(text)), np.int32))
+        cut.append(np.append(hasher.of(text)[0], END_KEY))
         texts[i] = b""
     sizes = np.array([len(c) for c in cut], np.int64)
-    return np.fromiter(map(_key, place), np.uint64, len(place)), np.concatenate([np.zeros(0, np.int32), *cut]), sizes
+    # the start's key is the smallest there is
+    keys, number = np.unique(np.concatenate([np.array([START_KEY]), *cut]), return_inverse=True)
+    return keys, number[1:].astype(np.int32), sizes
 
 
 @dataclass

@@ -85,3 +85,9 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out += h[k : k + size] * _FACTORS[k % 64]
     return mix(out)
+
+
+def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted numbers in the sorted keys, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)

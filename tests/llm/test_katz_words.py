@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 import pytest
 
-from cinderlens.llm.katz import END_TOKEN, K, good_turing, score
+from cinderlens.llm.katz import K, good_turing, score
 
 SCHEMA = "doc_id long, text string"
+END_TOKEN = b"\n"
 
 
 def held(i):
