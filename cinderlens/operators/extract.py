@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 THREADS = [(1, "Thread 0xAB12 main\n  at app.Main.run(Main.java:10)\n  locals:\n    objectId=0xFF01, line=1\n    objectId=0xff01, line=2\nThread 0x0c pool-1\n  at java.util.List.add(List.java:3)\n"), (2, "no thread here"), (3, "Thread 0x77 idle\n  at java.lang.Object.wait(Object.java)\n  locals:\n    objectId=0xffffffffffffffff, line=1\n")]
 FRAMES = [(1, "#0  0x00007f01 in raise (sig=6) at raise.c:50"), (2, "#1  abort () from /lib/libc.so.6"), (3, "#12 ??"), (4, "no frame"), (5, "#3  0x4142434445464748 in ?? ()")]
 SCAN = [(1, "1700000000.5|2024-01-01 10:00|1024|/dumps/a.hprof"), (1, "1700000001|2024-01-01 10:01|x|/dumps/b.hprof"), (2, "1700000002|2024-01-01 10:02|7|/dumps/c|d.hprof"), (2, "broken"), (2, "17e|2024|1|/x")]
-TABLES = [(1, "<table><tr><th>Class</th><th>Objects</th></tr><tr><td>a.B</td><td>1,200</td></tr><tr><td>Total: 3</td><td>9</td></tr><tr><td>c.&lt;D&gt;</td><td>&gt;= 30</td></tr><tr><td>short</td></tr></table>")]
 NAMES = [(1, "a.hprof"), (2, "a..b.hprof"), (3, "core.12"), (4, "x/y.hprof"), (5, ""), (6, "b.HPROF.GZ"), (7, "my.core"), (8, "notes.txt"), (9, "core")]
 SECTIONS = [(1, 1, 2, "A"), (1, 2, 3, "B"), (1, 3, 5, "C"), (1, 4, 3, "D"), (1, 5, 2, "E"), (2, 1, 2, "F"), (2, 2, 4, "G")]
 
@@ -52,14 +51,6 @@ def scan_lines(rows: DataFrame) -> DataFrame:
     return rows.select("server_id", F.get(cut, F.lit(0)).try_cast("double").alias("mtime"), F.get(cut, F.lit(2)).try_cast("long").alias("size"), F.get(cut, F.lit(3)).alias("path")).where("mtime IS NOT NULL AND size IS NOT NULL AND path IS NOT NULL")
 
 
-def histogram_rows(rows: DataFrame) -> DataFrame:
-    """Class rows of an HTML table: header rows, rows with total in them and rows of one cell are dropped."""
-    cells = rows.select("report_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<tr>(.*?)</tr>"), F.lit(1))).alias("pos", "row")).where("row NOT LIKE '%<th%'")
-    cells = cells.withColumn("cells", F.regexp_extract_all("row", F.lit("(?s)<td>(.*?)</td>"), F.lit(1))).where("size(cells) >= 2 AND lower(row) NOT LIKE '%total%'")
-    name = F.replace(F.replace(F.element_at("cells", 1), F.lit("&gt;"), F.lit(">")), F.lit("&lt;"), F.lit("<"))
-    return cells.select("report_id", "pos", name.alias("class_name"), F.coalesce(F.regexp_replace(F.replace(F.element_at("cells", 2), F.lit("&gt;"), F.lit(">")), "[^0-9]", "").try_cast("long"), F.lit(0)).alias("objects"))
-
-
 def file_type(name: Column) -> Column:
     """Whether a name is that of a core file, a heap dump or something else."""
     return F.when(F.lower(name).rlike(r"^core$|^core\.|\.core$"), "coredump").when(F.lower(name).rlike(r"\.(hprof|bin|dump|dmp)(\.gz)?$"), "heapdump").otherwise("others")
@@ -98,7 +89,6 @@ QUERIES = {
  SELECT id, CAST(regexp_extract(line, '^#(\\d+)', 1) AS INTEGER) AS number, nullif(a, '') AS address, CASE WHEN hit THEN fn ELSE trim(regexp_extract(line, '^#\\d+\\s+(.*)$', 1)) END AS function, CASE WHEN hit THEN ar END AS args, CASE WHEN k = 'at' THEN r END AS location, CASE WHEN k = 'from' THEN r END AS library FROM f""",
     ),
     "scan_lines": (_on(SCAN, "server_id int, line string", scan_lines), f"WITH s AS (SELECT server_id, TRY_CAST(split_part(line, '|', 1) AS DOUBLE) AS mtime, TRY_CAST(split_part(line, '|', 3) AS BIGINT) AS size, regexp_extract(line, '^[^|]*\\|[^|]*\\|[^|]*\\|(.*)$', 1) AS path FROM {_values(SCAN, 'server_id, line')}) SELECT * FROM s WHERE mtime IS NOT NULL AND size IS NOT NULL AND path <> ''"),
-    "histogram_rows": (_on(TABLES, "report_id int, html string", histogram_rows), "SELECT * FROM (VALUES (1, 1, 'a.B', CAST(1200 AS BIGINT)), (1, 3, 'c.<D>', 30)) t(report_id, pos, class_name, objects)"),
     "file_type_class": (_on(NAMES, "id int, name string", lambda df: df.select("id", file_type(F.col("name")).alias("type"))), f"SELECT id, CASE WHEN regexp_matches(lower(name), '^core$|^core\\.|\\.core$') THEN 'coredump' WHEN regexp_matches(lower(name), '\\.(hprof|bin|dump|dmp)(\\.gz)?$') THEN 'heapdump' ELSE 'others' END AS type FROM {_values(NAMES, 'id, name')}"),
     "filename_valid": (_on(NAMES, "id int, name string", lambda df: df.select("id", filename_valid(F.col("name")).alias("valid"))), f"SELECT id, NOT (trim(name) = '' OR contains(name, '..') OR contains(name, '/')) AS valid FROM {_values(NAMES, 'id, name')}"),
     "section_tree": (_on(SECTIONS, "report_id int, pos int, level int, title string", section_tree), f"WITH s AS (SELECT * FROM {_values(SECTIONS, 'report_id, pos, level, title')}) SELECT report_id, pos, title, (SELECT arg_max(u.title, u.pos) FROM s u WHERE u.report_id = s.report_id AND u.pos < s.pos AND u.level < s.level) AS parent FROM s"),

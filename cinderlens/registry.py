@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cinderlens.functions import scalars
-from cinderlens.operators import classify, detections, diffs, extract, records, retrieval
+from cinderlens.operators import classify, detections, diffs, extract, records, reports, retrieval
 from cinderlens.streaming import ingest
 
-_PARTS = (detections, diffs, records, retrieval, scalars, extract, classify, ingest)
+_PARTS = (detections, diffs, records, retrieval, scalars, reports, extract, classify, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
