@@ -1,16 +1,22 @@
-"""Classifiers: kinds of memory errors, damaged stack addresses, confidence in a crash report, and ordered rule tables
-compiled to one Column."""
+"""Classifiers: memory errors and which of them were thrown, findings, ordered rule tables compiled to one Column, rule
+templates, rule imports, and the middleware that a dump comes from."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlens.operators.extract import FRAMES, _on, _values, frames
+from cinderlens.functions.scalars import format_bytes
+from cinderlens.operators.extract import thread_blocks
+from cinderlens.operators.reports import _oom_page, oom_instances
+from cinderlens.plans import artifacts as A
+from cinderlens.plans.artifacts import INSTANCES_AT, OBJECTS_SQL, THREAD_SQL, text
 from cinderlens.plans.views import severity
+from cinderlens.sources.tables import load
 
 #: Parts of error messages and the kinds they stand for, in the order in which they are tried; fixed values.
 OOM_KEYWORDS = (
@@ -29,33 +35,143 @@ OOM_KEYWORDS = (
 )
 #: Frames that stand near the throw of some kinds, in the order in which they are tried; fixed values.
 OOM_FRAMES = (
-    (r"java\.lang\.Thread\.start0|java\.lang\.Thread\.start\(|java\.util\.concurrent\.ThreadPoolExecutor\.addWorker", "NATIVE_THREAD"),
-    (r"java\.nio\.Bits\.reserve|java\.nio\.DirectByteBuffer\.<init>|sun\.nio\.ch\.Util\.getTemporaryDirectBuffer", "DIRECT_BUFFER"),
-    (r"ClassLoader\.defineClass|java\.lang\.reflect\.Proxy|sun\.instrument\.|jdk\.internal\.reflect\.", "METASPACE"),
+    ("NATIVE_THREAD", ("java.lang.Thread.start0", "java.lang.Thread.start(", "java.util.concurrent.ThreadPoolExecutor.addWorker")),
+    ("DIRECT_BUFFER", ("java.nio.Bits.reserve", "java.nio.DirectByteBuffer.<init>", "sun.nio.ch.Util.getTemporaryDirectBuffer")),
+    ("METASPACE", ("java.lang.ClassLoader.defineClass", "ClassLoader.defineClass1", "ClassLoader.defineClass2", "java.lang.reflect.Proxy", "sun.instrument.", "jdk.internal.reflect.")),
 )
-STACKS = [
-    (1, "java.lang.OutOfMemoryError: Java heap space\n at a.B"),
-    (2, "java.lang.OutOfMemoryError: GC overhead limit exceeded"),
-    (3, "at java.lang.OutOfMemoryError.<init>()V\n at java.lang.Thread.start0()V"),
-    (4, "at java.lang.OutOfMemoryError.<init>()V\n at java.nio.Bits.reserveMemory(JI)V"),
-    (5, "at java.lang.OutOfMemoryError.<init>()V\n at x.Y.z()V"),
-    (6, "at java.lang.Object.wait()V"),
-    (7, "java.lang.OutOfMemoryError: unable to create new native thread"),
-    (8, "java.lang.OutOfMemoryError: Something Metaspace"),
-    (9, "java.lang.OutOfMemoryError: odd"),
-]
-ADDRESSES = [(1, "0x2020202020202020"), (2, "0x00007f0112345678"), (3, "4142434445464700"), (4, "0x12"), (5, "zz42434445464748"), (6, "0xffffffffffffffff")]
-SUSPECTS = [
-    (1, 'One instance of "com.acme.Cache" loaded by "app" occupies 1,048,576 (51.20%) bytes.'),
-    (2, '1,234 instances of "java.util.HashMap" occupy 2,000 (9.99%) bytes.'),
-    (3, "nothing to see"),
-    (4, '12 instances of "org.web.Session" loaded by "ctx" occupy 99 (25.00%) bytes.'),
-]
+#: Messages of the kinds that frames tell; fixed values.
+OOM_MESSAGES = {"NATIVE_THREAD": "unable to create new native thread", "DIRECT_BUFFER": "Direct buffer memory", "METASPACE": "Metaspace", "HEAP_SPACE": "Java heap space"}
+INFERRED = " (inferred)"
+OOM_CLASS = "java.lang.OutOfMemoryError"
+
+
+@dataclass(frozen=True)
+class Vendor:
+    """A middleware: starts of its class names, properties that prove it, properties that hold its version, and the word
+    before its version in paths."""
+
+    name: str
+    prefixes: tuple[str, ...]
+    markers: tuple[str, ...] = ()
+    versions: tuple[str, ...] = ()
+    token: str | None = None
+
+
+#: In the order that settles equal scores; fixed values.
+VENDORS = (
+    Vendor("Oracle WebLogic", ("weblogic.",), ("weblogic.Name", "weblogic.home", "weblogic.RootDirectory"), ("weblogic.version",), "wlserver"),
+    Vendor("TmaxSoft JEUS", ("jeus.",), ("jeus.home", "jeus.server.name", "jeus.baseport"), ("jeus.version",), "jeus"),
+    Vendor("Apache Tomcat", ("org.apache.catalina.", "org.apache.coyote.", "org.apache.tomcat."), ("catalina.home", "catalina.base"), ("catalina.version", "tomcat.version"), "tomcat"),
+    Vendor("IBM WebSphere", ("com.ibm.ws.", "com.ibm.websphere."), ("was.install.root", "server.root", "ws.ext.dirs"), ("com.ibm.websphere.productVersion",), "websphere"),
+    Vendor("Eclipse Jetty", ("org.eclipse.jetty.",), ("jetty.home", "jetty.base"), ("jetty.version",), "jetty"),
+    Vendor("JBoss/WildFly", ("org.jboss.as.", "org.wildfly.", "org.jboss.web.", "org.jboss.servlet."), ("jboss.home.dir", "jboss.server.name", "jboss.server.base.dir"), ("jboss.home.version",), "wildfly"),
+    Vendor("Undertow", ("io.undertow.",)),
+    Vendor("Caucho Resin", ("com.caucho.",), ("resin.home",), ("resin.version",), "resin"),
+)
+#: Least score of a vendor, and what a property that proves one adds; fixed values.
+LEAST_SCORE, MARKER_SCORE = 3, 100
+
+
+def _any(c: Column, parts: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in parts:
+        out = out | c.contains(p)
+    return out
+
+
+def oom_columns(stack: Column) -> dict[str, Column]:
+    """Whether a stack holds a memory error, its kind, what to show for it, and whether that is inferred from frames."""
+    message = F.trim(F.regexp_extract(stack, r"java\.lang\.OutOfMemoryError:\s*([^\r\n]+)", 1))
+    by_message = F.coalesce(*(F.when(F.lower(message).contains(k), F.lit(v)) for k, v in OOM_KEYWORDS), F.lit("UNKNOWN"))
+    by_frame = F.coalesce(*(F.when(_any(stack, parts), F.lit(kind)) for kind, parts in OOM_FRAMES), F.lit("HEAP_SPACE"))
+    oom = F.coalesce(stack.contains(OOM_CLASS), F.lit(False))
+    said = message != ""
+    shown = F.create_map(*(F.lit(x) for pair in OOM_MESSAGES.items() for x in pair))[by_frame]
+    return {"oom": oom, "kind": F.when(oom, F.when(said, by_message).otherwise(by_frame)), "type": F.when(oom, F.when(said, message).otherwise(F.concat(shown, F.lit(INFERRED)))), "inferred": oom & ~said}
+
+
+def oom_kind(rows: DataFrame) -> DataFrame:
+    return rows.select("report_id", "address", *(c.alias(name) for name, c in oom_columns(F.col("stack")).items()))
+
+
+def oom_exact(dump: DataFrame, instances: DataFrame) -> DataFrame:
+    """Threads with a memory error by what was thrown. The errors that the virtual machine keeps ready are in every heap;
+    those that a thread's locals refer to were thrown. The most frequent message of these in a report (the first one of
+    equally frequent ones, by address) stands for the threads whose stacks show an error; a thread that only stands in a
+    call that can fail so gets the message of an error among its own locals."""
+    blocks = thread_blocks(dump)
+    owned = blocks.select("report_id", "address", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("block"), F.lit("objectid=0x([0-9a-f]+)"), F.lit(1)))).alias("hex")).select("report_id", "address", F.conv("hex", 16, 10).alias("object_id"))
+    known = instances.where("message IS NOT NULL").select("report_id", F.col("address").alias("object_id"), "message")
+    thrown = owned.join(known, ["report_id", "object_id"])
+    counted = thrown.select("report_id", "object_id", "message").distinct().groupBy("report_id", "message").agg(F.count("*").alias("n"), F.min(F.col("object_id").cast("decimal(20,0)")).alias("first"))
+    primary = counted.groupBy("report_id").agg(F.max_by("message", F.struct("n", -F.col("first"))).alias("exact"))
+    own = thrown.groupBy("report_id", "address").agg(F.min_by("message", F.col("object_id").cast("decimal(20,0)")).alias("own"))
+    c = oom_columns(F.col("stack"))
+    rows = blocks.select("report_id", "address", c["oom"].alias("seen"), c["type"].alias("inferred"), (_any(F.col("stack"), OOM_FRAMES[0][1]) | _any(F.col("stack"), OOM_FRAMES[1][1])).alias("prone"))
+    rows = rows.join(primary, "report_id", "left").join(own, ["report_id", "address"], "left")
+    kind = F.when(F.col("seen"), F.coalesce("exact", "inferred")).when(F.col("prone"), F.col("own"))
+    return rows.withColumn("type", kind).where("type IS NOT NULL").select("report_id", "address", "seen", "type")
+
+
+def oom_summary(threads: DataFrame, shown: int = 5) -> DataFrame:
+    """How many threads of a report have an error, the first one's type, the first five names and how many are left."""
+    w = Window.partitionBy("report_id").orderBy("address")
+    rows = threads.withColumn("nth", F.row_number().over(w))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= shown, F.struct("nth", "name")))), lambda x: x["name"]), ",")
+    return rows.groupBy("report_id").agg(F.count("*").alias("threads"), F.min_by("type", "nth").alias("first_type"), names.alias("names"), F.greatest(F.count("*") - shown, F.lit(0)).alias("left"))
+
+
+# ---- findings and rules
+
+_NUMBER = r"([\d,]+)\s+\(([\d.]+)%\)"
+#: Where a finding's sentence holds its parts; fixed values.
+FINDING = {
+    "instances": (r"(?i)(\d[\d,]*|One|one)\s+instances?\s+of\s+([\w.$\[\]<>]+)", 1),
+    "class_name": (r"(?i)(\d[\d,]*|One|one)\s+instances?\s+of\s+([\w.$\[\]<>]+)", 2),
+    "loader": (r"(?i)loaded by\s+(.*?)(?:\s*@\s*0x[\da-fA-F]+)?\s+occup", 1),
+    "bytes": (r"(?i)occup(?:y|ies)\s+([\d,]+)\s+\(([\d.]+)%\)\s+bytes", 1),
+    "percent": (r"(?i)occup(?:y|ies)\s+([\d,]+)\s+\(([\d.]+)%\)\s+bytes", 2),
+    "accumulator": (rf"(?is)accumulated in.*?instance of\s+([\w.$]+).*?occup(?:y|ies)\s+{_NUMBER}", 1),
+    "accumulator_bytes": (rf"(?is)accumulated in.*?instance of\s+([\w.$]+).*?occup(?:y|ies)\s+{_NUMBER}", 2),
+    "referrer": (r"(?i)referenced from.*?instance of\s+([\w.$\[\]]+)", 1),
+}
+#: Parts of simple class names and the flags they set; fixed values.
+FLAGS = {"stream": ("inputstream", "outputstream", "reader", "writer"), "session": ("session",), "thread": ("thread",), "class_loader": ("classloader",), "cache": ("cache",), "map": ("map", "hashtable", "dictionary")}
+
+
+def simple_name(c: Column) -> Column:
+    return F.substring_index(c, ".", -1)
+
+
+def suspect_context(rows: DataFrame) -> DataFrame:
+    """What a finding's sentence says: count, class, loader, sizes, percent, accumulator, referrer, severity, and flags."""
+    part = lambda k: F.regexp_extract("text", *FINDING[k])
+    filled = lambda c: F.when(c != "", c)
+    number = lambda k: F.regexp_replace(part(k), ",", "").try_cast("long")
+    percent = F.coalesce(part("percent").try_cast("double"), F.lit(0.0))
+    simple = F.coalesce(F.lower(simple_name(filled(part("class_name")))), F.lit(""))
+    return rows.select(
+        "id",
+        "text",
+        F.when(F.lower(part("instances")) == "one", F.lit(1)).otherwise(number("instances")).alias("instances"),
+        filled(part("class_name")).alias("class_name"),
+        filled(F.trim(part("loader"))).alias("loader"),
+        number("bytes").alias("bytes"),
+        percent.alias("percent"),
+        filled(part("accumulator")).alias("accumulator"),
+        number("accumulator_bytes").alias("accumulator_bytes"),
+        filled(simple_name(part("referrer"))).alias("referrer"),
+        severity(percent).alias("severity"),
+        (percent >= 30).alias("is_high"),
+        (percent >= 50).alias("is_very_high"),
+        *(_any(simple, parts).alias(f"is_{flag}") for flag, parts in FLAGS.items()),
+    )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One row of a rule table: classes with the prefix, or texts that match the pattern, get the category."""
+    """One row of a rule table: findings whose class, accumulator or loader has the prefix, whose text matches the pattern,
+    or that the test of one's own accepts, get the category. Rules of a stage come before those of the next one."""
 
     id: int
     priority: int
@@ -64,94 +180,242 @@ class Rule:
     category: str
     severity: str | None = None
     enabled: bool = True
+    template: str = ""
+    stage: int = 0
+    test: Callable[[], Column] | None = field(default=None, compare=False)
 
 
 RULES = (
-    Rule(1, 10, "com.acme.", None, "vendor cache", "critical"),
-    Rule(2, 20, "java.util.", None, "collection"),
+    Rule(1, 10, "com.acme.", None, "vendor cache", "critical", template="{class_name} keeps {bytes|bytes}"),
+    Rule(2, 20, "java.util.", None, "collection", template="{instances|instances} of {class_name}{#if accumulator} in {accumulator}{#else} alone{/if}"),
     Rule(3, 5, "org.web.", None, "session", enabled=False),
-    Rule(4, 90, None, "(?i)session", "web session"),
-    Rule(5, 95, None, "(?i)[broken", "never"),
-    Rule(6, 99, None, ".*", "other"),
+    Rule(4, 90, None, "(?i)session", "web session", stage=1, template="{percent|percent}% {unknown}"),
+    Rule(5, 95, None, "(?i)[broken", "never", stage=1),
+    Rule(6, 99, None, ".*", "other", stage=2, template="{bytes|number} bytes"),
 )
 
 
-def compile_rules(rules: tuple[Rule, ...], class_name: Column, text: Column) -> Column:
-    """The first enabled rule by priority and id as a struct; rules whose pattern is no pattern are left out. The table
-    is small and becomes one expression, so no join is needed."""
-    chain = []
-    for r in sorted((r for r in rules if r.enabled), key=lambda r: (r.priority, r.id)):
-        if r.pattern is not None:
-            try:
-                re.compile(r.pattern)
-            except re.error:
-                continue
-        fits = class_name.startswith(r.prefix) if r.prefix else text.rlike(r.pattern)
-        chain.append(F.when(fits, F.struct(F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).cast("string").alias("hint"))))
-    return F.coalesce(*chain)
+def active(rules: tuple[Rule, ...]) -> list[Rule]:
+    """Enabled rules by stage, priority and id, without those whose pattern is no pattern."""
 
+    def valid(r: Rule) -> bool:
+        try:
+            re.compile(r.pattern or "")
+        except re.error:
+            return False
+        return True
 
-def suspect_context(rows: DataFrame) -> DataFrame:
-    """Count, class, loader, bytes, percent and severity out of a finding's sentence."""
-    count = F.regexp_extract("text", r'(?i)(one|[\d,]+) instances? of "([^"]+)"', 1)
-    number = lambda c: F.regexp_replace(c, ",", "").try_cast("long")
-    percent = F.coalesce(F.regexp_extract("text", r"([\d,]+) \(([\d.]+)%\)", 2).try_cast("double"), F.lit(0.0))
-    blank = lambda c: F.when(c != "", c)
-    return rows.select(
-        "id",
-        "text",
-        F.when(F.lower(count) == "one", F.lit(1)).otherwise(number(count)).alias("instances"),
-        blank(F.regexp_extract("text", r'(?i)(one|[\d,]+) instances? of "([^"]+)"', 2)).alias("class_name"),
-        blank(F.regexp_extract("text", r'loaded by "([^"]+)"', 1)).alias("loader"),
-        number(F.regexp_extract("text", r"([\d,]+) \(([\d.]+)%\)", 1)).alias("bytes"),
-        percent.alias("percent"),
-        severity(percent).alias("severity"),
-    )
+    return sorted((r for r in rules if r.enabled and valid(r)), key=lambda r: (r.stage, r.priority, r.id))
+
+
+def compile_rules(rules: tuple[Rule, ...]) -> Column:
+    """The first rule that fits a finding's context as a struct. The table is small and becomes one expression, so no join
+    is needed."""
+    chain = []
+    for r in active(rules):
+        if r.test is not None:
+            fits = r.test()
+        elif r.prefix is not None:
+            fits = F.lit(False)
+            for c in ("class_name", "accumulator", "loader"):
+                fits = fits | F.coalesce(F.col(c).startswith(r.prefix), F.lit(False))
+        else:
+            fits = F.col("text").rlike(r.pattern)
+        hint = r.severity if r.severity else None
+        chain.append(F.when(fits, F.struct(F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(hint).cast("string").alias("hint"), render(r.template).alias("explanation"))))
+    return F.coalesce(*chain)
 
 
 def leak_rules(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Findings with the first rule that fits; a rule's severity overrides the computed one."""
     c = suspect_context(rows)
-    hit = compile_rules(rules, F.coalesce("class_name", F.lit("")), F.col("text"))
-    return c.withColumn("hit", hit).select("id", F.col("hit.rule").alias("rule"), F.col("hit.category").alias("category"), F.coalesce("hit.hint", "severity").alias("severity"))
+    return c.withColumn("hit", compile_rules(rules)).select("id", F.col("hit.rule").alias("rule"), F.col("hit.category").alias("category"), F.coalesce("hit.hint", "severity").alias("severity"), F.col("hit.explanation").alias("explanation"))
 
 
-def oom_kind(rows: DataFrame) -> DataFrame:
-    """Whether a stack holds a memory error, its kind, and whether that is inferred from frames."""
-    message = F.trim(F.regexp_extract("stack", r"OutOfMemoryError:[ \t]*([^\r\n]*)", 1))
-    by_message = F.coalesce(*(F.when(F.lower(message).contains(k), F.lit(v)) for k, v in OOM_KEYWORDS), F.lit("UNKNOWN"))
-    by_frame = F.coalesce(*(F.when(F.col("stack").rlike(p), F.lit(v)) for p, v in OOM_FRAMES), F.lit("HEAP_SPACE"))
-    oom = F.col("stack").contains("OutOfMemoryError")
-    return rows.select("id", oom.alias("oom"), F.when(oom, F.when(message != "", by_message).otherwise(by_frame)).alias("kind"), (oom & (message == "")).alias("inferred"))
-
-
-def garbage(address: Column) -> Column:
-    """Whether a 64-bit address is stack content: at least six printable bytes, or all bytes equal."""
-    hex_ = F.regexp_replace(F.trim(address), "^0[xX]", "")
-    values = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(hex_, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    printable = F.size(F.filter(values, lambda b: b.between(0x20, 0x7E)))
-    return F.when(F.coalesce(hex_, F.lit("")).rlike("^[0-9a-fA-F]{16}$"), (printable >= 6) | (F.size(F.array_distinct(values)) == 1)).otherwise(False)
-
-
-def crash_confidence(rows: DataFrame) -> DataFrame:
-    """Frames in all, resolved ones, damaged ones, and the confidence that follows."""
-    q = frames(rows).withColumn("garbage", garbage(F.col("address"))).withColumn("resolved", ~F.col("function").startswith("??"))
-    out = q.agg(F.count("*").alias("frames"), F.count_if("resolved").alias("resolved"), F.count_if("garbage").alias("garbage"))
-    share = F.try_divide(F.col("garbage"), F.col("frames"))
-    level = F.when((F.col("resolved") == 0) | (share >= 0.5), "LOW").when((share >= 0.3) | (F.col("resolved") < 3), "MEDIUM").otherwise("HIGH")
-    return out.withColumn("confidence", level)
-
-
-_MSG = "trim(regexp_extract(stack, 'OutOfMemoryError:[ \\t]*([^\\r\\n]*)', 1))"
-_KIND = "CASE " + " ".join(f"WHEN contains(lower({_MSG}), '{k}') THEN '{v}'" for k, v in OOM_KEYWORDS) + " ELSE 'UNKNOWN' END"
-_FRAME = "CASE " + " ".join(f"WHEN regexp_matches(stack, '{p}') THEN '{v}'" for p, v in OOM_FRAMES) + " ELSE 'HEAP_SPACE' END"
-_CTX = f"""c AS (SELECT id, text, regexp_extract(text, '(?i)(one|[\\d,]+) instances? of "([^"]+)"', 1) AS n, nullif(regexp_extract(text, '(?i)(one|[\\d,]+) instances? of "([^"]+)"', 2), '') AS class_name, nullif(regexp_extract(text, 'loaded by "([^"]+)"', 1), '') AS loader,
- TRY_CAST(replace(regexp_extract(text, '([\\d,]+) \\(([\\d.]+)%\\)', 1), ',', '') AS BIGINT) AS bytes, coalesce(TRY_CAST(regexp_extract(text, '([\\d,]+) \\(([\\d.]+)%\\)', 2) AS DOUBLE), 0) AS percent FROM {_values(SUSPECTS, 'id, text')}),
- s AS (SELECT *, CASE WHEN percent >= 50 THEN 'critical' WHEN percent >= 25 THEN 'high' WHEN percent >= 10 THEN 'medium' WHEN percent > 0 THEN 'low' ELSE 'medium' END AS severity FROM c)"""
+#: Variables of templates; anything else is empty.
+VARIABLES = ("instances", "class_name", "loader", "bytes", "percent", "accumulator", "accumulator_bytes", "referrer", "severity", "is_high", "is_very_high", *(f"is_{f}" for f in FLAGS))
+FILTERS: dict[str, Callable[[Column], Column]] = {
+    "bytes": lambda c: format_bytes(c.cast("long")),
+    "instances": lambda c: F.when(c == 1, "one instance").otherwise(F.concat(F.format_string("%,d", c.cast("long")), F.lit(" instances"))),
+    "number": lambda c: F.format_string("%,d", c.cast("long")),
+    "percent": lambda c: F.format_string("%.1f", c.cast("double")),
+}
+
+
+def _value(name: str, by: str | None) -> Column:
+    if name not in VARIABLES:
+        return F.lit("")
+    c = F.col(name)
+    return F.coalesce(F.when(c.isNotNull(), FILTERS[by](c)) if by in FILTERS else c.cast("string"), F.lit(""))
+
+
+def _truth(name: str) -> Column:
+    if name not in VARIABLES:
+        return F.lit(False)
+    return F.coalesce(~F.col(name).cast("string").isin("", "0", "0.0", "false"), F.lit(False))
+
+
+def render(template: str) -> Column:
+    """The text of a template over a finding's context. ``{name}`` is a value, ``{name|filter}`` a formatted one, and
+    ``{#if name}..{#else}..{/if}`` a choice; an opening brace without an end stands for itself. The template is read here,
+    once, and becomes one expression."""
+    pieces = re.split(r"\{([^}]*)\}", template)
+    # literals and tags alternate
+    stack: list[list] = [[]]
+    choices: list[tuple[str, list | None]] = []
+    for i, piece in enumerate(pieces):
+        if i % 2 == 0:
+            stack[-1].append(F.lit(piece))
+        elif piece.startswith("#if "):
+            choices.append((piece[4:].strip(), None))
+            stack.append([])
+        elif piece == "#else" and choices:
+            choices[-1] = (choices[-1][0], stack.pop())
+            stack.append([])
+        elif piece == "/if" and choices:
+            (name, first), last = choices.pop(), stack.pop()
+            then, other = (last, []) if first is None else (first, last)
+            stack[-1].append(F.when(_truth(name), F.concat(F.lit(""), *then)).otherwise(F.concat(F.lit(""), *other)))
+        else:
+            name, _, by = piece.partition("|")
+            stack[-1].append(_value(name.strip(), by.strip() or None))
+    # a choice without an end is as if it were not one
+    return F.concat(F.lit(""), *(c for part in stack for c in part))
+
+
+def rule_import(file: DataFrame, existing: DataFrame, mode: str = "append", repeated: str = "overwrite") -> DataFrame:
+    """What an import does with each rule: ``key, id, action, value``. ``file``: ``key, pos, value``; ``existing``: ``key,
+    id``. ``replace`` deletes all and inserts; ``append`` inserts all, or with ``skip`` or ``overwrite`` takes the last one
+    of a key in the file and skips or updates the first existing one."""
+    if mode == "replace":
+        gone = existing.select("key", "id", F.lit("delete").alias("action"), F.lit(None).cast("string").alias("value"))
+        return gone.unionByName(file.select("key", F.lit(None).cast("long").alias("id"), F.lit("insert").alias("action"), "value"))
+    if repeated not in ("skip", "overwrite"):
+        return file.select("key", F.lit(None).cast("long").alias("id"), F.lit("insert").alias("action"), "value")
+    last = file.groupBy("key").agg(F.max_by("value", "pos").alias("value"))
+    first = existing.groupBy("key").agg(F.min("id").alias("id"))
+    return last.join(first, "key", "left").select("key", "id", F.when(F.col("id").isNull(), "insert").otherwise("skip" if repeated == "skip" else "update").alias("action"), "value")
+
+
+def rule_export(rules: tuple[Rule, ...], spark: SparkSession, kind: str = "library", version: int = 1) -> DataFrame:
+    """One JSON text with the version, the kind, the number of rules and the rules."""
+    rows = spark.createDataFrame([(r.id, r.priority, r.prefix, r.pattern, r.category, r.severity, r.enabled) for r in rules], "id int, priority int, prefix string, pattern string, category string, severity string, enabled boolean")
+    # rule tables are small
+    listed = F.array_sort(F.collect_list(F.struct(*rows.columns)))
+    return rows.agg(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(kind).alias("type"), F.count("*").alias("count"), listed.alias("rules"))).alias("json"))
+
+
+# ---- middleware
+
+
+def middleware(stacks: DataFrame, names: DataFrame, properties: DataFrame) -> DataFrame:
+    """The vendor with the highest score of each report and its version. ``stacks``: ``report_id, stack``, in which each
+    place of a prefix counts; ``names``: ``report_id, name``, whose start counts; ``properties``: ``report_id, key, value``,
+    where a marker counts a hundred. Scores below three do not count, and equal ones go to the first vendor."""
+    occurrences = lambda c, p: F.regexp_count(c, F.lit(re.escape(p)))
+    zero = F.lit(0).cast("long")
+    in_stack = [sum((F.sum(occurrences("stack", p)) for p in v.prefixes), zero).alias(f"s{i}") for i, v in enumerate(VENDORS)]
+    starts = lambda v: F.sum(F.when(_starts(F.trim("name"), v.prefixes), 1).otherwise(0))
+    in_names = [starts(v).alias(f"n{i}") for i, v in enumerate(VENDORS)]
+    held = [(F.count_if(F.col("key").isin(*v.markers) & (F.trim("value") != "")) * MARKER_SCORE if v.markers else zero).alias(f"p{i}") for i, v in enumerate(VENDORS)]
+    scores = stacks.groupBy("report_id").agg(*in_stack).join(names.groupBy("report_id").agg(*in_names), "report_id", "full").join(properties.groupBy("report_id").agg(*held), "report_id", "full")
+    total = lambda i: sum((F.coalesce(F.col(f"{k}{i}"), zero) for k in "snp"), zero)
+    best = F.array_max(F.array(*(F.struct(total(i).alias("score"), F.lit(-i).alias("place")) for i in range(len(VENDORS)))))
+    scores = scores.select("report_id", best.alias("b")).where(F.col("b.score") >= LEAST_SCORE).select("report_id", "b.score", (-F.col("b.place")).alias("v"))
+    # versions by property, then by the word before a version in any value, by each vendor that has them
+    number = r"[^0-9]{0,12}(\d{1,2}(?:\.\d{1,3}){1,3})"
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    stated, found = [], []
+    for i, v in enumerate(VENDORS):
+        keyed = [F.max(F.when(F.col("key") == k, filled("value"))) for k in v.versions]
+        stated.append((F.coalesce(*keyed) if keyed else F.lit(None).cast("string")).alias(f"stated{i}"))
+        hit = F.regexp_extract("value", f"(?i){v.token}{number}", 1) if v.token else F.lit("")
+        found.append(F.min_by(hit, F.when(hit != "", F.col("key"))).alias(f"found{i}"))
+    versions = properties.groupBy("report_id").agg(*stated, *found)
+    version = F.coalesce(*(F.when(F.col("v") == i, F.coalesce(f"stated{i}", f"found{i}")) for i in range(len(VENDORS))))
+    named = F.element_at(F.array(*(F.lit(v.name) for v in VENDORS)), F.col("v") + 1)
+    return scores.join(versions, "report_id", "left").select("report_id", named.alias("vendor"), "score", version.alias("version"))
+
+
+def _starts(c: Column, prefixes: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | c.startswith(p)
+    return out
+
+
+# ---- queries
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    """A finding per line, in five forms."""
+    k, s = F.col("part") % 5, F.col("supp")
+    n = F.when(F.col("part") % 7 == 0, F.lit("One")).otherwise(A.grouped(F.col("part")))
+    name = F.when(k == 0, text("com.acme.Cache", s)).when(k == 1, text("java.util.HashMap")).when(k == 2, text("org.web.Session", s)).otherwise(text("app.Reader", s))
+    loaded = F.when(k == 3, F.lit("com.acme.Loader @ 0xab")).otherwise(F.lit("app"))
+    tail = F.when(F.col("part") % 2 == 0, text(" The memory is accumulated in one instance of java.util.Map", s, " which occupies ", A.grouped(F.col("shallow")), " (5.00%) bytes.")).otherwise(F.lit(" It is referenced from one instance of app.x.Holder now."))
+    said = F.concat(n, F.lit(" instances of "), name, F.lit(" loaded by "), loaded, F.lit(" occupy "), A.grouped(F.col("retained")), F.lit(" ("), F.format_string("%.2f", F.col("shallow") / 5.0), F.lit("%) bytes."), tail)
+    return A.objects(spark, d).select((F.col("report_id") * 64 + F.col("ordinal")).alias("id"), F.when(k == 4, text("nothing of part ", F.col("part"))).otherwise(said).alias("text"))
+
+
+_CTX = f"""c AS (SELECT report_id * 64 + ordinal AS id, part % 5 AS k, part, supp, retained, part % 5 <> 4 AS said, CASE WHEN part % 7 = 0 THEN 1 ELSE part END AS n, shallow, round(shallow / 5.0, 2) AS pct FROM {{objects}}),
+ x AS (SELECT id, k, CASE WHEN said THEN n END AS instances, CASE WHEN k = 0 THEN 'com.acme.Cache' || supp WHEN k = 1 THEN 'java.util.HashMap' WHEN k = 2 THEN 'org.web.Session' || supp WHEN k = 3 THEN 'app.Reader' || supp END AS class_name, CASE WHEN k = 3 THEN 'com.acme.Loader' WHEN said THEN 'app' END AS loader, CASE WHEN said THEN retained END AS bytes, CASE WHEN said THEN pct ELSE 0 END AS percent,
+ CASE WHEN said AND part % 2 = 0 THEN 'java.util.Map' || supp END AS accumulator, CASE WHEN said AND part % 2 = 0 THEN shallow END AS accumulator_bytes, CASE WHEN said AND part % 2 = 1 THEN 'Holder' END AS referrer FROM c),
+ s AS (SELECT *, CASE WHEN percent >= 50 THEN 'critical' WHEN percent >= 25 THEN 'high' WHEN percent >= 10 THEN 'medium' WHEN percent > 0 THEN 'low' ELSE 'medium' END AS severity FROM x)""".replace("{objects}", "objects")
+_RULED = """r AS (SELECT *, CASE WHEN k IN (0, 3) THEN 1 WHEN k = 1 OR starts_with(accumulator, 'java.util.') THEN 2 WHEN k = 2 THEN 4 ELSE 6 END AS rule FROM s)"""
+
+
+def _error_threads(spark: SparkSession, d: str) -> DataFrame:
+    names = A.objects(spark, d).select("report_id", A.thread_address().alias("address"), text("worker-", F.col("supp")).alias("name"))
+    return oom_exact(A.thread_dump(spark, d), oom_instances(_oom_page(spark, d))).join(names, ["report_id", "address"])
+
+
+def _rule_file(spark: SparkSession, d: str) -> DataFrame:
+    """A rule per line of an order's first part number, so that keys repeat."""
+    return load(spark, d, "orders").select(text("com.k", F.col("o_custkey"), ".").alias("key"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("value"))
+
+
+def _rule_table(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "customer").where("c_acctbal > 0").select(text("com.k", F.col("c_custkey"), ".").alias("key"), F.col("c_custkey").alias("id"))
+
+
+def _middleware(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as reports: frames and names by part, properties by order."""
+    lines = A.objects(spark, d)
+    k = F.col("part") % 6
+    stacks = lines.select("report_id", F.when(k == 0, "at org.apache.catalina.core.X\n at org.apache.coyote.Y").when(k == 1, "at weblogic.work.Z").otherwise("at app.M").alias("stack"))
+    names = lines.select("report_id", F.when(k == 2, "io.undertow.server.A").when(k == 3, "jeus.B").otherwise("x.io.undertow.C").alias("name"))
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"))
+    key = lambda c: F.col("report_id") % c == 0
+    entries = F.array(F.struct(F.lit("sun.java.command").alias("key"), text("/opt/apache-tomcat-9.0.", F.col("report_id") % 90, "/bin").alias("value")), F.struct(F.when(key(7), "jboss.home.dir").otherwise("x").alias("key"), F.lit("/j").alias("value")), F.struct(F.when(key(11), "weblogic.version").otherwise("y").alias("key"), text(" 12.", F.col("report_id"), " ").alias("value")))
+    return middleware(stacks, names, o.select("report_id", F.explode(entries).alias("e")).select("report_id", "e.key", "e.value"))
+
+
+_THROWN = f"""t AS (SELECT report_id, {THREAD_SQL} AS address, part, supp, part % 8 AS k, CASE WHEN part % 3 <> 0 THEN supp END AS local FROM objects),
+ i AS (SELECT report_id, supp, max_by(coalesce(CASE WHEN part % 4 <> 0 THEN 'Java heap space ' || part % 3 END, '-'), ordinal) AS message FROM objects WHERE part % 9 <> 0 GROUP BY 1, 2),
+ h AS (SELECT t.report_id, t.address, i.supp, message FROM t JOIN i ON t.report_id = i.report_id AND t.local = i.supp WHERE message <> '-'),
+ n AS (SELECT report_id, message, count(*) AS n, min(supp) AS first FROM (SELECT DISTINCT report_id, supp, message FROM h) GROUP BY 1, 2),
+ p AS (SELECT report_id, arg_min(message, (-n, first)) AS exact FROM n GROUP BY 1), w AS (SELECT report_id, address, min_by(message, supp) AS own FROM h GROUP BY 1, 2),
+ e AS (SELECT t.report_id, t.address, t.supp, k IN (0, 2, 3, 5, 6) AS seen, CASE WHEN k IN (0, 2, 3, 5, 6) THEN coalesce(exact, CASE k WHEN 0 THEN 'unable to create new native thread (inferred)' WHEN 2 THEN 'GC overhead limit exceeded' WHEN 3 THEN 'Java heap space (inferred)' WHEN 5 THEN 'Metaspace (inferred)' ELSE 'something odd' END) WHEN k = 1 THEN own END AS type
+ FROM t LEFT JOIN p ON t.report_id = p.report_id LEFT JOIN w ON t.report_id = w.report_id AND t.address = w.address)"""
+_FLAG_SQL = "coalesce(k = 3, false) AS is_stream, coalesce(k = 2, false) AS is_session, false AS is_thread, false AS is_class_loader, coalesce(k = 0, false) AS is_cache, coalesce(k = 1, false) AS is_map"
 QUERIES = {
-    "oom_kind": (_on(STACKS, "id int, stack string", oom_kind), f"SELECT id, contains(stack, 'OutOfMemoryError') AS oom, CASE WHEN contains(stack, 'OutOfMemoryError') THEN CASE WHEN {_MSG} <> '' THEN {_KIND} ELSE {_FRAME} END END AS kind, contains(stack, 'OutOfMemoryError') AND {_MSG} = '' AS inferred FROM {_values(STACKS, 'id, stack')}"),
-    "garbage_addr": (_on(ADDRESSES, "id int, address string", lambda df: df.select("id", garbage(F.col("address")).alias("garbage"))), "SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, false), (6, true)) t(id, garbage)"),
-    "suspect_context": (_on(SUSPECTS, "id int, text string", lambda df: suspect_context(df).drop("text")), f"WITH {_CTX} SELECT id, CASE WHEN lower(n) = 'one' THEN 1 ELSE TRY_CAST(replace(n, ',', '') AS BIGINT) END AS instances, class_name, loader, bytes, percent, severity FROM s"),
-    "leak_rules": (_on(SUSPECTS, "id int, text string", leak_rules), f"WITH {_CTX} SELECT id, CASE WHEN class_name LIKE 'com.acme.%' THEN 1 WHEN class_name LIKE 'java.util.%' THEN 2 WHEN text ILIKE '%session%' THEN 4 ELSE 6 END AS rule, CASE WHEN class_name LIKE 'com.acme.%' THEN 'vendor cache' WHEN class_name LIKE 'java.util.%' THEN 'collection' WHEN text ILIKE '%session%' THEN 'web session' ELSE 'other' END AS category, CASE WHEN class_name LIKE 'com.acme.%' THEN 'critical' ELSE severity END AS severity FROM s"),
-    "crash_confidence": (_on(FRAMES, "id int, line string", crash_confidence), "SELECT CAST(4 AS BIGINT) AS frames, CAST(2 AS BIGINT) AS resolved, CAST(1 AS BIGINT) AS garbage, 'MEDIUM' AS confidence"),
+    "oom_kind": (lambda s, d: oom_kind(thread_blocks(A.thread_dump(s, d))), f"""WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, part % 8 IN (0, 2, 3, 5, 6) AS oom, CASE part % 8 WHEN 0 THEN 'NATIVE_THREAD' WHEN 2 THEN 'GC_OVERHEAD' WHEN 3 THEN 'HEAP_SPACE' WHEN 5 THEN 'METASPACE' WHEN 6 THEN 'UNKNOWN' END AS kind,
+ CASE part % 8 WHEN 0 THEN 'unable to create new native thread (inferred)' WHEN 2 THEN 'GC overhead limit exceeded' WHEN 3 THEN 'Java heap space (inferred)' WHEN 5 THEN 'Metaspace (inferred)' WHEN 6 THEN 'something odd' END AS type, part % 8 IN (0, 3, 5) AS inferred FROM objects"""),
+    "oom_exact": (lambda s, d: oom_exact(A.thread_dump(s, d), oom_instances(_oom_page(s, d))), f"WITH {OBJECTS_SQL}, {_THROWN} SELECT report_id, address, seen, type FROM e WHERE type IS NOT NULL"),
+    "oom_summary": (lambda s, d: oom_summary(_error_threads(s, d)), f"WITH {OBJECTS_SQL}, {_THROWN}, k AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY address) AS nth FROM e WHERE type IS NOT NULL) SELECT report_id, count(*) AS threads, min_by(type, nth) AS first_type, string_agg('worker-' || supp, ',' ORDER BY nth) FILTER (nth <= 5) AS names, greatest(count(*) - 5, 0) AS left FROM k GROUP BY 1"),
+    "suspect_context": (lambda s, d: suspect_context(_sentences(s, d)).drop("text"), f"WITH {OBJECTS_SQL}, {_CTX} SELECT id, instances, class_name, loader, bytes, percent, accumulator, accumulator_bytes, referrer, severity, percent >= 30 AS is_high, percent >= 50 AS is_very_high, {_FLAG_SQL} FROM s"),
+    "leak_rules": (lambda s, d: leak_rules(_sentences(s, d)).drop("explanation"), f"WITH {OBJECTS_SQL}, {_CTX}, {_RULED} SELECT id, rule, CASE rule WHEN 1 THEN 'vendor cache' WHEN 2 THEN 'collection' WHEN 4 THEN 'web session' ELSE 'other' END AS category, CASE WHEN rule = 1 THEN 'critical' ELSE severity END AS severity FROM r"),
+    "rule_render": (lambda s, d: leak_rules(_sentences(s, d)).where("rule <> 1").select("id", "explanation"), f"WITH {OBJECTS_SQL}, {_CTX}, {_RULED} SELECT id, CASE rule WHEN 2 THEN CASE WHEN instances = 1 THEN 'one instance' ELSE format('{{:,}}', instances) || ' instances' END || ' of ' || class_name || CASE WHEN accumulator IS NULL THEN ' alone' ELSE ' in ' || accumulator END WHEN 4 THEN printf('%.1f', percent) || '% ' ELSE coalesce(format('{{:,}}', bytes), '') || ' bytes' END AS explanation FROM r WHERE rule <> 1"),
+    "rules_active": (lambda s, d: s.createDataFrame([(i, r.id) for i, r in enumerate(active(RULES))], "place int, id int"), None),
+    "rule_import": (lambda s, d: rule_import(_rule_file(s, d), _rule_table(s, d)), "SELECT f.key, id, CASE WHEN id IS NULL THEN 'insert' ELSE 'update' END AS action, value FROM (SELECT o_custkey, 'com.k' || o_custkey || '.' AS key, max_by(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY 1, 2) f LEFT JOIN (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0) e ON o_custkey = id"),
+    "rule_export": (lambda s, d: rule_export(RULES, s), None),
+    "middleware": (
+        _middleware,
+        f"""WITH {OBJECTS_SQL}, l AS (SELECT report_id, count(*) FILTER (part % 6 = 0) * 2 AS tomcat, count(*) FILTER (part % 6 = 1) AS weblogic, count(*) FILTER (part % 6 = 2) AS undertow, count(*) FILTER (part % 6 = 3) AS jeus FROM objects GROUP BY 1),
+ o AS (SELECT o_orderkey AS report_id, coalesce(weblogic, 0) AS weblogic, coalesce(jeus, 0) AS jeus, coalesce(tomcat, 0) AS tomcat, CASE WHEN o_orderkey % 7 = 0 THEN 100 ELSE 0 END AS wildfly, coalesce(undertow, 0) AS undertow FROM orders LEFT JOIN l ON report_id = o_orderkey),
+ b AS (SELECT *, greatest(weblogic, jeus, tomcat, wildfly, undertow) AS score FROM o),
+ v AS (SELECT report_id, score, CASE score WHEN weblogic THEN 'Oracle WebLogic' WHEN jeus THEN 'TmaxSoft JEUS' WHEN tomcat THEN 'Apache Tomcat' WHEN wildfly THEN 'JBoss/WildFly' ELSE 'Undertow' END AS vendor FROM b WHERE score >= 3)
+ SELECT report_id, vendor, score, CASE WHEN vendor = 'Apache Tomcat' THEN '9.0.' || report_id % 90 WHEN vendor = 'Oracle WebLogic' AND report_id % 11 = 0 THEN '12.' || report_id END AS version FROM v""",
+    ),
 }

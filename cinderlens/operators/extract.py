@@ -1,59 +1,191 @@
-"""Extraction of typed rows from diagnostic text: thread blocks, debugger frames, scan listings and HTML tables.
-
-The queries run over constant texts that both engines get verbatim; each function takes a DataFrame with a text column.
-"""
+"""Typed rows out of diagnostic text: thread dumps, debugger output, scan listings and names. Each function takes a
+DataFrame with a text or a line per row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-THREADS = [(1, "Thread 0xAB12 main\n  at app.Main.run(Main.java:10)\n  locals:\n    objectId=0xFF01, line=1\n    objectId=0xff01, line=2\nThread 0x0c pool-1\n  at java.util.List.add(List.java:3)\n"), (2, "no thread here"), (3, "Thread 0x77 idle\n  at java.lang.Object.wait(Object.java)\n  locals:\n    objectId=0xffffffffffffffff, line=1\n")]
-FRAMES = [(1, "#0  0x00007f01 in raise (sig=6) at raise.c:50"), (2, "#1  abort () from /lib/libc.so.6"), (3, "#12 ??"), (4, "no frame"), (5, "#3  0x4142434445464748 in ?? ()")]
-SCAN = [(1, "1700000000.5|2024-01-01 10:00|1024|/dumps/a.hprof"), (1, "1700000001|2024-01-01 10:01|x|/dumps/b.hprof"), (2, "1700000002|2024-01-01 10:02|7|/dumps/c|d.hprof"), (2, "broken"), (2, "17e|2024|1|/x")]
-NAMES = [(1, "a.hprof"), (2, "a..b.hprof"), (3, "core.12"), (4, "x/y.hprof"), (5, ""), (6, "b.HPROF.GZ"), (7, "my.core"), (8, "notes.txt"), (9, "core")]
-SECTIONS = [(1, 1, 2, "A"), (1, 2, 3, "B"), (1, 3, 5, "C"), (1, 4, 3, "D"), (1, 5, 2, "E"), (2, 1, 2, "F"), (2, 2, 4, "G")]
+from cinderlens.plans import artifacts as A
+from cinderlens.plans.artifacts import INSTANCES_AT, OBJECTS_SQL, THREAD_SQL, text
+from cinderlens.plans.views import HISTORY_SQL, history
+from cinderlens.sources.tables import load
+
+#: How a debugger's echoed section marks begin, and a frame with address, function, arguments and the rest; fixed values.
+SECTION_MARK = "===SECTION:"
+FRAME = r"#(\d+)\s+(0x[0-9a-fA-F]+\s+in\s+|)(\S+)\s*\(([^)]*)\)(.*)"
+#: Packages of frames of the platform and of frameworks; fixed values.
+PLATFORM = r"^(java\.|javax\.|jdk\.|sun\.|com\.sun\.)"
+FRAMEWORK = r"^(org\.springframework\.|org\.apache\.|com\.fasterxml\.|io\.netty\.|org\.hibernate\.|jakarta\.)"
+#: Ends of names of heap dumps; fixed values.
+DUMP_ENDS = (".hprof", ".bin", ".dump", ".hprof.gz", ".bin.gz", ".dump.gz")
+
+
+def _filled(c: Column) -> Column:
+    return F.when(c != "", c)
+
+
+# ---- thread dumps
 
 
 def thread_blocks(rows: DataFrame) -> DataFrame:
-    """One row per thread: lower-case address, name, and the stack before its locals."""
-    blocks = rows.select("dump_id", F.explode(F.split("text", "(?=Thread 0x)")).alias("block")).where("block LIKE 'Thread 0x%'")
-    return blocks.select("dump_id", F.lower(F.regexp_extract("block", "^Thread (0x[0-9a-fA-F]+)", 1)).alias("address"), F.regexp_extract("block", "^Thread 0x[0-9a-fA-F]+ ([^\n]*)", 1).alias("name"), F.trim(F.regexp_replace(F.split("block", "locals:")[0], r"\s+", " ")).alias("stack"), "block")
+    """One row per thread: lower-case address, the frames before its locals, and the block."""
+    blocks = rows.select("report_id", F.explode(F.split("text", "(?=Thread 0x)")).alias("block")).where("block LIKE 'Thread 0x%'")
+    stack = F.trim(F.split("block", "locals:")[0])
+    return blocks.select("report_id", F.lower(F.regexp_extract("block", "^Thread (0x[0-9a-fA-F]+)", 1)).alias("address"), F.regexp_replace(F.trim(F.regexp_replace(stack, "^[^\n]*\n?", "")), r"\s+$", "").alias("stack"), "block")
 
 
 def thread_locals(rows: DataFrame) -> DataFrame:
     """Distinct ids of local objects of each thread, as unsigned decimals."""
-    found = thread_blocks(rows).select("dump_id", "address", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("block"), F.lit("objectid=0x([0-9a-f]+)"), F.lit(1)))).alias("hex"))
-    return found.select("dump_id", "address", F.conv("hex", 16, 10).alias("object_id"))
-
-
-def frames(rows: DataFrame) -> DataFrame:
-    """Number, address, function, arguments, place and library of debugger frames; other lines are dropped."""
-    full = r"^#(\d+)\s+(?:(0x[0-9a-fA-F]+)\s+in\s+)?(.+?)\s*\((.*?)\)\s*(?:(at|from)\s+(.*))?$"
-    part = lambda i: F.regexp_extract("line", full, i)
-    simple = F.regexp_extract("line", r"^#\d+\s+(.*)$", 1)
-    hit = part(1) != ""
-    blank = lambda c: F.when(c != "", c)
-    return rows.where(F.col("line").rlike(r"^#\d+\s")).select(
-        "id",
-        F.regexp_extract("line", r"^#(\d+)", 1).cast("int").alias("number"),
-        blank(part(2)).alias("address"),
-        F.when(hit, part(3)).otherwise(F.trim(simple)).alias("function"),
-        F.when(hit, part(4)).alias("args"),
-        F.when(part(5) == "at", part(6)).alias("location"),
-        F.when(part(5) == "from", part(6)).alias("library"),
+    found = thread_blocks(rows).select("report_id", "address", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("block"), F.lit("objectid=0x([0-9a-f]+)"), F.lit(1)))).alias("hex"))
+    return found.select("report_id", "address", F.conv("hex", 16, 10).alias("object_id"))
+
+
+def thread_stacks(threads: DataFrame, dump: DataFrame) -> DataFrame:
+    """Threads of a report with the stack that the dump holds for their address."""
+    stacks = thread_blocks(dump).where("stack <> ''").select("report_id", "address", "stack")
+    return threads.join(stacks, ["report_id", "address"])
+
+
+def java_frames(rows: DataFrame) -> DataFrame:
+    """Frames of stacks in order, with package, class, method, file and line, and whose code it is."""
+    lines = rows.select("report_id", "address", F.posexplode(F.filter(F.transform(F.split("stack", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^at\s+[\w$.]"))).alias("pos", "frame"))
+    detail = r"^at\s+([\w$.]+)\.([\w$<>]+)\(([^)]*)\)$"
+    path, method, place = (F.regexp_extract("frame", detail, i) for i in (1, 2, 3))
+    package = F.lower(F.regexp_extract("frame", r"^at\s+([\w$.]+)\.", 1))
+    owner = F.when(F.col("frame").contains("OutOfMemoryError") | F.col("frame").contains("NullPointerException"), "oom").when(package.rlike(PLATFORM), "jdk").when(package.rlike(FRAMEWORK), "framework").otherwise("user")
+    numbered = place.rlike(r"^.+:\d+$")
+    return lines.select("report_id", "address", "pos", F.regexp_extract(path, r"^(.*)\.[^.]*$", 1).alias("package"), F.substring_index(path, ".", -1).alias("class"), method.alias("method"), F.when(numbered, F.regexp_extract(place, r"^(.+):\d+$", 1)).otherwise(place).alias("file"), F.when(numbered, F.substring_index(place, ":", -1)).otherwise("").alias("line"), owner.alias("owner"))
+
+
+# ---- debugger output
+
+
+def gdb_sections(lines: DataFrame) -> DataFrame:
+    """Lines with the name of the section that they stand in; marks and lines before the first one are left out."""
+    mark = F.when(F.col("line").startswith(SECTION_MARK), F.trim(F.replace(F.substring("line", len(SECTION_MARK) + 1, 99), F.lit("==="), F.lit(""))))
+    w = Window.partitionBy("report_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = lines.withColumn("mark", mark).withColumn("section", F.last("mark", ignorenulls=True).over(w))
+    return out.where("mark IS NULL AND section IS NOT NULL").select("report_id", "section", "pos", "line")
+
+
+def gdb_heads(lines: DataFrame) -> DataFrame:
+    """Version, program, signal and its description of each output."""
+    first = lambda pattern, i=1: F.min_by(F.trim(F.regexp_extract("line", pattern, i)), F.when(F.col("line").rlike(pattern), F.col("pos")))
+    return lines.groupBy("report_id").agg(first(r"^GNU gdb.*?(\d+\.\d+[\d.]*)").alias("version"), first("Core was generated by `(.+?)'").alias("program"), first(r"Program terminated with signal (\S+),\s*(.+)").alias("signal"), first(r"Program terminated with signal (\S+),\s*(.+)", 2).alias("description"))
+
+
+def gdb_errors(lines: DataFrame) -> DataFrame:
+    """Why an output is of no use: its first line that says so. A missing source file, named after a number, is no reason."""
+    line = F.trim("line")
+    missing = line.contains("No such file or directory")
+    kind = F.when(missing & line.rlike(r"^\d+"), None).when(line.contains("is not a core dump") | line.contains("file format not recognized"), "format").when(missing, "missing").when(line.contains("not a core file"), "no core file")
+    return lines.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("report_id").agg(F.min_by("kind", "pos").alias("kind"))
+
+
+def frames(lines: DataFrame) -> DataFrame:
+    """Frames with address, function, arguments, place, library and quality; other lines are dropped."""
+    rows = lines.withColumn("line", F.trim("line")).where(F.col("line").rlike(r"^#\d+\s+\S"))
+    part = lambda i: F.regexp_extract("line", FRAME, i)
+    hit, rest = part(1) != "", F.trim(part(5))
+    rows = rows.select(
+        *[c for c in rows.columns if c != "line"],
+        F.regexp_extract("line", r"#(\d+)", 1).cast("int").alias("number"),
+        _filled(F.regexp_extract(part(2), "(0x[0-9a-fA-F]+)", 1)).alias("address"),
+        F.when(hit, part(3)).otherwise(F.trim(F.regexp_extract("line", r"#\d+\s+(.+)", 1))).alias("function"),
+        F.when(hit, F.trim(part(4))).alias("args"),
+        F.when(rest.startswith("at "), F.trim(F.substring(rest, 4, 1 << 30))).alias("location"),
+        F.when(rest.startswith("from "), F.trim(F.substring(rest, 6, 1 << 30))).alias("library"),
     )
+    known = (F.col("function") != "??") | F.col("location").isNotNull() | F.col("library").isNotNull()
+    return rows.withColumn("quality", F.when(known, "RESOLVED").when(garbage(F.col("address")), "GARBAGE").otherwise("UNSYMBOLIZED"))
+
+
+def garbage(address: Column) -> Column:
+    """Whether a 64-bit address is stack content: at least six printable bytes, or all bytes equal."""
+    hex_ = F.regexp_replace(F.trim(address), "^0[xX]", "")
+    values = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(hex_, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    printable = F.size(F.filter(values, lambda b: b.between(0x20, 0x7E)))
+    return F.when(F.coalesce(hex_, F.lit("")).rlike("^[0-9a-fA-F]{16}$"), (printable >= 6) | (F.size(F.array_distinct(values)) == 1)).otherwise(False)
+
+
+def gdb_libraries(lines: DataFrame) -> DataFrame:
+    pattern = r"^(0x[0-9a-fA-F]+)\s+(0x[0-9a-fA-F]+)\s+(Yes(?:\s+\(\*\))?|No)\s+(\S+)"
+    return lines.where(F.col("line").rlike(pattern)).select("report_id", "pos", *(F.regexp_extract("line", pattern, i).alias(c) for i, c in enumerate(("start", "stop", "symbols", "path"), 1)))
+
+
+def gdb_registers(lines: DataFrame) -> DataFrame:
+    """The last value of each register."""
+    pattern = r"^(\w+)\s+(0x[0-9a-fA-F]+)"
+    rows = lines.where(F.trim("line").rlike(pattern)).select("report_id", "pos", F.regexp_extract(F.trim("line"), pattern, 1).alias("register"), F.regexp_extract(F.trim("line"), pattern, 2).alias("value"))
+    return rows.groupBy("report_id", "register").agg(F.max_by("value", "pos").alias("value"))
+
+
+def gdb_threads(lines: DataFrame) -> DataFrame:
+    """Threads, the current one first, then by number."""
+    pattern = r"^\s*(\*?)\s*(\d+)\s+(Thread\s+\S+(?:\s+\(LWP\s+\d+\))?)\s*(.*)"
+    part = lambda i: F.regexp_extract("line", pattern, i)
+    rows = lines.where(F.col("line").rlike(pattern)).select("report_id", part(2).cast("int").alias("id"), (part(1) == "*").alias("current"), F.trim(part(3)).alias("target"), F.trim(part(4)).alias("frame"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("current"), "id")))
+
+
+def gdb_locals(lines: DataFrame) -> DataFrame:
+    """Frames of a full backtrace with the lines that follow each as its locals."""
+    w = Window.partitionBy("report_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    is_frame = F.trim("line").rlike(r"^#\d+\s+\S")
+    rows = lines.withColumn("nth", F.sum(is_frame.cast("int")).over(w)).where("nth > 0").withColumn("number", F.when(is_frame, F.regexp_extract(F.trim("line"), r"^#(\d+)", 1).cast("int")))
+    # the lines of one frame
+    held = F.array_sort(F.collect_list(F.when(~is_frame & (F.trim("line") != ""), F.struct("pos", F.trim("line").alias("line")))))
+    return rows.groupBy("report_id", "nth").agg(F.max("number").alias("number"), F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("locals"))
+
+
+def crash_confidence(framed: DataFrame, libraries: DataFrame) -> DataFrame:
+    """Frames, resolved and damaged ones, the first resolved function, and the confidence in each output: low without
+    resolved frames, middle if three in ten are damaged, no library has symbols or fewer than three are resolved."""
+    is_ = lambda q: F.col("quality") == q
+    out = framed.groupBy("report_id").agg(F.count("*").alias("frames"), F.count_if(is_("RESOLVED")).alias("resolved"), F.count_if(is_("GARBAGE")).alias("garbage"), F.min_by("function", F.when(is_("RESOLVED"), F.col("pos"))).alias("first_resolved"))
+    symbols = libraries.groupBy("report_id").agg(F.bool_or(F.col("symbols").startswith("Yes")).alias("symbols"))
+    out = out.join(symbols, "report_id", "left").withColumn("symbols", F.coalesce("symbols", F.lit(False)))
+    share = F.try_divide(F.col("garbage"), F.col("frames"))
+    return out.withColumn("confidence", F.when(F.col("resolved") == 0, "LOW").when((share >= 0.3) | ~F.col("symbols") | (F.col("resolved") < 3), "MEDIUM").otherwise("HIGH"))
+
+
+def crash_summary(framed: DataFrame, most: int = 5) -> DataFrame:
+    """Text of the first five resolved frames, or of the first five where none is."""
+    shown = F.concat(F.lit("#"), F.col("number").cast("string"), F.lit(" "), F.coalesce(F.concat("address", F.lit(" in ")), F.lit("")), F.col("function"), F.coalesce(F.concat(F.lit(" at "), "location"), F.lit("")))
+    resolved = F.col("quality") == "RESOLVED"
+    of = Window.partitionBy("report_id")
+    rows = framed.withColumn("shown", shown).withColumn("some", F.max(resolved).over(of)).where(~F.col("some") | resolved)
+    rows = rows.withColumn("nth", F.row_number().over(of.orderBy("pos"))).where(F.col("nth") <= most)
+    return rows.groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "shown"))), lambda x: x["shown"]), "\n").alias("summary"))
+
+
+# ---- listings and names
 
 
 def scan_lines(rows: DataFrame) -> DataFrame:
     """``mtime|date|size|path`` lines; the path may hold the separator; lines that do not parse are dropped."""
     cut = F.split("line", r"\|", 4)
-    return rows.select("server_id", F.get(cut, F.lit(0)).try_cast("double").alias("mtime"), F.get(cut, F.lit(2)).try_cast("long").alias("size"), F.get(cut, F.lit(3)).alias("path")).where("mtime IS NOT NULL AND size IS NOT NULL AND path IS NOT NULL")
+    path = F.get(cut, F.lit(3))
+    return rows.select("id", F.get(cut, F.lit(0)).try_cast("double").alias("mtime"), F.get(cut, F.lit(2)).try_cast("long").alias("size"), path.alias("path"), F.substring_index(path, "/", -1).alias("filename")).where("mtime IS NOT NULL AND size IS NOT NULL AND path IS NOT NULL")
+
+
+def executables(rows: DataFrame) -> DataFrame:
+    """``path: description`` lines of a file-type tool: the program that a core came from, its command, and what is amiss."""
+    rows = rows.where(F.instr("line", ": ") > 0).withColumn("path", F.trim(F.substring_index("line", ": ", 1))).withColumn("what", F.expr("substring(line, instr(line, ': ') + 2)"))
+    denied = F.col("what").contains("Permission denied") | F.col("what").contains("cannot open")
+    program, command = _filled(F.regexp_extract("what", r"execfn:\s*'([^']+)'", 1)), _filled(F.regexp_extract("what", r"from\s+'([^']+)'", 1))
+    amiss = F.when(denied, "denied").when(program.isNotNull(), None).when(command.isNotNull(), "command only").when(F.col("what").contains("core file"), "no program").otherwise("no core file")
+    return rows.select("id", "path", F.when(~denied, program).alias("program"), F.when(~denied, command).alias("command"), amiss.alias("amiss"))
 
 
 def file_type(name: Column) -> Column:
     """Whether a name is that of a core file, a heap dump or something else."""
-    return F.when(F.lower(name).rlike(r"^core$|^core\.|\.core$"), "coredump").when(F.lower(name).rlike(r"\.(hprof|bin|dump|dmp)(\.gz)?$"), "heapdump").otherwise("others")
+    low = F.lower(name)
+    dump = F.lit(False)
+    for end in DUMP_ENDS:
+        dump = dump | low.endswith(end)
+    return F.when(low.rlike(r"^core$|^core\.|\.core$"), "coredump").when(dump, "heapdump").otherwise("others")
 
 
 def filename_valid(name: Column) -> Column:
@@ -61,35 +193,97 @@ def filename_valid(name: Column) -> Column:
     return ~(name.isNull() | (F.trim(name) == "") | name.contains("..") | name.contains("/") | name.contains("\\") | name.contains("\0"))
 
 
-def section_tree(rows: DataFrame) -> DataFrame:
-    """The parent of each section: the nearest earlier one of a smaller level. Sections of a report are one array."""
-    of = rows.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))).alias("all"))
-    one = of.select("report_id", "all", F.explode("all").alias("s"))
-    above = F.filter("all", lambda x: (x["pos"] < F.col("s.pos")) & (x["level"] < F.col("s.level")))
-    return one.select("report_id", F.col("s.pos").alias("pos"), F.col("s.title").alias("title"), F.when(F.size(above) > 0, F.element_at(above, -1)["title"]).alias("parent"))
+def section_tree(rows: DataFrame, levels: range = range(1, 7)) -> DataFrame:
+    """The parent of each section: the nearest earlier one of a smaller level. One pass that carries the last position of
+    each level."""
+    w = Window.partitionBy("report_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("pos"))).over(w)) for k in levels]
+    return rows.select("report_id", "pos", "level", F.greatest(*last).alias("parent"))
+
 
+# ---- queries
 
-def _on(rows: list[tuple], schema: str, make):
-    return lambda spark, d: make(spark.createDataFrame(rows, schema))
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id") % 9
+    base = F.col("filename")
+    name = F.when(k == 0, F.concat(F.lit("core."), F.col("id").cast("string"))).when(k == 1, F.concat(F.lit("a/"), base)).when(k == 2, F.concat(F.lit("x.."), base)).when(k == 3, F.upper(base)).when(k == 4, F.lit(" ")).when(k == 5, F.concat(F.lit("my"), F.col("id").cast("string"), F.lit(".core"))).when(k == 6, F.concat(F.lit("a\\"), base)).otherwise(base)
+    return history(spark, d).select("id", name.alias("name"))
 
-def _values(rows: list[tuple], names: str) -> str:
-    quote = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"(VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) t({names})"
 
+_NAMES_SQL = rf"{HISTORY_SQL}, n AS (SELECT id, CASE id % 9 WHEN 0 THEN 'core.' || id WHEN 1 THEN 'a/' || filename WHEN 2 THEN 'x..' || filename WHEN 3 THEN upper(filename) WHEN 4 THEN ' ' WHEN 5 THEN 'my' || id || '.core' WHEN 6 THEN 'a\' || filename ELSE filename END AS name FROM history)"
 
-_BLOCKS = f"b AS (SELECT dump_id, 'Thread 0x' || unnest(string_split(text, 'Thread 0x')[2:]) AS block FROM {_values(THREADS, 'dump_id, text')})"
-_FULL = r"^#(\d+)\s+(?:(0x[0-9a-fA-F]+)\s+in\s+)?(.+?)\s*\((.*?)\)\s*(?:(at|from)\s+(.*))?$"
+
+def _scan(spark: SparkSession, d: str) -> DataFrame:
+    e, k = F.col("event_id"), F.col("event_id") % 5
+    size = F.when(k == 1, F.lit("x")).otherwise(e.cast("string"))
+    line = F.when(k == 2, F.lit("broken|line")).otherwise(text(F.lit("17"), F.lpad(e.cast("string"), 8, "0"), ".5|2024-01-01 10:00|", size, "|/d/u", F.col("user_id"), F.when(k == 3, "|x").otherwise(""), "/f", e, ".hprof"))
+    return load(spark, d, "events").select(e.alias("id"), line.alias("line"))
+
+
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    e, k = F.col("event_id"), F.col("event_id") % 6
+    what = (
+        F.when(k == 0, text("ELF 64-bit LSB core file, from 'app -x ", e, "', execfn: '/bin/app", e, "', platform"))
+        .when(k == 1, text("ELF core file, from 'app ", e, "'"))
+        .when(k == 2, F.lit("cannot open `x' (Permission denied), execfn: '/no'"))
+        .when(k == 3, F.lit("ELF 64-bit core file x86"))
+        .when(k == 4, F.lit("ASCII text"))
+    )
+    return load(spark, d, "events").select(e.alias("id"), F.coalesce(F.concat(text("/c/core.", e, ": "), what), F.lit("no colon here")).alias("line"))
+
+
+def _section(name: str):
+    return lambda spark, d: gdb_sections(A.gdb_lines(spark, d)).where(F.col("section") == name)
+
+
+def _threads(spark: SparkSession, d: str) -> DataFrame:
+    return A.objects(spark, d).select("report_id", A.thread_address().alias("address"), text("worker-", F.col("supp")).alias("name"))
+
+
+_AT = "'0x00007f' || lpad(printf('%x', part * 4096 + supp), 10, '0')"
+_STACK_LINES = "'at app.M' || part || '.run(M.java:' || ordinal || ')'"
+_STACK_SQL = f"""CASE part % 8 WHEN 0 THEN 'at java.lang.OutOfMemoryError.<init>()V' || chr(10) || '  at java.lang.Thread.start0(Native Method)' || chr(10) || '  ' WHEN 1 THEN 'at java.nio.Bits.reserveMemory(Bits.java:1)' || chr(10) || '  ' WHEN 2 THEN 'java.lang.OutOfMemoryError: GC overhead limit exceeded' || chr(10) || '  ' WHEN 3 THEN 'at java.lang.OutOfMemoryError.<init>()V' || chr(10) || '  '
+ WHEN 4 THEN 'at my.OutOfMemoryError.x()V' || chr(10) || '  ' WHEN 5 THEN 'at java.lang.OutOfMemoryError.<init>()V' || chr(10) || '  at java.lang.ClassLoader.defineClass1(Native Method)' || chr(10) || '  ' WHEN 6 THEN 'java.lang.OutOfMemoryError: something odd' || chr(10) || '  ' ELSE '' END || {_STACK_LINES}"""
+_FRAMED = f"""f AS (SELECT report_id, 1000 + ordinal * 10 AS pos, ordinal - 1 AS number, CASE part % 6 WHEN 0 THEN {_AT} WHEN 2 THEN '0x4142434445464748' WHEN 3 THEN {_AT} END AS address,
+ CASE WHEN part % 6 IN (0, 1) THEN 'fn' || supp WHEN part % 6 IN (2, 3) THEN '??' WHEN part % 6 = 4 THEN '<signal handler called>' ELSE 'operator new (sz=' || part || ')' END AS function, CASE part % 6 WHEN 0 THEN 'a=1, b=2' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN '' END AS args,
+ CASE WHEN part % 6 = 0 THEN 'f' || part || '.c:10' END AS location, CASE WHEN part % 6 = 1 THEN '/lib/l' || supp || '.so' END AS library, CASE part % 6 WHEN 2 THEN 'GARBAGE' WHEN 3 THEN 'UNSYMBOLIZED' ELSE 'RESOLVED' END AS quality, part FROM objects)"""
+_OWN_FRAME = "'app' AS package, 'M' || part AS class, 'run' AS method, 'M.java' AS file, CAST(ordinal AS VARCHAR) AS line, 'user' AS owner"
 QUERIES = {
-    "thread_blocks": (_on(THREADS, "dump_id int, text string", lambda df: thread_blocks(df).drop("block")), f"WITH {_BLOCKS} SELECT dump_id, lower(regexp_extract(block, '^Thread (0x[0-9a-fA-F]+)', 1)) AS address, regexp_extract(block, '^Thread 0x[0-9a-fA-F]+ ([^\n]*)', 1) AS name, trim(regexp_replace(string_split(block, 'locals:')[1], '\\s+', ' ', 'g')) AS stack FROM b"),
-    "thread_locals": (_on(THREADS, "dump_id int, text string", thread_locals), f"WITH {_BLOCKS}, l AS (SELECT DISTINCT dump_id, lower(regexp_extract(block, '^Thread (0x[0-9a-fA-F]+)', 1)) AS address, unnest(regexp_extract_all(lower(block), 'objectid=0x([0-9a-f]+)', 1)) AS hex FROM b) SELECT dump_id, address, CAST(CAST('0x' || hex AS UBIGINT) AS VARCHAR) AS object_id FROM l"),
-    "gdb_frames": (
-        _on(FRAMES, "id int, line string", frames),
-        f"""WITH f AS (SELECT id, line, regexp_extract(line, '{_FULL}', 1) <> '' AS hit, regexp_extract(line, '{_FULL}', 2) AS a, regexp_extract(line, '{_FULL}', 3) AS fn, regexp_extract(line, '{_FULL}', 4) AS ar, regexp_extract(line, '{_FULL}', 5) AS k, regexp_extract(line, '{_FULL}', 6) AS r FROM {_values(FRAMES, 'id, line')} WHERE regexp_matches(line, '^#\\d+\\s'))
- SELECT id, CAST(regexp_extract(line, '^#(\\d+)', 1) AS INTEGER) AS number, nullif(a, '') AS address, CASE WHEN hit THEN fn ELSE trim(regexp_extract(line, '^#\\d+\\s+(.*)$', 1)) END AS function, CASE WHEN hit THEN ar END AS args, CASE WHEN k = 'at' THEN r END AS location, CASE WHEN k = 'from' THEN r END AS library FROM f""",
+    "thread_blocks": (lambda s, d: thread_blocks(A.thread_dump(s, d)).drop("block"), f"WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, {_STACK_SQL} AS stack FROM objects"),
+    "thread_locals": (lambda s, d: thread_locals(A.thread_dump(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, CASE WHEN part % 3 = 0 THEN CAST(part AS VARCHAR) ELSE CAST({INSTANCES_AT}::HUGEINT + supp AS VARCHAR) END AS object_id FROM objects"),
+    "thread_stacks": (lambda s, d: thread_stacks(_threads(s, d), A.thread_dump(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, 'worker-' || supp AS name, {_STACK_SQL} AS stack FROM objects"),
+    "stack_frames": (
+        lambda s, d: java_frames(thread_blocks(A.thread_dump(s, d))),
+        f"""WITH {OBJECTS_SQL}, o AS (SELECT *, {THREAD_SQL} AS address FROM objects), i AS (SELECT report_id, address, part, ordinal, part % 8 AS k FROM o)
+ SELECT report_id, address, CASE WHEN k IN (0, 5) THEN 2 WHEN k IN (1, 3, 4) THEN 1 ELSE 0 END AS pos, {_OWN_FRAME} FROM i
+ UNION ALL SELECT report_id, address, 0, '', '', '', '', '', 'oom' FROM i WHERE k IN (0, 3, 4, 5)
+ UNION ALL SELECT report_id, address, 1, 'java.lang', 'Thread', 'start0', 'Native Method', '', 'jdk' FROM i WHERE k = 0
+ UNION ALL SELECT report_id, address, 0, 'java.nio', 'Bits', 'reserveMemory', 'Bits.java', '1', 'jdk' FROM i WHERE k = 1
+ UNION ALL SELECT report_id, address, 1, 'java.lang', 'ClassLoader', 'defineClass1', 'Native Method', '', 'jdk' FROM i WHERE k = 5""",
+    ),
+    "gdb_sections": (lambda s, d: gdb_sections(A.gdb_lines(s, d)).groupBy("report_id", "section").agg(F.count("*").alias("lines"), F.min("pos").alias("first")), f"WITH {OBJECTS_SQL}, c AS (SELECT report_id, count(*) AS n FROM objects GROUP BY 1) SELECT report_id, unnest(['bt', 'bt_full', 'registers', 'sharedlibrary', 'threads']) AS section, unnest([n, 2 * n, n, n, n]) AS lines, unnest([1010, 2010, 3010, 4010, 5010]) AS first FROM c"),
+    "gdb_heads": (lambda s, d: gdb_heads(A.gdb_lines(s, d)), "SELECT DISTINCT l_orderkey AS report_id, '12.1' AS version, 'app' || l_orderkey || ' -x' AS program, CASE WHEN l_orderkey % 5 > 1 THEN 'SIGSEGV' END AS signal, CASE WHEN l_orderkey % 5 > 1 THEN 'Segmentation fault.' END AS description FROM lineitem"),
+    "gdb_errors": (lambda s, d: gdb_errors(A.gdb_lines(s, d)), "SELECT DISTINCT l_orderkey AS report_id, 'missing' AS kind FROM lineitem WHERE l_orderkey % 5 = 0"),
+    "gdb_frames": (lambda s, d: frames(_section("bt")(s, d)).drop("section"), f"WITH {OBJECTS_SQL}, {_FRAMED} SELECT report_id, pos, number, address, function, args, location, library, quality FROM f"),
+    "gdb_libs": (lambda s, d: gdb_libraries(_section("sharedlibrary")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, 4000 + ordinal * 10 AS pos, {_AT} AS start, '0x00007fffffffffff' AS stop, CASE WHEN part % 3 = 1 THEN 'Yes (*)' ELSE 'No' END AS symbols, '/lib/l' || supp || '.so' AS path FROM objects WHERE part % 3 <> 0"),
+    "gdb_registers": (lambda s, d: gdb_registers(_section("registers")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, 'rax' || ordinal % 3 AS register, '0x' || printf('%x', max_by(part, ordinal)) AS value FROM objects GROUP BY 1, 2"),
+    "gdb_threads": (lambda s, d: gdb_threads(_section("threads")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, ordinal AS id, ordinal = 2 AS current, 'Thread 0x7f' || part || ' (LWP ' || supp || ')' AS target, 'fn' || supp || ' ()' AS frame, CAST(row_number() OVER (PARTITION BY report_id ORDER BY ordinal <> 2, ordinal) AS INTEGER) AS place FROM objects"),
+    "gdb_locals": (lambda s, d: gdb_locals(_section("bt_full")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, CAST(ordinal AS BIGINT) AS nth, ordinal - 1 AS number, 'x = ' || part AS locals FROM objects"),
+    "garbage_addr": (lambda s, d: A.objects(s, d).select("report_id", "ordinal", garbage(F.when(F.col("part") % 4 == 0, F.lit("0x2020202020202020")).when(F.col("part") % 4 == 1, text("0x414243444546", F.lpad(F.lower(F.hex(F.col("part") % 65536)), 4, "0"))).when(F.col("part") % 4 == 2, text("0x", F.lpad(F.hex(F.col("part")), 16, "0"))).otherwise(F.lit("zz"))).alias("garbage")), f"WITH {OBJECTS_SQL} SELECT report_id, ordinal, CASE part % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS garbage FROM objects"),
+    "crash_confidence": (
+        lambda s, d: crash_confidence(frames(_section("bt")(s, d)), gdb_libraries(_section("sharedlibrary")(s, d))),
+        f"""WITH {OBJECTS_SQL}, {_FRAMED}, c AS (SELECT report_id, count(*) AS frames, count(*) FILTER (quality = 'RESOLVED') AS resolved, count(*) FILTER (quality = 'GARBAGE') AS garbage, min_by(function, pos) FILTER (quality = 'RESOLVED') AS first_resolved, bool_or(part % 3 = 1) AS symbols FROM f GROUP BY 1)
+ SELECT *, CASE WHEN resolved = 0 THEN 'LOW' WHEN garbage / frames >= 0.3 OR NOT symbols OR resolved < 3 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM c""",
+    ),
+    "crash_summary": (
+        lambda s, d: crash_summary(frames(_section("bt")(s, d))),
+        f"""WITH {OBJECTS_SQL}, {_FRAMED}, p AS (SELECT *, bool_or(quality = 'RESOLVED') OVER (PARTITION BY report_id) AS any_known FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS nth FROM p WHERE NOT any_known OR quality = 'RESOLVED')
+ SELECT report_id, string_agg('#' || number || ' ' || coalesce(address || ' in ', '') || function || coalesce(' at ' || location, ''), chr(10) ORDER BY nth) AS summary FROM n WHERE nth <= 5 GROUP BY 1""",
     ),
-    "scan_lines": (_on(SCAN, "server_id int, line string", scan_lines), f"WITH s AS (SELECT server_id, TRY_CAST(split_part(line, '|', 1) AS DOUBLE) AS mtime, TRY_CAST(split_part(line, '|', 3) AS BIGINT) AS size, regexp_extract(line, '^[^|]*\\|[^|]*\\|[^|]*\\|(.*)$', 1) AS path FROM {_values(SCAN, 'server_id, line')}) SELECT * FROM s WHERE mtime IS NOT NULL AND size IS NOT NULL AND path <> ''"),
-    "file_type_class": (_on(NAMES, "id int, name string", lambda df: df.select("id", file_type(F.col("name")).alias("type"))), f"SELECT id, CASE WHEN regexp_matches(lower(name), '^core$|^core\\.|\\.core$') THEN 'coredump' WHEN regexp_matches(lower(name), '\\.(hprof|bin|dump|dmp)(\\.gz)?$') THEN 'heapdump' ELSE 'others' END AS type FROM {_values(NAMES, 'id, name')}"),
-    "filename_valid": (_on(NAMES, "id int, name string", lambda df: df.select("id", filename_valid(F.col("name")).alias("valid"))), f"SELECT id, NOT (trim(name) = '' OR contains(name, '..') OR contains(name, '/')) AS valid FROM {_values(NAMES, 'id, name')}"),
-    "section_tree": (_on(SECTIONS, "report_id int, pos int, level int, title string", section_tree), f"WITH s AS (SELECT * FROM {_values(SECTIONS, 'report_id, pos, level, title')}) SELECT report_id, pos, title, (SELECT arg_max(u.title, u.pos) FROM s u WHERE u.report_id = s.report_id AND u.pos < s.pos AND u.level < s.level) AS parent FROM s"),
+    "scan_lines": (lambda s, d: scan_lines(_scan(s, d)), "SELECT event_id AS id, CAST('17' || lpad(CAST(event_id AS VARCHAR), 8, '0') || '.5' AS DOUBLE) AS mtime, event_id AS size, '/d/u' || user_id || CASE WHEN event_id % 5 = 3 THEN '|x' ELSE '' END || '/f' || event_id || '.hprof' AS path, 'f' || event_id || '.hprof' AS filename FROM events WHERE event_id % 5 NOT IN (1, 2)"),
+    "exec_detect": (lambda s, d: executables(_described(s, d)), "SELECT event_id AS id, '/c/core.' || event_id AS path, CASE WHEN event_id % 6 = 0 THEN '/bin/app' || event_id END AS program, CASE event_id % 6 WHEN 0 THEN 'app -x ' || event_id WHEN 1 THEN 'app ' || event_id END AS command, CASE event_id % 6 WHEN 1 THEN 'command only' WHEN 2 THEN 'denied' WHEN 3 THEN 'no program' WHEN 4 THEN 'no core file' END AS amiss FROM events WHERE event_id % 6 <> 5"),
+    "file_type_class": (lambda s, d: _names(s, d).select("id", file_type(F.col("name")).alias("type")), f"WITH {_NAMES_SQL} SELECT id, CASE WHEN id % 9 IN (0, 5) THEN 'coredump' WHEN id % 9 <> 4 AND id % 4 <> 3 THEN 'heapdump' ELSE 'others' END AS type FROM n"),
+    "filename_valid": (lambda s, d: _names(s, d).select("id", filename_valid(F.col("name")).alias("valid")), f"WITH {_NAMES_SQL} SELECT id, id % 9 NOT IN (1, 2, 4, 6) AS valid FROM n"),
+    "section_tree": (lambda s, d: section_tree(A.objects(s, d).select("report_id", F.col("ordinal").alias("pos"), (F.col("part") % 4 + 1).cast("int").alias("level"))), f"WITH {OBJECTS_SQL}, s AS (SELECT report_id, ordinal AS pos, CAST(part % 4 + 1 AS INTEGER) AS level FROM objects) SELECT s.report_id, s.pos, s.level, max(u.pos) AS parent FROM s LEFT JOIN s u ON u.report_id = s.report_id AND u.pos < s.pos AND u.level < s.level GROUP BY 1, 2, 3"),
 }

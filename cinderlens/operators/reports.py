@@ -91,7 +91,7 @@ def property_rows(pages: DataFrame) -> DataFrame:
     return rows.groupBy("report_id", "key").agg(F.max_by(_cell(1), "pos").alias("value"))
 
 
-def jdk_version(properties: DataFrame, keys: tuple[str, ...] = ("java.runtime.version", "java.vm.version", "java.version")) -> DataFrame:
+def jdk_version(properties: DataFrame, keys: tuple[str, ...] = ("java.runtime.version", "java.version", "java.vm.version")) -> DataFrame:
     """The first of these properties that is not blank."""
     value = lambda k: F.max(F.when((F.col("key") == k) & (F.trim("value") != ""), F.trim("value")))
     return properties.groupBy("report_id").agg(F.coalesce(*map(value, keys)).alias("version"))

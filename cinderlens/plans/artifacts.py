@@ -78,3 +78,72 @@ def object_table(spark: SparkSession, d: str) -> DataFrame:
     percent = F.when(F.col("part") % 7 == 0, F.lit("n/a")).otherwise(text(F.col("percent"), "%"))
     row = F.concat(F.lit("<tr class='x'>\n<td>"), class_cell(), F.lit("</td>"), cell(grouped(F.col("shallow"))), cell(F.concat(F.lit(" "), grouped(F.col("retained")))), F.when(F.col("part") % 11 != 0, cell(percent)).otherwise(F.lit("")), F.lit("</tr>\n"))
     return joined(objects(spark, d), "report_id", row, head="<table><TR><th>Class Name</th><th>Shallow Heap</th><th>Retained Heap</th><th>Percentage</th></TR>\n", tail="</table>")
+
+
+#: Error instances stand at this unsigned address plus a number; as a signed one it is negative.
+INSTANCES_AT = 18446744073709000000
+
+
+def thread_address() -> Column:
+    return F.concat(F.lit("0x"), F.lower(F.hex(F.col("report_id") * 64 + F.col("ordinal"))))
+
+
+THREAD_SQL = "'0x' || printf('%x', report_id * 64 + ordinal)"
+
+
+def thread_stack() -> Column:
+    """The frames of an object's thread, in eight forms."""
+    k, own = F.col("part") % 8, text("at app.M", F.col("part"), ".run(M.java:", F.col("ordinal"), ")")
+    init = "at java.lang.OutOfMemoryError.<init>()V\n  "
+    return (
+        F.when(k == 0, F.concat(F.lit(init + "at java.lang.Thread.start0(Native Method)\n  "), own))
+        .when(k == 1, F.concat(F.lit("at java.nio.Bits.reserveMemory(Bits.java:1)\n  "), own))
+        .when(k == 2, F.concat(F.lit("java.lang.OutOfMemoryError: GC overhead limit exceeded\n  "), own))
+        .when(k == 3, F.concat(F.lit(init), own))
+        .when(k == 4, F.concat(F.lit("at my.OutOfMemoryError.x()V\n  "), own))
+        .when(k == 5, F.concat(F.lit(init + "at java.lang.ClassLoader.defineClass1(Native Method)\n  "), own))
+        .when(k == 6, F.concat(F.lit("java.lang.OutOfMemoryError: something odd\n  "), own))
+        .otherwise(own)
+    )
+
+
+def thread_dump(spark: SparkSession, d: str) -> DataFrame:
+    """``report_id, text``: blocks of threads with upper-case addresses, frames and locals. The local of a thread whose
+    part is no multiple of 3 is the error instance with the line's supplier as its number."""
+    local = F.when(F.col("part") % 3 == 0, F.hex(F.col("part"))).otherwise(F.hex(F.col("supp") + F.lit(INSTANCES_AT - (1 << 64))))
+    block = F.concat(F.lit("Thread 0x"), F.upper(F.substring(thread_address(), 3, 99)), text(" worker-", F.col("supp")), F.lit("\n  "), thread_stack(), F.lit("\n\n  locals:\n    objectId=0x"), local, F.lit(", line=1\n    objectId=0x"), F.lower(local), F.lit(", line=2\n\n"))
+    return joined(objects(spark, d), "report_id", block, "text", head="header\n")
+
+
+def gdb_lines(spark: SparkSession, d: str) -> DataFrame:
+    """``report_id, pos, line``: a debugger's output by lines. ``pos`` is 1,000 times the section, plus ten times the
+    ordinal of the object that the line is made of."""
+    n, part, supp = F.col("ordinal"), F.col("part"), F.col("supp")
+    k = part % 6
+    at, nth = F.concat(F.lit("0x00007f"), F.lpad(F.lower(F.hex(part * 4096 + supp)), 10, "0")), (n - 1).cast("string")
+    frame = (
+        F.when(k == 0, text("#", nth, "  ", at, " in fn", supp, " (a=1, b=2) at f", part, ".c:10"))
+        .when(k == 1, text("#", nth, "  fn", supp, " () from /lib/l", supp, ".so"))
+        .when(k == 2, text("#", nth, "  0x4142434445464748 in ?? ()"))
+        .when(k == 3, text("#", nth, "  ", at, " in ?? ()"))
+        .when(k == 4, text("#", nth, "  <signal handler called>"))
+        .otherwise(text("  #", nth, "  operator new (sz=", part, ")"))
+    )
+    line = lambda section, add, c: F.struct((F.lit(section * 1000 + add) + n * 10).alias("pos"), c.alias("line"))
+    mark = lambda section, name: F.struct(F.lit(section * 1000).alias("pos"), F.lit(f"===SECTION:{name}===").alias("line"))
+    lines = F.array(
+        line(1, 0, frame),
+        line(2, 0, frame),
+        line(2, 1, text("        x = ", part)),
+        line(3, 0, text("rax", n % 3, "           0x", F.lower(F.hex(part)), "   ", part)),
+        line(4, 0, F.when(part % 3 == 0, F.lit("No linux-gate")).otherwise(text(at, "  0x00007fffffffffff  ", F.when(part % 3 == 1, "Yes (*)").otherwise("No"), "     /lib/l", supp, ".so"))),
+        line(5, 0, text(F.when(n == 2, "* ").otherwise("  "), n, "    Thread 0x7f", part, " (LWP ", supp, ") fn", supp, " ()")),
+    )
+    first = F.array(
+        F.struct(F.lit(0).alias("pos"), F.lit("GNU gdb (GDB) 12.1-x").alias("line")),
+        F.struct(F.lit(1).alias("pos"), text("Core was generated by `app", F.col("report_id"), " -x'.").alias("line")),
+        F.struct(F.lit(2).alias("pos"), F.when(F.col("report_id") % 5 == 0, text("/c/", F.col("report_id"), ": No such file or directory.")).when(F.col("report_id") % 5 == 1, F.lit("688\t/src/f.c: No such file or directory.")).otherwise("Program terminated with signal SIGSEGV, Segmentation fault.").alias("line")),
+        *(mark(i, name) for i, name in enumerate(("bt", "bt_full", "registers", "sharedlibrary", "threads"), 1)),
+    )
+    every = F.concat(lines, F.when(n == 1, first).otherwise(F.array().cast("array<struct<pos: int, line: string>>")))
+    return objects(spark, d).select("report_id", F.explode(every).alias("l")).select("report_id", "l.pos", "l.line")
