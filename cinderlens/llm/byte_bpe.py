@@ -28,12 +28,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlens.llm.text import ids_of
+from cinderlens.llm.text import ids_of, slices
 
 #: Byte b is written as the character 0x100 + b: injective, and free of white space.
 CHAR_OF_BYTE = {b: chr(0x100 + b) for b in range(256)}
 #: Units kept for reuse by one task.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 300_000
 #: A space next to other white space; str.isspace() is true of all that any regex engine takes for white space.
 _LOOSE_SPACE = [pair for c in map(chr, range(0x3001)) if c.isspace() for pair in (" " + c, c + " ")]
 
@@ -151,7 +151,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     """``(id, ids array<int>, ids_sha256, decoded binary)`` of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             coder = coder_of(ranks_path, pattern)
             ids, shas, decoded = [], [], []
             for text in batch.column(1).to_pylist():

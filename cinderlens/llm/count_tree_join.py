@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from cinderlens.llm.components import components
 from cinderlens.llm.rows import ROW, anti_join, semi_join, with_row_key
 from cinderlens.llm.scratch import durable, release
-from cinderlens.llm.text import WordHasher, gram_hashes, mix, utf8
+from cinderlens.llm.text import WordHasher, gram_hashes, mix, slices, utf8
 
 #: Coordinates of one block in the index's top level.
 BLOCK_GROUPS = 1024
@@ -52,7 +52,7 @@ CHUNK = 2048
 #: Smallest cells of a member that its rows carry, to report a pair in one of its cells only.
 LOW_CELLS = 64
 #: Cell rows that a task holds before it combines them.
-HELD_ROWS = 3_000_000
+HELD_ROWS = 1_500_000
 #: Pairs of points that are bounded at once.
 AT_ONCE = 4096
 
@@ -206,7 +206,7 @@ def cell_rows(rows: DataFrame, n: int, p: int, q: int) -> DataFrame:
         keys: list[np.ndarray] = []
         marks: list[np.ndarray] = []
         held = 0
-        for batch in batches:
+        for batch in slices(batches):
             row = batch.column(0).to_numpy()
             sizes, own = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
             for i, text in enumerate(utf8(batch.column(1))):
@@ -260,7 +260,7 @@ def sets_of(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingler.set_of(t) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([mark_of(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["mark", "shingles"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlens.llm.text import utf8
+from cinderlens.llm.text import slices, utf8
 
 #: Phrases that give a label wherever their words stand consecutively.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -74,7 +74,7 @@ def token_order(docs: DataFrame, tokens: frozenset[bytes], text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in utf8(batch.column(0)):
                 counts.update(tokens.intersection(normalised(text).split()))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
@@ -156,7 +156,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
         index = TemplateIndex(templates, order, threshold)
         places = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
         spans = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             found = [find(text, index) for text in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], places), pa.array([x[2] for x in found], spans)], ["doc_id", "n_words", "phrases", "matches"])
 

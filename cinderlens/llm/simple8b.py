@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlens.llm.scratch import new_path
-from cinderlens.llm.text import LOWER, utf8
+from cinderlens.llm.text import LOWER, slices, utf8
 
 #: Values per word and bits per value, by selector; fixed by the format.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -179,7 +179,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1,
             row = [part, block, total, len(values), known.tobytes(), lengths.tobytes(), words.tobytes(), escapes.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
-        for batch in (b.slice(k, CHUNK_TEXTS) for b in batches for k in range(0, b.num_rows, CHUNK_TEXTS)):
+        for batch in slices(batches, CHUNK_TEXTS):
             coder = encoder_of(tokenizer_path, end_id)
             for doc, own in zip(batch.column(0).to_pylist(), coder.encode(utf8(batch.column(1))), strict=True):
                 ids.append(own)

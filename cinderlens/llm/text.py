@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,6 +16,15 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that only few texts are held as Python values at once. What Arrow keeps for
+    reuse is given back at the end of a task."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def words(text: bytes) -> list[bytes]:
     """Runs of bytes other than 0x20 and 0x09-0x0D (bytes.split() splits at exactly these)."""
     return text.split()
