@@ -1,83 +1,213 @@
-"""Text retrieval: fixed chunks, context packing, keyword search by BM25, and nearest vectors."""
+"""Text retrieval: chunks, context under a budget, keyword search by BM25, and nearest vectors.
+
+The search for vectors takes every row whose id is divisible by 100 as a query, against all rows, block by block; the
+search for words takes every benchmark item."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlens.sources.tables import load
 
-CHUNK, OVERLAP, BUDGET, TOP = 800, 120, 6000, 10
+#: Characters of a chunk, overlap, chunks of a document, characters of a context, hits; fixed values.
+CHUNK, OVERLAP, PER_DOC, BUDGET, HITS = 800, 120, 3, 6000, 3
+MOST_HITS = 20
+TOP = 10
 K1, B = 1.2, 0.75
-QUERY = ("the", "and", "tion")
+#: Words of a query that are searched for: its rarest ones.
+QUERY_WORDS = 5
+#: Queries and vectors of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
+
+
+# ---- chunks
 
 
-def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of 800 characters that overlap by 120; the last one ends with the text."""
-    step = CHUNK - OVERLAP
-    last = F.greatest(F.ceil((F.length("text") - CHUNK) / step), F.lit(0)).cast("int")
-    rows = load(spark, d, "documents").where("length(text) > 0").select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    return rows.select("doc_id", "chunk", F.substring(F.col("text"), F.col("chunk") * step + 1, F.lit(CHUNK)).alias("text"))
+def fixed_chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """Pieces of ``size`` characters that overlap; the last one ends with the text."""
+    size = size if size > 0 else CHUNK
+    overlap = size // 2 if overlap >= size else max(overlap, 0)
+    step = size - overlap
+    last = F.greatest(F.ceil((F.length(text) - size) / step), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size)))
 
 
-def chunk_paragraph(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs merged up to the chunk size; a longer one is a chunk of its own. A fold over the text's paragraphs."""
-    paragraphs = F.filter(F.transform(F.split("text", r"\n+"), lambda x: F.trim(x)), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+def _folded(pieces: Column, add, size: int, overlap: int, cut_at: float, cut) -> Column:
+    """Chunks from pieces in order: ``add`` puts a piece to the open chunk. A chunk is closed when the next piece does not
+    fit; its last ``overlap`` characters start the next one. A chunk longer than ``cut_at`` is cut by ``cut``."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit("").alias("tail"))
 
     def step(acc, p):
-        fits = (acc["open"] == "") | (F.length(acc["open"]) + F.length(p) + 1 <= CHUNK)
-        joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n"), p))
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"), F.when(fits, joined).otherwise(p).alias("open"))
-
-    chunks = F.aggregate(paragraphs, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    return load(spark, d, "documents").select("doc_id", F.posexplode(chunks).alias("chunk", "text"))
-
-
-def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of each source in id order that fit the budget; the first one is cut to it, later ones end the pack."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = load(spark, d, "documents").select("source", "doc_id", F.substring("text", 1, CHUNK).alias("text"))
-    rows = rows.withColumn("at", F.row_number().over(w)).withColumn("upto", F.sum(F.length("text")).over(w))
-    return rows.where((F.col("upto") <= BUDGET) | (F.col("at") == 1)).select("source", "doc_id", F.least("upto", F.lit(BUDGET)).cast("long").alias("packed"))
-
-
-def search_keyword(spark: SparkSession, d: str) -> DataFrame:
-    """The best documents for the query's words by BM25. Only the query's words are counted; lengths and frequencies of
-    words in documents come from one pass."""
-    docs = load(spark, d, "documents").select("doc_id", F.split(F.lower("text"), "[^a-z]+").alias("w"))
-    count = lambda t: F.size(F.filter("w", lambda x: x == F.lit(t)))
-    counts = [count(t).alias(f"n{i}") for i, t in enumerate(QUERY)]
-    docs = docs.select("doc_id", F.size(F.filter("w", lambda x: x != "")).alias("len"), *counts)
-    totals = docs.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(QUERY))))
-    # totals is one row
-    rows = docs.crossJoin(F.broadcast(totals))
-    norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    score = sum(F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"n{i}") * (K1 + 1) / (F.col(f"n{i}") + norm) for i in range(len(QUERY)))
-    return rows.select("doc_id", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(TOP)
+        open_, tail = acc["open"], acc["tail"]
+        fits = (open_ == "") | (F.length(add(open_, p)) <= size)
+        closed = F.when(F.length(open_) > overlap, F.substring(open_, -overlap, overlap)).otherwise("") if overlap else F.lit("")
+        before = F.when(open_ == "", tail).when(fits, open_).otherwise(closed)
+        joined = F.when(open_ != "", F.when(fits, add(open_, p)).otherwise(F.when(before == "", p).otherwise(F.concat(before, F.lit(" "), p)))).otherwise(F.when(before == "", p).otherwise(F.concat(before, F.lit(" "), p)))
+        done = F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(open_)))
+        long = F.length(joined) > cut_at
+        return F.struct(F.when(long, F.concat(done, cut(joined))).otherwise(done).alias("done"), F.when(long, "").otherwise(joined).alias("open"), F.when(long | fits, F.when(long, "").otherwise(tail)).otherwise(closed).alias("tail"))
+
+    return F.aggregate(F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != ""), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
+def paragraph_chunks(text: Column, size: int = CHUNK) -> Column:
+    """Paragraphs (parted by empty lines) merged with an empty line between up to the size; longer ones are cut."""
+    return _folded(F.split(text, r"\n{2,}"), lambda a, p: F.concat(a, F.lit("\n\n"), p), size, 0, size, lambda c: fixed_chunks(c, size, 0))
+
+
+def sentence_chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """Sentences merged up to the size, each chunk starting with the end of the one before; beyond 1.5 times the size a
+    chunk is cut."""
+    return _folded(F.split(text, r"(?<=[\.!?。？！])\s+"), lambda a, s: F.concat(a, F.lit(" "), s), size, overlap, size * 1.5, lambda c: fixed_chunks(c, size, overlap))
+
+
+STRATEGIES = {"fixed": fixed_chunks, "paragraph": lambda t, size, overlap: paragraph_chunks(t, size), "sentence": sentence_chunks}
+
+
+def chunks(text: Column, strategy: str = "fixed", size: int = CHUNK, overlap: int = OVERLAP, most: int | None = None) -> Column:
+    """Chunks of a trimmed text by a strategy (any other name is the fixed one); with ``most`` only so many."""
+    clean = F.regexp_replace(text, r"^\s+|\s+$", "")
+    out = F.when(F.coalesce(clean, F.lit("")) == "", F.array().cast("array<string>")).otherwise(STRATEGIES.get(strategy.lower(), fixed_chunks)(clean, size, overlap))
+    return F.slice(out, 1, most) if most else out
+
 
+def chunk_query(strategy: str, most: int | None = None):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = load(spark, d, "documents").select("doc_id", F.posexplode(chunks(F.col("text"), strategy, most=most)).alias("chunk", "text"))
+        return rows.select("doc_id", "chunk", F.length("text").alias("chars"), F.md5("text").alias("md5"))
 
-def search_knn(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest vectors to vector 0 by cosine, computed in double precision."""
-    rows = load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    query = rows.where("vec_id = 0").select(F.col("v").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = rows.where("vec_id <> 0").crossJoin(F.broadcast(query.limit(1)))
-    score = dot("v", "q") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q")))
-    return scored.select("vec_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(TOP)
+    return run
 
 
-_BM = " + ".join(f"ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * n{i} * {K1 + 1} / (n{i} + {K1} * (1 - {B} + {B} * len / avg_len))" for i in range(len(QUERY)))
+# ---- context
+
+
+def context_pack(hits: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """What is put into a query's context: chunks of its hits in order, each with a header line and an empty line after,
+    until one does not fit; a first one that does not fit is cut. ``hits``: ``query, hit, chunk, of, text``. A query has
+    at most ``MOST_HITS`` hits, so its window is short."""
+    rows = hits.withColumn("header", F.concat(F.lit("--- Source "), F.col("hit").cast("string"), F.when(F.col("of") > 1, F.concat(F.lit("."), (F.col("chunk") + 1).cast("string"))).otherwise(""), F.lit(" ---\n")))
+    rows = rows.withColumn("needs", F.length("header") + F.length("text") + 2)
+    w = Window.partitionBy("query").orderBy("hit", "chunk")
+    rows = rows.withColumn("upto", F.sum("needs").over(w)).withColumn("at", F.row_number().over(w))
+    rows = rows.where((F.col("upto") <= budget) | (F.col("at") == 1))
+    room = F.greatest(F.lit(budget) - F.length("header") - 4, F.lit(0))
+    shown = F.when(F.col("upto") <= budget, F.concat("header", "text", F.lit("\n\n"))).otherwise(F.concat("header", F.substring(F.col("text"), F.lit(1), room), F.lit("...\n\n")))
+    return rows.select("query", "hit", "chunk", F.length(shown).alias("chars"))
+
+
+def context_query(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of the documents of ids divisible by 100, whose hits are the next three documents."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    wanted = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.explode(F.sequence(F.lit(1), F.lit(HITS))).alias("hit"))
+    found = wanted.join(docs, F.col("query") + F.col("hit") == F.col("doc_id"))
+    pieces = chunks(F.col("text"), most=PER_DOC)
+    rows = found.select("query", "hit", F.size(pieces).alias("of"), F.posexplode(pieces).alias("chunk", "text"))
+    return context_pack(rows.where("text <> ''"))
+
+
+# ---- search
+
+
+def clamp_hits(k: int) -> int:
+    return min(max(k, 1), MOST_HITS)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def search_keyword(spark: SparkSession, d: str, k: int = TOP, least: float = 0.0) -> DataFrame:
+    """The best documents by BM25 for each query: the distinct words of a benchmark item, of which those that fewest
+    documents hold are searched for (ties by the word). Documents send a row per word that a query holds."""
+    k = clamp_hits(k)
+    items = load(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    docs = load(spark, d, "documents").select("doc_id", _words(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    totals = docs.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
+    counts = docs.select("doc_id", "len", F.explode("w").alias("word")).join(items.select("word").distinct(), "word", "left_semi").groupBy("doc_id", "len", "word").agg(F.count("*").alias("tf"))
+    df = counts.groupBy("word").agg(F.count("*").alias("df"))
+    asked = items.join(df, "word").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("df", "word"))).where(F.col("rank") <= QUERY_WORDS)
+    # totals is one row
+    rows = counts.join(asked, "word").crossJoin(F.broadcast(totals))
+    norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
+    part = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    scored = rows.groupBy("query", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = scored.where(F.col("score") >= least) if least > 0 else scored
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "doc_id", "rank", "score")
+
+
+def _packed(rows: DataFrame, size: int, ids: str, values: str) -> DataFrame:
+    """Blocks of about ``size`` vectors: their ids and their numbers one behind the other."""
+    blocks = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("vec_id").alias(ids), F.flatten(F.collect_list("v")).alias(values)).drop("block")
+
+
+def search_knn(spark: SparkSession, d: str, k: int = TOP) -> DataFrame:
+    """The nearest vectors by cosine for each vector of an id divisible by 100, in double precision, itself left out.
+    Blocks of queries meet blocks of vectors, and each pair of blocks sends the best of the block for each query."""
+    k = clamp_hits(k)
+    rows = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    pairs = _packed(rows.where("vec_id % 100 = 0"), QUERY_BLOCK, "qs", "qv").crossJoin(_packed(rows, VECTOR_BLOCK, "ids", "values"))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qs, qv, ids, values = (batch.column(c)[i].values.to_numpy() for c in range(4))
+                unit = lambda v, n: v.reshape(n, -1) / np.linalg.norm(v.reshape(n, -1), axis=1, keepdims=True)
+                score = np.round(unit(qv, len(qs)) @ unit(values, len(ids)).T, 6)
+                score[qs[:, None] == ids[None, :]] = -np.inf
+                # with the ties of the last place, which the ids settle later
+                least = np.partition(score, -min(k, len(ids)), axis=1)[:, -min(k, len(ids)), None]
+                q, at = np.nonzero((score >= least) & np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(ids[at]), pa.array(score[q, at])], ["query", "vec_id", "score"])
+
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    found = pairs.mapInArrow(nearest, "query long, vec_id long, score double")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "vec_id", "rank", "score")
+
+
+def content_of(source: Column, preferred: str | None = None) -> Column:
+    """The text field of a JSON document: the preferred one, else content, body, text or message, else the document."""
+    fields = ([preferred] if preferred else []) + ["content", "body", "text", "message"]
+    return F.coalesce(*(F.get_json_object(source, f"$.{f}") for f in fields), source)
+
+
+def content_query(spark: SparkSession, d: str) -> DataFrame:
+    k, e = F.col("event_id") % 4, F.col("event_id").cast("string")
+    source = F.when(k == 0, F.concat(F.lit('{"message": "m'), e, F.lit('", "body": "b'), e, F.lit('"}'))).when(k == 1, F.concat(F.lit('{"text": "t'), e, F.lit('"}'))).when(k == 2, F.concat(F.lit('{"title": "own", "content": "c"}'))).otherwise(F.concat(F.lit('{"n":'), e, F.lit("}")))
+    return load(spark, d, "events").select("event_id", content_of(source, "title").alias("content"))
+
+
+_PIECES = f"""t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+ f AS (SELECT doc_id, unnest(range(0, CAST(greatest(ceil((length(t) - {CHUNK}) / {CHUNK - OVERLAP}), 0) AS BIGINT) + 1)) AS chunk, t FROM t WHERE t <> ''),
+ c AS (SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, substring(t, chunk * {CHUNK - OVERLAP} + 1, {CHUNK}) AS text FROM f)"""
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 QUERIES = {
-    "chunk_fixed": (chunk_fixed, f"SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, substring(text, chunk * {CHUNK - OVERLAP} + 1, {CHUNK}) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - {CHUNK}) / {CHUNK - OVERLAP}), 0) AS BIGINT) + 1)) AS chunk FROM documents WHERE length(text) > 0)"),
-    "chunk_paragraph": (chunk_paragraph, None),
-    "context_pack": (context_pack, f"SELECT source, doc_id, CAST(least(upto, {BUDGET}) AS BIGINT) AS packed FROM (SELECT source, doc_id, row_number() OVER w AS rn, sum(length(text[:{CHUNK}])) OVER w AS upto FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE upto <= {BUDGET} OR rn = 1"),
+    "chunk_fixed": (chunk_query("fixed"), f"WITH {_PIECES} SELECT doc_id, chunk, CAST(length(text) AS INTEGER) AS chars, md5(text) AS md5 FROM c"),
+    "chunk_capped": (chunk_query("other", PER_DOC), f"WITH {_PIECES} SELECT doc_id, chunk, CAST(length(text) AS INTEGER) AS chars, md5(text) AS md5 FROM c WHERE chunk < {PER_DOC}"),
+    "chunk_paragraph": (chunk_query("paragraph"), None),
+    "chunk_sentence": (chunk_query("sentence"), None),
+    "context_pack": (
+        context_query,
+        f"""WITH {_PIECES}, h AS (SELECT doc_id // 100 * 100 AS query, CAST(doc_id % 100 AS INTEGER) AS hit, chunk, text, count(*) OVER (PARTITION BY doc_id) AS n FROM c WHERE doc_id % 100 BETWEEN 1 AND {HITS} AND chunk < {PER_DOC}),
+ q AS (SELECT *, length('--- Source ' || hit || CASE WHEN n > 1 THEN '.' || chunk + 1 ELSE '' END || ' ---') + 1 AS head FROM h JOIN (SELECT doc_id FROM documents WHERE doc_id % 100 = 0) ON doc_id = query),
+ u AS (SELECT *, sum(head + length(text) + 2) OVER w AS upto, row_number() OVER w AS rn FROM q WINDOW w AS (PARTITION BY query ORDER BY hit, chunk))
+ SELECT query, hit, chunk, CAST(CASE WHEN upto <= {BUDGET} THEN head + length(text) + 2 ELSE head + least(length(text), {BUDGET} - head - 4) + 5 END AS INTEGER) AS chars FROM u WHERE upto <= {BUDGET} OR rn = 1""",
+    ),
     "search_keyword": (
         search_keyword,
-        f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
- c AS (SELECT doc_id, len(w) AS len, {', '.join(f"len(list_filter(w, lambda x: x = '{t}')) AS n{i}" for i, t in enumerate(QUERY))} FROM w),
- t AS (SELECT count(*) AS docs, avg(len) AS avg_len, {', '.join(f'count(*) FILTER (n{i} > 0) AS df{i}' for i in range(len(QUERY)))} FROM c)
- SELECT doc_id, round({_BM}, 6) AS score FROM c, t WHERE {_BM} > 0 ORDER BY score DESC, doc_id LIMIT {TOP}""",
+        f"""WITH i AS (SELECT item_id AS query, unnest(list_distinct({_WORDS})) AS word FROM benchmark), w AS (SELECT doc_id, {_WORDS} AS w FROM documents), t AS (SELECT count(*) AS docs, avg(len(w)) AS avg_len FROM w),
+ c AS (SELECT doc_id, len, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS word FROM w) WHERE word IN (SELECT word FROM i) GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM c GROUP BY 1),
+ a AS (SELECT query, word, df FROM i JOIN f USING (word) QUALIFY row_number() OVER (PARTITION BY query ORDER BY df, word) <= {QUERY_WORDS}),
+ s AS (SELECT query, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * len / avg_len))), 6) AS score FROM c JOIN a USING (word), t GROUP BY 1, 2)
+ SELECT query, doc_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INTEGER) AS rank, score FROM s QUALIFY rank <= {TOP}""",
     ),
-    "search_knn": (search_knn, f"SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 ORDER BY score DESC, e.vec_id LIMIT {TOP}"),
+    "search_knn": (search_knn, f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e JOIN e q ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) SELECT query, vec_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, score FROM s QUALIFY rank <= {TOP}"),
+    "content_fallback": (content_query, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'b' || event_id WHEN 1 THEN 't' || event_id WHEN 2 THEN 'own' ELSE '{\"n\":' || event_id || '}' END AS content FROM events"),
 }
