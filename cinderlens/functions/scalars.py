@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderlens.functions.html import ENTITIES, decoded
 from cinderlens.plans.views import history
 from cinderlens.sources.tables import load
 
 #: Units of sizes; fixed values.
 UNITS = {"TB": 1 << 40, "GB": 1 << 30, "MB": 1 << 20, "KB": 1 << 10, "B": 1}
-#: Entities in the order in which they are replaced; fixed values.
-ENTITIES = (("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def format_bytes(n: Column) -> Column:
@@ -47,9 +46,7 @@ def parse_count(text: Column) -> Column:
 def html_to_text(html: Column) -> Column:
     """Tags to spaces, entities decoded, white space squeezed."""
     out = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</\w+>", " "), r"(?s)<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))
+    return F.trim(F.regexp_replace(decoded(out), r"[ \t\n\r]+", " "))
 
 
 def fmt_bytes_query(spark: SparkSession, d: str) -> DataFrame:

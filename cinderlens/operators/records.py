@@ -11,6 +11,10 @@ from cinderlens.plans.views import HISTORY_SQL, TRANSFERS_SQL, history, transfer
 from cinderlens.sources.tables import load
 
 
+#: Characters of a chat that are sent; fixed value.
+CHAT_CHARS = 24_000
+
+
 def matching(rows: DataFrame, criteria: list[Column | None]) -> DataFrame:
     """Rows that meet every criterion that is given."""
     return rows.where(reduce(lambda a, b: a & b, [c for c in criteria if c is not None], F.lit(True)))
@@ -52,7 +56,8 @@ def distinct_users(spark: SparkSession, d: str) -> DataFrame:
 def history_assembly(spark: SparkSession, d: str) -> DataFrame:
     """Stored rows joined in full with the files on disk (dumps with line items): provenance and sizes of both."""
     files = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("file_id")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("file_size"))
-    stored = history(spark, d).where("id % 3 <> 0")
+    # customers with a debt have lost their records
+    stored = history(spark, d).join(load(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("owner")), "owner", "left_anti")
     rows = stored.join(files, F.col("id") == F.col("file_id"), "full")
     origin = F.when(F.col("id").isNull(), "file").when(F.col("file_id").isNull(), "stored").otherwise("both")
     return rows.select(F.coalesce("id", "file_id").alias("id"), origin.alias("origin"), F.coalesce("status", F.lit("NOT_ANALYZED")).alias("status"), F.coalesce("file_size", F.lit(0)).alias("file_size"), F.coalesce("used_heap", F.lit(0)).alias("used_heap"))
@@ -82,8 +87,8 @@ def transfer_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transfer_items(spark: SparkSession, d: str) -> DataFrame:
-    """Transfers with server names and durations; servers that are gone get a label."""
-    nation = load(spark, d, "nation").where("n_nationkey % 6 <> 0")
+    """Transfers with server names and durations; servers that are gone (those of the first region) get a label."""
+    nation = load(spark, d, "nation").where("n_regionkey <> 0")
     rows = transfers(spark, d).join(F.broadcast(nation), F.col("server_id") == F.col("n_nationkey"), "left")
     ms = F.expr("(unix_micros(completed_at) - unix_micros(started_at)) div 1000")
     return rows.select("id", F.coalesce("n_name", F.concat(F.lit("(deleted server "), F.col("server_id").cast("string"), F.lit(")"))).alias("server"), ms.alias("duration_ms"))
@@ -142,7 +147,7 @@ def chat_trim(spark: SparkSession, d: str) -> DataFrame:
     """The last messages of each session that fit the limit together; always the last one."""
     after = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
     rows = load(spark, d, "conversations").withColumn("held", F.sum(F.length("text")).over(after)).withColumn("back", F.count("*").over(after))
-    return rows.where("held <= 400 OR back = 1").select("conv_id", "turn", "held")
+    return rows.where((F.col("held") <= CHAT_CHARS) | (F.col("back") == 1)).select("conv_id", "turn", "held")
 
 
 def append_last_user(spark: SparkSession, d: str) -> DataFrame:
@@ -168,14 +173,14 @@ QUERIES = {
     "distinct_users": (distinct_users, f"{_H} SELECT DISTINCT server_name FROM history WHERE server_name IS NOT NULL"),
     "history_assembly": (
         history_assembly,
-        f"""{_H}, f AS (SELECT l_orderkey AS file_id, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS file_size FROM lineitem GROUP BY 1), s AS (SELECT * FROM history WHERE id % 3 <> 0)
+        f"""{_H}, f AS (SELECT l_orderkey AS file_id, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS file_size FROM lineitem GROUP BY 1), s AS (SELECT * FROM history WHERE owner NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))
  SELECT coalesce(id, file_id) AS id, CASE WHEN id IS NULL THEN 'file' WHEN file_id IS NULL THEN 'stored' ELSE 'both' END AS origin, coalesce(status, 'NOT_ANALYZED') AS status, coalesce(file_size, 0) AS file_size, coalesce(used_heap, 0) AS used_heap FROM s FULL JOIN f ON id = file_id""",
     ),
     "analysis_name": (analysis_name, f"""{_H}, b AS (SELECT *, regexp_replace(filename, '\\.gz$', '') AS bare FROM history) SELECT id, '[' || coalesce(nullif(upper(regexp_extract(bare, '\\.([^.]+)$', 1)), ''), 'DUMP') || ']' || coalesce(nullif(trim(server_name), ''), 'local') || '_' || regexp_replace(bare, '\\.[^.]+$', '') || '_' || strftime(analyzed_at, '%Y%m%d') AS name FROM b"""),
     "transfer_search": (transfer_search, f"{_T} SELECT id, server_id, filename, status, file_size FROM transfers WHERE lower(filename) LIKE '%dump_1%' AND status = 'FAILED' AND started_at >= '2024-01-05' AND started_at < '2024-01-20'"),
     "transfer_stats": (transfer_stats, f"{_T} SELECT count(*) AS total, count(*) FILTER (status = 'SUCCESS') AS success, count(*) FILTER (status = 'FAILED') AS failed FROM transfers"),
     "transfer_page": (transfer_page, f"{_T} SELECT id, filename, status, (SELECT count(*) FROM transfers) AS total_rows FROM transfers ORDER BY started_at DESC, id LIMIT 50 OFFSET 50"),
-    "transfer_items": (transfer_items, f"{_T} SELECT id, coalesce(n_name, '(deleted server ' || server_id || ')') AS server, (epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS duration_ms FROM transfers LEFT JOIN nation ON server_id = n_nationkey AND n_nationkey % 6 <> 0"),
+    "transfer_items": (transfer_items, f"{_T} SELECT id, coalesce(n_name, '(deleted server ' || server_id || ')') AS server, (epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS duration_ms FROM transfers LEFT JOIN nation ON server_id = n_nationkey AND n_regionkey <> 0"),
     "latest_transfer": (latest_transfer, f"{_T}, {_LATEST} SELECT * FROM latest"),
     "server_detail": (server_detail, f"{_T} SELECT server_id, count(*) AS transfers, count(*) FILTER (status = 'FAILED') AS failed, CAST(sum(file_size) AS BIGINT) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY started_at DESC, id DESC) AS rn FROM transfers) WHERE rn <= 100 GROUP BY server_id"),
     "history_server_backfill": (history_server_backfill, f"{_H}, {TRANSFERS_SQL}, {_LATEST}, n AS (SELECT filename AS file, n_name AS from_transfer FROM latest JOIN nation ON server_id = n_nationkey) SELECT id, coalesce(server_name, from_transfer) AS server_name FROM history LEFT JOIN n ON file = 'dump_' || id % 500 || '.hprof'"),
@@ -184,7 +189,7 @@ QUERIES = {
  greatest(epoch_us((SELECT max(ts) FROM events)) // 1000000 - epoch_us(max(ts) FILTER (event_type <> 'error')) // 1000000, 0) AS idle_seconds, coalesce(max(ts) FILTER (event_type = 'error') > max(ts) FILTER (event_type <> 'error'), false) AS failure_is_newer FROM events GROUP BY user_id HAVING count(*) FILTER (event_type <> 'error') > 0"""),
     "chat_search": (chat_search, "SELECT conv_id, count(*) AS messages FROM conversations GROUP BY conv_id HAVING bool_or(lower(text) LIKE '%the a%' OR contains(text, '100%'))"),
     "chat_titles": (chat_titles, "SELECT conv_id, CASE WHEN length(t) > 40 THEN t[:40] || '...' ELSE t END AS title FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)"),
-    "chat_trim": (chat_trim, "SELECT conv_id, turn, CAST(held AS BIGINT) AS held FROM (SELECT conv_id, turn, sum(length(text)) OVER w AS held, count(*) OVER w AS back FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) WHERE held <= 400 OR back = 1"),
+    "chat_trim": (chat_trim, "SELECT conv_id, turn, CAST(held AS BIGINT) AS held FROM (SELECT conv_id, turn, sum(length(text)) OVER w AS held, count(*) OVER w AS back FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) WHERE held <= 24000 OR back = 1"),
     "append_last_user": (append_last_user, "SELECT conv_id, turn, CASE WHEN turn = max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) THEN text || chr(10) || chr(10) || 'Note.' ELSE text END AS text FROM conversations"),
     "compare_key": (compare_key, f"{_H} SELECT id, '__compare__:' || sha256(filename || '|' || 'dump_' || (id + 1))[:40] AS key FROM history"),
 }
