@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlens.plans.views import HISTORY_SQL, SUSPECTS_SQL, history, suspects, weight
+from cinderlens.sources.tables import load
 
 DAYS = 90
 TOP_SERVERS = 5
@@ -27,28 +28,36 @@ def detected(spark: SparkSession, d: str) -> DataFrame:
     return history(spark, d).where(F.col("status") == "SUCCESS").join(severity_by_file(spark, d), "id").withColumn("day", F.to_date("analyzed_at"))
 
 
-def windowed(spark: SparkSession, d: str, days: int = DAYS) -> tuple[DataFrame, DataFrame]:
+def with_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Analysed dumps that have findings, without looking at these."""
+    found = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return history(spark, d).where(F.col("status") == "SUCCESS").join(found, "id", "left_semi").withColumn("day", F.to_date("analyzed_at"))
+
+
+def windowed(spark: SparkSession, d: str, days: int = DAYS, dumps=detected) -> tuple[DataFrame, DataFrame]:
     """The dumps of the window, and its days."""
     end = history(spark, d).agg(F.max(F.to_date("analyzed_at")).alias("end"))
     days_of = end.select(F.explode(F.sequence(F.date_sub("end", days - 1), F.col("end"))).alias("day"))
     # the window is one row
-    found = detected(spark, d).join(F.broadcast(end), F.col("day").between(F.date_sub("end", days - 1), F.col("end"))).drop("end")
+    found = dumps(spark, d).join(F.broadcast(end), F.col("day").between(F.date_sub("end", days - 1), F.col("end"))).drop("end")
     return found, days_of
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
     """Dumps with findings on each day, with days without any."""
-    found, days = windowed(spark, d)
+    found, days = windowed(spark, d, dumps=with_findings)
     return days.join(found.groupBy("day").agg(F.count("*").alias("n")), "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("detections"))
 
 
 def by_server(spark: SparkSession, d: str) -> DataFrame:
     """Days by server; servers beyond the first ones count as others."""
-    found, days = windowed(spark, d)
+    found, days = windowed(spark, d, dumps=with_findings)
     named = found.withColumn("server", F.coalesce(F.nullif(F.trim("server_name"), F.lit("")), F.lit("Local")))
     counts = named.groupBy("server", "day").agg(F.count("*").alias("n"))
-    ranks = counts.groupBy("server").agg(F.sum("n").alias("total")).withColumn("at", F.row_number().over(Window.orderBy(F.desc("total"), "server")))
-    series = counts.join(ranks, "server").withColumn("series", F.when(F.col("at") <= TOP_SERVERS, F.col("server")).otherwise("others"))
+    # one row per server and day
+    totals = counts.withColumn("total", F.sum("n").over(Window.partitionBy("server")))
+    rank = F.dense_rank().over(Window.orderBy(F.desc("total"), "server"))
+    series = totals.withColumn("series", F.when(rank <= TOP_SERVERS, F.col("server")).otherwise("others"))
     got = series.groupBy("series", "day").agg(F.sum("n").alias("n"))
     grid = got.select("series").distinct().crossJoin(F.broadcast(days))
     return grid.join(got, ["series", "day"], "left").select("series", F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("detections"))
@@ -62,7 +71,7 @@ def by_severity(spark: SparkSession, d: str) -> DataFrame:
 
 def kpi(spark: SparkSession, d: str) -> DataFrame:
     """All detections of the window, the last seven days, the seven before, the change in percent, and the peak day."""
-    found, days = windowed(spark, d)
+    found, days = windowed(spark, d, dumps=with_findings)
     series = days.join(found.groupBy("day").agg(F.count("*").alias("n")), "day", "left").na.fill(0, ["n"]).withColumn("end", F.max("day").over(Window.partitionBy()))
     age = F.datediff("end", "day")
     out = series.agg(
@@ -84,7 +93,7 @@ def recent(spark: SparkSession, d: str) -> DataFrame:
 def day_files(spark: SparkSession, d: str) -> DataFrame:
     """Dumps of the last day of the window that have findings."""
     found, _ = windowed(spark, d, 30)
-    return found.where(F.col("critical") + F.col("high") + F.col("medium") + F.col("low") > 0).select("id", F.col("day").cast("string").alias("day"), "critical", "high", F.col("total").alias("findings"))
+    return found.where(F.col("critical") + F.col("high") + F.col("medium") + F.col("low") > 0).select("id", F.col("day").cast("string").alias("day"), "critical", "high", F.col("total").alias("findings")).orderBy(F.desc("critical"), F.desc("high"), F.desc("findings"), "id")
 
 
 def severity_totals(spark: SparkSession, d: str) -> DataFrame:
