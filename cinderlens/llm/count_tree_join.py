@@ -50,11 +50,12 @@ FANOUT = 16
 #: Members of a cell that one task searches at once.
 CHUNK = 2048
 #: Smallest cells of a member that its rows carry, to report a pair in one of its cells only.
-LOW_CELLS = 64
+LOW_CELLS = 8
 #: Cell rows that a task holds before it combines them.
 HELD_ROWS = 1_500_000
-#: Pairs of points that are bounded at once.
+#: Pairs of points that are bounded at once, and pairs of leaves whose points are paired at once.
 AT_ONCE = 4096
+LEAVES_AT_ONCE = 1024
 
 DOCUMENT, MEMBER, PAIR = 0, 1, 2
 
@@ -143,20 +144,33 @@ def tree_join(a: CountTree, b: CountTree, p: int, q: int, wanted) -> tuple[np.nd
     smallest texts in them would need. ``wanted(i, j)`` says which pairs of points are asked for at all."""
     top = max(len(a.levels), len(b.levels)) - 1
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.level(top)[0])), np.arange(len(b.level(top)[0])), indexing="ij"))
-    for k in range(top, -1, -1):
-        if k == 0:
-            asked = wanted(a.order[i], b.order[j])
-            i, j = i[asked], j[asked]
-        (upper_a, least_a), (upper_b, least_b) = a.level(k), b.level(k)
-        meets = np.zeros(len(i), bool)
-        for s in range(0, len(i), AT_ONCE):
-            x, y = i[s : s + AT_ONCE], j[s : s + AT_ONCE]
-            bound = np.minimum(upper_a[x], upper_b[y]).sum(1)
-            meets[s : s + AT_ONCE] = (p + q) * bound >= p * (least_a[x] + least_b[y])
+    sizes = lambda k: (len(a.level(k)[0]) if k < len(a.levels) - 1 else 0, len(b.level(k)[0]) if k < len(b.levels) - 1 else 0)
+    for k in range(top, 0, -1):
+        meets = _meets(a.level(k), b.level(k), i, j, p, q)
         i, j = i[meets], j[meets]
-        if k:
-            i, j = _children(i, j, len(a.level(k - 1)[0]) if k < len(a.levels) else 0, len(b.level(k - 1)[0]) if k < len(b.levels) else 0)
-    return a.order[i], b.order[j]
+        if k > 1:
+            i, j = _children(i, j, *sizes(k - 1))
+    found = []
+    for s in range(0, len(i), LEAVES_AT_ONCE):
+        x, y = i[s : s + LEAVES_AT_ONCE], j[s : s + LEAVES_AT_ONCE]
+        if top:
+            x, y = _children(x, y, *sizes(0))
+        asked = wanted(a.order[x], b.order[y])
+        x, y = x[asked], y[asked]
+        meets = _meets(a.level(0), b.level(0), x, y, p, q)
+        found.append((a.order[x[meets]], b.order[y[meets]]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(y for _, y in found)])
+
+
+def _meets(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Whether the bound on the overlap of two points or boxes reaches what a similar pair of their least sizes needs."""
+    out = np.zeros(len(i), bool)
+    for s in range(0, len(i), AT_ONCE):
+        x, y = i[s : s + AT_ONCE], j[s : s + AT_ONCE]
+        bound = np.minimum(a[0][x], b[0][y]).sum(1)
+        out[s : s + AT_ONCE] = (p + q) * bound >= p * (a[1][x] + b[1][y])
+    return out
 
 
 def _children(i: np.ndarray, j: np.ndarray, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +306,7 @@ def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     side = lambda c, s: semi_join(sets, pairs.select(F.col(c).alias("mark")), "mark").select(F.col("mark").alias(c), F.col("shingles").alias(s))
-    both = pairs.select("a", "b").join(side("a", "sa"), "a").join(side("b", "sb"), "b")
+    both = pairs.select("a", "b").join(side("a", "sa").hint("merge"), "a").join(side("b", "sb").hint("merge"), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
 
 

@@ -148,5 +148,6 @@ def take(docs: DataFrame, **parameters) -> DataFrame:
     rows = with_row_key(docs)
     again = copies.where("__times > 1").select(ROW)
     once = anti_join(rows, again, ROW).unionByName(semi_join(rows, again, ROW).dropDuplicates([ROW]))
-    taken = once.join(copies.where("__copies > 0").select(ROW, "__copies"), ROW)
+    # a merge join at any size, as texts are moved
+    taken = once.join(copies.where("__copies > 0").select(ROW, "__copies").hint("merge"), ROW)
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -3,7 +3,8 @@
 A table of documents is large by its texts, while the keys to keep or to drop are few and short. A bit field over the
 keys (64 bits a row, at most ``WORDS`` rows, so its broadcast has a fixed bound) tells for most rows that their key is
 not among them, in place; only the rows that it cannot tell go to an exact join. With more keys than bits it tells
-nothing and the join does all the work: the result is the same.
+nothing and the join does all the work: the result is the same. That join is a merge join at any size, so that what is
+moved grows in proportion to the input.
 """
 
 from __future__ import annotations
@@ -45,11 +46,11 @@ def _asked(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def semi_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of ``df`` whose ``key`` is among those of ``keys`` (a column of the same name)."""
-    return _asked(df, keys, key).where("__maybe").drop("__maybe").join(keys.select(key).distinct(), key, "left_semi").select(*df.columns)
+    return _asked(df, keys, key).where("__maybe").drop("__maybe").join(keys.select(key).distinct().hint("merge"), key, "left_semi").select(*df.columns)
 
 
 def anti_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of ``df`` whose ``key`` is not among those of ``keys``."""
     asked = _asked(df, keys, key)
-    rest = asked.where("__maybe").drop("__maybe").join(keys.select(key).distinct(), key, "left_anti")
+    rest = asked.where("__maybe").drop("__maybe").join(keys.select(key).distinct().hint("merge"), key, "left_anti")
     return asked.where("NOT __maybe").select(*df.columns).unionByName(rest.select(*df.columns))
