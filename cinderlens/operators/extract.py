@@ -160,6 +160,19 @@ def crash_summary(framed: DataFrame, most: int = 5) -> DataFrame:
     return rows.groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "shown"))), lambda x: x["shown"]), "\n").alias("summary"))
 
 
+#: Frames of a prompt; fixed value.
+PROMPT_FRAMES = 12
+
+
+def crash_prompt(heads: DataFrame, confidence: DataFrame, framed: DataFrame) -> DataFrame:
+    """The facts of a crash as lines for a model: signal, program, confidence, and at most twelve resolved frames."""
+    resolved = framed.where("quality = 'RESOLVED'").withColumn("nth", F.row_number().over(Window.partitionBy("report_id").orderBy("pos"))).where(F.col("nth") <= PROMPT_FRAMES)
+    stack = resolved.groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat(F.lit("#"), F.col("number").cast("string"), F.lit(" "), F.col("function")).alias("f")))), lambda x: x["f"]), "\n").alias("stack"))
+    rows = heads.join(confidence, "report_id").join(stack, "report_id", "left")
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), c.cast("string"))
+    return rows.select("report_id", F.concat_ws("\n", line("Signal", F.concat_ws(" ", "signal", "description")), line("Program", F.col("program")), line("Confidence", F.concat("confidence", F.lit(" ("), F.col("resolved").cast("string"), F.lit("/"), F.col("frames").cast("string"), F.lit(")"))), "stack").alias("prompt"))
+
+
 # ---- listings and names
 
 
@@ -281,6 +294,13 @@ QUERIES = {
         f"""WITH {OBJECTS_SQL}, {_FRAMED}, p AS (SELECT *, bool_or(quality = 'RESOLVED') OVER (PARTITION BY report_id) AS any_known FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS nth FROM p WHERE NOT any_known OR quality = 'RESOLVED')
  SELECT report_id, string_agg('#' || number || ' ' || coalesce(address || ' in ', '') || function || coalesce(' at ' || location, ''), chr(10) ORDER BY nth) AS summary FROM n WHERE nth <= 5 GROUP BY 1""",
     ),
+    "crash_prompt": (
+        lambda s, d: crash_prompt(gdb_heads(A.gdb_lines(s, d)), crash_confidence(frames(_section("bt")(s, d)), gdb_libraries(_section("sharedlibrary")(s, d))), frames(_section("bt")(s, d))),
+        f"""WITH {OBJECTS_SQL}, {_FRAMED}, n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS nth FROM f WHERE quality = 'RESOLVED'), k AS (SELECT report_id, string_agg('#' || number || ' ' || function, chr(10) ORDER BY nth) AS stack FROM n WHERE nth <= {PROMPT_FRAMES} GROUP BY 1),
+ c AS (SELECT report_id, count(*) AS frames, count(*) FILTER (quality = 'RESOLVED') AS resolved, count(*) FILTER (quality = 'GARBAGE') AS garbage, bool_or(part % 3 = 1) AS symbols FROM f GROUP BY 1)
+ SELECT c.report_id, concat_ws(chr(10), 'Signal: ' || CASE WHEN c.report_id % 5 > 1 THEN 'SIGSEGV Segmentation fault.' ELSE '' END, 'Program: app' || c.report_id || ' -x', 'Confidence: ' || CASE WHEN resolved = 0 THEN 'LOW' WHEN garbage / frames >= 0.3 OR NOT symbols OR resolved < 3 THEN 'MEDIUM' ELSE 'HIGH' END || ' (' || resolved || '/' || frames || ')', stack) AS prompt FROM c LEFT JOIN k ON c.report_id = k.report_id""",
+    ),
+    "frame_filter": (lambda s, d: java_frames(thread_blocks(A.thread_dump(s, d))).where("owner <> 'jdk' AND contains(lower(class), 'm')").select("report_id", "address", "pos", "class"), f"WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, CASE WHEN part % 8 IN (0, 5) THEN 2 WHEN part % 8 IN (1, 3, 4) THEN 1 ELSE 0 END AS pos, 'M' || part AS class FROM objects"),
     "scan_lines": (lambda s, d: scan_lines(_scan(s, d)), "SELECT event_id AS id, CAST('17' || lpad(CAST(event_id AS VARCHAR), 8, '0') || '.5' AS DOUBLE) AS mtime, event_id AS size, '/d/u' || user_id || CASE WHEN event_id % 5 = 3 THEN '|x' ELSE '' END || '/f' || event_id || '.hprof' AS path, 'f' || event_id || '.hprof' AS filename FROM events WHERE event_id % 5 NOT IN (1, 2)"),
     "exec_detect": (lambda s, d: executables(_described(s, d)), "SELECT event_id AS id, '/c/core.' || event_id AS path, CASE WHEN event_id % 6 = 0 THEN '/bin/app' || event_id END AS program, CASE event_id % 6 WHEN 0 THEN 'app -x ' || event_id WHEN 1 THEN 'app ' || event_id END AS command, CASE event_id % 6 WHEN 1 THEN 'command only' WHEN 2 THEN 'denied' WHEN 3 THEN 'no program' WHEN 4 THEN 'no core file' END AS amiss FROM events WHERE event_id % 6 <> 5"),
     "file_type_class": (lambda s, d: _names(s, d).select("id", file_type(F.col("name")).alias("type")), f"WITH {_NAMES_SQL} SELECT id, CASE WHEN id % 9 IN (0, 5) THEN 'coredump' WHEN id % 9 <> 4 AND id % 4 <> 3 THEN 'heapdump' ELSE 'others' END AS type FROM n"),

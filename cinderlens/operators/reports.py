@@ -128,6 +128,21 @@ def top_components(pages: DataFrame) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= KEPT_COMPONENTS).select("report_id", "rank", "name", "percent", "retained")
 
 
+def component_links(pages: DataFrame) -> DataFrame:
+    """The page of each component of an index: the link in its heading and the key ``name#place``, by place in the index."""
+    heading = r'(?is)<h2[^>]*>.*?<a\s+href="([^"]+)"[^>]*>([^<]+?)\((\d+)%\)</a>'
+    zipped = F.arrays_zip(F.regexp_extract_all("html", F.lit(heading), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(heading), F.lit(2)).alias("name"))
+    rows = pages.select("report_id", F.posexplode(zipped).alias("pos", "h")).select("report_id", "pos", "h.href", F.trim(F.regexp_replace(F.trim(H.decoded(F.col("h.name"))), r"@?\s*0x[0-9a-fA-F]+", "")).alias("name")).where("name <> ''")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("report_id").orderBy("pos")) - 1)
+    nth = F.row_number().over(Window.partitionBy("report_id", "name").orderBy("pos"))
+    return rows.select("report_id", "href", F.concat("name", F.lit("#"), F.col("place").cast("string")).alias("key"), nth.alias("nth_of_name"))
+
+
+def damaged_names(rows: DataFrame) -> DataFrame:
+    """Reports of which any object's name still holds a preview of an array's content."""
+    return rows.groupBy("report_id").agg(F.max(F.col("class_name").contains("..")).alias("repair"))
+
+
 def components_of_table(pages: DataFrame) -> DataFrame:
     """Components of a plain table where headings give none: which cells hold the figures depends on how many there are;
     of the first twenty rows, the larger one of each name."""
@@ -358,6 +373,9 @@ QUERIES = {
     "top_components": (_on(_component_page, top_components), f"""WITH {OBJECTS_SQL}, l AS (SELECT o_custkey AS report_id, o_custkey * 1000 + 7 AS total_heap, report_id AS o, ordinal, percent, CASE WHEN part % 4 = 0 THEN '<loader ' || supp || '>' ELSE 'app.C' || supp END AS name FROM objects JOIN orders ON report_id = o_orderkey WHERE percent > 0),
  f AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY o, ordinal) AS nth FROM l), r AS (SELECT *, CAST(floor(total_heap * percent / 100.0) AS BIGINT) AS retained FROM f WHERE nth <= {READ_COMPONENTS}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY report_id ORDER BY retained DESC, nth) AS INTEGER) AS rank FROM r)
  SELECT report_id, rank, name, CAST(percent AS INTEGER) AS percent, retained FROM k WHERE rank <= {KEPT_COMPONENTS}"""),
+    "component_links": (_on(_component_page, component_links), f"""WITH {OBJECTS_SQL}, l AS (SELECT o_custkey AS report_id, report_id AS o, ordinal, CASE WHEN part % 4 = 0 THEN '<loader ' || supp || '>' ELSE 'app.C' || supp END AS name FROM objects JOIN orders ON report_id = o_orderkey)
+ SELECT report_id, 'pages/p.html' AS href, name || '#' || (row_number() OVER (PARTITION BY report_id ORDER BY o, ordinal) - 1) AS key, CAST(row_number() OVER (PARTITION BY report_id, name ORDER BY o, ordinal) AS INTEGER) AS nth_of_name FROM l"""),
+    "artifact_repair": (lambda s, d: damaged_names(A.objects(s, d).select("report_id", F.when(F.col("part") % 9 == 0, text("byte[1]...x", F.col("supp"))).otherwise(text("a.b.C", F.col("supp"))).alias("class_name"))), f"WITH {OBJECTS_SQL} SELECT report_id, bool_or(part % 9 = 0) AS repair FROM objects GROUP BY 1"),
     "top_components_fallback": (_on(_object_page, components_of_table), f"""WITH {OBJECTS_SQL}, {_SHOWN}, s AS (SELECT *, CASE WHEN part % 6 = 1 THEN 'class ' || class_name || ' System Class' ELSE class_name END AS name FROM o WHERE class_name IS NOT NULL AND part % 6 <> 2 AND retained > 0)
  SELECT report_id, name, CAST(1 AS BIGINT) AS objects, max(retained) AS retained FROM s GROUP BY 1, 2"""),
     "component_meta": (_on(_meta_page, component_meta), "SELECT c_custkey AS report_id, c_custkey * 1024 + 512 AS size, c_custkey * 1000 + 500 AS classes, c_custkey * 3 AS objects, 'app.L' || c_custkey % 10 AS loader FROM customer"),

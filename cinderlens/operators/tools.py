@@ -17,7 +17,8 @@ from cinderlens.sources.tables import load
 
 #: Shares of the heap, bytes an object and objects from which a component is remarked on; fixed values.
 LARGE_SHARE, NOTABLE_SHARE, LARGE_OBJECT, MANY_OBJECTS = 30, 10, 1 << 20, 100_000
-EXPORT_ROWS = 50_000
+#: Characters of an attachment; fixed value.
+ATTACHED_CHARS = 200_000
 SHOWN_CLASSES = 25
 
 
@@ -112,6 +113,17 @@ def top_objects(rows: DataFrame, most: int = SHOWN_CLASSES) -> DataFrame:
 SORT_FIELDS = {"id": "id", "filename": "filename", "size": "file_size", "startedAt": "started_at"}
 
 
+def spliced(prompt: Column, section: Column, mark: str = "\n== ") -> Column:
+    """A section put before a prompt's first heading (one at its very start does not count), or at its end."""
+    at = F.instr(prompt, mark)
+    return F.when(section == "", prompt).when(at > 1, F.concat(F.substring(prompt, F.lit(1), at - 1), F.lit("\n\n"), section, F.substring(prompt, at, F.length(prompt)))).otherwise(F.concat(prompt, F.lit("\n\n"), section))
+
+
+def attached(base64: Column, most: int = ATTACHED_CHARS) -> Column:
+    """The text of an attachment, cut to a length; null where it is none."""
+    return F.substring(F.decode(F.try_to_binary(base64, F.lit("base64")), "UTF-8"), 1, most)
+
+
 def sorted_page(rows: DataFrame, field: str, descending: bool, number: int, size: int, most: int = 200) -> DataFrame:
     """A page ordered by one of the known fields; any other name stands for the time of the start. Ties go by id."""
     column = F.col(SORT_FIELDS.get(field, "started_at"))
@@ -360,6 +372,17 @@ def sanitized_pages(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", out.rlike("(?i)<(script|style|iframe|object|form|input|link|meta)").alias("unsafe"), out.rlike(r"(?i)<[^>]*\son\w+\s*=").alias("handlers"), (F.length(F.regexp_replace(out, r"(?s)<[^>]*>|\s", "")) > 0).alias("kept"))
 
 
+def prompt_splice(spark: SparkSession, d: str) -> DataFrame:
+    e, k = F.col("event_id").cast("string"), F.col("event_id") % 3
+    prompt = F.when(k == 0, F.concat(F.lit("Look at "), e, F.lit("\n== A ==\nx\n== B =="))).when(k == 1, F.concat(F.lit("\n== A ==\n"), e)).otherwise(e)
+    return load(spark, d, "events").select("event_id", spliced(prompt, F.when(F.col("event_id") % 4 == 0, "").otherwise("S")).alias("prompt"))
+
+
+def attachments(spark: SparkSession, d: str) -> DataFrame:
+    sent = F.when(F.col("doc_id") % 5 == 0, F.lit("no base64!")).otherwise(F.base64(F.encode("text", "UTF-8")))
+    return load(spark, d, "documents").select("doc_id", F.md5(attached(sent, 1000)).alias("md5"))
+
+
 _H, _T = f"WITH {HISTORY_SQL}", f"WITH {TRANSFERS_SQL}"
 _HIST96 = "h AS (SELECT p_brand || '.' || p_type AS class_name, count(*) AS objects, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS retained FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1996 GROUP BY 1)"
 QUERIES = {
@@ -407,5 +430,7 @@ QUERIES = {
     "top_objects": (lambda s, d: top_objects(histogram(s, d, 1996)), f"WITH {_HIST96} SELECT CAST(row_number() OVER (ORDER BY retained DESC, class_name) AS INTEGER) AS rank, class_name, retained, round(retained * 100.0 / (SELECT sum(retained) FROM h), 4) AS percent FROM h QUALIFY rank <= {SHOWN_CLASSES}"),
     "sorted_page": (lambda s, d: sorted_page(transfers(s, d), "size", True, 1, 30).select("id", "file_size"), f"{_T} SELECT id, file_size FROM transfers ORDER BY file_size DESC, id LIMIT 30 OFFSET 30"),
     "report_model": (report_model, f"WITH {OBJECTS_SQL}, r AS (SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY retained DESC, ordinal) AS INTEGER) AS rank, retained, sum(retained) OVER (PARTITION BY report_id) AS a FROM objects) SELECT report_id, rank, retained, CAST(floor(CAST(retained AS DOUBLE) * 1000.0 / CAST(a AS DOUBLE) + 0.5) AS BIGINT) AS per_mille FROM r WHERE rank <= 5"),
+    "prompt_splice": (prompt_splice, "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'Look at ' || event_id || chr(10) || '== A ==' || chr(10) || 'x' || chr(10) || '== B ==' WHEN 1 THEN chr(10) || '== A ==' || chr(10) || event_id ELSE CAST(event_id AS VARCHAR) END WHEN event_id % 3 = 0 THEN 'Look at ' || event_id || chr(10) || chr(10) || 'S' || chr(10) || '== A ==' || chr(10) || 'x' || chr(10) || '== B ==' WHEN event_id % 3 = 1 THEN chr(10) || '== A ==' || chr(10) || event_id || chr(10) || chr(10) || 'S' ELSE event_id || chr(10) || chr(10) || 'S' END AS prompt FROM events"),
+    "attachments": (attachments, "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN md5(text[:1000]) END AS md5 FROM documents"),
     "html_sanitize": (sanitized_pages, "SELECT page_id, false AS unsafe, false AS handlers, true AS kept FROM pages"),
 }
