@@ -14,6 +14,11 @@ from cinderlens.sources.tables import load
 #: How a debugger's echoed section marks begin, and a frame with address, function, arguments and the rest; fixed values.
 SECTION_MARK = "===SECTION:"
 FRAME = r"#(\d+)\s+(0x[0-9a-fA-F]+\s+in\s+|)(\S+)\s*\(([^)]*)\)(.*)"
+#: Lines of libraries, registers and threads, and frames of Java stacks; fixed values.
+LIBRARY = r"^(0x[0-9a-fA-F]+)\s+(0x[0-9a-fA-F]+)\s+(Yes(?:\s+\(\*\))?|No)\s+(\S+)"
+REGISTER = r"^(\w+)\s+(0x[0-9a-fA-F]+)"
+THREAD = r"^\s*(\*?)\s*(\d+)\s+(Thread\s+\S+(?:\s+\(LWP\s+\d+\))?)\s*(.*)"
+JAVA_FRAME = r"^at\s+([\w$.]+)\.([\w$<>]+)\(([^)]*)\)$"
 #: Packages of frames of the platform and of frameworks; fixed values.
 PLATFORM = r"^(java\.|javax\.|jdk\.|sun\.|com\.sun\.)"
 FRAMEWORK = r"^(org\.springframework\.|org\.apache\.|com\.fasterxml\.|io\.netty\.|org\.hibernate\.|jakarta\.)"
@@ -50,7 +55,7 @@ def thread_stacks(threads: DataFrame, dump: DataFrame) -> DataFrame:
 def java_frames(rows: DataFrame) -> DataFrame:
     """Frames of stacks in order, with package, class, method, file and line, and whose code it is."""
     lines = rows.select("report_id", "address", F.posexplode(F.filter(F.transform(F.split("stack", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^at\s+[\w$.]"))).alias("pos", "frame"))
-    detail = r"^at\s+([\w$.]+)\.([\w$<>]+)\(([^)]*)\)$"
+    detail = JAVA_FRAME
     path, method, place = (F.regexp_extract("frame", detail, i) for i in (1, 2, 3))
     package = F.lower(F.regexp_extract("frame", r"^at\s+([\w$.]+)\.", 1))
     owner = F.when(F.col("frame").contains("OutOfMemoryError") | F.col("frame").contains("NullPointerException"), "oom").when(package.rlike(PLATFORM), "jdk").when(package.rlike(FRAMEWORK), "framework").otherwise("user")
@@ -110,20 +115,20 @@ def garbage(address: Column) -> Column:
 
 
 def gdb_libraries(lines: DataFrame) -> DataFrame:
-    pattern = r"^(0x[0-9a-fA-F]+)\s+(0x[0-9a-fA-F]+)\s+(Yes(?:\s+\(\*\))?|No)\s+(\S+)"
+    pattern = LIBRARY
     return lines.where(F.col("line").rlike(pattern)).select("report_id", "pos", *(F.regexp_extract("line", pattern, i).alias(c) for i, c in enumerate(("start", "stop", "symbols", "path"), 1)))
 
 
 def gdb_registers(lines: DataFrame) -> DataFrame:
     """The last value of each register."""
-    pattern = r"^(\w+)\s+(0x[0-9a-fA-F]+)"
+    pattern = REGISTER
     rows = lines.where(F.trim("line").rlike(pattern)).select("report_id", "pos", F.regexp_extract(F.trim("line"), pattern, 1).alias("register"), F.regexp_extract(F.trim("line"), pattern, 2).alias("value"))
     return rows.groupBy("report_id", "register").agg(F.max_by("value", "pos").alias("value"))
 
 
 def gdb_threads(lines: DataFrame) -> DataFrame:
     """Threads, the current one first, then by number."""
-    pattern = r"^\s*(\*?)\s*(\d+)\s+(Thread\s+\S+(?:\s+\(LWP\s+\d+\))?)\s*(.*)"
+    pattern = THREAD
     part = lambda i: F.regexp_extract("line", pattern, i)
     rows = lines.where(F.col("line").rlike(pattern)).select("report_id", part(2).cast("int").alias("id"), (part(1) == "*").alias("current"), F.trim(part(3)).alias("target"), F.trim(part(4)).alias("frame"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("current"), "id")))

@@ -18,6 +18,17 @@ READ_COMPONENTS, KEPT_COMPONENTS, FALLBACK_ROWS, FINDINGS, FINDING_CHARS = 15, 1
 WARNING_TITLES = ("possible memory", "duplicate", "memory waste", "collision", "memory leak")
 #: What may follow a finding and is cut off; fixed values.
 FOOTER = r"(?is)\s*(?:Keywords\b|Details\s*(?:»|&raquo;|&#187;)|Table\s+Of\s+Contents|Created\s+by\s+Eclipse).*$"
+#: Patterns of report pages: pairs of cells, headings of components (and with their links), a component's figures, numbered
+#: findings, keyword lists and their items, ids of loaders; fixed values.
+CELL_PAIR = r"(?is)<td[^>]*>\s*([^<]+?)\s*</td>\s*<td[^>]*>\s*([^<]+?)\s*</td>"
+COMPONENT = r"(?is)<h2[^>]*>.*?<a[^>]*>([^<]+?)\((\d+)%\)</a>"
+COMPONENT_LINK = r'(?is)<h2[^>]*>.*?<a\s+href="([^"]+)"[^>]*>([^<]+?)\((\d+)%\)</a>'
+COMPONENT_FIGURES = r"(?is)Size:\s*<strong>([^<]+)</strong>\s*Classes:\s*<strong>([^<]+)</strong>\s*Objects:\s*<strong>([^<]+)</strong>\s*Class Loader:\s*<strong>([^<]+)</strong>"
+NUMBERED = r"(?is)(?:Problem|Suspect)\s*\d+[^<]*<.*?>(.*?)(?=(?:Problem|Suspect)\s*\d+|$)"
+KEYWORD_LIST = r"(?is)<strong>\s*Keywords\s*</strong>\s*</p>\s*<ul[^>]*>(.*?)</ul>"
+KEYWORD = "(?is)<li[^>]*>(.*?)</li>"
+LOADER_ID = r"(?i)classLoaderId(?:\+%3D\+|\s*=\s*)(\d+)"
+STACK_LINK, LOCALS_LINK = r"See\s+stacktrace", r"See\s+stacktrace\s+with\s+involved\s+local\s+variables"
 REF_CAP = 3
 
 
@@ -99,8 +110,7 @@ def jdk_version(properties: DataFrame, keys: tuple[str, ...] = ("java.runtime.ve
 
 def overview_figures(pages: DataFrame) -> DataFrame:
     """Figures of an overview from pairs of cells; the last pair of a kind counts."""
-    pair = r"(?is)<td[^>]*>\s*([^<]+?)\s*</td>\s*<td[^>]*>\s*([^<]+?)\s*</td>"
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pair), F.lit(1)).alias("k"), F.regexp_extract_all("html", F.lit(pair), F.lit(2)).alias("v"))
+    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(CELL_PAIR), F.lit(1)).alias("k"), F.regexp_extract_all("html", F.lit(CELL_PAIR), F.lit(2)).alias("v"))
     rows = pages.select("report_id", F.posexplode(pairs).alias("pos", "p")).select("report_id", "pos", F.lower(F.trim("p.k")).alias("k"), F.trim("p.v").alias("v"))
     kind = (
         F.when(F.col("k").contains("used heap"), "heap")
@@ -119,8 +129,7 @@ def overview_figures(pages: DataFrame) -> DataFrame:
 def top_components(pages: DataFrame) -> DataFrame:
     """The largest components from headings ``name (NN%)`` of a page with ``total_heap``: of the first fifteen that hold
     something, the ten largest, equal ones in order."""
-    heading = r"(?is)<h2[^>]*>.*?<a[^>]*>([^<]+?)\((\d+)%\)</a>"
-    zipped = F.arrays_zip(F.regexp_extract_all("html", F.lit(heading), F.lit(1)).alias("name"), F.regexp_extract_all("html", F.lit(heading), F.lit(2)).alias("pct"))
+    zipped = F.arrays_zip(F.regexp_extract_all("html", F.lit(COMPONENT), F.lit(1)).alias("name"), F.regexp_extract_all("html", F.lit(COMPONENT), F.lit(2)).alias("pct"))
     rows = pages.select("report_id", "total_heap", F.posexplode(zipped).alias("pos", "h")).select("report_id", "total_heap", "pos", F.trim(F.regexp_replace(F.trim(H.decoded(F.col("h.name"))), r"@?\s*0x[0-9a-fA-F]+", "")).alias("name"), F.col("h.pct").cast("int").alias("percent"))
     rows = rows.where("percent > 0 AND name <> '' AND total_heap > 0").withColumn("nth", F.row_number().over(Window.partitionBy("report_id").orderBy("pos"))).where(F.col("nth") <= READ_COMPONENTS)
     rows = rows.withColumn("retained", (F.col("total_heap") * F.col("percent") / 100.0).cast("long"))
@@ -130,8 +139,7 @@ def top_components(pages: DataFrame) -> DataFrame:
 
 def component_links(pages: DataFrame) -> DataFrame:
     """The page of each component of an index: the link in its heading and the key ``name#place``, by place in the index."""
-    heading = r'(?is)<h2[^>]*>.*?<a\s+href="([^"]+)"[^>]*>([^<]+?)\((\d+)%\)</a>'
-    zipped = F.arrays_zip(F.regexp_extract_all("html", F.lit(heading), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(heading), F.lit(2)).alias("name"))
+    zipped = F.arrays_zip(F.regexp_extract_all("html", F.lit(COMPONENT_LINK), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(COMPONENT_LINK), F.lit(2)).alias("name"))
     rows = pages.select("report_id", F.posexplode(zipped).alias("pos", "h")).select("report_id", "pos", "h.href", F.trim(F.regexp_replace(F.trim(H.decoded(F.col("h.name"))), r"@?\s*0x[0-9a-fA-F]+", "")).alias("name")).where("name <> ''")
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("report_id").orderBy("pos")) - 1)
     nth = F.row_number().over(Window.partitionBy("report_id", "name").orderBy("pos"))
@@ -158,7 +166,7 @@ def components_of_table(pages: DataFrame) -> DataFrame:
 
 def component_meta(pages: DataFrame) -> DataFrame:
     """Size, classes, objects and loader of a component's page."""
-    part = lambda i: F.trim(F.regexp_extract("html", r"(?is)Size:\s*<strong>([^<]+)</strong>\s*Classes:\s*<strong>([^<]+)</strong>\s*Objects:\s*<strong>([^<]+)</strong>\s*Class Loader:\s*<strong>([^<]+)</strong>", i))
+    part = lambda i: F.trim(F.regexp_extract("html", COMPONENT_FIGURES, i))
     return pages.where(part(1) != "").select("report_id", parse_size(part(1)).alias("size"), parse_count(part(2)).alias("classes"), parse_count(part(3)).alias("objects"), part(4).alias("loader"))
 
 
@@ -205,19 +213,18 @@ def inner_tables(pages: DataFrame) -> DataFrame:
 def findings(pages: DataFrame) -> DataFrame:
     """Numbered findings of a page: plain text without what follows a finding, at least 31 characters, the first five, each
     cut to 2,000. A page without any is one finding if it has more than 100 characters."""
-    section = r"(?is)(?:Problem|Suspect)\s*\d+[^<]*<.*?>(.*?)(?=(?:Problem|Suspect)\s*\d+|$)"
     clean = lambda c: F.trim(F.regexp_replace(H.plain(c), FOOTER, ""))
-    own = F.slice(F.filter(F.transform(F.regexp_extract_all("html", F.lit(section), F.lit(1)), lambda s: F.struct(clean(s).alias("text"), s.alias("raw"))), lambda s: F.length(s["text"]) > 30), 1, FINDINGS)
+    own = F.slice(F.filter(F.transform(F.regexp_extract_all("html", F.lit(NUMBERED), F.lit(1)), lambda s: F.struct(clean(s).alias("text"), s.alias("raw"))), lambda s: F.length(s["text"]) > 30), 1, FINDINGS)
     whole = F.when(F.length(clean(F.col("html"))) > 100, F.array(F.struct(clean(F.col("html")).alias("text"), F.col("html").alias("raw")))).otherwise(F.array().cast("array<struct<text: string, raw: string>>"))
     rows = pages.withColumn("own", own).withColumn("every", F.when(F.size("own") > 0, F.col("own")).otherwise(whole))
     rows = rows.select("report_id", (F.size("own") > 0).alias("numbered"), F.posexplode("every").alias("pos", "f"))
-    return rows.select("report_id", "pos", F.when(F.col("numbered"), F.concat(F.lit("Suspect #"), (F.col("pos") + 1).cast("string"))).otherwise("Leak Analysis").alias("title"), F.substring(F.col("f.text"), 1, FINDING_CHARS).alias("description"), keywords(F.col("f.raw")).alias("keywords"), stack_page(F.col("f.raw"), r"See\s+stacktrace").alias("stack_page"), stack_page(F.col("f.raw"), r"See\s+stacktrace\s+with\s+involved\s+local\s+variables").alias("locals_page"))
+    return rows.select("report_id", "pos", F.when(F.col("numbered"), F.concat(F.lit("Suspect #"), (F.col("pos") + 1).cast("string"))).otherwise("Leak Analysis").alias("title"), F.substring(F.col("f.text"), 1, FINDING_CHARS).alias("description"), keywords(F.col("f.raw")).alias("keywords"), stack_page(F.col("f.raw"), STACK_LINK).alias("stack_page"), stack_page(F.col("f.raw"), LOCALS_LINK).alias("locals_page"))
 
 
 def keywords(raw: Column) -> Column:
     """Distinct items of keyword lists, in order."""
-    blocks = F.regexp_extract_all(raw, F.lit(r"(?is)<strong>\s*Keywords\s*</strong>\s*</p>\s*<ul[^>]*>(.*?)</ul>"), F.lit(1))
-    items = F.flatten(F.transform(blocks, lambda b: F.transform(F.regexp_extract_all(b, F.lit("(?is)<li[^>]*>(.*?)</li>"), F.lit(1)), H.plain)))
+    blocks = F.regexp_extract_all(raw, F.lit(KEYWORD_LIST), F.lit(1))
+    items = F.flatten(F.transform(blocks, lambda b: F.transform(F.regexp_extract_all(b, F.lit(KEYWORD), F.lit(1)), H.plain)))
     return F.array_distinct(F.filter(items, lambda x: x != ""))
 
 
@@ -236,8 +243,8 @@ def with_keywords(explanation: Column, words: Column, label: str = "keywords: ")
 def id_near_address(pages: DataFrame) -> DataFrame:
     """The loader id in the first row of a page that holds its ``wanted`` address; -1 without one."""
     rows = H.table_rows(F.col("html"))
-    near = F.filter(rows, lambda r: F.lower(r).contains(F.lower("wanted")) & r.rlike(r"(?i)classLoaderId(?:\+%3D\+|\s*=\s*)\d+"))
-    found = F.regexp_extract(F.get(near, F.lit(0)), r"(?i)classLoaderId(?:\+%3D\+|\s*=\s*)(\d+)", 1)
+    near = F.filter(rows, lambda r: F.lower(r).contains(F.lower("wanted")) & r.rlike(LOADER_ID))
+    found = F.regexp_extract(F.get(near, F.lit(0)), LOADER_ID, 1)
     return pages.select("report_id", F.coalesce(found.try_cast("long"), F.lit(-1)).alias("loader_id"))
 
 
