@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlens.llm import byte_bpe, count_tree_join, katz, licenses, mixing, order_minhash, quality, simple8b, url_trust, warc
+from cinderlens.llm import byte_bpe, count_tree_join, katz, licenses, merkle, mixing, order_minhash, quality, simple8b, url_trust, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": lambda s, d: warc.capture_digest(_pages(s, d)),
     "op9_byte_bpe": lambda s, d: byte_bpe.token_digest(_documents(s, d), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
     "op10_ngram_jaccard_join": lambda s, d: count_tree_join.near_copies(_documents(s, d)),
+    "op12_merkle_manifest": lambda s, d: merkle.manifest(_documents(s, d)),
 }
 
-ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
