@@ -5,7 +5,7 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).parent.parent.parent), str(Path(__file__).parent)]
 
-from conftest_rows import DOC_SCHEMA, PAGE_SCHEMA, document_rows, page_rows
+from conftest_rows import DOC_SCHEMA, LABEL_SCHEMA, PAGE_SCHEMA, TURN_SCHEMA, document_rows, label_rows, page_rows, turn_rows
 
 
 @pytest.fixture(scope="session")
@@ -14,6 +14,8 @@ def tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(document_rows(), DOC_SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(page_rows(), PAGE_SCHEMA).repartition(3).write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(label_rows(), LABEL_SCHEMA).repartition(3).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(turn_rows(), TURN_SCHEMA).repartition(3).write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -22,6 +24,8 @@ def empty_tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], DOC_SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], PAGE_SCHEMA).write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([], LABEL_SCHEMA).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], TURN_SCHEMA).write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 

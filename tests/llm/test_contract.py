@@ -9,7 +9,7 @@ import zlib
 
 import public_tokenizers
 import pytest
-from conftest_rows import document_rows, page_rows
+from conftest_rows import document_rows, page_rows, turn_rows
 
 from cinderlens.llm.queries import QUERIES
 
@@ -27,7 +27,8 @@ def by_id(rows, key="doc_id"):
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_a_row_for_each_row(results, name):
-    assert len(results(name)) == len(page_rows() if name.startswith(("op1_", "op8_")) else DOCS)
+    rows = {"op1": page_rows(), "op8": page_rows(), "op11": {r[0] for r in turn_rows()}}.get(name.partition("_")[0], DOCS)
+    assert len(results(name)) == len(rows)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
