@@ -1,28 +1,17 @@
-"""Text retrieval: chunks, context under a budget, keyword search by BM25, and nearest vectors.
-
-The search for vectors takes every row whose id is divisible by 100 as a query, against all rows, block by block; the
-search for words takes every benchmark item."""
+"""Text retrieval: chunks, contexts of searches under a budget, and the text field of a document."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinderlens.operators.search import SCORES_SQL, search_keyword
 from cinderlens.sources.tables import load
 
 #: Characters of a chunk, overlap, chunks of a document, characters of a context, hits; fixed values.
 CHUNK, OVERLAP, PER_DOC, BUDGET, HITS = 800, 120, 3, 6000, 3
-MOST_HITS = 20
-TOP = 10
-K1, B = 1.2, 0.75
-#: Words of a query that are searched for: its rarest ones.
-QUERY_WORDS = 5
-#: Queries and vectors of a block.
-QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
+#: What pieces are trimmed of: all characters up to the space; fixed value.
+TRIMMED = "".join(map(chr, range(33)))
 
 
 # ---- chunks
@@ -52,7 +41,7 @@ def _folded(pieces: Column, add, size: int, overlap: int, cut_at: float, cut) ->
         long = F.length(joined) > cut_at
         return F.struct(F.when(long, F.concat(done, cut(joined))).otherwise(done).alias("done"), F.when(long, "").otherwise(joined).alias("open"), F.when(long | fits, F.when(long, "").otherwise(tail)).otherwise(closed).alias("tail"))
 
-    return F.aggregate(F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != ""), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    return F.aggregate(F.filter(F.transform(pieces, lambda x: F.trim(x, F.lit(TRIMMED))), lambda x: x != ""), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
 
 def paragraph_chunks(text: Column, size: int = CHUNK) -> Column:
@@ -69,16 +58,26 @@ def sentence_chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) ->
 STRATEGIES = {"fixed": fixed_chunks, "paragraph": lambda t, size, overlap: paragraph_chunks(t, size), "sentence": sentence_chunks}
 
 
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def chunks(text: Column, strategy: str = "fixed", size: int = CHUNK, overlap: int = OVERLAP, most: int | None = None) -> Column:
-    """Chunks of a trimmed text by a strategy (any other name is the fixed one); with ``most`` only so many."""
-    clean = F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Chunks of a text by a strategy (any other name is the fixed one); with ``most`` only so many."""
+    return chunks_of(trimmed(text), strategy, size, overlap, most)
+
+
+def chunks_of(clean: Column, strategy: str = "fixed", size: int = CHUNK, overlap: int = OVERLAP, most: int | None = None) -> Column:
+    """``chunks`` of a text that is trimmed already. The text is read once for each chunk, so it should be a column."""
     out = F.when(F.coalesce(clean, F.lit("")) == "", F.array().cast("array<string>")).otherwise(STRATEGIES.get(strategy.lower(), fixed_chunks)(clean, size, overlap))
     return F.slice(out, 1, most) if most else out
 
 
 def chunk_query(strategy: str, most: int | None = None):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = load(spark, d, "documents").select("doc_id", F.posexplode(chunks(F.col("text"), strategy, most=most)).alias("chunk", "text"))
+        # trimmed once, as a column of its own
+        rows = load(spark, d, "documents").select("doc_id", trimmed(F.col("text")).alias("clean"))
+        rows = rows.select("doc_id", F.posexplode(chunks_of(F.col("clean"), strategy, most=most)).alias("chunk", "text"))
         return rows.select("doc_id", "chunk", F.length("text").alias("chars"), F.md5("text").alias("md5"))
 
     return run
@@ -102,74 +101,15 @@ def context_pack(hits: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def context_query(spark: SparkSession, d: str) -> DataFrame:
-    """Contexts of the documents of ids divisible by 100, whose hits are the next three documents."""
-    docs = load(spark, d, "documents").select("doc_id", "text")
-    wanted = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.explode(F.sequence(F.lit(1), F.lit(HITS))).alias("hit"))
-    found = wanted.join(docs, F.col("query") + F.col("hit") == F.col("doc_id"))
-    pieces = chunks(F.col("text"), most=PER_DOC)
+    """Contexts of all benchmark items from the best documents for their words."""
+    docs = load(spark, d, "documents").select("doc_id", trimmed(F.col("text")).alias("clean"))
+    found = search_keyword(spark, d, HITS).select("query", F.col("rank").alias("hit"), "doc_id").join(docs, "doc_id")
+    pieces = chunks_of(F.col("clean"), most=PER_DOC)
     rows = found.select("query", "hit", F.size(pieces).alias("of"), F.posexplode(pieces).alias("chunk", "text"))
     return context_pack(rows.where("text <> ''"))
 
 
-# ---- search
-
-
-def clamp_hits(k: int) -> int:
-    return min(max(k, 1), MOST_HITS)
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def search_keyword(spark: SparkSession, d: str, k: int = TOP, least: float = 0.0) -> DataFrame:
-    """The best documents by BM25 for each query: the distinct words of a benchmark item, of which those that fewest
-    documents hold are searched for (ties by the word). Documents send a row per word that a query holds."""
-    k = clamp_hits(k)
-    items = load(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    docs = load(spark, d, "documents").select("doc_id", _words(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    totals = docs.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    counts = docs.select("doc_id", "len", F.explode("w").alias("word")).join(items.select("word").distinct(), "word", "left_semi").groupBy("doc_id", "len", "word").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("word").agg(F.count("*").alias("df"))
-    asked = items.join(df, "word").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("df", "word"))).where(F.col("rank") <= QUERY_WORDS)
-    # totals is one row
-    rows = counts.join(asked, "word").crossJoin(F.broadcast(totals))
-    norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    part = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = rows.groupBy("query", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    scored = scored.where(F.col("score") >= least) if least > 0 else scored
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "doc_id", "rank", "score")
-
-
-def _packed(rows: DataFrame, size: int, ids: str, values: str) -> DataFrame:
-    """Blocks of about ``size`` vectors: their ids and their numbers one behind the other."""
-    blocks = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("vec_id").alias(ids), F.flatten(F.collect_list("v")).alias(values)).drop("block")
-
-
-def search_knn(spark: SparkSession, d: str, k: int = TOP) -> DataFrame:
-    """The nearest vectors by cosine for each vector of an id divisible by 100, in double precision, itself left out.
-    Blocks of queries meet blocks of vectors, and each pair of blocks sends the best of the block for each query."""
-    k = clamp_hits(k)
-    rows = load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    pairs = _packed(rows.where("vec_id % 100 = 0"), QUERY_BLOCK, "qs", "qv").crossJoin(_packed(rows, VECTOR_BLOCK, "ids", "values"))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qs, qv, ids, values = (batch.column(c)[i].values.to_numpy() for c in range(4))
-                unit = lambda v, n: v.reshape(n, -1) / np.linalg.norm(v.reshape(n, -1), axis=1, keepdims=True)
-                score = np.round(unit(qv, len(qs)) @ unit(values, len(ids)).T, 6)
-                score[qs[:, None] == ids[None, :]] = -np.inf
-                # with the ties of the last place, which the ids settle later
-                least = np.partition(score, -min(k, len(ids)), axis=1)[:, -min(k, len(ids)), None]
-                q, at = np.nonzero((score >= least) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(ids[at]), pa.array(score[q, at])], ["query", "vec_id", "score"])
-
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = pairs.mapInArrow(nearest, "query long, vec_id long, score double")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "vec_id", "rank", "score")
+# ---- fields
 
 
 def content_of(source: Column, preferred: str | None = None) -> Column:
@@ -184,30 +124,21 @@ def content_query(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", content_of(source, "title").alias("content"))
 
 
-_PIECES = f"""t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
- f AS (SELECT doc_id, unnest(range(0, CAST(greatest(ceil((length(t) - {CHUNK}) / {CHUNK - OVERLAP}), 0) AS BIGINT) + 1)) AS chunk, t FROM t WHERE t <> ''),
- c AS (SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, substring(t, chunk * {CHUNK - OVERLAP} + 1, {CHUNK}) AS text FROM f)"""
-_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_PIECES = f"""whole AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+ cut AS (SELECT doc_id, unnest(range(0, CAST(greatest(ceil((length(t) - {CHUNK}) / {CHUNK - OVERLAP}), 0) AS BIGINT) + 1)) AS chunk, t FROM whole WHERE t <> ''),
+ pieces AS (SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, substring(t, chunk * {CHUNK - OVERLAP} + 1, {CHUNK}) AS text FROM cut)"""
 QUERIES = {
-    "chunk_fixed": (chunk_query("fixed"), f"WITH {_PIECES} SELECT doc_id, chunk, CAST(length(text) AS INTEGER) AS chars, md5(text) AS md5 FROM c"),
-    "chunk_capped": (chunk_query("other", PER_DOC), f"WITH {_PIECES} SELECT doc_id, chunk, CAST(length(text) AS INTEGER) AS chars, md5(text) AS md5 FROM c WHERE chunk < {PER_DOC}"),
+    "chunk_fixed": (chunk_query("fixed"), f"WITH {_PIECES} SELECT doc_id, chunk, CAST(length(text) AS INTEGER) AS chars, md5(text) AS md5 FROM pieces"),
+    "chunk_capped": (chunk_query("other", PER_DOC), f"WITH {_PIECES} SELECT doc_id, chunk, CAST(length(text) AS INTEGER) AS chars, md5(text) AS md5 FROM pieces WHERE chunk < {PER_DOC}"),
     "chunk_paragraph": (chunk_query("paragraph"), None),
     "chunk_sentence": (chunk_query("sentence"), None),
     "context_pack": (
         context_query,
-        f"""WITH {_PIECES}, h AS (SELECT doc_id // 100 * 100 AS query, CAST(doc_id % 100 AS INTEGER) AS hit, chunk, text, count(*) OVER (PARTITION BY doc_id) AS n FROM c WHERE doc_id % 100 BETWEEN 1 AND {HITS} AND chunk < {PER_DOC}),
- q AS (SELECT *, length('--- Source ' || hit || CASE WHEN n > 1 THEN '.' || chunk + 1 ELSE '' END || ' ---') + 1 AS head FROM h JOIN (SELECT doc_id FROM documents WHERE doc_id % 100 = 0) ON doc_id = query),
+        f"""WITH {_PIECES}, {SCORES_SQL}, r AS (SELECT query, doc_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INTEGER) AS hit FROM s QUALIFY hit <= {HITS}),
+ h AS (SELECT query, hit, chunk, text, count(*) OVER (PARTITION BY query, hit) AS n FROM r JOIN pieces USING (doc_id) WHERE chunk < {PER_DOC}),
+ q AS (SELECT *, length('--- Source ' || hit || CASE WHEN n > 1 THEN '.' || chunk + 1 ELSE '' END || ' ---') + 1 AS head FROM h),
  u AS (SELECT *, sum(head + length(text) + 2) OVER w AS upto, row_number() OVER w AS rn FROM q WINDOW w AS (PARTITION BY query ORDER BY hit, chunk))
  SELECT query, hit, chunk, CAST(CASE WHEN upto <= {BUDGET} THEN head + length(text) + 2 ELSE head + least(length(text), {BUDGET} - head - 4) + 5 END AS INTEGER) AS chars FROM u WHERE upto <= {BUDGET} OR rn = 1""",
     ),
-    "search_keyword": (
-        search_keyword,
-        f"""WITH i AS (SELECT item_id AS query, unnest(list_distinct({_WORDS})) AS word FROM benchmark), w AS (SELECT doc_id, {_WORDS} AS w FROM documents), t AS (SELECT count(*) AS docs, avg(len(w)) AS avg_len FROM w),
- c AS (SELECT doc_id, len, word, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS word FROM w) WHERE word IN (SELECT word FROM i) GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM c GROUP BY 1),
- a AS (SELECT query, word, df FROM i JOIN f USING (word) QUALIFY row_number() OVER (PARTITION BY query ORDER BY df, word) <= {QUERY_WORDS}),
- s AS (SELECT query, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * len / avg_len))), 6) AS score FROM c JOIN a USING (word), t GROUP BY 1, 2)
- SELECT query, doc_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INTEGER) AS rank, score FROM s QUALIFY rank <= {TOP}""",
-    ),
-    "search_knn": (search_knn, f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e JOIN e q ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) SELECT query, vec_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, score FROM s QUALIFY rank <= {TOP}"),
     "content_fallback": (content_query, "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'b' || event_id WHEN 1 THEN 't' || event_id WHEN 2 THEN 'own' ELSE '{\"n\":' || event_id || '}' END AS content FROM events"),
 }

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cinderlens.functions import scalars
-from cinderlens.operators import classify, detections, diffs, extract, records, reports, retrieval, tools
+from cinderlens.operators import classify, detections, diffs, extract, records, reports, retrieval, search, tools
 from cinderlens.streaming import ingest
 
-_PARTS = (detections, diffs, records, retrieval, scalars, reports, extract, classify, tools, ingest)
+_PARTS = (detections, diffs, records, retrieval, search, scalars, reports, extract, classify, tools, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,9 @@ import pytest
 
 from cinderlens.operators.retrieval import chunks
 
+LOW = "".join(map(chr, range(33)))
+SPACES = " \t\n\x0b\f\r"
+
 
 def fixed(text, size, overlap):
     out, at = [], 0
@@ -19,7 +22,7 @@ def fixed(text, size, overlap):
 
 def paragraphs(text, size, _):
     out, open_ = [], ""
-    for p in filter(None, (x.strip(" ") for x in re.split(r"\n{2,}", text))):
+    for p in filter(None, (x.strip(LOW) for x in re.split(r"\n{2,}", text))):
         if open_ and len(open_) + 2 + len(p) > size:
             out.append(open_)
             open_ = p
@@ -33,7 +36,7 @@ def paragraphs(text, size, _):
 
 def sentences(text, size, overlap):
     out, open_, tail = [], "", ""
-    for s in filter(None, (x.strip(" ") for x in re.split(r"(?<=[.!?。？！])\s+", text))):
+    for s in filter(None, (x.strip(LOW) for x in re.split(rf"(?<=[.!?。？！])[{SPACES}]+", text))):
         if not open_:
             open_ = f"{tail} {s}" if tail else s
         elif len(open_) + 1 + len(s) <= size:
@@ -52,8 +55,8 @@ def sentences(text, size, overlap):
 def test_chunks(spark, strategy, brute):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 12)))
-    texts = ["", "  ", "one", "a" * 200, *("".join(word() + rng.choice([" ", " ", ". ", "! ", "\n", "\n\n", ".\n\n\n"]) for _ in range(rng.randrange(1, 90))) for _ in range(60))]
+    texts = ["", "  ", "one", "aaa\r\n\n\n\tbbb", "\x01\n\n\x02", "a" * 200, *("".join(word() + rng.choice([" ", " ", ". ", "! ", "\n", "\n\n", ".\n\n\n", "\r\n\n\n\t", "\x01\n\n", "!\t\x02"]) for _ in range(rng.randrange(1, 90))) for _ in range(60))]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {r["id"]: r["c"] for r in rows.select("id", chunks(rows["text"], strategy, 60, 9).alias("c")).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == brute(t.strip(), 60, 9), repr(t)
+        assert got[i] == brute(t.strip(SPACES), 60, 9), repr(t)
