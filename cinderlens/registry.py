@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cinderlens.functions import scalars
 from cinderlens.operators import classify, detections, diffs, extract, records, reports, retrieval, search, tools
-from cinderlens.streaming import ingest
+from cinderlens.streaming import ingest, state
 
-_PARTS = (detections, diffs, records, retrieval, search, scalars, reports, extract, classify, tools, ingest)
+_PARTS = (detections, diffs, records, retrieval, search, scalars, reports, extract, classify, tools, ingest, state)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

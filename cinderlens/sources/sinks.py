@@ -1,49 +1,38 @@
-"""Where results go: JSON by dump, staged writes, upserts as new versions of a table, exports with a limit, deletes and
-updates. A table is a folder of Parquet files; what changes it writes a new version beside it and then takes its place, so
-that a reader sees the old or the new one."""
+"""Where results go: results and sidecars by dump and upserts as versions of a table, exports with a limit, deletes and
+updates. What changes a table makes a new version of it, so that a reader sees the old or the new one."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderlens.sources.versioned import VersionedTable
+
 #: Rows of an export; fixed value.
 EXPORT_ROWS = 50_000
 
 
-def _file_system(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
+def results(spark: SparkSession, path: str, key: str = "filename") -> VersionedTable:
+    """Packed JSON, one object per row, in buckets of the key."""
+    return VersionedTable(spark, path, key, form="json", compression="gzip")
 
-def replace(df: DataFrame, path: str, form: str = "parquet", **options) -> None:
-    """Write beside ``path`` and take its place. ``df`` may read from ``path``."""
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    df.write.format(form).options(**options).save(staged)
-    new, files = _file_system(spark, staged)
-    old, _ = _file_system(spark, path)
-    files.delete(old, True)
-    if not files.rename(new, old):
-        raise OSError(f"cannot rename {staged} to {path}")
 
+def write_results(df: DataFrame, path: str, key: str = "filename") -> int:
+    """Results in place of those of the same dumps, without their logs; returns the version."""
+    return results(df.sparkSession, path, key).merge(df.drop("log"))
 
-def write_results(df: DataFrame, path: str, key: str = "filename") -> None:
-    """One JSON object per result, in a folder for each key; logs are left out, files are packed."""
-    df.drop("log").withColumn("part", F.col(key)).write.mode("overwrite").partitionBy("part").option("compression", "gzip").json(path)
 
-
-def write_sidecar(df: DataFrame, path: str, lists: list[str]) -> bool:
-    """Staged JSON, refused (False) where all lists of all rows are empty."""
+def write_sidecar(df: DataFrame, path: str, lists: list[str], key: str = "filename") -> int:
+    """Sidecars in place of those of the same dumps; one whose lists are all empty would hide what can still be worked out
+    and is refused. Returns how many were written."""
     filled = F.lit(False)
     for c in lists:
-        filled = filled | (F.size(c) > 0)
-    if df.where(filled).limit(1).count() == 0:
-        return False
-    replace(df, path, "json")
-    return True
+        filled = filled | (F.coalesce(F.size(c), F.lit(0)) > 0)
+    rows = df.where(filled)
+    n = rows.count()
+    if n:
+        results(df.sparkSession, path, key).merge(rows)
+    return n
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "filename", first: str = "analyzed_at", good: str = "SUCCESS") -> DataFrame:
@@ -54,6 +43,11 @@ def upsert(table: DataFrame, rows: DataFrame, key: str = "filename", first: str
     return table.join(rows.select(key), key, "left_anti").select(*table.columns).unionByName(new)
 
 
+def upsert_into(table: VersionedTable, rows: DataFrame) -> int:
+    """``upsert`` as a new version of a table, of which only the buckets of these rows are written."""
+    return table.merge(rows, lambda old, new: upsert(old, new, table.key))
+
+
 def insert_missing(table: DataFrame, rows: DataFrame, key: str = "filename") -> DataFrame:
     """The rows to append: those whose key the table does not hold, one of each."""
     return rows.join(table.select(key), key, "left_anti").dropDuplicates([key]).select(*table.columns)

@@ -17,9 +17,9 @@ LOG_LINES = 500
 
 
 def accepted(calls: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """The accepted ones of ``key, t, id`` (t in microseconds): at most ``limit`` of a key within the window; rejected ones
-    do not count, so what is accepted depends on earlier decisions. Keys are sorted inside partitions and a task only
-    holds the last accepted times of the key that it is at, however many calls a key has."""
+    """The accepted ones of ``key, t, id`` (t in microseconds): at most ``limit`` of a key within the window, both ends of
+    which count. Rejected ones do not count, so what is accepted depends on earlier decisions. Keys are sorted inside
+    partitions and a task only holds the last accepted times of the key that it is at, however many calls a key has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, taken = object(), deque(maxlen=limit)
@@ -28,7 +28,7 @@ def accepted(calls: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key != at:
                     at, taken = key, deque(maxlen=limit)
-                keep.append(len(taken) < limit or taken[0] <= t - window_seconds * 1_000_000)
+                keep.append(len(taken) < limit or taken[0] < t - window_seconds * 1_000_000)
                 if keep[-1]:
                     taken.append(t)
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -133,7 +133,7 @@ QUERIES = {
     "rate_limit": (
         rate_limit,
         f"""WITH c AS (SELECT user_id, list({{'t': epoch_us(ts), 'e': event_id}} ORDER BY ts, event_id) AS calls FROM events GROUP BY user_id),
- f AS (SELECT user_id, list_reduce(list_prepend(CAST([] AS STRUCT(t BIGINT, e BIGINT)[]), list_transform(calls, lambda x: [x])), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.t > x[1].t - {WINDOW_SECONDS * 1000000})) < {LIMIT} THEN list_concat(a, x) ELSE a END) AS a FROM c)
+ f AS (SELECT user_id, list_reduce(list_prepend(CAST([] AS STRUCT(t BIGINT, e BIGINT)[]), list_transform(calls, lambda x: [x])), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.t >= x[1].t - {WINDOW_SECONDS * 1000000})) < {LIMIT} THEN list_concat(a, x) ELSE a END) AS a FROM c)
  SELECT user_id, unnest(a).e AS event_id FROM f""",
     ),
     "transfer_state": (
