@@ -19,9 +19,6 @@ ERROR_HINTS = (
 BANNERS = ("*", "NOTICE", "SSH Connect")
 HINT_CHARS, STDERR_CHARS = 200, 300
 SUMMARY_CHARS = 40
-#: Elements and attributes that stay in a cleaned page.
-SAFE_ELEMENTS = ("a", "b", "br", "code", "div", "em", "h1", "h2", "h3", "h4", "h5", "i", "img", "li", "ol", "p", "pre", "span", "strong", "table", "tbody", "td", "th", "thead", "tr", "u", "ul")
-SAFE_ATTRIBUTES = ("align", "class", "colspan", "href", "id", "rowspan", "src", "title")
 
 
 def _clipped(text: Column, most: int, end: str) -> Column:
@@ -182,15 +179,3 @@ def _product32(a: Column, b: Column) -> Column:
     """The lower 32 bits of a product of two 32-bit numbers, by halves, so that no product leaves 64 bits."""
     high = (F.shiftright(a, 16) * b).bitwiseAND(F.lit((1 << 32) - 1))
     return (F.shiftleft(high, 16) + a.bitwiseAND(F.lit(0xFFFF)) * b).bitwiseAND(F.lit((1 << 32) - 1))
-
-
-def sanitized(html: Column) -> Column:
-    """A page's body with the elements and attributes that are safe; scripts and styles go with their content."""
-    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
-    out = F.when(body != "", body).otherwise(html)
-    out = F.regexp_replace(F.regexp_replace(out, r"(?is)<(script|style)\b.*?</\1\s*>", ""), r"(?s)<!--.*?-->", "")
-    out = F.regexp_replace(out, rf"(?i)</?(?!(?:{'|'.join(SAFE_ELEMENTS)})\b)[a-z][^>]*>", "")
-    kept = "|".join(SAFE_ATTRIBUTES)
-    # attributes that are not safe, one after the other inside a tag
-    out = F.regexp_replace(out, rf"""(?i)(?<=[\s"'])(?!(?:{kept})\s*=)[a-z-]+\s*=\s*(?:"[^"]*"|'[^']*')(?=[^<>]*>)""", "")
-    return F.regexp_replace(out, r"""(?i)(href|src)\s*=\s*(["'])\s*javascript:[^"']*\2""", "$1=$2#$2")

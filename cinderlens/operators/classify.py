@@ -1,21 +1,20 @@
-"""Classifiers: memory errors and which of them were thrown, findings, ordered rule tables compiled to one Column, rule
-templates, rule imports, and the middleware that a dump comes from."""
+"""Classifiers: memory errors and which of them were thrown, what findings say, rule imports, and the middleware that a dump
+comes from."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlens.functions.scalars import format_bytes
 from cinderlens.operators.extract import thread_blocks
 from cinderlens.operators.reports import _oom_page, oom_instances
 from cinderlens.plans import artifacts as A
 from cinderlens.plans.artifacts import INSTANCES_AT, OBJECTS_SQL, THREAD_SQL, text
 from cinderlens.plans.views import severity
+from cinderlens.sources.stored import new_folder, stored
 from cinderlens.sources.tables import load
 
 #: Parts of error messages and the kinds they stand for, in the order in which they are tried; fixed values.
@@ -43,6 +42,8 @@ OOM_FRAMES = (
 OOM_MESSAGES = {"NATIVE_THREAD": "unable to create new native thread", "DIRECT_BUFFER": "Direct buffer memory", "METASPACE": "Metaspace", "HEAP_SPACE": "Java heap space"}
 INFERRED = " (inferred)"
 OOM_CLASS = "java.lang.OutOfMemoryError"
+#: An error in a stack and its message, if it has one; the first one counts; fixed value.
+OOM_ERROR = r"java\.lang\.OutOfMemoryError(?::\s*([^\r\n]+))?"
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ def _any(c: Column, parts: tuple[str, ...]) -> Column:
 
 def oom_columns(stack: Column) -> dict[str, Column]:
     """Whether a stack holds a memory error, its kind, what to show for it, and whether that is inferred from frames."""
-    message = F.trim(F.regexp_extract(stack, r"java\.lang\.OutOfMemoryError:\s*([^\r\n]+)", 1))
+    message = F.trim(F.regexp_extract(stack, OOM_ERROR, 1))
     by_message = F.coalesce(*(F.when(F.lower(message).contains(k), F.lit(v)) for k, v in OOM_KEYWORDS), F.lit("UNKNOWN"))
     by_frame = F.coalesce(*(F.when(_any(stack, parts), F.lit(kind)) for kind, parts in OOM_FRAMES), F.lit("HEAP_SPACE"))
     oom = F.coalesce(stack.contains(OOM_CLASS), F.lit(False))
@@ -96,19 +97,23 @@ def oom_kind(rows: DataFrame) -> DataFrame:
 
 def oom_exact(dump: DataFrame, instances: DataFrame) -> DataFrame:
     """Threads with a memory error by what was thrown. The errors that the virtual machine keeps ready are in every heap;
-    those that a thread's locals refer to were thrown. The most frequent message of these in a report (the first one of
-    equally frequent ones, by address) stands for the threads whose stacks show an error; a thread that only stands in a
-    call that can fail so gets the message of an error among its own locals."""
+    those that a thread's locals refer to were thrown. The most frequent message of these in a report (of equally frequent
+    ones that which stands first on the page) stands for the threads whose stacks show an error; a thread that only stands
+    in a call that can fail so gets the message of an error among its own locals. ``instances``: ``report_id, address,
+    message, pos``."""
     blocks = thread_blocks(dump)
-    owned = blocks.select("report_id", "address", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("block"), F.lit("objectid=0x([0-9a-f]+)"), F.lit(1)))).alias("hex")).select("report_id", "address", F.conv("hex", 16, 10).alias("object_id"))
-    known = instances.where("message IS NOT NULL").select("report_id", F.col("address").alias("object_id"), "message")
-    thrown = owned.join(known, ["report_id", "object_id"])
-    counted = thrown.select("report_id", "object_id", "message").distinct().groupBy("report_id", "message").agg(F.count("*").alias("n"), F.min(F.col("object_id").cast("decimal(20,0)")).alias("first"))
+    c = oom_columns(F.col("stack"))
+    prone = _any(F.col("stack"), OOM_FRAMES[0][1]) | _any(F.col("stack"), OOM_FRAMES[1][1])
+    ids = F.array_distinct(F.regexp_extract_all(F.lower("block"), F.lit("objectid=0x([0-9a-f]+)"), F.lit(1)))
+    # read from the dumps once
+    rows = stored(blocks.select("report_id", "address", c["oom"].alias("seen"), c["type"].alias("inferred"), prone.alias("prone"), ids.alias("ids")), new_folder(dump.sparkSession, "threads"))
+    owned = rows.select("report_id", "address", F.explode("ids").alias("hex")).select("report_id", "address", F.conv("hex", 16, 10).alias("object_id"))
+    known = instances.where("message IS NOT NULL").select("report_id", F.col("address").alias("object_id"), "message", "pos")
+    thrown = stored(owned.join(known, ["report_id", "object_id"]), new_folder(dump.sparkSession, "thrown"))
+    counted = thrown.select("report_id", "object_id", "message", "pos").distinct().groupBy("report_id", "message").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     primary = counted.groupBy("report_id").agg(F.max_by("message", F.struct("n", -F.col("first"))).alias("exact"))
     own = thrown.groupBy("report_id", "address").agg(F.min_by("message", F.col("object_id").cast("decimal(20,0)")).alias("own"))
-    c = oom_columns(F.col("stack"))
-    rows = blocks.select("report_id", "address", c["oom"].alias("seen"), c["type"].alias("inferred"), (_any(F.col("stack"), OOM_FRAMES[0][1]) | _any(F.col("stack"), OOM_FRAMES[1][1])).alias("prone"))
-    rows = rows.join(primary, "report_id", "left").join(own, ["report_id", "address"], "left")
+    rows = rows.drop("ids").join(primary, "report_id", "left").join(own, ["report_id", "address"], "left")
     kind = F.when(F.col("seen"), F.coalesce("exact", "inferred")).when(F.col("prone"), F.col("own"))
     return rows.withColumn("type", kind).where("type IS NOT NULL").select("report_id", "address", "seen", "type")
 
@@ -168,121 +173,6 @@ def suspect_context(rows: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Rule:
-    """One row of a rule table: findings whose class, accumulator or loader has the prefix, whose text matches the pattern,
-    or that the test of one's own accepts, get the category. Rules of a stage come before those of the next one."""
-
-    id: int
-    priority: int
-    prefix: str | None
-    pattern: str | None
-    category: str
-    severity: str | None = None
-    enabled: bool = True
-    template: str = ""
-    stage: int = 0
-    test: Callable[[], Column] | None = field(default=None, compare=False)
-
-
-RULES = (
-    Rule(1, 10, "com.acme.", None, "vendor cache", "critical", template="{class_name} keeps {bytes|bytes}"),
-    Rule(2, 20, "java.util.", None, "collection", template="{instances|instances} of {class_name}{#if accumulator} in {accumulator}{#else} alone{/if}"),
-    Rule(3, 5, "org.web.", None, "session", enabled=False),
-    Rule(4, 90, None, "(?i)session", "web session", stage=1, template="{percent|percent}% {unknown}"),
-    Rule(5, 95, None, "(?i)[broken", "never", stage=1),
-    Rule(6, 99, None, ".*", "other", stage=2, template="{bytes|number} bytes"),
-)
-
-
-def active(rules: tuple[Rule, ...]) -> list[Rule]:
-    """Enabled rules by stage, priority and id, without those whose pattern is no pattern."""
-
-    def valid(r: Rule) -> bool:
-        try:
-            re.compile(r.pattern or "")
-        except re.error:
-            return False
-        return True
-
-    return sorted((r for r in rules if r.enabled and valid(r)), key=lambda r: (r.stage, r.priority, r.id))
-
-
-def compile_rules(rules: tuple[Rule, ...]) -> Column:
-    """The first rule that fits a finding's context as a struct. The table is small and becomes one expression, so no join
-    is needed."""
-    chain = []
-    for r in active(rules):
-        if r.test is not None:
-            fits = r.test()
-        elif r.prefix is not None:
-            fits = F.lit(False)
-            for c in ("class_name", "accumulator", "loader"):
-                fits = fits | F.coalesce(F.col(c).startswith(r.prefix), F.lit(False))
-        else:
-            fits = F.col("text").rlike(r.pattern)
-        hint = r.severity if r.severity else None
-        chain.append(F.when(fits, F.struct(F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(hint).cast("string").alias("hint"), render(r.template).alias("explanation"))))
-    return F.coalesce(*chain)
-
-
-def leak_rules(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings with the first rule that fits; a rule's severity overrides the computed one."""
-    c = suspect_context(rows)
-    return c.withColumn("hit", compile_rules(rules)).select("id", F.col("hit.rule").alias("rule"), F.col("hit.category").alias("category"), F.coalesce("hit.hint", "severity").alias("severity"), F.col("hit.explanation").alias("explanation"))
-
-
-#: Variables of templates; anything else is empty.
-VARIABLES = ("instances", "class_name", "loader", "bytes", "percent", "accumulator", "accumulator_bytes", "referrer", "severity", "is_high", "is_very_high", *(f"is_{f}" for f in FLAGS))
-FILTERS: dict[str, Callable[[Column], Column]] = {
-    "bytes": lambda c: format_bytes(c.cast("long")),
-    "instances": lambda c: F.when(c == 1, "one instance").otherwise(F.concat(F.format_string("%,d", c.cast("long")), F.lit(" instances"))),
-    "number": lambda c: F.format_string("%,d", c.cast("long")),
-    "percent": lambda c: F.format_string("%.1f", c.cast("double")),
-}
-
-
-def _value(name: str, by: str | None) -> Column:
-    if name not in VARIABLES:
-        return F.lit("")
-    c = F.col(name)
-    return F.coalesce(F.when(c.isNotNull(), FILTERS[by](c)) if by in FILTERS else c.cast("string"), F.lit(""))
-
-
-def _truth(name: str) -> Column:
-    if name not in VARIABLES:
-        return F.lit(False)
-    return F.coalesce(~F.col(name).cast("string").isin("", "0", "0.0", "false"), F.lit(False))
-
-
-def render(template: str) -> Column:
-    """The text of a template over a finding's context. ``{name}`` is a value, ``{name|filter}`` a formatted one, and
-    ``{#if name}..{#else}..{/if}`` a choice; an opening brace without an end stands for itself. The template is read here,
-    once, and becomes one expression."""
-    pieces = re.split(r"\{([^}]*)\}", template)
-    # literals and tags alternate
-    stack: list[list] = [[]]
-    choices: list[tuple[str, list | None]] = []
-    for i, piece in enumerate(pieces):
-        if i % 2 == 0:
-            stack[-1].append(F.lit(piece))
-        elif piece.startswith("#if "):
-            choices.append((piece[4:].strip(), None))
-            stack.append([])
-        elif piece == "#else" and choices:
-            choices[-1] = (choices[-1][0], stack.pop())
-            stack.append([])
-        elif piece == "/if" and choices:
-            (name, first), last = choices.pop(), stack.pop()
-            then, other = (last, []) if first is None else (first, last)
-            stack[-1].append(F.when(_truth(name), F.concat(F.lit(""), *then)).otherwise(F.concat(F.lit(""), *other)))
-        else:
-            name, _, by = piece.partition("|")
-            stack[-1].append(_value(name.strip(), by.strip() or None))
-    # a choice without an end is as if it were not one
-    return F.concat(F.lit(""), *(c for part in stack for c in part))
-
-
 def rule_import(file: DataFrame, existing: DataFrame, mode: str = "append", repeated: str = "overwrite") -> DataFrame:
     """What an import does with each rule: ``key, id, action, value``. ``file``: ``key, pos, value``; ``existing``: ``key,
     id``. ``replace`` deletes all and inserts; ``append`` inserts all, or with ``skip`` or ``overwrite`` takes the last one
@@ -297,14 +187,6 @@ def rule_import(file: DataFrame, existing: DataFrame, mode: str = "append", repe
     return last.join(first, "key", "left").select("key", "id", F.when(F.col("id").isNull(), "insert").otherwise("skip" if repeated == "skip" else "update").alias("action"), "value")
 
 
-def rule_export(rules: tuple[Rule, ...], spark: SparkSession, kind: str = "library", version: int = 1) -> DataFrame:
-    """One JSON text with the version, the kind, the number of rules and the rules."""
-    rows = spark.createDataFrame([(r.id, r.priority, r.prefix, r.pattern, r.category, r.severity, r.enabled) for r in rules], "id int, priority int, prefix string, pattern string, category string, severity string, enabled boolean")
-    # rule tables are small
-    listed = F.array_sort(F.collect_list(F.struct(*rows.columns)))
-    return rows.agg(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(kind).alias("type"), F.count("*").alias("count"), listed.alias("rules"))).alias("json"))
-
-
 # ---- middleware
 
 
@@ -362,7 +244,6 @@ _CTX = f"""c AS (SELECT report_id * 64 + ordinal AS id, part % 5 AS k, part, sup
  x AS (SELECT id, k, CASE WHEN said THEN n END AS instances, CASE WHEN k = 0 THEN 'com.acme.Cache' || supp WHEN k = 1 THEN 'java.util.HashMap' WHEN k = 2 THEN 'org.web.Session' || supp WHEN k = 3 THEN 'app.Reader' || supp END AS class_name, CASE WHEN k = 3 THEN 'com.acme.Loader' WHEN said THEN 'app' END AS loader, CASE WHEN said THEN retained END AS bytes, CASE WHEN said THEN pct ELSE 0 END AS percent,
  CASE WHEN said AND part % 2 = 0 THEN 'java.util.Map' || supp END AS accumulator, CASE WHEN said AND part % 2 = 0 THEN shallow END AS accumulator_bytes, CASE WHEN said AND part % 2 = 1 THEN 'Holder' END AS referrer FROM c),
  s AS (SELECT *, CASE WHEN percent >= 50 THEN 'critical' WHEN percent >= 25 THEN 'high' WHEN percent >= 10 THEN 'medium' WHEN percent > 0 THEN 'low' ELSE 'medium' END AS severity FROM x)""".replace("{objects}", "objects")
-_RULED = """r AS (SELECT *, CASE WHEN k IN (0, 3) THEN 1 WHEN k = 1 OR starts_with(accumulator, 'java.util.') THEN 2 WHEN k = 2 THEN 4 ELSE 6 END AS rule FROM s)"""
 
 
 def _error_threads(spark: SparkSession, d: str) -> DataFrame:
@@ -392,9 +273,9 @@ def _middleware(spark: SparkSession, d: str) -> DataFrame:
 
 
 _THROWN = f"""t AS (SELECT report_id, {THREAD_SQL} AS address, part, supp, part % 8 AS k, CASE WHEN part % 3 <> 0 THEN supp END AS local FROM objects),
- i AS (SELECT report_id, supp, max_by(coalesce(CASE WHEN part % 4 <> 0 THEN 'Java heap space ' || part % 3 END, '-'), ordinal) AS message FROM objects WHERE part % 9 <> 0 GROUP BY 1, 2),
- h AS (SELECT t.report_id, t.address, i.supp, message FROM t JOIN i ON t.report_id = i.report_id AND t.local = i.supp WHERE message <> '-'),
- n AS (SELECT report_id, message, count(*) AS n, min(supp) AS first FROM (SELECT DISTINCT report_id, supp, message FROM h) GROUP BY 1, 2),
+ i AS (SELECT report_id, supp, max_by(coalesce(CASE WHEN part % 4 <> 0 THEN 'Java heap space ' || part % 3 END, '-'), ordinal) AS message, min(ordinal) AS place FROM objects WHERE part % 9 <> 0 GROUP BY 1, 2),
+ h AS (SELECT t.report_id, t.address, i.supp, message, place FROM t JOIN i ON t.report_id = i.report_id AND t.local = i.supp WHERE message <> '-'),
+ n AS (SELECT report_id, message, count(*) AS n, min(place) AS first FROM (SELECT DISTINCT report_id, supp, message, place FROM h) GROUP BY 1, 2),
  p AS (SELECT report_id, arg_min(message, (-n, first)) AS exact FROM n GROUP BY 1), w AS (SELECT report_id, address, min_by(message, supp) AS own FROM h GROUP BY 1, 2),
  e AS (SELECT t.report_id, t.address, t.supp, k IN (0, 2, 3, 5, 6) AS seen, CASE WHEN k IN (0, 2, 3, 5, 6) THEN coalesce(exact, CASE k WHEN 0 THEN 'unable to create new native thread (inferred)' WHEN 2 THEN 'GC overhead limit exceeded' WHEN 3 THEN 'Java heap space (inferred)' WHEN 5 THEN 'Metaspace (inferred)' ELSE 'something odd' END) WHEN k = 1 THEN own END AS type
  FROM t LEFT JOIN p ON t.report_id = p.report_id LEFT JOIN w ON t.report_id = w.report_id AND t.address = w.address)"""
@@ -405,11 +286,7 @@ QUERIES = {
     "oom_exact": (lambda s, d: oom_exact(A.thread_dump(s, d), oom_instances(_oom_page(s, d))), f"WITH {OBJECTS_SQL}, {_THROWN} SELECT report_id, address, seen, type FROM e WHERE type IS NOT NULL"),
     "oom_summary": (lambda s, d: oom_summary(_error_threads(s, d)), f"WITH {OBJECTS_SQL}, {_THROWN}, k AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY address) AS nth FROM e WHERE type IS NOT NULL) SELECT report_id, count(*) AS threads, min_by(type, nth) AS first_type, string_agg('worker-' || supp, ',' ORDER BY nth) FILTER (nth <= 5) AS names, greatest(count(*) - 5, 0) AS left FROM k GROUP BY 1"),
     "suspect_context": (lambda s, d: suspect_context(_sentences(s, d)).drop("text"), f"WITH {OBJECTS_SQL}, {_CTX} SELECT id, instances, class_name, loader, bytes, percent, accumulator, accumulator_bytes, referrer, severity, percent >= 30 AS is_high, percent >= 50 AS is_very_high, {_FLAG_SQL} FROM s"),
-    "leak_rules": (lambda s, d: leak_rules(_sentences(s, d)).drop("explanation"), f"WITH {OBJECTS_SQL}, {_CTX}, {_RULED} SELECT id, rule, CASE rule WHEN 1 THEN 'vendor cache' WHEN 2 THEN 'collection' WHEN 4 THEN 'web session' ELSE 'other' END AS category, CASE WHEN rule = 1 THEN 'critical' ELSE severity END AS severity FROM r"),
-    "rule_render": (lambda s, d: leak_rules(_sentences(s, d)).where("rule <> 1").select("id", "explanation"), f"WITH {OBJECTS_SQL}, {_CTX}, {_RULED} SELECT id, CASE rule WHEN 2 THEN CASE WHEN instances = 1 THEN 'one instance' ELSE format('{{:,}}', instances) || ' instances' END || ' of ' || class_name || CASE WHEN accumulator IS NULL THEN ' alone' ELSE ' in ' || accumulator END WHEN 4 THEN printf('%.1f', percent) || '% ' ELSE coalesce(format('{{:,}}', bytes), '') || ' bytes' END AS explanation FROM r WHERE rule <> 1"),
-    "rules_active": (lambda s, d: s.createDataFrame([(i, r.id) for i, r in enumerate(active(RULES))], "place int, id int"), None),
     "rule_import": (lambda s, d: rule_import(_rule_file(s, d), _rule_table(s, d)), "SELECT f.key, id, CASE WHEN id IS NULL THEN 'insert' ELSE 'update' END AS action, value FROM (SELECT o_custkey, 'com.k' || o_custkey || '.' AS key, max_by(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY 1, 2) f LEFT JOIN (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0) e ON o_custkey = id"),
-    "rule_export": (lambda s, d: rule_export(RULES, s), None),
     "middleware": (
         _middleware,
         f"""WITH {OBJECTS_SQL}, l AS (SELECT report_id, count(*) FILTER (part % 6 = 0) * 2 AS tomcat, count(*) FILTER (part % 6 = 1) AS weblogic, count(*) FILTER (part % 6 = 2) AS undertow, count(*) FILTER (part % 6 = 3) AS jeus FROM objects GROUP BY 1),

@@ -27,9 +27,11 @@ COMPONENT_FIGURES = r"(?is)Size:\s*<strong>([^<]+)</strong>\s*Classes:\s*<strong
 NUMBERED = r"(?is)(?:Problem|Suspect)\s*\d+[^<]*<.*?>(.*?)(?=(?:Problem|Suspect)\s*\d+|$)"
 KEYWORD_LIST = r"(?is)<strong>\s*Keywords\s*</strong>\s*</p>\s*<ul[^>]*>(.*?)</ul>"
 KEYWORD = "(?is)<li[^>]*>(.*?)</li>"
+SECTION_HEADING = r'(?is)<h([2-5])\s+id="(i\d+)"[^>]*>(.*?)</h\1>'
 LOADER_ID = r"(?i)classLoaderId(?:\+%3D\+|\s*=\s*)(\d+)"
 STACK_LINK, LOCALS_LINK = r"See\s+stacktrace", r"See\s+stacktrace\s+with\s+involved\s+local\s+variables"
-REF_CAP = 3
+#: References of an object, and classes of a loader, that are read; fixed values.
+REF_CAP, CLASS_CAP = 50, 500
 
 
 def row_cells(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -51,25 +53,28 @@ def dominator_rows(pages: DataFrame) -> DataFrame:
     return rows.withColumn("class_name", name).where("class_name <> ''").select("report_id", "class_name", H.address(_cell(0)).alias("address"), H.lenient(H.plain(_cell(1))).alias("shallow"), H.lenient(H.plain(_cell(2))).alias("retained"), percent.alias("percent"), H.is_loader(F.col("class_name")).alias("loader"))
 
 
-def reference_rows(pages: DataFrame, cap: int = REF_CAP, class_col: int = 0, shallow_col: int = 1, retained_col: int = 2) -> DataFrame:
-    """At most ``cap`` references of a page, in order; tree drawing before a name is removed."""
+def reference_rows(pages: DataFrame, cap: int = REF_CAP, keys: tuple[str, ...] = ("report_id",), class_col: int = 0, shallow_col: int = 1, retained_col: int = 2) -> DataFrame:
+    """At most ``cap`` references of a page (one per ``keys``), in order; tree drawing before a name is removed."""
     need = max(class_col, shallow_col, retained_col) + 1
     rows = row_cells(pages).where(F.size("cells") >= need).withColumn("first", H.plain(_cell(class_col))).where("first NOT LIKE 'Total:%'")
     bare = F.regexp_replace(H.class_name(F.col("first")), r"^[\s+|.\\»›]+", "")
     name = F.trim(F.replace(F.when(bare.startswith("class "), F.trim(F.substring(bare, 7, 1 << 30))).otherwise(bare), F.lit("System Class"), F.lit("")))
     rows = rows.withColumn("class_name", name).where("class_name <> ''")
-    w = Window.partitionBy("report_id").orderBy("pos")
+    w = Window.partitionBy(*keys).orderBy("pos")
     rows = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap)
-    return rows.select("report_id", "nth", "class_name", H.lenient(H.plain(_cell(shallow_col))).alias("shallow"), H.lenient(H.plain(_cell(retained_col))).alias("retained"))
+    return rows.select(*keys, "nth", "class_name", H.address(_cell(class_col)).alias("address"), H.lenient(H.plain(_cell(shallow_col))).alias("shallow"), H.lenient(H.plain(_cell(retained_col))).alias("retained"))
 
 
-def loaded_classes(pages: DataFrame) -> DataFrame:
-    """Classes of a loader; the columns of both sizes are found by the header, and are the second and third without it."""
+def loaded_classes(pages: DataFrame, cap: int = CLASS_CAP) -> DataFrame:
+    """The first ``cap`` classes of a loader; the columns of both sizes are found by the header, and are the second and third
+    without it."""
     heads = F.transform(H.header_cells(F.col("html")), F.lower)
     at = lambda word, default: F.coalesce(F.array_max(F.transform(heads, lambda h, i: F.when(h.contains(word), i))), F.lit(default))
     found = row_cells(pages.select("*", at("shallow", 1).alias("s"), at("retained", 2).alias("r")))
     found = found.where(F.size("cells") > F.greatest("s", "r")).withColumn("first", H.plain(_cell(0))).where("first NOT LIKE 'Total:%' AND first <> ''")
-    return found.select("report_id", H.object_class(F.col("first")).alias("class_name"), H.lenient(H.plain(F.get("cells", F.col("s")))).alias("shallow"), H.lenient(H.plain(F.get("cells", F.col("r")))).alias("retained")).where("class_name <> ''")
+    found = found.withColumn("class_name", H.object_class(F.col("first"))).where("class_name <> ''")
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("report_id").orderBy("pos"))).where(F.col("nth") <= cap)
+    return found.select("report_id", "nth", "class_name", H.address(_cell(0)).alias("address"), H.lenient(H.plain(F.get("cells", F.col("s")))).alias("shallow"), H.lenient(H.plain(F.get("cells", F.col("r")))).alias("retained"))
 
 
 def histogram_rows(pages: DataFrame) -> DataFrame:
@@ -171,21 +176,38 @@ def component_meta(pages: DataFrame) -> DataFrame:
 
 
 def sections(pages: DataFrame) -> DataFrame:
-    """Headings of a page with their own content: up to the next heading. The first one of level 2 is the page's title."""
-    piece = r'(?is)<h([2-5])\s+id="(i\d+)"[^>]*>(.*?)</h[2-5]>(.*?)(?=<h[2-5]\s+id="i\d+"|$)'
-    zipped = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(piece), F.lit(i)).alias(c) for i, c in enumerate(("level", "section", "title", "content"), 1)))
-    rows = pages.select("report_id", F.posexplode(zipped).alias("pos", "s")).select("report_id", "pos", F.col("s.level").cast("int").alias("level"), "s.section", F.trim(F.regexp_replace(H.plain(F.col("s.title")), r"(?i)Status:\s*(warning|error)\.?\s*", "")).alias("title"), "s.content")
-    rows = rows.where("title <> ''")
-    first = F.min(F.when(F.col("level") == 2, F.col("pos"))).over(Window.partitionBy("report_id"))
-    rows = rows.withColumn("first", first).where("first IS NULL OR pos <> first")
+    """Headings of a page with their own content: up to the next heading. The first one of level 2 is the page's title; it and
+    headings without text belong to the content before them. A page that states a component's figures and has no section
+    that shows anything gives its whole text as one section."""
+    parts = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(SECTION_HEADING), F.lit(i)).alias(c) for i, c in enumerate(("raw", "level", "section", "title"))))
+    between = F.split("html", SECTION_HEADING)
+    rows = pages.select("report_id", "html", between.alias("between"), F.posexplode(parts).alias("pos", "s"))
+    title = F.trim(F.regexp_replace(H.plain(F.col("s.title")), r"(?i)Status:\s*(warning|error)\.?\s*", ""))
+    rows = rows.select("report_id", "pos", F.col("s.level").cast("int").alias("level"), "s.section", title.alias("title"), "s.raw", F.get("between", F.col("pos") + 1).alias("after"))
+    page = Window.partitionBy("report_id")
+    first = F.min(F.when((F.col("level") == 2) & (F.col("title") != ""), F.col("pos"))).over(page)
+    rows = rows.withColumn("own", (F.col("title") != "") & (first.isNull() | (F.col("pos") != first)))
+    rows = rows.withColumn("at", F.sum(F.col("own").cast("int")).over(page.orderBy("pos"))).where("at > 0")
+    # content: what follows the heading, with headings that are none of their own
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("own"), F.col("after")).otherwise(F.concat("raw", "after")).alias("c")))), lambda x: x["c"]), "")
+    head = F.min_by(F.struct("pos", "level", "section", "title"), "pos")
+    rows = rows.groupBy("report_id", "at").agg(head.alias("h"), content.alias("content")).select("report_id", "h.*", "content")
     warning = F.lit(False)
     for word in WARNING_TITLES:
         warning = warning | F.lower("title").contains(word)
-    following = F.lead("level").over(Window.partitionBy("report_id").orderBy("pos"))
+    following = F.lead("level").over(page.orderBy("pos"))
     has_table = F.col("content").rlike(r"(?is)<table[^>]*>.*</table>")
     return rows.withColumn("children", F.coalesce(following > F.col("level"), F.lit(False))).select("report_id", "pos", "level", "section", "title", F.when(warning, F.lit("warning")).alias("severity"), "children", F.when(has_table, "TABLE").otherwise("TEXT").alias("kind"), described(F.col("content")).alias("description"), "content")
 
 
+def whole_pages(pages: DataFrame, shown: DataFrame) -> DataFrame:
+    """``report_id, title, description``: the text of the pages that state a component's figures and have no section that is
+    shown."""
+    text_ = described(F.col("html"))
+    rest = pages.where(F.col("html").rlike(COMPONENT_FIGURES)).join(shown.select("report_id").distinct(), "report_id", "left_anti")
+    return rest.select("report_id", F.lit("Overview").alias("title"), text_.alias("description")).where("description <> ''")
+
+
 def described(content: Column) -> Column:
     """The text of a section without tables, headings and links to details."""
     out = F.regexp_replace(content, r"(?i)<table[^>]*>.*?</table>", "")
@@ -194,8 +216,14 @@ def described(content: Column) -> Column:
 
 
 def prune(rows: DataFrame) -> DataFrame:
-    """Sections without those that hold no text, no table and no further section."""
-    return rows.where("children OR kind = 'TABLE' OR description <> ''")
+    """The sections that are shown: those with text, a table or a deeper heading after them, and of these not the topmost ones
+    that are left with nothing in them. Deeper ones that are left so stay."""
+    page = Window.partitionBy("report_id").orderBy("pos")
+    kept = rows.where("children OR kind = 'TABLE' OR description <> ''")
+    above = F.min("level").over(page.rowsBetween(Window.unboundedPreceding, -1))
+    filled = F.lead("level").over(page) > F.col("level")
+    kept = kept.withColumn("top", above.isNull() | (F.col("level") <= above)).withColumn("filled", F.coalesce(filled, F.lit(False)))
+    return kept.where("NOT top OR filled OR kind = 'TABLE' OR description <> ''").drop("top", "filled")
 
 
 def inner_tables(pages: DataFrame) -> DataFrame:
@@ -255,10 +283,11 @@ def first_integer(pages: DataFrame) -> DataFrame:
 
 
 def oom_instances(pages: DataFrame) -> DataFrame:
-    """Addresses (unsigned decimals) and messages of error instances; a page's later row of an address wins."""
+    """Addresses (unsigned decimals) and messages of error instances, and where an address first stands; a page's later row
+    of an address wins."""
     rows = row_cells(pages).where("size(cells) >= 2").select("report_id", "pos", F.regexp_replace(H.plain(_cell(0)), r"[,\s]", "").try_cast("decimal(20,0)").alias("address"), H.plain(_cell(1)).alias("message"))
     rows = rows.where("address IS NOT NULL").withColumn("message", F.when(~F.col("message").isin("", "null"), F.col("message")))
-    return rows.groupBy("report_id", "address").agg(F.max_by(F.struct("message"), "pos").alias("m")).select("report_id", F.col("address").cast("string").alias("address"), "m.message")
+    return rows.groupBy("report_id", "address").agg(F.max_by(F.struct("message"), "pos").alias("m"), F.min("pos").alias("pos")).select("report_id", F.col("address").cast("string").alias("address"), "m.message", "pos")
 
 
 # ---- pages made from the tables, and what the extractors must find in them
@@ -329,12 +358,16 @@ def _meta_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _section_page(spark: SparkSession, d: str) -> DataFrame:
-    """A title, then a heading per line: level 2 + part % 3, with text, a table or nothing by part % 4."""
+    """A title, then a heading per line: level 2 + part % 3, with text, a table or nothing by part % 4. Some titles hold the
+    end tag of another level; every ninth report has figures and headings without any content."""
+    empty = F.col("report_id") % 9 == 0
     level = (F.col("part") % 3 + 2).cast("string")
-    title = F.when(F.col("supp") % 4 == 0, text("Possible Memory Waste ", F.col("supp"))).otherwise(text("Status: warning. Part ", F.col("supp")))
-    body = F.when(F.col("part") % 4 == 0, text("<p>text  ", F.col("part"), "</p><a href='x'>Details »</a>")).when(F.col("part") % 4 == 1, F.lit('<table class="result"><tr><td>1</td></tr></table>')).when(F.col("part") % 4 == 2, text("plain ", F.col("supp"))).otherwise(F.lit(""))
+    title = F.when(F.col("supp") % 4 == 0, text("Possible Memory Waste ", F.col("supp"))).otherwise(F.concat(F.lit("Status: warning. Part"), F.when(empty, "").otherwise("</h5>"), text(" ", F.col("supp"))))
+    body = F.when(empty, F.lit("")).when(F.col("part") % 4 == 0, text("<p>text  ", F.col("part"), "</p><a href='x'>Details »</a>")).when(F.col("part") % 4 == 1, F.lit('<table class="result"><tr><td>1</td></tr></table>')).when(F.col("part") % 4 == 2, text("plain ", F.col("supp"))).otherwise(F.lit(""))
     row = F.concat(F.lit("<h"), level, F.lit(' id="i'), F.col("ordinal").cast("string"), F.lit('">'), title, F.lit("</h"), level, F.lit(">"), body)
-    return A.joined(A.objects(spark, d), "report_id", row, head='<h2 id="i0">The page</h2>')
+    pages = A.joined(A.objects(spark, d), "report_id", row, head='<h2 id="i0">The page</h2>')
+    figures = text("<p>Size: <strong>1 KB</strong> Classes: <strong>2</strong> Objects: <strong>3</strong> Class Loader: <strong>app.L", F.col("report_id"), "</strong></p>")
+    return pages.withColumn("html", F.when(empty, F.concat(figures, F.col("html"))).otherwise(F.col("html")))
 
 
 def _finding_page(spark: SparkSession, d: str) -> DataFrame:
@@ -361,16 +394,18 @@ def _loader_page(spark: SparkSession, d: str) -> DataFrame:
 
 _SHOWN = f"o AS (SELECT *, {CLASS_SQL} AS class_name FROM objects)"
 _SECTION_SQL = f"""WITH {OBJECTS_SQL} SELECT report_id, ordinal AS pos, CAST(part % 3 + 2 AS INTEGER) AS level, 'i' || ordinal AS section, CASE WHEN supp % 4 = 0 THEN 'Possible Memory Waste ' ELSE 'Part ' END || supp AS title, CASE WHEN supp % 4 = 0 THEN 'warning' END AS severity,
- coalesce(lead(part % 3) OVER (PARTITION BY report_id ORDER BY ordinal) > part % 3, false) AS children, CASE WHEN part % 4 = 1 THEN 'TABLE' ELSE 'TEXT' END AS kind, CASE part % 4 WHEN 0 THEN 'text ' || part WHEN 2 THEN 'plain ' || supp ELSE '' END AS description FROM objects"""
+ coalesce(lead(part % 3) OVER (PARTITION BY report_id ORDER BY ordinal) > part % 3, false) AS children, CASE WHEN part % 4 = 1 AND report_id % 9 <> 0 THEN 'TABLE' ELSE 'TEXT' END AS kind, CASE WHEN report_id % 9 = 0 THEN '' WHEN part % 4 = 0 THEN 'text ' || part WHEN part % 4 = 2 THEN 'plain ' || supp ELSE '' END AS description FROM objects"""
+_PRUNED_SQL = f"""WITH s AS ({_SECTION_SQL}), k AS (SELECT *, min(level) OVER (PARTITION BY report_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above, lead(level) OVER (PARTITION BY report_id ORDER BY pos) AS below FROM s WHERE children OR kind = 'TABLE' OR description <> ''),
+ p AS (SELECT * FROM k WHERE level > above OR coalesce(below > level, false) OR kind = 'TABLE' OR description <> '')"""
 _FINDING_SQL = f"""WITH {OBJECTS_SQL}, b AS (SELECT *, part % 5 = 0 AS brief, 'The thread of part ' || part || ' keeps local variables of ' || shallow || ' bytes alive, and nothing else refers to any of these objects. See stacktrace' AS body FROM objects WHERE report_id % 3 <> 0),
  n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY ordinal) AS nth FROM b WHERE NOT brief)
  SELECT report_id, CAST(nth - 1 AS INTEGER) AS pos, 'Suspect #' || nth AS title, body AS description, CASE WHEN part % 2 = 0 THEN 'app.K' || supp || ',app.L' ELSE '' END AS keywords, 'pages/' || part || '.html' AS stack_page, CAST(NULL AS VARCHAR) AS locals_page FROM n WHERE nth <= {FINDINGS}"""
 QUERIES = {
     "dominator_rows": (_on(_object_page, dominator_rows), f"WITH {OBJECTS_SQL}, {_SHOWN} SELECT report_id, class_name, CASE WHEN part % 6 <> 2 THEN {HEX_SQL} END AS address, shallow, retained, CAST(CASE WHEN part % 7 = 0 THEN 0 ELSE percent END AS DOUBLE) AS percent, part % 6 = 4 AS loader FROM o WHERE class_name IS NOT NULL AND part % 11 <> 0"),
-    "dominator_refs": (_on(_object_page, reference_rows), f"WITH {OBJECTS_SQL}, {_SHOWN}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY report_id ORDER BY ordinal) AS INTEGER) AS nth FROM o WHERE class_name IS NOT NULL) SELECT report_id, nth, class_name, shallow, retained FROM n WHERE nth <= {REF_CAP}"),
+    "dominator_refs": (_on(_object_page, reference_rows), f"WITH {OBJECTS_SQL}, {_SHOWN}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY report_id ORDER BY ordinal) AS INTEGER) AS nth FROM o WHERE class_name IS NOT NULL) SELECT report_id, nth, class_name, CASE WHEN part % 6 <> 2 THEN {HEX_SQL} END AS address, shallow, retained FROM n WHERE nth <= {REF_CAP}"),
     "clean_class": (lambda s, d: A.objects(s, d).select("report_id", "ordinal", H.class_name(H.plain(A.class_cell())).alias("name")), f"WITH {OBJECTS_SQL}, {_SHOWN} SELECT report_id, ordinal, CASE part % 6 WHEN 1 THEN 'class ' || class_name || ' System Class' WHEN 5 THEN 'Total: ' || supp || ' of 9 entries' ELSE class_name END AS name FROM o"),
     "html_entities": (lambda s, d: A.objects(s, d).select("report_id", "ordinal", H.decoded(text("&amp;lt;", F.col("part"), "&gt;&nbsp;&quot;&#187;", F.col("supp"))).alias("text")), f"WITH {OBJECTS_SQL} SELECT report_id, ordinal, '&lt;' || part || '> \"»' || supp AS text FROM objects"),
-    "loaded_classes": (_on(_loaded_page, loaded_classes), f"WITH {OBJECTS_SQL}, {_SHOWN} SELECT report_id, class_name, shallow, retained FROM o WHERE class_name IS NOT NULL"),
+    "loaded_classes": (_on(_loaded_page, loaded_classes), f"WITH {OBJECTS_SQL}, {_SHOWN} SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY ordinal) AS INTEGER) AS nth, class_name, CASE WHEN part % 6 <> 2 THEN {HEX_SQL} END AS address, shallow, retained FROM o WHERE class_name IS NOT NULL"),
     "histogram_rows": (_on(_histogram_page, histogram_rows), f"WITH {OBJECTS_SQL} SELECT report_id, 'app.' || CASE WHEN part % 7 = 1 THEN 'x' ELSE 'y' END || supp AS class_name, part AS objects, shallow, retained, '&gt;= ' || format('{{:,}}', retained) AS retained_text FROM objects WHERE part % 7 <> 0"),
     "histogram_totals": (_on(_histogram_page, histogram_totals), f"WITH {OBJECTS_SQL} SELECT report_id, part * 10 AS entries FROM objects WHERE ordinal = 1"),
     "thread_rows": (_on(_thread_page, thread_rows), f"WITH {OBJECTS_SQL} SELECT report_id, 'java.lang.Thread' || CASE WHEN part % 5 = 1 THEN '' ELSE ' @ ' || {HEX_SQL} || ' »' END AS kind, CASE WHEN part % 5 = 1 THEN '' ELSE {HEX_SQL} END AS address, 'worker-' || supp AS name, shallow, retained, CASE WHEN part % 3 = 0 THEN 'app.Loader' || supp ELSE '' END AS loader FROM objects WHERE part % 5 <> 0"),
@@ -387,7 +422,11 @@ QUERIES = {
  SELECT report_id, name, CAST(1 AS BIGINT) AS objects, max(retained) AS retained FROM s GROUP BY 1, 2"""),
     "component_meta": (_on(_meta_page, component_meta), "SELECT c_custkey AS report_id, c_custkey * 1024 + 512 AS size, c_custkey * 1000 + 500 AS classes, c_custkey * 3 AS objects, 'app.L' || c_custkey % 10 AS loader FROM customer"),
     "html_sections": (_on(_section_page, lambda p: sections(p).drop("content")), _SECTION_SQL),
-    "section_prune": (_on(_section_page, lambda p: prune(sections(p)).drop("content")), f"SELECT * FROM ({_SECTION_SQL}) WHERE children OR kind = 'TABLE' OR description <> ''"),
+    "section_prune": (_on(_section_page, lambda p: prune(sections(p)).drop("content")), f"{_PRUNED_SQL} SELECT report_id, pos, level, section, title, severity, children, kind, description FROM p"),
+    "section_overview": (
+        _on(_section_page, lambda p: whole_pages(p, prune(sections(p))).select("report_id", "title", F.substring("description", 1, 60).alias("description"))),
+        f"{_PRUNED_SQL} SELECT DISTINCT report_id, 'Overview' AS title, substring('Size: 1 KB Classes: 2 Objects: 3 Class Loader: app.L' || report_id, 1, 60) AS description FROM s WHERE report_id NOT IN (SELECT report_id FROM p) AND report_id % 9 = 0",
+    ),
     "section_severity": (_on(_section_page, lambda p: sections(p).groupBy("report_id").agg(F.count_if(F.col("severity") == "warning").alias("warnings"), F.count("*").alias("sections"))), f"WITH {OBJECTS_SQL} SELECT report_id, count(*) FILTER (supp % 4 = 0) AS warnings, count(*) AS sections FROM objects GROUP BY 1"),
     "html_table": (_on(_object_page, lambda p: inner_tables(p).select("report_id", "pos", "n_headers", F.size("values").alias("n"), F.get("values", F.lit(1)).alias("second"), F.array_join(F.transform("right", lambda x: x.cast("int").cast("string")), "").alias("right"))), f"WITH {OBJECTS_SQL} SELECT report_id, CAST(ordinal - 1 AS INTEGER) AS pos, 4 AS n_headers, CASE WHEN part % 11 = 0 THEN 3 ELSE 4 END AS n, format('{{:,}}', shallow) AS second, CASE WHEN part % 11 = 0 THEN '011' ELSE '0111' END AS right FROM objects"),
     "suspect_split": (_on(lambda s, d: _finding_page(s, d).where("report_id % 3 <> 0"), lambda p: findings(p).where("title <> 'Leak Analysis'").withColumn("keywords", F.array_join("keywords", ","))), _FINDING_SQL),
@@ -395,5 +434,5 @@ QUERIES = {
     "keyword_line": (lambda s, d: A.objects(s, d).select("report_id", "ordinal", with_keywords(F.when(F.col("part") % 3 == 0, F.lit("")).when(F.col("part") % 3 == 1, F.lit("why")).otherwise(F.lit("keywords: x")), F.when(F.col("supp") % 2 == 0, F.array(F.lit("a"), F.col("supp").cast("string"))).otherwise(F.array().cast("array<string>"))).alias("text")), f"WITH {OBJECTS_SQL} SELECT report_id, ordinal, CASE WHEN supp % 2 <> 0 THEN CASE part % 3 WHEN 0 THEN '' WHEN 1 THEN 'why' ELSE 'keywords: x' END WHEN part % 3 = 0 THEN 'keywords: a, ' || supp WHEN part % 3 = 1 THEN 'why' || chr(10) || chr(10) || 'keywords: a, ' || supp ELSE 'keywords: x' END AS text FROM objects"),
     "loader_id": (_on(_loader_page, id_near_address), f"WITH {OBJECTS_SQL}, w AS (SELECT report_id, max({HEX_SQL}) FILTER (ordinal = 2) AS wanted FROM objects GROUP BY 1), h AS (SELECT o.report_id, min_by(supp, ordinal) AS id FROM objects o JOIN w ON o.report_id = w.report_id AND contains({HEX_SQL}, wanted) GROUP BY 1) SELECT w.report_id, coalesce(id, -1) AS loader_id FROM w LEFT JOIN h ON w.report_id = h.report_id"),
     "object_id": (_on(_loader_page, first_integer), f"WITH {OBJECTS_SQL} SELECT report_id, part + 100 AS object_id FROM objects WHERE ordinal = 1"),
-    "oom_instances": (_on(_oom_page, oom_instances), f"WITH {OBJECTS_SQL} SELECT report_id, CAST(18446744073709000000::HUGEINT + supp AS VARCHAR) AS address, nullif(max_by(coalesce(CASE WHEN part % 4 <> 0 THEN 'Java heap space ' || part % 3 END, '-'), ordinal), '-') AS message FROM objects WHERE part % 9 <> 0 GROUP BY 1, 2"),
+    "oom_instances": (_on(_oom_page, lambda p: oom_instances(p).drop("pos")), f"WITH {OBJECTS_SQL} SELECT report_id, CAST(18446744073709000000::HUGEINT + supp AS VARCHAR) AS address, nullif(max_by(coalesce(CASE WHEN part % 4 <> 0 THEN 'Java heap space ' || part % 3 END, '-'), ordinal), '-') AS message FROM objects WHERE part % 9 <> 0 GROUP BY 1, 2"),
 }

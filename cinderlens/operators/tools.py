@@ -366,12 +366,6 @@ def report_model(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("rank <= 5").select("report_id", "rank", "retained", F.floor(F.col("retained") * 1000.0 / F.col("all") + 0.5).cast("long").alias("per_mille"))
 
 
-def sanitized_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages without what is not safe: nothing of it is left, and the text of the page is."""
-    out = T.sanitized(F.col("html"))
-    return load(spark, d, "pages").select("page_id", out.rlike("(?i)<(script|style|iframe|object|form|input|link|meta)").alias("unsafe"), out.rlike(r"(?i)<[^>]*\son\w+\s*=").alias("handlers"), (F.length(F.regexp_replace(out, r"(?s)<[^>]*>|\s", "")) > 0).alias("kept"))
-
-
 def prompt_splice(spark: SparkSession, d: str) -> DataFrame:
     e, k = F.col("event_id").cast("string"), F.col("event_id") % 3
     prompt = F.when(k == 0, F.concat(F.lit("Look at "), e, F.lit("\n== A ==\nx\n== B =="))).when(k == 1, F.concat(F.lit("\n== A ==\n"), e)).otherwise(e)
@@ -432,5 +426,4 @@ QUERIES = {
     "report_model": (report_model, f"WITH {OBJECTS_SQL}, r AS (SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY retained DESC, ordinal) AS INTEGER) AS rank, retained, sum(retained) OVER (PARTITION BY report_id) AS a FROM objects) SELECT report_id, rank, retained, CAST(floor(CAST(retained AS DOUBLE) * 1000.0 / CAST(a AS DOUBLE) + 0.5) AS BIGINT) AS per_mille FROM r WHERE rank <= 5"),
     "prompt_splice": (prompt_splice, "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'Look at ' || event_id || chr(10) || '== A ==' || chr(10) || 'x' || chr(10) || '== B ==' WHEN 1 THEN chr(10) || '== A ==' || chr(10) || event_id ELSE CAST(event_id AS VARCHAR) END WHEN event_id % 3 = 0 THEN 'Look at ' || event_id || chr(10) || chr(10) || 'S' || chr(10) || '== A ==' || chr(10) || 'x' || chr(10) || '== B ==' WHEN event_id % 3 = 1 THEN chr(10) || '== A ==' || chr(10) || event_id || chr(10) || chr(10) || 'S' ELSE event_id || chr(10) || chr(10) || 'S' END AS prompt FROM events"),
     "attachments": (attachments, "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN md5(text[:1000]) END AS md5 FROM documents"),
-    "html_sanitize": (sanitized_pages, "SELECT page_id, false AS unsafe, false AS handlers, true AS kept FROM pages"),
 }

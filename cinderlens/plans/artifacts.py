@@ -96,7 +96,8 @@ def thread_stack() -> Column:
     k, own = F.col("part") % 8, text("at app.M", F.col("part"), ".run(M.java:", F.col("ordinal"), ")")
     init = "at java.lang.OutOfMemoryError.<init>()V\n  "
     return (
-        F.when(k == 0, F.concat(F.lit(init + "at java.lang.Thread.start0(Native Method)\n  "), own))
+        # an error without a message, and in some stacks a later one with a message, which does not count
+        F.when(k == 0, F.concat(F.lit(init + "at java.lang.Thread.start0(Native Method)\n  "), own, F.when(F.col("part") % 16 == 8, "\n  Caused by: java.lang.OutOfMemoryError: Metaspace").otherwise("")))
         .when(k == 1, F.concat(F.lit("at java.nio.Bits.reserveMemory(Bits.java:1)\n  "), own))
         .when(k == 2, F.concat(F.lit("java.lang.OutOfMemoryError: GC overhead limit exceeded\n  "), own))
         .when(k == 3, F.concat(F.lit(init), own))

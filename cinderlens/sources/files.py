@@ -18,7 +18,7 @@ ARCHIVE_WORDS = {"overview": ("system_overview", "overview"), "suspects": ("leak
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, name, size, modified`` of the files in a folder; their content is not read."""
+    """``path, name, size, modified`` of the files in a folder that are not empty; their content is not read."""
     rows = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     return rows.withColumn("name", F.substring_index("path", "/", -1))
 

@@ -38,4 +38,5 @@ def difference(df, con, sql):
     a, b = rows_of(df.columns, [tuple(r) for r in df.collect()]), rows_of(names, got.fetchall())
     if a == b:
         return None
-    return f"{len(a)} and {len(b)} rows; only Spark: {[x for x in a if x not in set(b)][:2]}; only SQL: {[x for x in b if x not in set(a)][:2]}"
+    in_a, in_b = set(a), set(b)
+    return f"{len(a)} and {len(b)} rows; only Spark: {[x for x in a if x not in in_b][:2]}; only SQL: {[x for x in b if x not in in_a][:2]}"
