@@ -23,11 +23,13 @@ words than n has its whole sequence as its one n-gram; null and empty texts have
 rows with one id and different texts are one vertex of the classes, which links all their partners; null ids are linked
 with nothing and have a null class in the report, while ``keep_one`` tells rows apart by all their columns, so rows
 without an id are removed as copies like any others; repeated and very long texts follow the same path; an empty table
-gives an empty result. N-grams and sets are compared by 64-bit hashes.
+gives an empty result. N-grams are dealt to cells and sets told apart by 64-bit hashes; pairs are verified with the upper 48
+bits of those of the n-grams.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlens.llm.components import components
-from cinderlens.llm.rows import ROW, anti_join, semi_join, with_row_key
-from cinderlens.llm.scratch import durable, release
+from cinderlens.llm.rows import ROW, anti_join, maybe_join, semi_join, with_row_key
+from cinderlens.llm.scratch import bucketed, durable, release
 from cinderlens.llm.text import WordHasher, gram_hashes, mix, slices, utf8
 
 #: Coordinates of one block in the index's top level.
@@ -117,7 +119,7 @@ class Bands:
 
 def point_of(shingles: np.ndarray) -> np.ndarray:
     """Counts by tree group."""
-    return np.bincount(((shingles >> np.uint64(12)) % np.uint64(TREE_GROUPS)).astype(np.int64), minlength=TREE_GROUPS).astype(np.int32)
+    return np.bincount(((shingles >> np.uint64(24)) % np.uint64(TREE_GROUPS)).astype(np.int64), minlength=TREE_GROUPS).astype(np.int32)
 
 
 class CountTree:
@@ -269,44 +271,52 @@ def mark_of(shingles: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_128_digest(shingles.tobytes())[:8], signed=True) if len(shingles) else 0
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, six bytes each: what sets are verified with."""
+    return (shingles >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The hashes of ``packed``, whose lower 16 bits are 0."""
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def sets_of(rows: DataFrame, n: int) -> DataFrame:
-    """``mark, shingles array<long>`` from ``row, text``."""
+    """``mark, shingles`` (packed) from ``row, text``, one row per set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in slices(batches):
             sets = [shingler.set_of(t) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([mark_of(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["mark", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([mark_of(x) for x in sets], pa.int64()), pa.array([packed(x) for x in sets], pa.binary())], ["mark", "shingles"])
 
-    return rows.mapInArrow(run, "mark long, shingles array<long>")
+    return rows.mapInArrow(run, "mark long, shingles binary").groupBy("mark").agg(F.first("shingles").alias("shingles"))
 
 
 def points_of(sets: DataFrame) -> DataFrame:
-    """``mark, point array<int>``."""
+    """``mark, point``: the counts by tree group, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([point_of(x) for x in _lists(batch.column(1))], pa.list_(pa.int32()))], ["mark", "point"])
-
-    return sets.select("mark", "shingles").mapInArrow(run, "mark long, point array<int>")
+            points = [zlib.compress(point_of(unpacked(x)).astype("<i4").tobytes(), 1) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.binary())], ["mark", "point"])
 
-
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy().tolist()
-    return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return sets.select("mark", "shingles").mapInArrow(run, "mark long, point binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """``a, b, linked`` of the pairs: those that pass the bound by summed minima are verified with their n-grams. Only the
-    sets that a pair names are moved."""
+    """``a, b, linked`` of the pairs: those that pass the bound by summed minima are verified with their n-grams. The sets
+    stand in buckets and stay there; only the pairs are moved, with one set each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = [_similar(x, y, p, q) for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)]
+        for batch in slices(batches, 1024):
+            linked = [_similar(unpacked(x), unpacked(y), p, q) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    side = lambda c, s: semi_join(sets, pairs.select(F.col(c).alias("mark")), "mark").select(F.col("mark").alias(c), F.col("shingles").alias(s))
-    both = pairs.select("a", "b").join(side("a", "sa").hint("merge"), "a").join(side("b", "sb").hint("merge"), "b")
+    side = lambda c, s: sets.select(F.col("mark").alias(c), F.col("shingles").alias(s))
+    both = side("a", "sa").join(pairs.select("a", "b").hint("merge"), "a").hint("merge").join(side("b", "sb"), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
 
 
@@ -353,7 +363,7 @@ def remaining_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFr
             return
         keys, i, j, own = (table[c].to_numpy() for c in ("key", "i", "j", "own"))
         ids, labels = table["id"].to_numpy(), table["label"].to_numpy()
-        points = _lists_of_equal_length(table["point"])
+        points = np.stack([np.frombuffer(zlib.decompress(x), "<i4") for x in table["point"].to_pylist()])
         low = table["low"].combine_chunks()
         low_ends, low_keys = low.offsets.to_numpy() - low.offsets[0].as_py(), low.flatten().to_numpy()
         smallest = lambda x: low_keys[low_ends[x] : low_ends[x + 1]]
@@ -385,10 +395,6 @@ def remaining_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFr
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _lists_of_equal_length(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
-
-
 def _runs_of_rows(cell: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1, [len(cell)]])
 
@@ -403,7 +409,7 @@ def set_classes(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, Dat
     pairs = durable(met.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct(), "wanted")
     holders = semi_join(marks, wanted, "mark").groupBy("mark").agg(F.min("row").alias("row"))
-    sets = durable(sets_of(semi_join(rows, durable(holders.select("row"), "holders"), "row"), n), "sets")
+    sets = bucketed(sets_of(maybe_join(rows, durable(holders.select("row"), "holders"), "row"), n), "sets", "mark")
 
     # first each text with the one it met most often, then what is still apart
     first = durable(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "first")
@@ -429,7 +435,7 @@ def set_classes(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, Dat
         shape = labelled.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), (F.min("label") != F.max("label")).alias("mixed"))
         mixed = shape.where("m > 2 AND mixed").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
         searched = durable(labelled.join(mixed, "key", "left_semi"), "searched")
-        points = points_of(semi_join(sets, searched.select(F.col("id").alias("mark")), "mark"))
+        points = points_of(sets.join(searched.select(F.col("id").alias("mark")).distinct().hint("merge"), "mark", "left_semi"))
         more = remaining_pairs(searched.join(points, F.col("id") == F.col("mark")).drop("mark"), p, q, nearest)
         more = durable(more.join(done, ["a", "b"], "left_anti"), "more")
         found = durable(verify(more, sets, p, q), "found")

@@ -44,6 +44,11 @@ def _asked(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return asked.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(_bit(key)) != 0, F.lit(False))).drop("__at", "__word", "__bits")
 
 
+def maybe_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among those of ``keys``, and some more; nothing is moved."""
+    return _asked(df, keys, key).where("__maybe").select(*df.columns)
+
+
 def semi_join(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of ``df`` whose ``key`` is among those of ``keys`` (a column of the same name)."""
     return _asked(df, keys, key).where("__maybe").drop("__maybe").join(keys.select(key).distinct().hint("merge"), key, "left_semi").select(*df.columns)

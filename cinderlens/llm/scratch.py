@@ -57,8 +57,22 @@ def durable(df: DataFrame, label: str = "step", codec: str = "zstd", group_bytes
     return out
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``df`` written to the shared folder by buckets of ``key``, sorted by it, and read again: joins on ``key`` move the
+    other side only."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, name = new_path(spark, label), f"{label}_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(name)
+    out = spark.table(name)
+    out.stored_at, out.named = path, name
+    return out
+
+
 def release(*tables: DataFrame) -> None:
-    """Delete tables that ``durable`` returned and that nothing reads from now on."""
+    """Delete tables that ``durable`` and ``bucketed`` returned and that nothing reads from now on."""
     for t in tables:
+        if hasattr(t, "named"):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.named}")
         hadoop, files = _file_system(t.sparkSession, t.stored_at)
         files.delete(hadoop, True)
