@@ -54,10 +54,9 @@ def by_server(spark: SparkSession, d: str) -> DataFrame:
     found, days = windowed(spark, d, dumps=with_findings)
     named = found.withColumn("server", F.coalesce(F.nullif(F.trim("server_name"), F.lit("")), F.lit("Local")))
     counts = named.groupBy("server", "day").agg(F.count("*").alias("n"))
-    # one row per server and day
-    totals = counts.withColumn("total", F.sum("n").over(Window.partitionBy("server")))
-    rank = F.dense_rank().over(Window.orderBy(F.desc("total"), "server"))
-    series = totals.withColumn("series", F.when(rank <= TOP_SERVERS, F.col("server")).otherwise("others"))
+    # the first servers are a few rows; the others are those that are not among them
+    first = counts.groupBy("server").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "server").limit(TOP_SERVERS).select("server", F.col("server").alias("shown"))
+    series = counts.join(F.broadcast(first), "server", "left").withColumn("series", F.coalesce("shown", F.lit("others")))
     got = series.groupBy("series", "day").agg(F.sum("n").alias("n"))
     grid = got.select("series").distinct().crossJoin(F.broadcast(days))
     return grid.join(got, ["series", "day"], "left").select("series", F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("detections"))

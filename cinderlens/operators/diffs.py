@@ -75,19 +75,20 @@ def kpi_diff(spark: SparkSession, d: str) -> DataFrame:
 
 def top_plus_others(spark: SparkSession, d: str) -> DataFrame:
     """The eight classes with most retained size, and the rest as one row."""
-    from pyspark.sql import Window
-
-    rows = histogram(spark, d, 1996)
-    # one row per class
-    ranked = rows.withColumn("at", F.row_number().over(Window.orderBy(F.desc("retained"), "class_name"))).withColumn("all", F.sum("retained").over(Window.partitionBy()))
-    return ranked.groupBy(F.when(F.col("at") <= 8, F.col("class_name")).otherwise("Others").alias("label")).agg(F.sum("retained").alias("retained"), F.max("all").alias("all_retained"))
+    rows = histogram(spark, d, 1996).select("class_name", "retained")
+    all_ = rows.agg(F.sum("retained").alias("all_retained"), F.count("*").alias("classes"))
+    top = rows.orderBy(F.desc("retained"), "class_name").limit(8)
+    shown = top.agg(F.sum("retained").alias("shown"))
+    # one row each
+    rest = all_.crossJoin(F.broadcast(shown)).where("classes > 8").select(F.lit("Others").alias("label"), (F.col("all_retained") - F.col("shown")).alias("retained"), "all_retained")
+    return top.crossJoin(F.broadcast(all_)).select(F.col("class_name").alias("label"), "retained", "all_retained").unionByName(rest)
 
 
 def dominator_bars(spark: SparkSession, d: str) -> DataFrame:
     """Bar widths in percent of the largest value, at least 2 for what is not 0, and colour bands."""
-    from pyspark.sql import Window
-
-    rows = histogram(spark, d, 1996).withColumn("most", F.max("retained").over(Window.partitionBy()))
+    rows = histogram(spark, d, 1996).select("class_name", "retained")
+    # one row
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("retained").alias("most"))))
     ratio = F.col("retained") / F.col("most")
     width = F.when(F.col("retained") > 0, F.greatest(F.floor(ratio * 100), F.lit(2))).otherwise(0)
     return rows.select("class_name", width.cast("long").alias("width"), F.when(ratio > 0.6, "high").when(ratio > 0.3, "middle").otherwise("low").alias("band"))

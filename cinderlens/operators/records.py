@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +28,31 @@ def contains_any(query: str, *fields: str) -> Column | None:
     return reduce(lambda a, b: a | b, [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).like(f"%{query.strip().lower()}%") for f in fields])
 
 
+def in_days(field: str, first: str | None, last: str | None) -> Column | None:
+    """From the start of the first day to the end of the last one; a day that is blank or no date is no criterion."""
+
+    def day(x: str | None) -> date | None:
+        try:
+            return date.fromisoformat((x or "").strip())
+        except ValueError:
+            return None
+
+    since, until = day(first), day(last)
+    bounds = [F.col(field) >= F.lit(since).cast("timestamp")] if since else []
+    bounds += [F.col(field) < F.lit(until + timedelta(days=1)).cast("timestamp")] if until else []
+    return reduce(lambda a, b: a & b, bounds) if bounds else None
+
+
+def is_state(field: str, state: str | None, known: tuple[str, ...]) -> Column | None:
+    """One of the known states, in any case; anything else is no criterion."""
+    wanted = (state or "").strip().upper()
+    return F.col(field) == wanted if wanted in known else None
+
+
+#: States of transfers and of logins; fixed values.
+TRANSFER_STATES, LOGIN_STATES = ("IN_PROGRESS", "SUCCESS", "FAILED"), ("SUCCESS", "FAILURE")
+
+
 def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """One page with the number of all rows; sizes are kept within 1 to 100."""
     size = min(max(size, 1), 100)
@@ -63,18 +89,9 @@ def history_assembly(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.coalesce("id", "file_id").alias("id"), origin.alias("origin"), F.coalesce("status", F.lit("NOT_ANALYZED")).alias("status"), F.coalesce("file_size", F.lit(0)).alias("file_size"), F.coalesce("used_heap", F.lit(0)).alias("used_heap"))
 
 
-def analysis_name(spark: SparkSession, d: str) -> DataFrame:
-    """``[EXT]server_file_yyyyMMdd``."""
-    bare = F.regexp_replace("filename", r"\.gz$", "")
-    ext = F.upper(F.regexp_extract(bare, r"\.([^.]+)$", 1))
-    server = F.coalesce(F.nullif(F.trim("server_name"), F.lit("")), F.lit("local"))
-    name = F.concat(F.lit("["), F.when(ext == "", "DUMP").otherwise(ext), F.lit("]"), server, F.lit("_"), F.regexp_replace(bare, r"\.[^.]+$", ""), F.lit("_"), F.date_format("analyzed_at", "yyyyMMdd"))
-    return history(spark, d).select("id", name.alias("name"))
-
-
-def transfer_search(spark: SparkSession, d: str) -> DataFrame:
-    """Failed transfers in a half-open range of days whose name holds the pattern."""
-    rows = matching(transfers(spark, d), [contains_any("dump_1", "filename"), F.col("status") == "FAILED", F.col("started_at") >= "2024-01-05", F.col("started_at") < "2024-01-20"])
+def transfer_search(spark: SparkSession, d: str, query: str = "dump_1", state: str = "failed", first: str = "2024-01-05", last: str = "2024-01-19") -> DataFrame:
+    """Transfers of a state in a range of days whose name holds the pattern."""
+    rows = matching(transfers(spark, d), [contains_any(query, "filename"), is_state("status", state, TRANSFER_STATES), in_days("started_at", first, last)])
     return rows.select("id", "server_id", "filename", "status", "file_size")
 
 
@@ -87,9 +104,10 @@ def transfer_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transfer_items(spark: SparkSession, d: str) -> DataFrame:
-    """Transfers with server names and durations; servers that are gone (those of the first region) get a label."""
-    nation = load(spark, d, "nation").where("n_regionkey <> 0")
-    rows = transfers(spark, d).join(F.broadcast(nation), F.col("server_id") == F.col("n_nationkey"), "left")
+    """Transfers with server names and durations; the servers of users beyond the last nation are gone and get a label."""
+    nation = load(spark, d, "nation")
+    # a user's server by its number, of which only some are left
+    rows = transfers(spark, d).withColumn("server_id", F.col("username") % 40).join(nation, F.col("server_id") == F.col("n_nationkey"), "left")
     ms = F.expr("(unix_micros(completed_at) - unix_micros(started_at)) div 1000")
     return rows.select("id", F.coalesce("n_name", F.concat(F.lit("(deleted server "), F.col("server_id").cast("string"), F.lit(")"))).alias("server"), ms.alias("duration_ms"))
 
@@ -114,9 +132,9 @@ def history_server_backfill(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.coalesce("server_name", "from_transfer").alias("server_name"))
 
 
-def login_search(spark: SparkSession, d: str) -> DataFrame:
+def login_search(spark: SparkSession, d: str, query: str = "1", state: str = "FAILURE") -> DataFrame:
     rows = load(spark, d, "events").withColumn("status", F.when(F.col("event_type") == "error", "FAILURE").otherwise("SUCCESS"))
-    return matching(rows, [contains_any("1", "user_id"), F.col("status") == "FAILURE"]).select("event_id", "user_id", "status")
+    return matching(rows, [contains_any(query, "user_id"), is_state("status", state, LOGIN_STATES)]).select("event_id", "user_id", "status")
 
 
 def active_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -176,11 +194,10 @@ QUERIES = {
         f"""{_H}, f AS (SELECT l_orderkey AS file_id, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS file_size FROM lineitem GROUP BY 1), s AS (SELECT * FROM history WHERE owner NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))
  SELECT coalesce(id, file_id) AS id, CASE WHEN id IS NULL THEN 'file' WHEN file_id IS NULL THEN 'stored' ELSE 'both' END AS origin, coalesce(status, 'NOT_ANALYZED') AS status, coalesce(file_size, 0) AS file_size, coalesce(used_heap, 0) AS used_heap FROM s FULL JOIN f ON id = file_id""",
     ),
-    "analysis_name": (analysis_name, f"""{_H}, b AS (SELECT *, regexp_replace(filename, '\\.gz$', '') AS bare FROM history) SELECT id, '[' || coalesce(nullif(upper(regexp_extract(bare, '\\.([^.]+)$', 1)), ''), 'DUMP') || ']' || coalesce(nullif(trim(server_name), ''), 'local') || '_' || regexp_replace(bare, '\\.[^.]+$', '') || '_' || strftime(analyzed_at, '%Y%m%d') AS name FROM b"""),
     "transfer_search": (transfer_search, f"{_T} SELECT id, server_id, filename, status, file_size FROM transfers WHERE lower(filename) LIKE '%dump_1%' AND status = 'FAILED' AND started_at >= '2024-01-05' AND started_at < '2024-01-20'"),
     "transfer_stats": (transfer_stats, f"{_T} SELECT count(*) AS total, count(*) FILTER (status = 'SUCCESS') AS success, count(*) FILTER (status = 'FAILED') AS failed FROM transfers"),
     "transfer_page": (transfer_page, f"{_T} SELECT id, filename, status, (SELECT count(*) FROM transfers) AS total_rows FROM transfers ORDER BY started_at DESC, id LIMIT 50 OFFSET 50"),
-    "transfer_items": (transfer_items, f"{_T} SELECT id, coalesce(n_name, '(deleted server ' || server_id || ')') AS server, (epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS duration_ms FROM transfers LEFT JOIN nation ON server_id = n_nationkey AND n_regionkey <> 0"),
+    "transfer_items": (transfer_items, f"{_T} SELECT id, coalesce(n_name, '(deleted server ' || username % 40 || ')') AS server, (epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS duration_ms FROM transfers LEFT JOIN nation ON username % 40 = n_nationkey"),
     "latest_transfer": (latest_transfer, f"{_T}, {_LATEST} SELECT * FROM latest"),
     "server_detail": (server_detail, f"{_T} SELECT server_id, count(*) AS transfers, count(*) FILTER (status = 'FAILED') AS failed, CAST(sum(file_size) AS BIGINT) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY started_at DESC, id DESC) AS rn FROM transfers) WHERE rn <= 100 GROUP BY server_id"),
     "history_server_backfill": (history_server_backfill, f"{_H}, {TRANSFERS_SQL}, {_LATEST}, n AS (SELECT filename AS file, n_name AS from_transfer FROM latest JOIN nation ON server_id = n_nationkey) SELECT id, coalesce(server_name, from_transfer) AS server_name FROM history LEFT JOIN n ON file = 'dump_' || id % 500 || '.hprof'"),

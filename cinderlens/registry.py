@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cinderlens.functions import sanitize, scalars
-from cinderlens.operators import classify, detections, diffs, extract, records, references, reports, retrieval, rules, search, tools
+from cinderlens.operators import classify, detections, diffs, extract, history, records, references, reports, retrieval, rules, search, tools
 from cinderlens.sources import heads
 from cinderlens.streaming import ingest, state
 
-_PARTS = (detections, diffs, records, retrieval, search, scalars, sanitize, heads, reports, references, extract, classify, rules, tools, ingest, state)
+_PARTS = (detections, diffs, records, history, retrieval, search, scalars, sanitize, heads, reports, references, extract, classify, rules, tools, ingest, state)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
