@@ -71,6 +71,8 @@ VENDORS = (
 )
 #: Least score of a vendor, and what a property that proves one adds; fixed values.
 LEAST_SCORE, MARKER_SCORE = 3, 100
+#: A version in a class's name; fixed value.
+VERSION_IN_NAME = r"[._]v?(\d{1,2}(?:[._]\d{1,3}){1,3})(?:[._]|$|[A-Za-z])"
 
 
 def _any(c: Column, parts: tuple[str, ...]) -> Column:
@@ -214,9 +216,13 @@ def middleware(stacks: DataFrame, names: DataFrame, properties: DataFrame) -> Da
         hit = F.regexp_extract("value", f"(?i){v.token}{number}", 1) if v.token else F.lit("")
         found.append(F.min_by(hit, F.when(hit != "", F.col("key"))).alias(f"found{i}"))
     versions = properties.groupBy("report_id").agg(*stated, *found)
-    version = F.coalesce(*(F.when(F.col("v") == i, F.coalesce(f"stated{i}", f"found{i}")) for i in range(len(VENDORS))))
+    # last by a version in the name of one of the vendor's classes
+    in_name = F.replace(F.regexp_extract(F.trim("name"), VERSION_IN_NAME, 1), F.lit("_"), F.lit("."))
+    of_vendor = lambda v: F.min(F.when(_starts(F.trim("name"), v.prefixes) & (in_name != ""), F.struct(F.col("name"), in_name.alias("version"))))["version"]
+    classes = names.groupBy("report_id").agg(*(of_vendor(v).alias(f"named{i}") for i, v in enumerate(VENDORS)))
+    version = F.coalesce(*(F.when(F.col("v") == i, F.coalesce(f"stated{i}", f"found{i}", f"named{i}")) for i in range(len(VENDORS))))
     named = F.element_at(F.array(*(F.lit(v.name) for v in VENDORS)), F.col("v") + 1)
-    return scores.join(versions, "report_id", "left").select("report_id", named.alias("vendor"), "score", version.alias("version"))
+    return scores.join(versions, "report_id", "left").join(classes, "report_id", "left").select("report_id", named.alias("vendor"), "score", version.alias("version"))
 
 
 def _starts(c: Column, prefixes: tuple[str, ...]) -> Column:
@@ -265,7 +271,7 @@ def _middleware(spark: SparkSession, d: str) -> DataFrame:
     lines = A.objects(spark, d)
     k = F.col("part") % 6
     stacks = lines.select("report_id", F.when(k == 0, "at org.apache.catalina.core.X\n at org.apache.coyote.Y").when(k == 1, "at weblogic.work.Z").otherwise("at app.M").alias("stack"))
-    names = lines.select("report_id", F.when(k == 2, "io.undertow.server.A").when(k == 3, "jeus.B").otherwise("x.io.undertow.C").alias("name"))
+    names = lines.select("report_id", F.when(F.col("part") % 12 == 2, "io.undertow.v2_3_1.B").when(k == 2, "io.undertow.server.A").when(k == 3, "jeus.B").otherwise("x.io.undertow.C").alias("name"))
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"))
     key = lambda c: F.col("report_id") % c == 0
     entries = F.array(F.struct(F.lit("sun.java.command").alias("key"), text("/opt/apache-tomcat-9.0.", F.col("report_id") % 90, "/bin").alias("value")), F.struct(F.when(key(7), "jboss.home.dir").otherwise("x").alias("key"), F.lit("/j").alias("value")), F.struct(F.when(key(11), "weblogic.version").otherwise("y").alias("key"), text(" 12.", F.col("report_id"), " ").alias("value")))
@@ -289,10 +295,10 @@ QUERIES = {
     "rule_import": (lambda s, d: rule_import(_rule_file(s, d), _rule_table(s, d)), "SELECT f.key, id, CASE WHEN id IS NULL THEN 'insert' ELSE 'update' END AS action, value FROM (SELECT o_custkey, 'com.k' || o_custkey || '.' AS key, max_by(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY 1, 2) f LEFT JOIN (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0) e ON o_custkey = id"),
     "middleware": (
         _middleware,
-        f"""WITH {OBJECTS_SQL}, l AS (SELECT report_id, count(*) FILTER (part % 6 = 0) * 2 AS tomcat, count(*) FILTER (part % 6 = 1) AS weblogic, count(*) FILTER (part % 6 = 2) AS undertow, count(*) FILTER (part % 6 = 3) AS jeus FROM objects GROUP BY 1),
- o AS (SELECT o_orderkey AS report_id, coalesce(weblogic, 0) AS weblogic, coalesce(jeus, 0) AS jeus, coalesce(tomcat, 0) AS tomcat, CASE WHEN o_orderkey % 7 = 0 THEN 100 ELSE 0 END AS wildfly, coalesce(undertow, 0) AS undertow FROM orders LEFT JOIN l ON report_id = o_orderkey),
+        f"""WITH {OBJECTS_SQL}, l AS (SELECT report_id, count(*) FILTER (part % 6 = 0) * 2 AS tomcat, count(*) FILTER (part % 6 = 1) AS weblogic, count(*) FILTER (part % 6 = 2) AS undertow, count(*) FILTER (part % 6 = 3) AS jeus, count(*) FILTER (part % 12 = 2) AS marked FROM objects GROUP BY 1),
+ o AS (SELECT o_orderkey AS report_id, coalesce(weblogic, 0) AS weblogic, coalesce(jeus, 0) AS jeus, coalesce(tomcat, 0) AS tomcat, CASE WHEN o_orderkey % 7 = 0 THEN 100 ELSE 0 END AS wildfly, coalesce(undertow, 0) AS undertow, coalesce(marked, 0) AS marked FROM orders LEFT JOIN l ON report_id = o_orderkey),
  b AS (SELECT *, greatest(weblogic, jeus, tomcat, wildfly, undertow) AS score FROM o),
- v AS (SELECT report_id, score, CASE score WHEN weblogic THEN 'Oracle WebLogic' WHEN jeus THEN 'TmaxSoft JEUS' WHEN tomcat THEN 'Apache Tomcat' WHEN wildfly THEN 'JBoss/WildFly' ELSE 'Undertow' END AS vendor FROM b WHERE score >= 3)
- SELECT report_id, vendor, score, CASE WHEN vendor = 'Apache Tomcat' THEN '9.0.' || report_id % 90 WHEN vendor = 'Oracle WebLogic' AND report_id % 11 = 0 THEN '12.' || report_id END AS version FROM v""",
+ v AS (SELECT report_id, score, CASE score WHEN weblogic THEN 'Oracle WebLogic' WHEN jeus THEN 'TmaxSoft JEUS' WHEN tomcat THEN 'Apache Tomcat' WHEN wildfly THEN 'JBoss/WildFly' ELSE 'Undertow' END AS vendor, marked FROM b WHERE score >= 3)
+ SELECT report_id, vendor, score, CASE WHEN vendor = 'Apache Tomcat' THEN '9.0.' || report_id % 90 WHEN vendor = 'Oracle WebLogic' AND report_id % 11 = 0 THEN '12.' || report_id WHEN vendor = 'Undertow' AND marked > 0 THEN '2.3.1' END AS version FROM v""",
     ),
 }

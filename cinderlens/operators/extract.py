@@ -3,6 +3,8 @@ DataFrame with a text or a line per row."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,12 +82,25 @@ def gdb_heads(lines: DataFrame) -> DataFrame:
     return lines.groupBy("report_id").agg(first(r"^GNU gdb.*?(\d+\.\d+[\d.]*)").alias("version"), first("Core was generated by `(.+?)'").alias("program"), first(r"Program terminated with signal (\S+),\s*(.+)").alias("signal"), first(r"Program terminated with signal (\S+),\s*(.+)", 2).alias("description"))
 
 
-def gdb_errors(lines: DataFrame) -> DataFrame:
-    """Why an output is of no use: its first line that says so. A missing source file, named after a number, is no reason."""
+#: What is said of an output that is of no use, by kind; fixed values.
+GDB_MESSAGES = {
+    "kernel": "vmcore는 Linux 커널 크래시 덤프입니다. GDB로는 분석할 수 없으며, 'crash' 유틸리티로 분석하세요.",
+    "format": "파일 형식을 인식할 수 없습니다. 유효한 코어 덤프 파일(.core, core.PID 등)인지 확인하세요. 일반 실행 파일이나 로그 파일은 분석할 수 없습니다.",
+    "missing": "코어 덤프 파일 또는 실행 파일을 찾을 수 없습니다. 파일이 삭제되었거나 경로가 올바르지 않습니다.",
+    "no core file": "코어 덤프 파일 형식이 아닙니다. GDB가 지원하는 코어 덤프 파일(.core, core.PID)인지 확인하세요.",
+}
+
+
+def gdb_errors(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """Why an output is of no use, by its first line that says so: ``kind, message``. A missing source file, named after a
+    number, is no reason. ``names``: ``report_id, name`` of the cores; one of a kernel is known by its name."""
     line = F.trim("line")
     missing = line.contains("No such file or directory")
     kind = F.when(missing & line.rlike(r"^\d+"), None).when(line.contains("is not a core dump") | line.contains("file format not recognized"), "format").when(missing, "missing").when(line.contains("not a core file"), "no core file")
-    return lines.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("report_id").agg(F.min_by("kind", "pos").alias("kind"))
+    found = lines.withColumn("kind", kind).where("kind IS NOT NULL").groupBy("report_id").agg(F.min_by("kind", "pos").alias("kind")).join(names, "report_id", "left")
+    shown = F.when((F.col("kind") == "format") & F.lower("name").startswith("vmcore"), "kernel").otherwise(F.col("kind"))
+    said = F.create_map(*(F.lit(x) for pair in GDB_MESSAGES.items() for x in pair))
+    return found.select("report_id", shown.alias("kind")).withColumn("message", said[F.col("kind")])
 
 
 def frames(lines: DataFrame) -> DataFrame:
@@ -155,6 +170,32 @@ def crash_confidence(framed: DataFrame, libraries: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("resolved") == 0, "LOW").when((share >= 0.3) | ~F.col("symbols") | (F.col("resolved") < 3), "MEDIUM").otherwise("HIGH"))
 
 
+#: Words in a debugger's output, and what they mean for the quality of what is read from it; fixed values.
+NO_LIBRARIES, NO_SYMBOLS, NO_MEMORY, REGISTERS_CUT, NO_MAPPING = "No shared libraries loaded at this time", "No symbol table info available", "Cannot access memory at address", (".reg-xstate", "too small"), "Can't open file (null) during file-backed mapping"
+QUALITY_WARNINGS = (
+    "공유 라이브러리 정보 없음 — 실행 파일/라이브러리 경로가 코어와 매칭되지 않습니다.",
+    "디버그 심볼 없음 — stripped 바이너리이거나 일치하는 실행 파일이 페어링되지 않았습니다.",
+    "일부 메모리 접근 불가 — 코어가 부분 저장(truncated)되었거나 매핑이 누락되었습니다.",
+    "레지스터 확장 상태(xstate) 일부 손상 — 레지스터 값 신뢰도가 낮을 수 있습니다.",
+    "파일 기반 매핑 노트 처리 실패 — 원본 실행 환경의 파일을 찾을 수 없습니다.",
+)
+DAMAGED_STACK = ("스택이 손상되어 백트레이스 대부분(", ")이 무효 프레임입니다 — 스택 스캔 노이즈로 추정됩니다.")
+#: Registers of a prompt, in this order; fixed value.
+PROMPT_REGISTERS = ("rip", "rsp", "rbp", "rax", "rbx", "rsi", "rdi", "pc", "sp", "lr")
+
+
+def quality_warnings(lines: DataFrame, framed: DataFrame, libraries: DataFrame) -> DataFrame:
+    """``report_id, warnings``: what lowers the confidence in each output, in a fixed order."""
+    has = lambda *words: F.bool_or(reduce(lambda a, b: a & b, (F.col("line").contains(w) for w in words)))
+    # words of one note may stand on different lines
+    said = lines.groupBy("report_id").agg(has(NO_LIBRARIES).alias("none"), has(NO_SYMBOLS).alias("bare"), has(NO_MEMORY).alias("memory"), (has(REGISTERS_CUT[0]) & has(REGISTERS_CUT[1])).alias("cut"), has(NO_MAPPING).alias("mapping"))
+    counts = framed.groupBy("report_id").agg(F.count("*").alias("total"), F.count_if(F.col("quality") == "RESOLVED").alias("resolved"), F.count_if(F.col("quality") == "GARBAGE").alias("garbage"))
+    rows = said.join(counts, "report_id", "left").join(libraries.select("report_id", F.lit(True).alias("loaded")).distinct(), "report_id", "left").na.fill(0, ["total", "resolved", "garbage"])
+    flags = (F.col("none") | F.col("loaded").isNull(), (F.col("resolved") == 0) | F.col("bare"), F.col("memory"), F.col("cut"), F.col("mapping"))
+    damaged = F.when((F.col("total") > 100) & (F.col("garbage") >= F.col("total") * 0.5), F.concat(F.lit(DAMAGED_STACK[0]), F.col("garbage").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(DAMAGED_STACK[1])))
+    return rows.select("report_id", F.array_compact(F.array(*(F.when(f, F.lit(w)) for f, w in zip(flags, QUALITY_WARNINGS, strict=True)), damaged)).alias("warnings"))
+
+
 def crash_summary(framed: DataFrame, most: int = 5) -> DataFrame:
     """Text of the first five resolved frames, or of the first five where none is."""
     shown = F.concat(F.lit("#"), F.col("number").cast("string"), F.lit(" "), F.coalesce(F.concat("address", F.lit(" in ")), F.lit("")), F.col("function"), F.coalesce(F.concat(F.lit(" at "), "location"), F.lit("")))
@@ -169,13 +210,17 @@ def crash_summary(framed: DataFrame, most: int = 5) -> DataFrame:
 PROMPT_FRAMES = 12
 
 
-def crash_prompt(heads: DataFrame, confidence: DataFrame, framed: DataFrame) -> DataFrame:
-    """The facts of a crash as lines for a model: signal, program, confidence, and at most twelve resolved frames."""
+def crash_prompt(heads: DataFrame, confidence: DataFrame, framed: DataFrame, registers: DataFrame, warnings: DataFrame) -> DataFrame:
+    """The facts of a crash as lines for a model: signal, program, confidence and what lowers it, at most twelve resolved
+    frames, and the main registers in their order."""
     resolved = framed.where("quality = 'RESOLVED'").withColumn("nth", F.row_number().over(Window.partitionBy("report_id").orderBy("pos"))).where(F.col("nth") <= PROMPT_FRAMES)
     stack = resolved.groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat(F.lit("#"), F.col("number").cast("string"), F.lit(" "), F.col("function")).alias("f")))), lambda x: x["f"]), "\n").alias("stack"))
-    rows = heads.join(confidence, "report_id").join(stack, "report_id", "left")
+    place = F.array_position(F.array(*(F.lit(r) for r in PROMPT_REGISTERS)), F.col("register"))
+    main = registers.withColumn("nth", place).where("nth > 0").groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat("register", F.lit("="), "value").alias("r")))), lambda x: x["r"]), "\n").alias("registers"))
+    rows = heads.join(confidence, "report_id").join(stack, "report_id", "left").join(main, "report_id", "left").join(warnings, "report_id", "left")
+    why = F.when(F.size("warnings") > 0, F.array_join("warnings", "\n"))
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c.cast("string"))
-    return rows.select("report_id", F.concat_ws("\n", line("Signal", F.concat_ws(" ", "signal", "description")), line("Program", F.col("program")), line("Confidence", F.concat("confidence", F.lit(" ("), F.col("resolved").cast("string"), F.lit("/"), F.col("frames").cast("string"), F.lit(")"))), "stack").alias("prompt"))
+    return rows.select("report_id", F.concat_ws("\n", line("Signal", F.concat_ws(" ", "signal", "description")), line("Program", F.col("program")), line("Confidence", F.concat("confidence", F.lit(" ("), F.col("resolved").cast("string"), F.lit("/"), F.col("frames").cast("string"), F.lit(")"))), why, "stack", "registers").alias("prompt"))
 
 
 # ---- listings and names
@@ -267,6 +312,8 @@ _FRAMED = f"""f AS (SELECT report_id, 1000 + ordinal * 10 AS pos, ordinal - 1 AS
  CASE WHEN part % 6 IN (0, 1) THEN 'fn' || supp WHEN part % 6 IN (2, 3) THEN '??' WHEN part % 6 = 4 THEN '<signal handler called>' ELSE 'operator new (sz=' || part || ')' END AS function, CASE part % 6 WHEN 0 THEN 'a=1, b=2' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN '' END AS args,
  CASE WHEN part % 6 = 0 THEN 'f' || part || '.c:10' END AS location, CASE WHEN part % 6 = 1 THEN '/lib/l' || supp || '.so' END AS library, CASE part % 6 WHEN 2 THEN 'GARBAGE' WHEN 3 THEN 'UNSYMBOLIZED' ELSE 'RESOLVED' END AS quality, part FROM objects)"""
 _OWN_FRAME = "'app' AS package, 'M' || part AS class, 'run' AS method, 'M.java' AS file, CAST(ordinal AS VARCHAR) AS line, 'user' AS owner"
+_WARNED = f"""w AS (SELECT o.report_id, concat_ws(chr(10), CASE WHEN bool_and(part % 3 = 0) THEN '{QUALITY_WARNINGS[0]}' END, CASE WHEN any_value(o.report_id) % 5 = 1 OR coalesce(any_value(known), 0) = 0 THEN '{QUALITY_WARNINGS[1]}' END, CASE any_value(o.report_id) % 5 WHEN 0 THEN '{QUALITY_WARNINGS[2]}' WHEN 2 THEN '{QUALITY_WARNINGS[3]}' WHEN 3 THEN '{QUALITY_WARNINGS[4]}' END) AS warnings
+ FROM objects o LEFT JOIN (SELECT report_id, count(*) FILTER (quality = 'RESOLVED') AS known FROM f GROUP BY 1) q ON q.report_id = o.report_id GROUP BY o.report_id)"""
 QUERIES = {
     "thread_blocks": (lambda s, d: thread_blocks(A.thread_dump(s, d)).drop("block"), f"WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, {_STACK_SQL} AS stack FROM objects"),
     "thread_locals": (lambda s, d: thread_locals(A.thread_dump(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, CASE WHEN part % 3 = 0 THEN CAST(part AS VARCHAR) ELSE CAST({INSTANCES_AT}::HUGEINT + supp AS VARCHAR) END AS object_id FROM objects"),
@@ -282,10 +329,14 @@ QUERIES = {
     ),
     "gdb_sections": (lambda s, d: gdb_sections(A.gdb_lines(s, d)).groupBy("report_id", "section").agg(F.count("*").alias("lines"), F.min("pos").alias("first")), f"WITH {OBJECTS_SQL}, c AS (SELECT report_id, count(*) AS n FROM objects GROUP BY 1) SELECT report_id, unnest(['bt', 'bt_full', 'registers', 'sharedlibrary', 'threads']) AS section, unnest([n, 2 * n, n, n, n]) AS lines, unnest([1010, 2010, 3010, 4010, 5010]) AS first FROM c"),
     "gdb_heads": (lambda s, d: gdb_heads(A.gdb_lines(s, d)), "SELECT DISTINCT l_orderkey AS report_id, '12.1' AS version, 'app' || l_orderkey || ' -x' AS program, CASE WHEN l_orderkey % 5 > 1 THEN 'SIGSEGV' END AS signal, CASE WHEN l_orderkey % 5 > 1 THEN 'Segmentation fault.' END AS description FROM lineitem"),
-    "gdb_errors": (lambda s, d: gdb_errors(A.gdb_lines(s, d)), "SELECT DISTINCT l_orderkey AS report_id, 'missing' AS kind FROM lineitem WHERE l_orderkey % 5 = 0"),
+    "gdb_errors": (
+        lambda s, d: gdb_errors(A.gdb_lines(s, d), A.core_names(s, d)),
+        "WITH k AS (SELECT DISTINCT l_orderkey AS report_id, CASE WHEN l_orderkey % 5 = 0 THEN 'missing' WHEN l_orderkey % 22 = 0 THEN 'kernel' WHEN l_orderkey % 11 = 0 THEN 'format' WHEN l_orderkey % 11 = 1 THEN 'no core file' END AS kind FROM lineitem) SELECT report_id, kind, CASE kind " + " ".join("WHEN '" + k + "' THEN '" + m.replace("'", "''") + "'" for k, m in GDB_MESSAGES.items()) + " END AS message FROM k WHERE kind IS NOT NULL",
+    ),
+    "quality_warnings": (lambda s, d: quality_warnings(A.gdb_lines(s, d), frames(_section("bt")(s, d)), gdb_libraries(_section("sharedlibrary")(s, d))).withColumn("warnings", F.array_join("warnings", "\n")), f"WITH {OBJECTS_SQL}, {_FRAMED}, {_WARNED} SELECT report_id, warnings FROM w"),
     "gdb_frames": (lambda s, d: frames(_section("bt")(s, d)).drop("section"), f"WITH {OBJECTS_SQL}, {_FRAMED} SELECT report_id, pos, number, address, function, args, location, library, quality FROM f"),
     "gdb_libs": (lambda s, d: gdb_libraries(_section("sharedlibrary")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, 4000 + ordinal * 10 AS pos, {_AT} AS start, '0x00007fffffffffff' AS stop, CASE WHEN part % 3 = 1 THEN 'Yes (*)' ELSE 'No' END AS symbols, '/lib/l' || supp || '.so' AS path FROM objects WHERE part % 3 <> 0"),
-    "gdb_registers": (lambda s, d: gdb_registers(_section("registers")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, 'rax' || ordinal % 3 AS register, '0x' || printf('%x', max_by(part, ordinal)) AS value FROM objects GROUP BY 1, 2"),
+    "gdb_registers": (lambda s, d: gdb_registers(_section("registers")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, CASE ordinal % 3 WHEN 0 THEN 'rax' WHEN 1 THEN 'rip' ELSE 'r8' END AS register, '0x' || printf('%x', max_by(part, ordinal)) AS value FROM objects GROUP BY 1, 2"),
     "gdb_threads": (lambda s, d: gdb_threads(_section("threads")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, ordinal AS id, ordinal = 2 AS current, 'Thread 0x7f' || part || ' (LWP ' || supp || ')' AS target, 'fn' || supp || ' ()' AS frame, CAST(row_number() OVER (PARTITION BY report_id ORDER BY ordinal <> 2, ordinal) AS INTEGER) AS place FROM objects"),
     "gdb_locals": (lambda s, d: gdb_locals(_section("bt_full")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, CAST(ordinal AS BIGINT) AS nth, ordinal - 1 AS number, 'x = ' || part AS locals FROM objects"),
     "garbage_addr": (lambda s, d: A.objects(s, d).select("report_id", "ordinal", garbage(F.when(F.col("part") % 4 == 0, F.lit("0x2020202020202020")).when(F.col("part") % 4 == 1, text("0x414243444546", F.lpad(F.lower(F.hex(F.col("part") % 65536)), 4, "0"))).when(F.col("part") % 4 == 2, text("0x", F.lpad(F.hex(F.col("part")), 16, "0"))).otherwise(F.lit("zz"))).alias("garbage")), f"WITH {OBJECTS_SQL} SELECT report_id, ordinal, CASE part % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS garbage FROM objects"),
@@ -300,10 +351,10 @@ QUERIES = {
  SELECT report_id, string_agg('#' || number || ' ' || coalesce(address || ' in ', '') || function || coalesce(' at ' || location, ''), chr(10) ORDER BY nth) AS summary FROM n WHERE nth <= 5 GROUP BY 1""",
     ),
     "crash_prompt": (
-        lambda s, d: crash_prompt(gdb_heads(A.gdb_lines(s, d)), crash_confidence(frames(_section("bt")(s, d)), gdb_libraries(_section("sharedlibrary")(s, d))), frames(_section("bt")(s, d))),
-        f"""WITH {OBJECTS_SQL}, {_FRAMED}, n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS nth FROM f WHERE quality = 'RESOLVED'), k AS (SELECT report_id, string_agg('#' || number || ' ' || function, chr(10) ORDER BY nth) AS stack FROM n WHERE nth <= {PROMPT_FRAMES} GROUP BY 1),
+        lambda s, d: crash_prompt(gdb_heads(A.gdb_lines(s, d)), crash_confidence(frames(_section("bt")(s, d)), gdb_libraries(_section("sharedlibrary")(s, d))), frames(_section("bt")(s, d)), gdb_registers(_section("registers")(s, d)), quality_warnings(A.gdb_lines(s, d), frames(_section("bt")(s, d)), gdb_libraries(_section("sharedlibrary")(s, d)))),
+        f"""WITH {OBJECTS_SQL}, {_FRAMED}, {_WARNED}, g AS (SELECT report_id, string_agg(r || '=0x' || printf('%x', v), chr(10) ORDER BY r DESC) AS regs FROM (SELECT report_id, CASE ordinal % 3 WHEN 0 THEN 'rax' ELSE 'rip' END AS r, max_by(part, ordinal) AS v FROM objects WHERE ordinal % 3 <> 2 GROUP BY 1, 2) GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS nth FROM f WHERE quality = 'RESOLVED'), k AS (SELECT report_id, string_agg('#' || number || ' ' || function, chr(10) ORDER BY nth) AS stack FROM n WHERE nth <= {PROMPT_FRAMES} GROUP BY 1),
  c AS (SELECT report_id, count(*) AS frames, count(*) FILTER (quality = 'RESOLVED') AS resolved, count(*) FILTER (quality = 'GARBAGE') AS garbage, bool_or(part % 3 = 1) AS symbols FROM f GROUP BY 1)
- SELECT c.report_id, concat_ws(chr(10), 'Signal: ' || CASE WHEN c.report_id % 5 > 1 THEN 'SIGSEGV Segmentation fault.' ELSE '' END, 'Program: app' || c.report_id || ' -x', 'Confidence: ' || CASE WHEN resolved = 0 THEN 'LOW' WHEN garbage / frames >= 0.3 OR NOT symbols OR resolved < 3 THEN 'MEDIUM' ELSE 'HIGH' END || ' (' || resolved || '/' || frames || ')', stack) AS prompt FROM c LEFT JOIN k ON c.report_id = k.report_id""",
+ SELECT c.report_id, concat_ws(chr(10), 'Signal: ' || CASE WHEN c.report_id % 5 > 1 THEN 'SIGSEGV Segmentation fault.' ELSE '' END, 'Program: app' || c.report_id || ' -x', 'Confidence: ' || CASE WHEN resolved = 0 THEN 'LOW' WHEN garbage / frames >= 0.3 OR NOT symbols OR resolved < 3 THEN 'MEDIUM' ELSE 'HIGH' END || ' (' || resolved || '/' || frames || ')', nullif(warnings, ''), stack, regs) AS prompt FROM c LEFT JOIN k ON c.report_id = k.report_id LEFT JOIN g ON c.report_id = g.report_id LEFT JOIN w ON c.report_id = w.report_id""",
     ),
     "frame_filter": (lambda s, d: java_frames(thread_blocks(A.thread_dump(s, d))).where("owner <> 'jdk' AND contains(lower(class), 'm')").select("report_id", "address", "pos", "class"), f"WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, CASE WHEN part % 8 IN (0, 5) THEN 2 WHEN part % 8 IN (1, 3, 4) THEN 1 ELSE 0 END AS pos, 'M' || part AS class FROM objects"),
     "scan_lines": (lambda s, d: scan_lines(_scan(s, d)), "SELECT event_id AS id, CAST('17' || lpad(CAST(event_id AS VARCHAR), 8, '0') || '.5' AS DOUBLE) AS mtime, event_id AS size, '/d/u' || user_id || CASE WHEN event_id % 5 = 3 THEN '|x' ELSE '' END || '/f' || event_id || '.hprof' AS path, 'f' || event_id || '.hprof' AS filename FROM events WHERE event_id % 5 NOT IN (1, 2)"),

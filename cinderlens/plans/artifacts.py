@@ -116,6 +116,16 @@ def thread_dump(spark: SparkSession, d: str) -> DataFrame:
     return joined(objects(spark, d), "report_id", block, "text", head="header\n")
 
 
+#: What a debugger says about an output in passing, by report.
+GDB_NOTES = ("warning: Cannot access memory at address 0x10", "No symbol table info available.", "warning: Section `.reg-xstate/1' in core file too small.", "warning: Can't open file (null) during file-backed mapping note processing", "")
+
+
+def core_names(spark: SparkSession, d: str) -> DataFrame:
+    """``report_id, name`` of the cores; some are of a kernel."""
+    k = F.col("report_id")
+    return objects(spark, d).select("report_id").distinct().withColumn("name", text(F.when(k % 22 == 0, "vmcore.").otherwise("core."), k))
+
+
 def gdb_lines(spark: SparkSession, d: str) -> DataFrame:
     """``report_id, pos, line``: a debugger's output by lines. ``pos`` is 1,000 times the section, plus ten times the
     ordinal of the object that the line is made of."""
@@ -136,7 +146,7 @@ def gdb_lines(spark: SparkSession, d: str) -> DataFrame:
         line(1, 0, frame),
         line(2, 0, frame),
         line(2, 1, text("        x = ", part)),
-        line(3, 0, text("rax", n % 3, "           0x", F.lower(F.hex(part)), "   ", part)),
+        line(3, 0, text(F.when(n % 3 == 0, "rax").when(n % 3 == 1, "rip").otherwise("r8"), "           0x", F.lower(F.hex(part)), "   ", part)),
         line(4, 0, F.when(part % 3 == 0, F.lit("No linux-gate")).otherwise(text(at, "  0x00007fffffffffff  ", F.when(part % 3 == 1, "Yes (*)").otherwise("No"), "     /lib/l", supp, ".so"))),
         line(5, 0, text(F.when(n == 2, "* ").otherwise("  "), n, "    Thread 0x7f", part, " (LWP ", supp, ") fn", supp, " ()")),
     )
@@ -144,6 +154,8 @@ def gdb_lines(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit(0).alias("pos"), F.lit("GNU gdb (GDB) 12.1-x").alias("line")),
         F.struct(F.lit(1).alias("pos"), text("Core was generated by `app", F.col("report_id"), " -x'.").alias("line")),
         F.struct(F.lit(2).alias("pos"), F.when(F.col("report_id") % 5 == 0, text("/c/", F.col("report_id"), ": No such file or directory.")).when(F.col("report_id") % 5 == 1, F.lit("688\t/src/f.c: No such file or directory.")).otherwise("Program terminated with signal SIGSEGV, Segmentation fault.").alias("line")),
+        F.struct(F.lit(3).alias("pos"), F.get(F.array(*(F.lit(x) for x in GDB_NOTES)), F.col("report_id") % len(GDB_NOTES)).alias("line")),
+        F.struct(F.lit(4).alias("pos"), F.when(F.col("report_id") % 11 == 0, text("\"/c/", F.col("report_id"), "\" is not a core dump: file format not recognized")).when(F.col("report_id") % 11 == 1, text("/c/", F.col("report_id"), ": not a core file")).otherwise("").alias("line")),
         *(mark(i, name) for i, name in enumerate(("bt", "bt_full", "registers", "sharedlibrary", "threads"), 1)),
     )
     every = F.concat(lines, F.when(n == 1, first).otherwise(F.array().cast("array<struct<pos: int, line: string>>")))
