@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinderlens.functions import html as H
 from cinderlens.plans import artifacts as A
 from cinderlens.plans.artifacts import INSTANCES_AT, OBJECTS_SQL, THREAD_SQL, text
 from cinderlens.plans.views import HISTORY_SQL, history
@@ -18,6 +19,9 @@ SECTION_MARK = "===SECTION:"
 FRAME = r"#(\d+)\s+(0x[0-9a-fA-F]+\s+in\s+|)(\S+)\s*\(([^)]*)\)(.*)"
 #: Lines of libraries, registers and threads, and frames of Java stacks; fixed values.
 LIBRARY = r"^(0x[0-9a-fA-F]+)\s+(0x[0-9a-fA-F]+)\s+(Yes(?:\s+\(\*\))?|No)\s+(\S+)"
+#: A table of frames and local variables, and its rows; fixed values.
+LOCALS_TABLE = r'(?is)<table[^>]*class="[^"]*\bresult\b[^"]*"[^>]*>(.*?)</table>'
+TABLE_ROW = "(?is)<tr([^>]*)>(.*?)</tr>"
 REGISTER = r"^(\w+)\s+(0x[0-9a-fA-F]+)"
 THREAD = r"^\s*(\*?)\s*(\d+)\s+(Thread\s+\S+(?:\s+\(LWP\s+\d+\))?)\s*(.*)"
 JAVA_FRAME = r"^at\s+([\w$.]+)\.([\w$<>]+)\(([^)]*)\)$"
@@ -54,13 +58,50 @@ def thread_stacks(threads: DataFrame, dump: DataFrame) -> DataFrame:
     return threads.join(stacks, ["report_id", "address"])
 
 
+def frame_owner(frame: Column) -> Column:
+    """Whose code a frame is: an error's own, the platform's, a framework's, or the user's."""
+    package = F.lower(F.regexp_extract(frame, r"^at\s+([\w$.]+)\.", 1))
+    return F.when(frame.contains("OutOfMemoryError") | frame.contains("NullPointerException"), "oom").when(package.rlike(PLATFORM), "jdk").when(package.rlike(FRAMEWORK), "framework").otherwise("user")
+
+
+def local_rows(pages: DataFrame) -> DataFrame:
+    """The rows of a table of frames with their local variables, in order: ``nth, kind, name, state, daemon, loader, raw,
+    local_heap, significant``. The columns are found by the header, and stand at fixed places without it; a first selected
+    row that is no frame is the thread's, and a row of totals is none."""
+    table = F.regexp_extract("html", LOCALS_TABLE, 1)
+    heads = F.transform(H.header_cells(F.regexp_extract(table, "(?is)<thead[^>]*>(.*?)</thead>", 1)), lambda h: F.lower(F.trim(h)))
+    own = lambda test, default: F.coalesce(F.array_max(F.transform(heads, lambda h, i: F.when(test(h), i))), F.lit(default))
+    columns = {
+        "heap": own(lambda h: h.contains("max") & h.contains("local"), 4),
+        "name": own(lambda h: h == "name", 1),
+        "state": own(lambda h: h == "state", 8),
+        "daemon": own(lambda h: h.contains("daemon"), 6),
+        "loader": own(lambda h: h.contains("context") & h.contains("loader"), 5),
+    }
+    parts = F.arrays_zip(F.regexp_extract_all("table", F.lit(TABLE_ROW), F.lit(1)).alias("marks"), F.regexp_extract_all("table", F.lit(TABLE_ROW), F.lit(2)).alias("row"))
+    rows = pages.select("report_id", table.alias("table"), *(c.alias(f"c_{n}") for n, c in columns.items())).select("report_id", *(f"c_{n}" for n in columns), F.posexplode(parts).alias("pos", "r"))
+    rows = rows.withColumn("cells", H.cells(F.col("r.row"))).where("size(cells) > 0").where(~F.col("r.marks").rlike(r"(?i)class\s*=\s*[\"'][^\"']*\btotals\b"))
+    rows = rows.withColumn("significant", F.col("r.marks").rlike(r"(?i)class\s*=\s*[\"'][^\"']*\bselected\b"))
+    rows = rows.withColumn("full", H.decoded(H.plain(F.get("cells", F.lit(0))))).withColumn("link", H.decoded(H.plain(F.regexp_extract(F.get("cells", F.lit(0)), "(?is)<a[^>]*>(.*?)</a>", 1))))
+    squeezed = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*»\s*$", ""), r"\s{2,}", " "))
+    rows = rows.withColumn("shown", squeezed(F.when(F.col("link") != "", F.col("link")).otherwise(F.col("full"))))
+    first = F.row_number().over(Window.partitionBy("report_id").orderBy("pos")) == 1
+    frame, local = F.col("shown").rlike(r"^at\s+[\w$.]"), F.col("full").contains("Java Local") | F.col("full").rlike(r"^\|[+|]")
+    rows = rows.withColumn("first", first).withColumn("kind", F.when(F.col("first") & F.col("significant") & ~F.col("shown").rlike(r"^at\s+"), "thread").when(frame, frame_owner(F.col("shown"))).when(local, "local")).where("kind IS NOT NULL")
+    cell = lambda n: F.coalesce(H.plain(F.get("cells", F.col(f"c_{n}"))), F.lit(""))
+    thread, framed = F.col("kind") == "thread", ~F.col("kind").isin("thread", "local")
+    raw = F.when(framed, F.col("shown")).when(F.col("kind") == "local", squeezed(F.regexp_replace("full", r"^[|+\s]+", "")))
+    heap = F.when(framed, F.coalesce(F.regexp_extract(F.regexp_replace(cell("heap"), r"[,\s]", ""), r"^(\d+)", 1).try_cast("long"), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("report_id").orderBy("pos"))
+    return rows.select("report_id", nth.alias("nth"), "kind", *(F.when(thread, cell(n)).alias(n) for n in ("name", "state", "daemon", "loader")), raw.alias("raw"), heap.alias("local_heap"), "significant")
+
+
 def java_frames(rows: DataFrame) -> DataFrame:
     """Frames of stacks in order, with package, class, method, file and line, and whose code it is."""
     lines = rows.select("report_id", "address", F.posexplode(F.filter(F.transform(F.split("stack", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^at\s+[\w$.]"))).alias("pos", "frame"))
     detail = JAVA_FRAME
     path, method, place = (F.regexp_extract("frame", detail, i) for i in (1, 2, 3))
-    package = F.lower(F.regexp_extract("frame", r"^at\s+([\w$.]+)\.", 1))
-    owner = F.when(F.col("frame").contains("OutOfMemoryError") | F.col("frame").contains("NullPointerException"), "oom").when(package.rlike(PLATFORM), "jdk").when(package.rlike(FRAMEWORK), "framework").otherwise("user")
+    owner = frame_owner(F.col("frame"))
     numbered = place.rlike(r"^.+:\d+$")
     return lines.select("report_id", "address", "pos", F.regexp_extract(path, r"^(.*)\.[^.]*$", 1).alias("package"), F.substring_index(path, ".", -1).alias("class"), method.alias("method"), F.when(numbered, F.regexp_extract(place, r"^(.+):\d+$", 1)).otherwise(place).alias("file"), F.when(numbered, F.substring_index(place, ":", -1)).otherwise("").alias("line"), owner.alias("owner"))
 
@@ -312,12 +353,34 @@ _FRAMED = f"""f AS (SELECT report_id, 1000 + ordinal * 10 AS pos, ordinal - 1 AS
  CASE WHEN part % 6 IN (0, 1) THEN 'fn' || supp WHEN part % 6 IN (2, 3) THEN '??' WHEN part % 6 = 4 THEN '<signal handler called>' ELSE 'operator new (sz=' || part || ')' END AS function, CASE part % 6 WHEN 0 THEN 'a=1, b=2' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN '' END AS args,
  CASE WHEN part % 6 = 0 THEN 'f' || part || '.c:10' END AS location, CASE WHEN part % 6 = 1 THEN '/lib/l' || supp || '.so' END AS library, CASE part % 6 WHEN 2 THEN 'GARBAGE' WHEN 3 THEN 'UNSYMBOLIZED' ELSE 'RESOLVED' END AS quality, part FROM objects)"""
 _OWN_FRAME = "'app' AS package, 'M' || part AS class, 'run' AS method, 'M.java' AS file, CAST(ordinal AS VARCHAR) AS line, 'user' AS owner"
+def _locals_page(spark: SparkSession, d: str) -> DataFrame:
+    """A thread with a frame and a local variable per line; even reports have a header with another order of columns."""
+    part, supp, even = F.col("part"), F.col("supp"), F.col("report_id") % 2 == 0
+    cells = lambda *c: F.concat(*(F.concat(F.lit("<td>"), x if isinstance(x, Column) else F.lit(x), F.lit("</td>")) for x in c))
+    thread = F.concat(F.lit('<tr class="x selected">'), cells(text("java.lang.Thread @ 0x", part)), F.when(even, cells("", text("w", supp), "RUNNABLE", "false", text("app.L", part))).otherwise(cells(text("w", supp), "", "", "9", text("app.L", part), "false", "x", "RUNNABLE")), F.lit("</tr>"))
+    owner = F.when(part % 4 == 0, "java.util.M").when(part % 4 == 1, "org.springframework.M").when(part % 4 == 2, "app.OutOfMemoryError").otherwise("app.M")
+    heap = A.grouped(F.col("shallow"))
+    frame = F.concat(F.when(part % 3 == 0, '<tr class="selected">').otherwise("<tr>"), cells(F.concat(F.lit('<a href="x">at '), owner, text(".run(M.java:", part, ")</a> &raquo;"))), F.when(even, cells(heap)).otherwise(cells("", "", "", heap)), F.lit("</tr>"))
+    local = F.concat(F.lit("<tr>"), cells(F.when(part % 2 == 0, text("&lt;Java Local&gt;   app.C", supp, " &raquo;")).otherwise(text("|+ app.D", supp))), F.lit("</tr>"))
+    row = F.concat(F.when(F.col("ordinal") == 1, thread).otherwise(""), frame, local, F.when(part % 5 == 0, "<tr><td>other</td></tr>").otherwise(""))
+    pages = A.joined(A.objects(spark, d), "report_id", row)
+    head = F.when(even, "<thead><tr><th>Object</th><th>Max. Locals' Retained Heap</th><th>Name</th><th>State</th><th>Is Daemon</th><th>Context Class Loader</th></tr></thead>").otherwise("")
+    return pages.withColumn("html", F.concat(F.lit('<table class="result">'), head, F.lit("<tbody>"), F.col("html"), F.lit('<tr class="totals"><td>Total: 3</td></tr></tbody></table>')))
+
+
 _WARNED = f"""w AS (SELECT o.report_id, concat_ws(chr(10), CASE WHEN bool_and(part % 3 = 0) THEN '{QUALITY_WARNINGS[0]}' END, CASE WHEN any_value(o.report_id) % 5 = 1 OR coalesce(any_value(known), 0) = 0 THEN '{QUALITY_WARNINGS[1]}' END, CASE any_value(o.report_id) % 5 WHEN 0 THEN '{QUALITY_WARNINGS[2]}' WHEN 2 THEN '{QUALITY_WARNINGS[3]}' WHEN 3 THEN '{QUALITY_WARNINGS[4]}' END) AS warnings
  FROM objects o LEFT JOIN (SELECT report_id, count(*) FILTER (quality = 'RESOLVED') AS known FROM f GROUP BY 1) q ON q.report_id = o.report_id GROUP BY o.report_id)"""
 QUERIES = {
     "thread_blocks": (lambda s, d: thread_blocks(A.thread_dump(s, d)).drop("block"), f"WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, {_STACK_SQL} AS stack FROM objects"),
     "thread_locals": (lambda s, d: thread_locals(A.thread_dump(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, CASE WHEN part % 3 = 0 THEN CAST(part AS VARCHAR) ELSE CAST({INSTANCES_AT}::HUGEINT + supp AS VARCHAR) END AS object_id FROM objects"),
     "thread_stacks": (lambda s, d: thread_stacks(_threads(s, d), A.thread_dump(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, {THREAD_SQL} AS address, 'worker-' || supp AS name, {_STACK_SQL} AS stack FROM objects"),
+    "local_variables": (
+        lambda s, d: local_rows(_locals_page(s, d)),
+        f"""WITH {OBJECTS_SQL}, r AS (SELECT report_id, 0 AS o, 'thread' AS kind, 'w' || supp AS name, 'RUNNABLE' AS state, 'false' AS daemon, 'app.L' || part AS loader, NULL AS raw, NULL AS local_heap, true AS significant FROM objects WHERE ordinal = 1
+ UNION ALL SELECT report_id, ordinal * 2, CASE part % 4 WHEN 0 THEN 'jdk' WHEN 1 THEN 'framework' WHEN 2 THEN 'oom' ELSE 'user' END, NULL, NULL, NULL, NULL, 'at ' || CASE part % 4 WHEN 0 THEN 'java.util.M' WHEN 1 THEN 'org.springframework.M' WHEN 2 THEN 'app.OutOfMemoryError' ELSE 'app.M' END || '.run(M.java:' || part || ')', shallow, part % 3 = 0 FROM objects
+ UNION ALL SELECT report_id, ordinal * 2 + 1, 'local', NULL, NULL, NULL, NULL, CASE WHEN part % 2 = 0 THEN '<Java Local> app.C' ELSE 'app.D' END || supp, NULL, false FROM objects)
+ SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY o) AS INTEGER) AS nth, kind, name, state, daemon, loader, raw, local_heap, significant FROM r""",
+    ),
     "stack_frames": (
         lambda s, d: java_frames(thread_blocks(A.thread_dump(s, d))),
         f"""WITH {OBJECTS_SQL}, o AS (SELECT *, {THREAD_SQL} AS address FROM objects), i AS (SELECT report_id, address, part, ordinal, part % 8 AS k FROM o)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinderlens.functions.scalars import format_bytes
 from cinderlens.plans.views import HISTORY_SQL, TRANSFERS_SQL, history, transfers
 from cinderlens.sources.tables import load
 
@@ -137,6 +138,44 @@ def login_search(spark: SparkSession, d: str, query: str = "1", state: str = "FA
     return matching(rows, [contains_any(query, "user_id"), is_state("status", state, LOGIN_STATES)]).select("event_id", "user_id", "status")
 
 
+#: Percent of a disk in use from which on it is a warning; fixed value.
+DISK_WARNING = 90
+
+
+def disk_usage(disks: DataFrame, warning: float = DISK_WARNING) -> DataFrame:
+    """``id, usage_percent, total, usable, usable_bytes, warning`` of ``id, total, usable``: percent in use with one decimal;
+    the warning goes by the exact share. A disk without a size is not in use."""
+    used = F.when(F.col("total") > 0, (F.col("total") - F.col("usable")) / F.col("total") * 100).otherwise(F.lit(0.0))
+    return disks.select("id", (F.floor(used * 10 + 0.5) / 10.0).alias("usage_percent"), format_bytes(F.col("total")).alias("total"), format_bytes(F.col("usable")).alias("usable"), F.col("usable").alias("usable_bytes"), (used >= warning).alias("warning"))
+
+
+def session_rows(sessions: DataFrame, users: DataFrame, logins: DataFrame, now: Column, current: str) -> DataFrame:
+    """Open sessions with their users and last successful logins: ``session_id, username, display_name, role, ip, login_at,
+    idle_seconds, is_current``. ``sessions``: ``session_id, username, last_access, expiry``; ``logins``: ``session_id, status, ip,
+    login_at``; ``users``: ``username, display_name, role``. A user who is gone leaves name and role empty."""
+    last = logins.where("status = 'SUCCESS'").groupBy("session_id").agg(F.max_by(F.struct("ip", "login_at"), "login_at").alias("l"))
+    rows = sessions.where(F.col("username").isNotNull() & (F.col("expiry") > now)).join(users, "username", "left").join(last, "session_id", "left")
+    idle = F.greatest(F.floor((F.unix_micros(now) - F.unix_micros("last_access")) / 1_000_000), F.lit(0))
+    return rows.select("session_id", "username", "display_name", "role", F.col("l.ip").alias("ip"), F.date_format("l.login_at", "yyyy-MM-dd HH:mm:ss").alias("login_at"), idle.cast("long").alias("idle_seconds"), F.coalesce(F.col("session_id") == current, F.lit(False)).alias("is_current"))
+
+
+def session_query(spark: SparkSession, d: str) -> DataFrame:
+    """A session per user and day that lasts a day after its last event; users of customers by number, of whom every third
+    is gone."""
+    rows = load(spark, d, "events").withColumn("session_id", F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("-"), F.dayofyear("ts").cast("string")))
+    end = load(spark, d, "events").agg(F.max("ts").alias("now"))
+    # one row
+    sessions = rows.groupBy("session_id", F.col("user_id").alias("username")).agg(F.max("ts").alias("last_access")).withColumn("expiry", F.col("last_access") + F.expr("INTERVAL 1 DAY")).crossJoin(F.broadcast(end))
+    users = load(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("username"), F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("role"))
+    logins = rows.select("session_id", F.when(F.col("event_type") == "error", "FAILURE").otherwise("SUCCESS").alias("status"), F.concat(F.lit("10.0.0."), (F.col("event_id") % 250).cast("string")).alias("ip"), F.col("ts").alias("login_at"))
+    return session_rows(sessions, users, logins, F.col("now"), "s7-30")
+
+
+def disk_query(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return disk_usage(load(spark, d, "supplier").select(k.alias("id"), F.when(k % 9 == 0, 0).otherwise(k * 1_000_003).alias("total"), F.when(k % 9 == 0, 0).otherwise(k * 10_007 * (k % 100)).alias("usable")))
+
+
 def active_sessions(spark: SparkSession, d: str) -> DataFrame:
     """The latest successful event of each user with the idle time to the end of the stream, and whether a failure is newer."""
     rows = load(spark, d, "events")
@@ -194,6 +233,18 @@ QUERIES = {
         f"""{_H}, f AS (SELECT l_orderkey AS file_id, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS file_size FROM lineitem GROUP BY 1), s AS (SELECT * FROM history WHERE owner NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))
  SELECT coalesce(id, file_id) AS id, CASE WHEN id IS NULL THEN 'file' WHEN file_id IS NULL THEN 'stored' ELSE 'both' END AS origin, coalesce(status, 'NOT_ANALYZED') AS status, coalesce(file_size, 0) AS file_size, coalesce(used_heap, 0) AS used_heap FROM s FULL JOIN f ON id = file_id""",
     ),
+    "session_rows": (
+        session_query,
+        """WITH r AS (SELECT *, 's' || user_id || '-' || dayofyear(ts) AS sid FROM events), n AS (SELECT max(ts) AS now FROM events), s AS (SELECT sid, user_id, max(ts) AS last FROM r GROUP BY 1, 2), l AS (SELECT sid, max_by(event_id, ts) AS e, max(ts) AS at_ FROM r WHERE event_type <> 'error' GROUP BY 1)
+ SELECT s.sid AS session_id, user_id AS username, c_name AS display_name, c_mktsegment AS role, '10.0.0.' || e % 250 AS ip, strftime(at_, '%Y-%m-%d %H:%M:%S') AS login_at, greatest((epoch_us(now) - epoch_us(last)) // 1000000, 0) AS idle_seconds, s.sid = 's7-30' AS is_current
+ FROM s JOIN n ON last + INTERVAL 1 DAY > now LEFT JOIN l ON l.sid = s.sid LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 3 <> 0""",
+    ),
+    "disk_usage": (
+        disk_query,
+        "WITH d AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE s_suppkey * 1000003 END AS t, CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE s_suppkey * 10007 * (s_suppkey % 100) END AS u FROM supplier), p AS (SELECT *, CASE WHEN t > 0 THEN (t - u) / t * 100 ELSE 0 END AS p FROM d) SELECT id, floor(p * 10 + 0.5) / 10.0 AS usage_percent, "
+        + ", ".join(f"CASE WHEN {c} <= 0 THEN '0 B' WHEN {c} < 1024 THEN {c} || ' B' WHEN {c} < 1048576 THEN printf('%.1f', round({c} / 1024.0, 1)) || ' KB' WHEN {c} < 1073741824 THEN printf('%.2f', round({c} / 1048576.0, 2)) || ' MB' ELSE regexp_replace(printf('%.2f', round({c} / 1073741824.0, 2)), '\\.?0+$', '') || ' GB' END AS {n}" for c, n in (("t", "total"), ("u", "usable")))
+        + f", u AS usable_bytes, p >= {DISK_WARNING} AS warning FROM p",
+    ),
     "transfer_search": (transfer_search, f"{_T} SELECT id, server_id, filename, status, file_size FROM transfers WHERE lower(filename) LIKE '%dump_1%' AND status = 'FAILED' AND started_at >= '2024-01-05' AND started_at < '2024-01-20'"),
     "transfer_stats": (transfer_stats, f"{_T} SELECT count(*) AS total, count(*) FILTER (status = 'SUCCESS') AS success, count(*) FILTER (status = 'FAILED') AS failed FROM transfers"),
     "transfer_page": (transfer_page, f"{_T} SELECT id, filename, status, (SELECT count(*) FROM transfers) AS total_rows FROM transfers ORDER BY started_at DESC, id LIMIT 50 OFFSET 50"),

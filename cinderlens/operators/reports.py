@@ -100,11 +100,14 @@ def thread_rows(pages: DataFrame) -> DataFrame:
 
 
 def property_rows(pages: DataFrame) -> DataFrame:
-    """Keys and values of a two-column table, the last value of a repeated key; header and total rows are left out."""
+    """Keys and values of a table of two columns, or of three with the collection before them; the last value of a repeated
+    key. Header and total rows are left out."""
     rows = pages.select("report_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "row"))
     rows = rows.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit("(?s)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), H.plain)).where("size(cells) >= 2")
-    rows = rows.withColumn("key", _cell(0)).where("key <> '' AND lower(key) NOT IN ('key', 'name') AND lower(key) NOT LIKE 'total%'")
-    return rows.groupBy("report_id", "key").agg(F.max_by(_cell(1), "pos").alias("value"))
+    wide = F.size("cells") >= 3
+    rows = rows.withColumn("key", F.when(wide, _cell(1)).otherwise(_cell(0))).withColumn("value", F.when(wide, _cell(2)).otherwise(_cell(1)))
+    rows = rows.where("key <> '' AND lower(key) NOT IN ('key', 'name', 'collection') AND lower(key) NOT LIKE 'total%'")
+    return rows.groupBy("report_id", "key").agg(F.max_by("value", "pos").alias("value"))
 
 
 def jdk_version(properties: DataFrame, keys: tuple[str, ...] = ("java.runtime.version", "java.version", "java.vm.version")) -> DataFrame:
@@ -329,9 +332,12 @@ def _loaded_page(spark: SparkSession, d: str) -> DataFrame:
 
 def _property_page(spark: SparkSession, d: str) -> DataFrame:
     c = load(spark, d, "customer").withColumnRenamed("c_custkey", "report_id")
-    row = lambda k, v: F.concat(F.lit(f"<tr><td> {k}\n</td><td>"), v, F.lit("</td></tr>"))
+    # even reports name the collection in a first column
+    wide = F.col("report_id") % 2 == 0
+    before = F.when(wide, text("<td>java.util.Properties @ 0x", F.col("report_id"), "</td>")).otherwise("")
+    row = lambda k, v: F.concat(F.lit("<tr>"), before, F.lit(f"<td> {k}\n</td><td>"), v, F.lit("</td></tr>"))
     version = F.when(F.col("report_id") % 3 == 0, F.lit(" ")).otherwise(text("17.0.", F.col("report_id")))
-    html = F.concat(F.lit("<tr><th>Key</th><th>Value</th></tr>"), row("java.runtime.version", version), row("java.version", text("<b>11</b>.", F.col("c_nationkey"))), row("user.name", F.lit("old")), row("user.name", F.col("c_name")), row("Total: 4", F.lit("entries")), F.lit("<tr><td>alone</td></tr>"))
+    html = F.concat(F.when(wide, "<tr><th>Collection</th><th>Key</th><th>Value</th></tr><tr><td>Total: 9 entries</td><td></td><td></td></tr>").otherwise("<tr><th>Key</th><th>Value</th></tr>"), row("java.runtime.version", version), row("java.version", text("<b>11</b>.", F.col("c_nationkey"))), row("user.name", F.lit("old")), row("user.name", F.col("c_name")), row("Total: 4", F.lit("entries")), F.lit("<tr><td>alone</td></tr>"))
     return c.select("report_id", html.alias("html"))
 
 
