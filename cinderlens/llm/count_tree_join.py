@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from cinderlens.llm.components import components
 from cinderlens.llm.rows import ROW, anti_join, maybe_join, semi_join, with_row_key
 from cinderlens.llm.scratch import bucketed, durable, release
-from cinderlens.llm.text import WordHasher, gram_hashes, mix, slices, utf8
+from cinderlens.llm.text import WordHasher, give_back, gram_hashes, mix, slices, utf8
 
 #: Coordinates of one block in the index's top level.
 BLOCK_GROUPS = 1024
@@ -54,7 +54,7 @@ CHUNK = 2048
 #: Smallest cells of a member that its rows carry, to report a pair in one of its cells only.
 LOW_CELLS = 8
 #: Cell rows that a task holds before it combines them.
-HELD_ROWS = 1_500_000
+HELD_ROWS = 750_000
 #: Pairs of points that are bounded at once, and pairs of leaves whose points are paired at once.
 AT_ONCE = 4096
 LEAVES_AT_ONCE = 1024
@@ -242,6 +242,8 @@ def cell_rows(rows: DataFrame, n: int, p: int, q: int) -> DataFrame:
                 keys, marks, held = [], [], 0
         if keys:
             yield from _star(np.concatenate(keys), np.concatenate(marks))
+        keys, marks = [], []
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, None
@@ -262,6 +264,7 @@ def cell_rows(rows: DataFrame, n: int, p: int, q: int) -> DataFrame:
             last, pivot = key[-1], pivots[-1]
             if other.any():
                 yield _rows(PAIR, key[other], np.minimum(every[other], a[other]), np.maximum(every[other], a[other]))
+        give_back()
 
     return rows.mapInArrow(run, _SCHEMA).repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, _SCHEMA)
 
@@ -357,6 +360,8 @@ def remaining_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFr
             held = held.slice(starts[-2])
         if held is not None and held.num_rows:
             yield from search(held, np.array([0, held.num_rows]))
+        held = None
+        give_back()
 
     def search(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:

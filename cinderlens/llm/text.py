@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,20 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that only few texts are held as Python values at once. What Arrow keeps for
-    reuse is given back at the end of a task."""
+    """Batches of at most so many rows, so that only few texts are held as Python values at once. What is kept for reuse is
+    given back at the end of a task."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Give memory that is free back to the system: a worker lives on after its task and would keep it."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words(text: bytes) -> list[bytes]:
