@@ -72,6 +72,14 @@ def core_list(files: DataFrame, analysed: DataFrame) -> DataFrame:
     return rows.select("name", "size", F.coalesce("status", F.lit("NOT_ANALYZED")).alias("status"), "program")
 
 
+def core_filter(cores: DataFrame, query: str = "", status: str = "", paired: bool | None = None) -> DataFrame:
+    """Of ``core_list`` the rows whose name holds the query, in any case, with this status, and with or without a program;
+    what is not given is no criterion."""
+    out = cores.where(F.lower("name").contains(query.strip().lower())) if query.strip() else cores
+    out = out.where(F.col("status") == status) if status else out
+    return out if paired is None else out.where(F.col("program").isNotNull() == F.lit(paired))
+
+
 def scan_status(scanned: DataFrame, log: DataFrame, local: DataFrame, analysed: DataFrame) -> DataFrame:
     """Scanned files (the newest of each path) with the newest successful transfer of the same server, name and size whose
     copy is still there, and whether that was analysed."""
@@ -259,18 +267,23 @@ def core_list_query(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey") % 4
     own = F.when(k == 0, F.array(F.concat(F.lit("core."), s), F.concat(F.lit("core."), s, F.lit(".exec")))).when(k == 1, F.array(F.concat(F.lit(".core."), s))).when(k == 2, F.array(F.concat(F.lit("lone"), s, F.lit(".exec")))).otherwise(F.array(F.concat(F.lit("core."), s)))
     files = load(spark, d, "supplier").select(F.explode(own).alias("name"), F.col("s_suppkey").alias("size"))
-    done = load(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("core."), s).alias("name"), F.lit("SUCCESS").alias("status"))
+    done = load(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("core."), s).alias("name"), F.lit("SUCCESS").alias("status"))
     return core_list(files, done)
 
 
+#: In the query: values from which on a copy is kept, and from which on it is analysed.
+KEPT_FROM, ANALYSED_FROM = 10, 60
+
+
 def scan_status_query(spark: SparkSession, d: str) -> DataFrame:
     """Events as scans and as transfers: a scan of a path of which the transfer log may hold a copy."""
     e = load(spark, d, "events")
     path = F.concat(F.lit("/r/"), (F.col("event_id") % 900).cast("string"))
     scanned = e.select((F.col("event_id") % 7).alias("server_id"), path.alias("path"), (F.col("event_id") % 900).alias("size"), F.col("ts").alias("mtime"))
-    log = e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("server_id"), path.alias("remote"), (F.col("event_id") % 900).alias("file_size"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("filename"), F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCESS").alias("status"), F.col("ts").alias("started_at"))
-    local = log.where("id % 4 = 0").select("filename")
-    return scan_status(scanned, log, local, log.where("id % 8 = 0").select("filename"))
+    log = e.select("value", F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("server_id"), path.alias("remote"), (F.col("event_id") % 900).alias("file_size"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("filename"), F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCESS").alias("status"), F.col("ts").alias("started_at"))
+    # copies of small value are gone, those of large value have been analysed
+    local = log.where(F.col("value") >= KEPT_FROM).select("filename")
+    return scan_status(scanned, log.drop("value"), local, log.where(F.col("value") >= ANALYSED_FROM).select("filename"))
 
 
 def chat_state_query(spark: SparkSession, d: str) -> DataFrame:
@@ -397,12 +410,16 @@ QUERIES = {
     "heap_usage": (heap_usage_query, f"WITH {OBJECTS_SQL}, s AS (SELECT report_id, CAST(sum(retained) AS BIGINT) AS top FROM objects GROUP BY 1) SELECT report_id, CASE WHEN report_id % 5 = 0 THEN report_id ELSE top END AS used, CASE WHEN report_id % 5 = 0 THEN 0 ELSE 4294967296 - top END AS free, CASE WHEN report_id % 5 <> 0 THEN round(top * 100.0 / 4294967296, 6) END AS percent FROM s"),
     "heap_check": (heap_check_query, f"{_H}, s AS (SELECT id, used_heap * (id % 5 + 1) AS raw, CASE id % 5 WHEN 0 THEN used_heap WHEN 1 THEN used_heap * 2 WHEN 2 THEN used_heap * 3 WHEN 3 THEN used_heap * 4 ELSE used_heap END AS n FROM history) SELECT id, n AS size, n * 2 > 30000000 AS warning, CASE WHEN n * 2 < 1048576 THEN printf('%.1f', n * 2 / 1024.0) || ' KB' WHEN n * 2 < 1073741824 THEN printf('%.2f', n * 2 / 1048576.0) || ' MB' ELSE regexp_replace(printf('%.2f', n * 2 / 1073741824.0), '\\.?0+$', '') || ' GB' END AS recommended FROM s"),
     "upload_dedup": (upload_dedup, "WITH k AS (SELECT c_custkey AS c, c_custkey % 3 AS k, s_suppkey IS NOT NULL AS there FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey) SELECT c AS id, CASE WHEN there AND k = 0 THEN 'DUPLICATE_CONTENT' WHEN there THEN 'DUPLICATE_NAME' ELSE 'OK' END AS status, CASE WHEN there AND k = 0 THEN 'd' || c || '.hprof' WHEN there THEN 'd' || c || '.hprof' END AS existing, CASE WHEN there AND k <> 0 THEN 'd' || c || '_2.hprof' END AS suggested FROM k"),
-    "core_list": (core_list_query, "SELECT 'core.' || s_suppkey AS name, s_suppkey AS size, CASE WHEN s_suppkey % 3 = 0 THEN 'SUCCESS' ELSE 'NOT_ANALYZED' END AS status, CASE WHEN s_suppkey % 4 = 0 THEN 'core.' || s_suppkey || '.exec' END AS program FROM supplier WHERE s_suppkey % 4 IN (0, 3)"),
+    "core_list": (core_list_query, "SELECT 'core.' || s_suppkey AS name, s_suppkey AS size, CASE WHEN s_acctbal > 0 THEN 'SUCCESS' ELSE 'NOT_ANALYZED' END AS status, CASE WHEN s_suppkey % 4 = 0 THEN 'core.' || s_suppkey || '.exec' END AS program FROM supplier WHERE s_suppkey % 4 IN (0, 3)"),
+    "core_filter": (
+        lambda s, d: core_filter(core_list_query(s, d), "CORE.1", "SUCCESS", True),
+        "SELECT 'core.' || s_suppkey AS name, s_suppkey AS size, 'SUCCESS' AS status, 'core.' || s_suppkey || '.exec' AS program FROM supplier WHERE s_suppkey % 4 = 0 AND s_acctbal > 0 AND contains('core.' || s_suppkey, 'core.1')",
+    ),
     "scan_status": (
         scan_status_query,
-        """WITH s AS (SELECT DISTINCT event_id % 7 AS server_id, '/r/' || event_id % 900 AS path, event_id % 900 AS size FROM events),
- m AS (SELECT event_id % 7 AS server_id, '/r/' || event_id % 900 AS path, max_by(event_id, (ts, event_id)) AS e FROM events WHERE event_id % 4 = 0 AND event_type <> 'error' GROUP BY 1, 2)
- SELECT s.server_id, s.path, s.size, CASE WHEN e IS NOT NULL THEN 'f' || e END AS copy, CASE WHEN e % 8 = 0 THEN 'ANALYZED' WHEN e IS NOT NULL THEN 'TRANSFERRED' ELSE 'NEW' END AS state FROM s LEFT JOIN m ON s.server_id = m.server_id AND s.path = m.path""",
+        f"""WITH s AS (SELECT DISTINCT event_id % 7 AS server_id, '/r/' || event_id % 900 AS path, event_id % 900 AS size FROM events),
+ m AS (SELECT event_id % 7 AS server_id, '/r/' || event_id % 900 AS path, max_by(event_id, (ts, event_id)) AS e, max_by(value, (ts, event_id)) AS v FROM events WHERE value >= {KEPT_FROM} AND event_type <> 'error' GROUP BY 1, 2)
+ SELECT s.server_id, s.path, s.size, CASE WHEN e IS NOT NULL THEN 'f' || e END AS copy, CASE WHEN v >= {ANALYSED_FROM} THEN 'ANALYZED' WHEN e IS NOT NULL THEN 'TRANSFERRED' ELSE 'NEW' END AS state FROM s LEFT JOIN m ON s.server_id = m.server_id AND s.path = m.path""",
     ),
     "chat_state": (chat_state_query, f"{_H} SELECT id, CASE id % 6 WHEN 0 THEN 'general' WHEN 1 THEN 'analysisDeleted' WHEN 3 THEN 'previousAnalysis' ELSE 'currentAnalysis' END AS state FROM history"),
     "chat_purge": (chat_purge, "SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)"),
