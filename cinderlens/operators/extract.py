@@ -348,7 +348,7 @@ def _threads(spark: SparkSession, d: str) -> DataFrame:
 _AT = "'0x00007f' || lpad(printf('%x', part * 4096 + supp), 10, '0')"
 _STACK_LINES = "'at app.M' || part || '.run(M.java:' || ordinal || ')'"
 _STACK_SQL = f"""CASE part % 8 WHEN 0 THEN 'at java.lang.OutOfMemoryError.<init>()V' || chr(10) || '  at java.lang.Thread.start0(Native Method)' || chr(10) || '  ' WHEN 1 THEN 'at java.nio.Bits.reserveMemory(Bits.java:1)' || chr(10) || '  ' WHEN 2 THEN 'java.lang.OutOfMemoryError: GC overhead limit exceeded' || chr(10) || '  ' WHEN 3 THEN 'at java.lang.OutOfMemoryError.<init>()V' || chr(10) || '  '
- WHEN 4 THEN 'at my.OutOfMemoryError.x()V' || chr(10) || '  ' WHEN 5 THEN 'at java.lang.OutOfMemoryError.<init>()V' || chr(10) || '  at java.lang.ClassLoader.defineClass1(Native Method)' || chr(10) || '  ' WHEN 6 THEN 'java.lang.OutOfMemoryError: something odd' || chr(10) || '  ' ELSE '' END || {_STACK_LINES}"""
+ WHEN 4 THEN 'at my.OutOfMemoryError.x()V' || chr(10) || '  ' WHEN 5 THEN 'at java.lang.OutOfMemoryError.<init>()V' || chr(10) || '  at java.lang.ClassLoader.defineClass1(Native Method)' || chr(10) || '  ' WHEN 6 THEN 'java.lang.OutOfMemoryError: something odd' || chr(10) || '  ' ELSE '' END || {_STACK_LINES} || CASE WHEN part % 16 = 8 THEN chr(10) || '  Caused by: java.lang.OutOfMemoryError: Metaspace' ELSE '' END"""
 _FRAMED = f"""f AS (SELECT report_id, 1000 + ordinal * 10 AS pos, ordinal - 1 AS number, CASE part % 6 WHEN 0 THEN {_AT} WHEN 2 THEN '0x4142434445464748' WHEN 3 THEN {_AT} END AS address,
  CASE WHEN part % 6 IN (0, 1) THEN 'fn' || supp WHEN part % 6 IN (2, 3) THEN '??' WHEN part % 6 = 4 THEN '<signal handler called>' ELSE 'operator new (sz=' || part || ')' END AS function, CASE part % 6 WHEN 0 THEN 'a=1, b=2' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN '' END AS args,
  CASE WHEN part % 6 = 0 THEN 'f' || part || '.c:10' END AS location, CASE WHEN part % 6 = 1 THEN '/lib/l' || supp || '.so' END AS library, CASE part % 6 WHEN 2 THEN 'GARBAGE' WHEN 3 THEN 'UNSYMBOLIZED' ELSE 'RESOLVED' END AS quality, part FROM objects)"""
