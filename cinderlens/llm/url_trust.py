@@ -29,7 +29,6 @@ from cinderlens.llm.scratch import durable, release
 #: Verdict and rule of the contract's query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
-ROUNDS = 40
 TOLERANCE = 1e-6
 THRESHOLD = 0.5
 #: Absolute and scheme-relative link targets; other links stay on their host.
@@ -74,8 +73,9 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``host, trust, distrust`` from ``links`` (``src, dst, n``) and ``seeds`` (``host, trust, distrust`` in 0 to 1)."""
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """``host, trust, distrust`` from ``links`` (``src, dst, n``) and ``seeds`` (``host, trust, distrust`` in 0 to 1). Rounds go on
+    until nothing moves by more than ``tolerance``; what moves shrinks by ``damping`` in each, so they end."""
     links = durable(links, "links")
     if not links.limit(1).count():
         return seeds.select("host", "trust", "distrust")
@@ -88,7 +88,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     base = hosts.join(leaves, F.col("host") == F.col("h"), "left").drop("h").na.fill(False, ["leaves"])
     ranks = durable(base.select("*", F.col("t0").alias("t"), F.lit(1.0).alias("r"), F.col("d0").alias("d")), "ranks")
     old = None
-    for _ in range(rounds):
+    while True:
         forth = edges.join(ranks.select(F.col("host").alias("src"), "t", "r"), "src").select(F.col("dst").alias("to"), (F.col("t") * F.col("share")).alias("gt"), (F.col("r") * F.col("share")).alias("gr"), F.lit(0.0).alias("gd"))
         back = edges.join(ranks.select(F.col("host").alias("dst"), "d"), "dst").select(F.col("src").alias("to"), F.lit(0.0).alias("gt"), F.lit(0.0).alias("gr"), (F.col("d") * F.col("share")).alias("gd"))
         got = forth.unionByName(back).groupBy("to").agg(F.sum("gt").alias("gt"), F.sum("gr").alias("gr"), F.sum("gd").alias("gd"))
