@@ -13,11 +13,13 @@ from cinderlens.sources.tables import load
 UNITS = {"TB": 1 << 40, "GB": 1 << 30, "MB": 1 << 20, "KB": 1 << 10, "B": 1}
 
 
-def format_bytes(n: Column) -> Column:
-    """0 B for nothing; one decimal for KB, two for MB and GB, GB without trailing zeros."""
-    gb = F.regexp_replace(F.format_string("%.2f", n / float(1 << 30)), r"\.?0+$", "")
-    text = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_string("%.1f", n / 1024.0), F.lit(" KB")))
-    return F.when(n.isNull() | (n <= 0), "0 B").otherwise(text.when(n < 1 << 30, F.concat(F.format_string("%.2f", n / float(1 << 20)), F.lit(" MB"))).otherwise(F.concat(gb, F.lit(" GB"))))
+def format_bytes(n: Column, rounded=F.round) -> Column:
+    """0 B for nothing; one decimal for KB, two for MB and GB, GB without trailing zeros. Halves are rounded up, or as
+    ``rounded`` says."""
+    fixed = lambda x, digits: F.format_string(f"%.{digits}f", rounded(x, digits))
+    gb = F.regexp_replace(fixed(n / float(1 << 30), 2), r"\.?0+$", "")
+    text = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(fixed(n / 1024.0, 1), F.lit(" KB")))
+    return F.when(n.isNull() | (n <= 0), "0 B").otherwise(text.when(n < 1 << 30, F.concat(fixed(n / float(1 << 20), 2), F.lit(" MB"))).otherwise(F.concat(gb, F.lit(" GB"))))
 
 
 def format_duration(ms: Column) -> Column:

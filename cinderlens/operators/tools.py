@@ -40,10 +40,11 @@ def heap_usage(tops: DataFrame) -> DataFrame:
 
 def heap_check(files: DataFrame, tool_heap: int) -> DataFrame:
     """The size that a dump has when unpacked, from the first source that knows it, and whether the tool's heap is less than
-    twice that. ``files``: ``id, working, plain, packed, recorded, trailer`` in bytes, null where there is none."""
+    twice that; its halves go to the even digit, as in C's printf. ``files``: ``id, working, plain, packed, recorded, trailer``
+    in bytes, null where there is none."""
     packed = F.when(F.col("recorded") > F.col("packed"), F.col("recorded")).when(F.col("trailer") > F.col("packed"), F.col("trailer")).otherwise(F.col("packed"))
     size = F.coalesce("working", "plain", packed, F.lit(0))
-    return files.select("id", size.alias("size"), ((size > 0) & (size * 2 > tool_heap) & F.lit(tool_heap > 0)).alias("warning"), format_bytes(size * 2).alias("recommended"))
+    return files.select("id", size.alias("size"), ((size > 0) & (size * 2 > tool_heap) & F.lit(tool_heap > 0)).alias("warning"), format_bytes(size * 2, F.bround).alias("recommended"))
 
 
 def upload_status(uploads: DataFrame, files: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cinderlens.functions import texts as T
-from cinderlens.operators.tools import upload_status
+from cinderlens.operators.tools import heap_check, upload_status
 
 
 def two_hashes(data):
@@ -25,3 +25,9 @@ def test_a_free_name_is_the_first_gap(spark):
     uploads = spark.createDataFrame([(1, "a.hprof", 9, "y"), (2, "b.bin", 9, "y"), (3, "c.bin", 1, "x"), (4, "new.bin", 1, "y"), (5, "c.bin", 2, "x")], "id int, name string, size long, hash string")
     got = {r["id"]: (r["status"], r["existing"], r["suggested"]) for r in upload_status(uploads, files).collect()}
     assert got == {1: ("DUPLICATE_NAME", "a.hprof", "a_4.hprof"), 2: ("DUPLICATE_NAME", "b.bin", "b_2.bin"), 3: ("DUPLICATE_CONTENT", "a.hprof", None), 4: ("OK", None, None), 5: ("DUPLICATE_NAME", "c.bin", "c_2.bin")}
+
+
+def test_halves_of_recommended_heaps_go_to_the_even_digit(spark):
+    sizes = [203904, 441984, 38043648, 52224]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "id long, working long").selectExpr("*", *(f"CAST(NULL AS BIGINT) AS {c}" for c in ("plain", "packed", "recorded", "trailer")))
+    assert [r.recommended for r in heap_check(rows, 1).orderBy("id").collect()] == ["398.2 KB", "863.2 KB", "72.56 MB", "102.0 KB"]
