@@ -107,3 +107,20 @@ def test_sections_by_level_and_pruning_at_the_top_only(spark):
     kept = {r["section"] for r in reports.prune(reports.sections(spark.createDataFrame([(1, html.replace("more", ""))], "report_id int, html string"))).collect()}
     # B lies below A and stays without anything in it, D does not
     assert kept == {"i1", "i2", "i7"}
+
+
+@pytest.mark.parametrize(
+    ("page", "left"),
+    [
+        ("<p>a&amp b &am", "<p>a&amp b &am</p>"),
+        ("a &amp; b &lt;c&gt; &copy; & d &#60;", "a &amp; b &lt;c&gt; © &amp; d &lt;"),
+        ("&nosuch; &ampx;", "&nosuch; &ampx;"),
+        ("a&amp;& b", "a&amp;& b"),
+        # what was cut apart does not become a reference
+        ("&am<x>p;", "&amp;amp;"),
+        ('<a href="http://h/?a=1&amp;b=2&c=3">x</a>', '<a href="http://h/?a=1&amp;b=2&amp;c=3" rel="nofollow">x</a>'),
+    ],
+)
+def test_references_that_are_not_whole_stay(page, left):
+    assert sanitize.clean(page) == left
+    assert sanitize.clean(left) == left
