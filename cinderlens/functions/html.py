@@ -74,8 +74,7 @@ def class_name(cell: Column) -> Column:
 
 def object_class(cell: Column) -> Column:
     """As ``class_name``, without a leading "class" and the mark of system classes."""
-    name = class_name(cell)
-    return F.trim(F.replace(F.when(name.startswith("class "), F.trim(F.substring(name, 7, 1 << 30))).otherwise(name), F.lit("System Class"), F.lit("")))
+    return F.trim(F.replace(F.regexp_replace(class_name(cell), "^class ", ""), F.lit("System Class"), F.lit("")))
 
 
 def address(cell: Column) -> Column:
@@ -86,8 +85,5 @@ def address(cell: Column) -> Column:
 
 def is_loader(name: Column) -> Column:
     low = F.lower(name)
-    tests = [low.contains(x) for x in LOADER_PARTS] + [low.endswith(x) for x in LOADER_ENDS] + [low.startswith(x) for x in LOADER_STARTS]
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+    parts, ends, starts = ("|".join(x.replace(".", r"\.") for x in texts) for texts in (LOADER_PARTS, LOADER_ENDS, LOADER_STARTS))
+    return low.rlike(rf"(?s)^(?:{starts})|{parts}|(?:{ends})\z")

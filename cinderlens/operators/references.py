@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderlens.operators.reports import REF_CAP, reference_rows
+from cinderlens.functions.steps import worked_out
+from cinderlens.operators.reports import REF_CAP, reference_entries
 from cinderlens.plans import artifacts as A
 from cinderlens.plans.artifacts import CLASS_SQL, HEX_SQL, OBJECTS_SQL
 from cinderlens.sources.stored import new_folder, stored
@@ -30,15 +31,10 @@ def _folder(address: Column) -> Column:
 def reference_lists(pages: DataFrame, cap: int = REF_CAP) -> DataFrame:
     """``report_id, address, incoming, outgoing`` from ``report_id, address, kind, html``; a page without rows gives an empty
     list."""
-    keys = ("report_id", "address", "kind")
-    # the names of the page's own columns and those of its rows differ
-    rows = reference_rows(pages.withColumnRenamed("address", "of"), cap, ("report_id", "of", "kind"))
-    entry = F.struct("nth", "class_name", "address", "shallow", "retained")
-    lists = rows.groupBy("report_id", F.col("of").alias("address"), "kind").agg(F.array_sort(F.collect_list(entry)).alias("refs"))
+    lists = pages.select("report_id", "address", "kind", reference_entries(F.col("html"), cap).alias("refs"))
     none = F.array().cast(lists.schema["refs"].dataType)
-    every = pages.select(*keys).distinct().join(lists, list(keys), "left").withColumn("refs", F.coalesce("refs", none))
     of = lambda kind: F.coalesce(F.max_by("refs", F.when(F.col("kind") == kind, 1)), none).alias(kind)
-    return every.groupBy("report_id", "address").agg(*(of(k) for k in KINDS))
+    return lists.groupBy("report_id", "address").agg(*(of(k) for k in KINDS))
 
 
 def precompute(objects: DataFrame, pages: DataFrame, folder: str, largest: int = LARGEST, cap: int = REF_CAP) -> DataFrame:
@@ -75,14 +71,19 @@ def _objects(spark: SparkSession, d: str) -> DataFrame:
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """A page per object and direction; objects of every thirteenth part have none."""
-    rows = _objects(spark, d)
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), cell(A.class_cell()), cell(A.grouped(F.col("shallow"))), cell(A.grouped(F.col("retained"))), F.lit("</tr>"))
-    shown = rows.select("report_id", F.col("ordinal").alias("o"), row.alias("row"))
-    pairs = rows.where("part % 13 <> 0").select("report_id", "address", "ordinal").join(shown, "report_id").where("o <> ordinal")
-    parts = pairs.select("report_id", "address", F.when(F.col("o") < F.col("ordinal"), KINDS[0]).otherwise(KINDS[1]).alias("kind"), F.col("o").alias("ordinal"), "row")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "row"))), lambda x: x["row"]), "")
-    return parts.groupBy("report_id", "address", "kind").agg(F.concat(F.lit("<table><tr><th>Class Name</th></tr>"), body, F.lit("</table>")).alias("html"))
+    # an order's lines; its rows are made once and the pages of its objects from them, without pairs of objects
+    every = _objects(spark, d).groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "address", "part", row.alias("row")))).alias("every"))
+    objects = every.select("report_id", "every", F.explode("every").alias("of")).where("of.part % 13 <> 0")
+    # objects of one address share its pages, which stand with the first of them
+    own = F.filter("every", lambda x: (x["address"] == F.col("of.address")) & (x["part"] % 13 != 0))
+    objects = worked_out(objects, own=own).where(F.get("own", F.lit(0))["ordinal"] == F.col("of.ordinal"))
+    shown = lambda test: F.array_sort(F.flatten(F.transform("own", lambda a: F.filter("every", lambda x: test(x["ordinal"], a["ordinal"])))))
+    kinds = F.array(F.struct(F.lit(KINDS[0]).alias("kind"), shown(lambda x, a: x < a).alias("shown")), F.struct(F.lit(KINDS[1]).alias("kind"), shown(lambda x, a: x > a).alias("shown")))
+    pages = objects.select("report_id", "of.address", F.inline(kinds)).where("size(shown) > 0")
+    body = F.array_join(F.transform("shown", lambda x: x["row"]), "")
+    return pages.select("report_id", "address", "kind", F.concat(F.lit("<table><tr><th>Class Name</th></tr>"), body, F.lit("</table>")).alias("html"))
 
 
 #: In the query two objects of a report and lists of three are kept, as reports are short.

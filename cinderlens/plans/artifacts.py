@@ -17,9 +17,10 @@ KINDS = 6
 
 def objects(spark: SparkSession, d: str) -> DataFrame:
     """``report_id, owner, ordinal, part, supp, shallow, retained, percent``: a report per order, a row per line."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax")
-    return load(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("report_id"),
+    # numbered by the name that the key is used by later, so that rows of a report need not move again
+    w = Window.partitionBy("report_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax")
+    return load(spark, d, "lineitem").withColumnRenamed("l_orderkey", "report_id").select(
+        "report_id",
         F.row_number().over(w).alias("ordinal"),
         F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("supp"),

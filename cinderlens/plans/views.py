@@ -46,9 +46,9 @@ def weight(level: Column) -> Column:
 
 def suspects(spark: SparkSession, d: str) -> DataFrame:
     """Findings of each dump, numbered in a total order."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax")
-    return load(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("id"),
+    w = Window.partitionBy("id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax")
+    return load(spark, d, "lineitem").withColumnRenamed("l_orderkey", "id").select(
+        "id",
         F.row_number().over(w).alias("ordinal"),
         (F.col("l_quantity") * 2).alias("percent"),
         severity(F.col("l_quantity") * 2).alias("severity"),
