@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlens.functions import html as H
+from cinderlens.functions.steps import worked_out
 from cinderlens.plans import artifacts as A
 from cinderlens.plans.artifacts import INSTANCES_AT, OBJECTS_SQL, THREAD_SQL, text
 from cinderlens.plans.views import HISTORY_SQL, history
+from cinderlens.sources.stored import new_folder, stored
 from cinderlens.sources.tables import load
 
 #: How a debugger's echoed section marks begin, and a frame with address, function, arguments and the rest; fixed values.
@@ -22,6 +24,8 @@ LIBRARY = r"^(0x[0-9a-fA-F]+)\s+(0x[0-9a-fA-F]+)\s+(Yes(?:\s+\(\*\))?|No)\s+(\S+
 #: A table of frames and local variables, and its rows; fixed values.
 LOCALS_TABLE = r'(?is)<table[^>]*class="[^"]*\bresult\b[^"]*"[^>]*>(.*?)</table>'
 TABLE_ROW = "(?is)<tr([^>]*)>(.*?)</tr>"
+#: Words of the lines that an output's head is read from; fixed values.
+HEAD_WORDS = ("GNU gdb", "Core was generated by", "Program terminated with signal")
 REGISTER = r"^(\w+)\s+(0x[0-9a-fA-F]+)"
 THREAD = r"^\s*(\*?)\s*(\d+)\s+(Thread\s+\S+(?:\s+\(LWP\s+\d+\))?)\s*(.*)"
 JAVA_FRAME = r"^at\s+([\w$.]+)\.([\w$<>]+)\(([^)]*)\)$"
@@ -43,7 +47,8 @@ def thread_blocks(rows: DataFrame) -> DataFrame:
     """One row per thread: lower-case address, the frames before its locals, and the block."""
     blocks = rows.select("report_id", F.explode(F.split("text", "(?=Thread 0x)")).alias("block")).where("block LIKE 'Thread 0x%'")
     stack = F.trim(F.split("block", "locals:")[0])
-    return blocks.select("report_id", F.lower(F.regexp_extract("block", "^Thread (0x[0-9a-fA-F]+)", 1)).alias("address"), F.regexp_replace(F.trim(F.regexp_replace(stack, "^[^\n]*\n?", "")), r"\s+$", "").alias("stack"), "block")
+    blocks = worked_out(blocks, address=F.lower(F.regexp_extract("block", "^Thread (0x[0-9a-fA-F]+)", 1)), stack=F.regexp_replace(F.trim(F.regexp_replace(stack, "^[^\n]*\n?", "")), r"\s+$", ""))
+    return blocks.select("report_id", "address", "stack", "block")
 
 
 def thread_locals(rows: DataFrame) -> DataFrame:
@@ -69,7 +74,7 @@ def local_rows(pages: DataFrame) -> DataFrame:
     local_heap, significant``. The columns are found by the header, and stand at fixed places without it; a first selected
     row that is no frame is the thread's, and a row of totals is none."""
     table = F.regexp_extract("html", LOCALS_TABLE, 1)
-    heads = F.transform(H.header_cells(F.regexp_extract(table, "(?is)<thead[^>]*>(.*?)</thead>", 1)), lambda h: F.lower(F.trim(h)))
+    heads = F.transform(H.header_cells(F.regexp_extract("table", "(?is)<thead[^>]*>(.*?)</thead>", 1)), lambda h: F.lower(F.trim(h)))
     own = lambda test, default: F.coalesce(F.array_max(F.transform(heads, lambda h, i: F.when(test(h), i))), F.lit(default))
     columns = {
         "heap": own(lambda h: h.contains("max") & h.contains("local"), 4),
@@ -79,15 +84,15 @@ def local_rows(pages: DataFrame) -> DataFrame:
         "loader": own(lambda h: h.contains("context") & h.contains("loader"), 5),
     }
     parts = F.arrays_zip(F.regexp_extract_all("table", F.lit(TABLE_ROW), F.lit(1)).alias("marks"), F.regexp_extract_all("table", F.lit(TABLE_ROW), F.lit(2)).alias("row"))
-    rows = pages.select("report_id", table.alias("table"), *(c.alias(f"c_{n}") for n, c in columns.items())).select("report_id", *(f"c_{n}" for n in columns), F.posexplode(parts).alias("pos", "r"))
-    rows = rows.withColumn("cells", H.cells(F.col("r.row"))).where("size(cells) > 0").where(~F.col("r.marks").rlike(r"(?i)class\s*=\s*[\"'][^\"']*\btotals\b"))
+    rows = worked_out(worked_out(pages, table=table), **{f"c_{n}": c for n, c in columns.items()}).select("report_id", *(f"c_{n}" for n in columns), F.posexplode(parts).alias("pos", "r"))
+    rows = worked_out(rows, cells=H.cells(F.col("r.row"))).where("size(cells) > 0").where(~F.col("r.marks").rlike(r"(?i)class\s*=\s*[\"'][^\"']*\btotals\b"))
     rows = rows.withColumn("significant", F.col("r.marks").rlike(r"(?i)class\s*=\s*[\"'][^\"']*\bselected\b"))
-    rows = rows.withColumn("full", H.decoded(H.plain(F.get("cells", F.lit(0))))).withColumn("link", H.decoded(H.plain(F.regexp_extract(F.get("cells", F.lit(0)), "(?is)<a[^>]*>(.*?)</a>", 1))))
+    rows = worked_out(rows, full=H.decoded(H.plain(F.get("cells", F.lit(0)))), link=H.decoded(H.plain(F.regexp_extract(F.get("cells", F.lit(0)), "(?is)<a[^>]*>(.*?)</a>", 1))))
     squeezed = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*»\s*$", ""), r"\s{2,}", " "))
-    rows = rows.withColumn("shown", squeezed(F.when(F.col("link") != "", F.col("link")).otherwise(F.col("full"))))
+    rows = worked_out(rows, shown=squeezed(F.when(F.col("link") != "", F.col("link")).otherwise(F.col("full"))))
     first = F.row_number().over(Window.partitionBy("report_id").orderBy("pos")) == 1
     frame, local = F.col("shown").rlike(r"^at\s+[\w$.]"), F.col("full").contains("Java Local") | F.col("full").rlike(r"^\|[+|]")
-    rows = rows.withColumn("first", first).withColumn("kind", F.when(F.col("first") & F.col("significant") & ~F.col("shown").rlike(r"^at\s+"), "thread").when(frame, frame_owner(F.col("shown"))).when(local, "local")).where("kind IS NOT NULL")
+    rows = worked_out(rows.withColumn("first", first), kind=F.when(F.col("first") & F.col("significant") & ~F.col("shown").rlike(r"^at\s+"), "thread").when(frame, frame_owner(F.col("shown"))).when(local, "local")).where("kind IS NOT NULL")
     cell = lambda n: F.coalesce(H.plain(F.get("cells", F.col(f"c_{n}"))), F.lit(""))
     thread, framed = F.col("kind") == "thread", ~F.col("kind").isin("thread", "local")
     raw = F.when(framed, F.col("shown")).when(F.col("kind") == "local", squeezed(F.regexp_replace("full", r"^[|+\s]+", "")))
@@ -119,8 +124,11 @@ def gdb_sections(lines: DataFrame) -> DataFrame:
 
 def gdb_heads(lines: DataFrame) -> DataFrame:
     """Version, program, signal and its description of each output."""
+    heads = reduce(lambda a, b: a | b, (F.col("line").contains(w) for w in HEAD_WORDS))
+    # all other lines of an output become one row
+    rows = lines.select("report_id", F.when(heads, F.col("pos")).alias("pos"), F.when(heads, F.col("line")).alias("line")).distinct()
     first = lambda pattern, i=1: F.min_by(F.trim(F.regexp_extract("line", pattern, i)), F.when(F.col("line").rlike(pattern), F.col("pos")))
-    return lines.groupBy("report_id").agg(first(r"^GNU gdb.*?(\d+\.\d+[\d.]*)").alias("version"), first("Core was generated by `(.+?)'").alias("program"), first(r"Program terminated with signal (\S+),\s*(.+)").alias("signal"), first(r"Program terminated with signal (\S+),\s*(.+)", 2).alias("description"))
+    return rows.groupBy("report_id").agg(first(r"^GNU gdb.*?(\d+\.\d+[\d.]*)").alias("version"), first("Core was generated by `(.+?)'").alias("program"), first(r"Program terminated with signal (\S+),\s*(.+)").alias("signal"), first(r"Program terminated with signal (\S+),\s*(.+)", 2).alias("description"))
 
 
 #: What is said of an output that is of no use, by kind; fixed values.
@@ -147,19 +155,21 @@ def gdb_errors(lines: DataFrame, names: DataFrame) -> DataFrame:
 def frames(lines: DataFrame) -> DataFrame:
     """Frames with address, function, arguments, place, library and quality; other lines are dropped."""
     rows = lines.withColumn("line", F.trim("line")).where(F.col("line").rlike(r"^#\d+\s+\S"))
-    part = lambda i: F.regexp_extract("line", FRAME, i)
+    kept = [c for c in rows.columns if c != "line"]
+    part = lambda i: F.col(f"part_{i}")
+    rows = worked_out(rows, **{f"part_{i}": F.regexp_extract("line", FRAME, i) for i in range(1, 6)})
     hit, rest = part(1) != "", F.trim(part(5))
-    rows = rows.select(
-        *[c for c in rows.columns if c != "line"],
-        F.regexp_extract("line", r"#(\d+)", 1).cast("int").alias("number"),
-        _filled(F.regexp_extract(part(2), "(0x[0-9a-fA-F]+)", 1)).alias("address"),
-        F.when(hit, part(3)).otherwise(F.trim(F.regexp_extract("line", r"#\d+\s+(.+)", 1))).alias("function"),
-        F.when(hit, F.trim(part(4))).alias("args"),
-        F.when(rest.startswith("at "), F.trim(F.substring(rest, 4, 1 << 30))).alias("location"),
-        F.when(rest.startswith("from "), F.trim(F.substring(rest, 6, 1 << 30))).alias("library"),
-    )
+    rows = worked_out(
+        rows,
+        number=F.regexp_extract("line", r"#(\d+)", 1).cast("int"),
+        address=_filled(F.regexp_extract(part(2), "(0x[0-9a-fA-F]+)", 1)),
+        function=F.when(hit, part(3)).otherwise(F.trim(F.regexp_extract("line", r"#\d+\s+(.+)", 1))),
+        args=F.when(hit, F.trim(part(4))),
+        location=F.when(rest.startswith("at "), F.trim(F.substring(rest, 4, 1 << 30))),
+        library=F.when(rest.startswith("from "), F.trim(F.substring(rest, 6, 1 << 30))),
+    ).select(*kept, "number", "address", "function", "args", "location", "library")
     known = (F.col("function") != "??") | F.col("location").isNotNull() | F.col("library").isNotNull()
-    return rows.withColumn("quality", F.when(known, "RESOLVED").when(garbage(F.col("address")), "GARBAGE").otherwise("UNSYMBOLIZED"))
+    return worked_out(rows, quality=F.when(known, "RESOLVED").when(garbage(F.col("address")), "GARBAGE").otherwise("UNSYMBOLIZED"))
 
 
 def garbage(address: Column) -> Column:
@@ -308,6 +318,29 @@ def section_tree(rows: DataFrame, levels: range = range(1, 7)) -> DataFrame:
 # ---- queries
 
 
+def _sections(spark: SparkSession, d: str, *names: str):
+    """The lines of some sections by name: the outputs are cut into sections once, and what is wanted is stored by section."""
+    rows = stored(gdb_sections(A.gdb_lines(spark, d)).where(F.col("section").isin(*names)), new_folder(spark, "sections"), ("section",))
+    return lambda name: rows.where(F.col("section") == name)
+
+
+def _confidence(spark: SparkSession, d: str) -> DataFrame:
+    part = _sections(spark, d, "bt", "sharedlibrary")
+    return crash_confidence(frames(part("bt")), gdb_libraries(part("sharedlibrary")))
+
+
+def _warnings(spark: SparkSession, d: str) -> DataFrame:
+    part = _sections(spark, d, "bt", "sharedlibrary")
+    rows = quality_warnings(A.gdb_lines(spark, d), frames(part("bt")), gdb_libraries(part("sharedlibrary")))
+    return rows.withColumn("warnings", F.array_join("warnings", "\n"))
+
+
+def _prompt(spark: SparkSession, d: str) -> DataFrame:
+    part = _sections(spark, d, "bt", "sharedlibrary", "registers")
+    lines, framed, libraries = A.gdb_lines(spark, d), frames(part("bt")), gdb_libraries(part("sharedlibrary"))
+    return crash_prompt(gdb_heads(lines), crash_confidence(framed, libraries), framed, gdb_registers(part("registers")), quality_warnings(lines, framed, libraries))
+
+
 def _names(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("id") % 9
     base = F.col("filename")
@@ -396,7 +429,7 @@ QUERIES = {
         lambda s, d: gdb_errors(A.gdb_lines(s, d), A.core_names(s, d)),
         "WITH k AS (SELECT DISTINCT l_orderkey AS report_id, CASE WHEN l_orderkey % 5 = 0 THEN 'missing' WHEN l_orderkey % 22 = 0 THEN 'kernel' WHEN l_orderkey % 11 = 0 THEN 'format' WHEN l_orderkey % 11 = 1 THEN 'no core file' END AS kind FROM lineitem) SELECT report_id, kind, CASE kind " + " ".join("WHEN '" + k + "' THEN '" + m.replace("'", "''") + "'" for k, m in GDB_MESSAGES.items()) + " END AS message FROM k WHERE kind IS NOT NULL",
     ),
-    "quality_warnings": (lambda s, d: quality_warnings(A.gdb_lines(s, d), frames(_section("bt")(s, d)), gdb_libraries(_section("sharedlibrary")(s, d))).withColumn("warnings", F.array_join("warnings", "\n")), f"WITH {OBJECTS_SQL}, {_FRAMED}, {_WARNED} SELECT report_id, warnings FROM w"),
+    "quality_warnings": (_warnings, f"WITH {OBJECTS_SQL}, {_FRAMED}, {_WARNED} SELECT report_id, warnings FROM w"),
     "gdb_frames": (lambda s, d: frames(_section("bt")(s, d)).drop("section"), f"WITH {OBJECTS_SQL}, {_FRAMED} SELECT report_id, pos, number, address, function, args, location, library, quality FROM f"),
     "gdb_libs": (lambda s, d: gdb_libraries(_section("sharedlibrary")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, 4000 + ordinal * 10 AS pos, {_AT} AS start, '0x00007fffffffffff' AS stop, CASE WHEN part % 3 = 1 THEN 'Yes (*)' ELSE 'No' END AS symbols, '/lib/l' || supp || '.so' AS path FROM objects WHERE part % 3 <> 0"),
     "gdb_registers": (lambda s, d: gdb_registers(_section("registers")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, CASE ordinal % 3 WHEN 0 THEN 'rax' WHEN 1 THEN 'rip' ELSE 'r8' END AS register, '0x' || printf('%x', max_by(part, ordinal)) AS value FROM objects GROUP BY 1, 2"),
@@ -404,7 +437,7 @@ QUERIES = {
     "gdb_locals": (lambda s, d: gdb_locals(_section("bt_full")(s, d)), f"WITH {OBJECTS_SQL} SELECT report_id, CAST(ordinal AS BIGINT) AS nth, ordinal - 1 AS number, 'x = ' || part AS locals FROM objects"),
     "garbage_addr": (lambda s, d: A.objects(s, d).select("report_id", "ordinal", garbage(F.when(F.col("part") % 4 == 0, F.lit("0x2020202020202020")).when(F.col("part") % 4 == 1, text("0x414243444546", F.lpad(F.lower(F.hex(F.col("part") % 65536)), 4, "0"))).when(F.col("part") % 4 == 2, text("0x", F.lpad(F.hex(F.col("part")), 16, "0"))).otherwise(F.lit("zz"))).alias("garbage")), f"WITH {OBJECTS_SQL} SELECT report_id, ordinal, CASE part % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS garbage FROM objects"),
     "crash_confidence": (
-        lambda s, d: crash_confidence(frames(_section("bt")(s, d)), gdb_libraries(_section("sharedlibrary")(s, d))),
+        _confidence,
         f"""WITH {OBJECTS_SQL}, {_FRAMED}, c AS (SELECT report_id, count(*) AS frames, count(*) FILTER (quality = 'RESOLVED') AS resolved, count(*) FILTER (quality = 'GARBAGE') AS garbage, min_by(function, pos) FILTER (quality = 'RESOLVED') AS first_resolved, bool_or(part % 3 = 1) AS symbols FROM f GROUP BY 1)
  SELECT *, CASE WHEN resolved = 0 THEN 'LOW' WHEN garbage / frames >= 0.3 OR NOT symbols OR resolved < 3 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM c""",
     ),
@@ -414,7 +447,7 @@ QUERIES = {
  SELECT report_id, string_agg('#' || number || ' ' || coalesce(address || ' in ', '') || function || coalesce(' at ' || location, ''), chr(10) ORDER BY nth) AS summary FROM n WHERE nth <= 5 GROUP BY 1""",
     ),
     "crash_prompt": (
-        lambda s, d: crash_prompt(gdb_heads(A.gdb_lines(s, d)), crash_confidence(frames(_section("bt")(s, d)), gdb_libraries(_section("sharedlibrary")(s, d))), frames(_section("bt")(s, d)), gdb_registers(_section("registers")(s, d)), quality_warnings(A.gdb_lines(s, d), frames(_section("bt")(s, d)), gdb_libraries(_section("sharedlibrary")(s, d)))),
+        _prompt,
         f"""WITH {OBJECTS_SQL}, {_FRAMED}, {_WARNED}, g AS (SELECT report_id, string_agg(r || '=0x' || printf('%x', v), chr(10) ORDER BY r DESC) AS regs FROM (SELECT report_id, CASE ordinal % 3 WHEN 0 THEN 'rax' ELSE 'rip' END AS r, max_by(part, ordinal) AS v FROM objects WHERE ordinal % 3 <> 2 GROUP BY 1, 2) GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS nth FROM f WHERE quality = 'RESOLVED'), k AS (SELECT report_id, string_agg('#' || number || ' ' || function, chr(10) ORDER BY nth) AS stack FROM n WHERE nth <= {PROMPT_FRAMES} GROUP BY 1),
  c AS (SELECT report_id, count(*) AS frames, count(*) FILTER (quality = 'RESOLVED') AS resolved, count(*) FILTER (quality = 'GARBAGE') AS garbage, bool_or(part % 3 = 1) AS symbols FROM f GROUP BY 1)
  SELECT c.report_id, concat_ws(chr(10), 'Signal: ' || CASE WHEN c.report_id % 5 > 1 THEN 'SIGSEGV Segmentation fault.' ELSE '' END, 'Program: app' || c.report_id || ' -x', 'Confidence: ' || CASE WHEN resolved = 0 THEN 'LOW' WHEN garbage / frames >= 0.3 OR NOT symbols OR resolved < 3 THEN 'MEDIUM' ELSE 'HIGH' END || ' (' || resolved || '/' || frames || ')', nullif(warnings, ''), stack, regs) AS prompt FROM c LEFT JOIN k ON c.report_id = k.report_id LEFT JOIN g ON c.report_id = g.report_id LEFT JOIN w ON c.report_id = w.report_id""",
