@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinderlens.functions.steps import worked_out
 from cinderlens.functions.texts import about_bytes
 from cinderlens.operators.classify import FLAGS, simple_name, suspect_context
 from cinderlens.plans import artifacts as A
@@ -210,8 +211,8 @@ def matched(context: DataFrame, rules: DataFrame, tests: Tests | None = None) ->
     fits = lambda r: tests[r["stage"], r["id"]]() if (r["stage"], r["id"]) in tests else F.col("text").rlike(r["pattern"])
     chain = [F.when(fits(r), F.struct(F.lit(r["stage"]).alias("stage"), F.lit(r["priority"]).alias("priority"), F.lit(r["id"]).alias("rule"))) for r in sorted(rules.where("prefix IS NULL").collect(), key=lambda r: (r["stage"], r["priority"], r["id"]))]
     by_pattern = F.coalesce(*chain) if chain else F.lit(None).cast(prefixes.schema["o"].dataType)
-    rows = context.join(best.hint("merge"), "id", "left").withColumn("by_pattern", F.when(F.col("by_prefix.stage") == PREFIXES, None).otherwise(by_pattern))
-    rows = rows.withColumn("hit", F.least("by_prefix", "by_pattern")).drop("by_prefix", "by_pattern")
+    rows = worked_out(context.join(best.hint("merge"), "id", "left"), by_pattern=F.when(F.col("by_prefix.stage") == PREFIXES, None).otherwise(by_pattern))
+    rows = worked_out(rows, hit=F.least("by_prefix", "by_pattern")).drop("by_prefix", "by_pattern")
     about = rules.select(F.col("id").alias("rule"), F.col("stage").alias("s"), "category", F.when(F.col("severity") != "", F.col("severity")).alias("hint"), "template")
     return rows.withColumn("rule", F.col("hit.rule")).withColumn("s", F.col("hit.stage")).drop("hit").join(about.hint("merge"), ["rule", "s"]).withColumnRenamed("s", "stage")
 
