@@ -16,7 +16,11 @@ from cinderlens.llm.text import lookup
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """D1, D2, D3+ from the counts of counts; 0.5, 1 and 1.5 where these are missing."""
-    n = [float((counts == r).sum()) for r in range(1, 5)]
+    return discounts_of([float((counts == r).sum()) for r in range(1, 5)])
+
+
+def discounts_of(n: list[float]) -> np.ndarray:
+    """As ``discounts``, from how many n-grams have the counts 1 to 4."""
     fixed = np.array([0.5, 1.0, 1.5])
     if min(n) == 0:
         return fixed

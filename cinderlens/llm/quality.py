@@ -1,7 +1,8 @@
 """Quality rules: text statistics, and perplexity under a modified Kneser-Ney model with bands by language.
 
-The model's n-grams are those of the bytes inside words, counted by Spark over all texts (see ``in_word_grams``) and held
-in sorted arrays; the perplexity of a text is the mean over its words. Its expected spread falls with the number of words,
+The model's n-grams are those of the bytes inside words, counted by Spark over all texts (see ``in_word_grams``), and stay
+in tables; the perplexity of a text is the mean over its words. The ``HELD`` most frequent n-grams have their scores in memory,
+the others get theirs by a join; all scores are whole numbers, so where one is found changes nothing. Its expected spread falls with the number of words,
 down to what texts of one language differ by anyway: the deviation from the language's median is divided by
 sqrt(1 / n_words + 1 / ``SAME``). The bands are ``WIDTH`` quartile distances beyond the quartiles of this deviation among
 the language's texts of at least ``MIN_WORDS`` words. A language's quartiles are averaged with those of all texts, which
@@ -17,14 +18,14 @@ or with the same one are judged on their own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlens.llm.in_word_grams import SIZE, WordScores, count_grams
-from cinderlens.llm.kneser_ney import KneserNey
+from cinderlens.llm.in_word_grams import ORDER, UNIT, WordScores, gram_scores
 from cinderlens.llm.rows import ROW, anti_join, with_row_key
 from cinderlens.llm.scratch import durable
 from cinderlens.llm.text import slices, utf8, words
@@ -37,6 +38,8 @@ WIDTH = 1.5
 SAME = 1000
 #: Texts as which the quartiles of all languages count in each of them.
 POOLED = 100
+#: N-grams whose scores every task has in memory.
+HELD = 1 << 22
 SYMBOLS = b"#*$%&|<>"
 _NOT_COUNTED = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -86,24 +89,32 @@ def statistics(text: bytes, own: list[bytes]) -> tuple[int, int, int, int, int]:
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``row, doc_id, lang``, the statistics, and ``log10_ppl`` (log10 perplexity per word) of every text; ``row`` is the
     key of the whole row."""
-    codes, counts, order = count_grams(docs, text_col=text_col)
-    # at most in_word_grams.MAX_ENTRIES n-grams
-    model = docs.sparkSession.sparkContext.broadcast(KneserNey(codes, counts, SIZE, order))
+    scores = gram_scores(docs, text_col=text_col)
+    frequent = scores.orderBy(F.desc("n"), "code").limit(HELD).select("code", "score").toArrow().sort_by("code")
+    held = docs.sparkSession.sparkContext.broadcast((frequent["code"].to_numpy(), frequent["score"].to_numpy()))
     rows = with_row_key(docs).select(F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rare_type = pa.list_(pa.struct([("code", pa.int64()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(model.value, order)
+        scorer = WordScores(*held.value, ORDER)
         for batch in slices(batches):
             texts = utf8(batch.column(3))
             cut = [words(t) for t in texts]
             stats = np.array([statistics(t, own) for t, own in zip(texts, cut, strict=True)], np.int64).reshape(-1, 5)
-            ppl = [-x / len(own) if own else None for x, own in zip(scores.of(cut), cut, strict=True)]
-            columns = [*map(pa.array, np.ascontiguousarray(stats.T)), pa.array(ppl, pa.float64())]
+            sums = scorer.of(cut)
+            known = [Decimal(x) for x, _ in sums]
+            rare = [[{"code": c, "times": n} for c, n in rest] for _, rest in sums]
+            columns = [*map(pa.array, np.ascontiguousarray(stats.T)), pa.array(known, pa.decimal128(38, 0)), pa.array(rare, rare_type)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names)
 
-    schema = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log10_ppl double"
-    names = [x.split()[0] for x in schema.split(", ")]
-    return rows.mapInArrow(run, schema)
+    schema = "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, known decimal(38,0), rare array<struct<code: long, times: long>>"
+    names = [x.split()[0] for x in schema.replace("<code: long, times: long>", "").split(", ")]
+    read = durable(rows.mapInArrow(run, schema), "read")
+    # equal rows have one key and the same n-grams
+    rest = read.where("size(rare) > 0").select("row", F.inline("rare")).distinct().join(scores.select("code", "score"), "code").groupBy("row").agg(F.sum(F.col("times").cast("decimal(16,0)") * F.col("score").cast("decimal(18,0)")).cast("decimal(38,0)").alias("rest"))
+    total = F.col("known") + F.coalesce("rest", F.lit(0).cast("decimal(38,0)"))
+    ppl = F.when(F.col("n_words") > 0, -total.cast("double") / UNIT / F.col("n_words"))
+    return read.join(rest, "row", "left").select(*names[:-2], ppl.alias("log10_ppl"))
 
 
 def _quartiles(binned: DataFrame, keys: list[str]) -> DataFrame:

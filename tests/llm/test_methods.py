@@ -262,3 +262,12 @@ def test_labels_are_those_of_all_blocks(spark):
             own = set(words[a:b])
             expected |= {(label, a, round(len(t & own) / len(t), 9)) for label, t in sets if len(t & own) >= licenses.THRESHOLD * len(t) - 1e-9}
         assert got[k] == expected
+
+
+def test_scores_do_not_depend_on_what_is_held_in_memory(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a bb a ccc", "en"), (2, "bb dd dd " + "x" * 300, "en"), (2, "bb dd dd " + "x" * 300, "en"), (3, None, None), (4, "a", "fr")], "doc_id long, text string, lang string")
+    rows = {}
+    for held in (1000, 5, 1):
+        monkeypatch.setattr(quality, "HELD", held)
+        rows[held] = sorted(map(repr, quality.score_texts(docs).collect()))
+    assert len(rows[1]) == 5 and rows[1000] == rows[5] == rows[1]
