@@ -14,8 +14,9 @@ the summed minima of coordinates. Survivors are verified with the n-grams themse
 Only classes of linked texts are wanted. A cell first pairs each member with one of them (after each task has done so for
 its own members, which keeps a frequent cell to one row per task); these pairs are verified, first one for each text and
 then those that still lie in different classes. Cells whose members then are in different classes are searched with the
-tree, first for one partner of each member in each other class and then for all remaining pairs across classes, so no
-link between classes is lost. Large cells are cut into chunks and searched chunk by chunk. Most links come from the cells
+tree, twice for pairs that make a forest of the classes (so a cell asks for fewer pairs than it has members), then for one
+partner of each member in each other class and at last for all remaining pairs across classes, so no link between classes
+is lost. Large cells are cut into chunks and searched chunk by chunk. Most links come from the cells
 and their first pairs; the trees settle the mixed cells.
 
 Defined results: A-Z are lower-cased and words are runs of characters other than 0x20 and 0x09-0x0D; a text of fewer
@@ -59,6 +60,10 @@ HELD_ROWS = 750_000
 AT_ONCE = 4096
 LEAVES_AT_ONCE = 1024
 
+#: Passes over forests of the classes, before those over more pairs.
+FORESTS = 2
+NEAREST, EVERY = -1, -2
+
 DOCUMENT, MEMBER, PAIR = 0, 1, 2
 
 
@@ -332,9 +337,46 @@ def _similar(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
     return common * q >= (total - common) * p
 
 
+def forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which pairs of classes are taken so that they join all that the pairs join, without a circle. Each class takes its
+    first pair by ``order``, and those that meet become one, until no pair lies across."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    rank = np.empty(len(a), np.int64)
+    rank[np.argsort(order, kind="stable")] = np.arange(len(a))
+    at = np.argsort(rank)
+    u, v = ends[: len(a)][at], ends[len(a) :][at]
+    taken, every = np.zeros(len(a), bool), np.arange(len(names))
+    live = np.flatnonzero(u != v)
+    while len(live):
+        first = np.full(len(names), len(a))
+        np.minimum.at(first, u[live], live)
+        np.minimum.at(first, v[live], live)
+        own = np.flatnonzero(first < len(a))
+        taken[at[first[own]]] = True
+        to = every.copy()
+        to[own] = u[first[own]] + v[first[own]] - own
+        # of two that took the same pair one is the root
+        to = np.where((to[to] == every) & (every < to), every, to)
+        while (to[to] != to).any():
+            to = to[to]
+        u, v = to[u], to[v]
+        live = live[u[live] != v[live]]
+    return taken
+
+
+def forest_pairs(members: DataFrame, p: int, q: int, turn: int) -> DataFrame:
+    """Of the pairs of each cell a forest of the classes, in an order that depends on ``turn``."""
+    return _cell_pairs(members, p, q, turn)
+
+
 def remaining_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
+    """All pairs of the cells. With ``nearest``, a member only gets the first one of each other class."""
+    return _cell_pairs(members, p, q, NEAREST if nearest else EVERY)
+
+
+def _cell_pairs(members: DataFrame, p: int, q: int, kind: int) -> DataFrame:
     """``a, b``: pairs of members of one cell that lie in different classes and that the cell's tree does not rule out.
-    ``members``: ``key, id, label, point``. With ``nearest``, a member only gets the first one of each other class.
+    ``members``: ``key, id, label, point``.
 
     A cell of more than ``CHUNK`` members is cut into chunks by a hash of the id; each pair of chunks is a cell of its
     own, in which only members of different chunks are compared. A pair that meets in several cells is reported by the
@@ -384,7 +426,12 @@ def remaining_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFr
             wanted = lambda x, y, left=left, right=right: (labels[left[x]] != labels[right[y]]) & (ids[left[x]] < ids[right[y]] if right is left else True)
             x, y = tree_join(tree, tree if alone else CountTree(points[right]), p, q, wanted)
             x, y = left[x], right[y]
-            if nearest and len(x):
+            if kind not in (NEAREST, EVERY):
+                own = forest(labels[x], labels[y], mix(ids[x].view(np.uint64) ^ mix(ids[y].view(np.uint64)) ^ np.uint64(kind)))
+                a, b = ids[x[own]], ids[y[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                continue
+            if kind == NEAREST and len(x):
                 # of the partners of a member in one other class the one with the smallest id
                 chosen = np.zeros(len(x), bool)
                 for one, other in ((x, y), (y, x)):
@@ -434,14 +481,15 @@ def set_classes(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, Dat
     keys = met.join(apart, ["a", "b"], "left_semi").select("key").distinct()
     members = durable(met.join(keys, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
     release(met)
-    for nearest in (True, False):
+    for turn in range(FORESTS + 2):
         labelled = members.join(classes, F.col("id") == F.col("v"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         # of cells with the same members one is enough; a cell of two members has had its pair verified
         shape = labelled.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), (F.min("label") != F.max("label")).alias("mixed"))
         mixed = shape.where("m > 2 AND mixed").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
         searched = durable(labelled.join(mixed, "key", "left_semi"), "searched")
         points = points_of(sets.join(searched.select(F.col("id").alias("mark")).distinct().hint("merge"), "mark", "left_semi"))
-        more = remaining_pairs(searched.join(points, F.col("id") == F.col("mark")).drop("mark"), p, q, nearest)
+        placed = searched.join(points, F.col("id") == F.col("mark")).drop("mark")
+        more = forest_pairs(placed, p, q, turn) if turn < FORESTS else remaining_pairs(placed, p, q, turn == FORESTS)
         more = durable(more.join(done, ["a", "b"], "left_anti"), "more")
         found = durable(verify(more, sets, p, q), "found")
         release(searched, more)
