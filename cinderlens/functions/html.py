@@ -39,19 +39,24 @@ def plain(html: Column) -> Column:
     return squeezed(F.regexp_replace(html, "<[^>]+>", " "))
 
 
+def upto(tag: str) -> str:
+    """A pattern of what stands before the next such tag, and the tag. Text without tags is passed over at once."""
+    return f"((?:[^<]++|(?!{tag})<)*+){tag}"
+
+
 def table_rows(html: Column) -> Column:
     """The inner HTML of the rows that are no header rows, in order."""
-    return F.filter(F.regexp_extract_all(html, F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda row: ~row.contains("<th"))
+    return F.filter(F.regexp_extract_all(html, F.lit(f"(?is)<tr[^>]*>{upto('</tr>')}"), F.lit(1)), lambda row: ~row.contains("<th"))
 
 
 def header_cells(html: Column) -> Column:
     """Plain text of header cells."""
-    return F.transform(F.regexp_extract_all(html, F.lit("(?is)<th[^>]*>(.*?)</th>"), F.lit(1)), plain)
+    return F.transform(F.regexp_extract_all(html, F.lit(f"(?is)<th[^>]*>{upto('</th>')}"), F.lit(1)), plain)
 
 
 def cells(row: Column) -> Column:
     """The inner HTML of a row's cells."""
-    return F.regexp_extract_all(row, F.lit("(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
+    return F.regexp_extract_all(row, F.lit(f"(?is)<td[^>]*>{upto('</td>')}"), F.lit(1))
 
 
 def lenient(text: Column) -> Column:

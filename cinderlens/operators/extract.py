@@ -22,8 +22,8 @@ FRAME = r"#(\d+)\s+(0x[0-9a-fA-F]+\s+in\s+|)(\S+)\s*\(([^)]*)\)(.*)"
 #: Lines of libraries, registers and threads, and frames of Java stacks; fixed values.
 LIBRARY = r"^(0x[0-9a-fA-F]+)\s+(0x[0-9a-fA-F]+)\s+(Yes(?:\s+\(\*\))?|No)\s+(\S+)"
 #: A table of frames and local variables, and its rows; fixed values.
-LOCALS_TABLE = r'(?is)<table[^>]*class="[^"]*\bresult\b[^"]*"[^>]*>(.*?)</table>'
-TABLE_ROW = "(?is)<tr([^>]*)>(.*?)</tr>"
+LOCALS_TABLE = r'(?is)<table[^>]*class="[^"]*\bresult\b[^"]*"[^>]*>' + H.upto("</table>")
+TABLE_ROW = "(?is)<tr([^>]*)>" + H.upto("</tr>")
 #: Words of the lines that an output's head is read from; fixed values.
 HEAD_WORDS = ("GNU gdb", "Core was generated by", "Program terminated with signal")
 REGISTER = r"^(\w+)\s+(0x[0-9a-fA-F]+)"
@@ -74,8 +74,8 @@ def local_rows(pages: DataFrame) -> DataFrame:
     local_heap, significant``. The columns are found by the header, and stand at fixed places without it; a first selected
     row that is no frame is the thread's, and a row of totals is none."""
     table = F.regexp_extract("html", LOCALS_TABLE, 1)
-    heads = F.transform(H.header_cells(F.regexp_extract("table", "(?is)<thead[^>]*>(.*?)</thead>", 1)), lambda h: F.lower(F.trim(h)))
-    own = lambda test, default: F.coalesce(F.array_max(F.transform(heads, lambda h, i: F.when(test(h), i))), F.lit(default))
+    heads = F.transform(H.header_cells(F.regexp_extract("table", "(?is)<thead[^>]*>" + H.upto("</thead>"), 1)), lambda h: F.lower(F.trim(h)))
+    own = lambda test, default: F.coalesce(F.array_max(F.transform("heads", lambda h, i: F.when(test(h), i))), F.lit(default))
     columns = {
         "heap": own(lambda h: h.contains("max") & h.contains("local"), 4),
         "name": own(lambda h: h == "name", 1),
@@ -84,7 +84,7 @@ def local_rows(pages: DataFrame) -> DataFrame:
         "loader": own(lambda h: h.contains("context") & h.contains("loader"), 5),
     }
     parts = F.arrays_zip(F.regexp_extract_all("table", F.lit(TABLE_ROW), F.lit(1)).alias("marks"), F.regexp_extract_all("table", F.lit(TABLE_ROW), F.lit(2)).alias("row"))
-    rows = worked_out(worked_out(pages, table=table), **{f"c_{n}": c for n, c in columns.items()}).select("report_id", *(f"c_{n}" for n in columns), F.posexplode(parts).alias("pos", "r"))
+    rows = worked_out(worked_out(worked_out(pages, table=table), heads=heads), **{f"c_{n}": c for n, c in columns.items()}).select("report_id", *(f"c_{n}" for n in columns), F.posexplode(parts).alias("pos", "r"))
     rows = worked_out(rows, cells=H.cells(F.col("r.row"))).where("size(cells) > 0").where(~F.col("r.marks").rlike(r"(?i)class\s*=\s*[\"'][^\"']*\btotals\b"))
     rows = rows.withColumn("significant", F.col("r.marks").rlike(r"(?i)class\s*=\s*[\"'][^\"']*\bselected\b"))
     rows = worked_out(rows, full=H.decoded(H.plain(F.get("cells", F.lit(0)))), link=H.decoded(H.plain(F.regexp_extract(F.get("cells", F.lit(0)), "(?is)<a[^>]*>(.*?)</a>", 1))))
