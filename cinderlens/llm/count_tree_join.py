@@ -16,8 +16,9 @@ its own members, which keeps a frequent cell to one row per task); these pairs a
 then those that still lie in different classes. Cells whose members then are in different classes are searched with the
 tree, twice for pairs that make a forest of the classes (so a cell asks for fewer pairs than it has members), then for one
 partner of each member in each other class and at last for all remaining pairs across classes, so no link between classes
-is lost. Large cells are cut into chunks and searched chunk by chunk. Most links come from the cells
-and their first pairs; the trees settle the mixed cells.
+is lost. A cell in which the tree leaves no pair for a forest is done, as classes only grow. Large cells are cut into chunks
+and searched chunk by chunk. Most links come from the cells and their first pairs; the trees settle the mixed cells. Sets are
+large and points are small, so pairs that points rule out are told by these, and only the others meet their sets.
 
 Defined results: A-Z are lower-cased and words are runs of characters other than 0x20 and 0x09-0x0D; a text of fewer
 words than n has its whole sequence as its one n-gram; null and empty texts have none and are linked with nothing;
@@ -314,6 +315,19 @@ def points_of(sets: DataFrame) -> DataFrame:
     return sets.select("mark", "shingles").mapInArrow(run, "mark long, point binary")
 
 
+def not_ruled_out(pairs: DataFrame, points: DataFrame, p: int, q: int) -> DataFrame:
+    """``a, b, possible`` of the pairs: whether the bound by summed minima leaves them. The points stand in buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            possible = [_possible(*(np.frombuffer(zlib.decompress(v), "<i4") for v in xy), p, q) for xy in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(possible, pa.bool_())], ["a", "b", "possible"])
+
+    side = lambda c, s: points.select(F.col("mark").alias(c), F.col("point").alias(s))
+    both = side("a", "pa").join(pairs.select("a", "b").hint("merge"), "a").hint("merge").join(side("b", "pb"), "b")
+    return both.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long, possible boolean")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """``a, b, linked`` of the pairs: those that pass the bound by summed minima are verified with their n-grams. The sets
     stand in buckets and stay there; only the pairs are moved, with one set each."""
@@ -330,11 +344,15 @@ def verify(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 def _similar(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
     """Whether two sorted sets are similar: first by the bound of their count vectors, then by their n-grams."""
-    total = len(x) + len(y)
-    if (p + q) * int(np.minimum(point_of(x), point_of(y)).sum()) < p * total:
+    if not _possible(point_of(x), point_of(y), p, q):
         return False
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return common * q >= (total - common) * p
+    return common * q >= (len(x) + len(y) - common) * p
+
+
+def _possible(x: np.ndarray, y: np.ndarray, p: int, q: int) -> bool:
+    """Whether the bound on the overlap of two points reaches what a similar pair needs."""
+    return (p + q) * int(np.minimum(x, y).sum()) >= p * (int(x.sum()) + int(y.sum()))
 
 
 def forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -365,27 +383,31 @@ def forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def forest_pairs(members: DataFrame, p: int, q: int, turn: int) -> DataFrame:
-    """Of the pairs of each cell a forest of the classes, in an order that depends on ``turn``."""
+    """``key, a, b``: of the pairs of each cell a forest of the classes, in an order that depends on ``turn``."""
     return _cell_pairs(members, p, q, turn)
 
 
 def remaining_pairs(members: DataFrame, p: int, q: int, nearest: bool) -> DataFrame:
     """All pairs of the cells. With ``nearest``, a member only gets the first one of each other class."""
-    return _cell_pairs(members, p, q, NEAREST if nearest else EVERY)
+    return _cell_pairs(members, p, q, NEAREST if nearest else EVERY).select("a", "b").distinct()
 
 
 def _cell_pairs(members: DataFrame, p: int, q: int, kind: int) -> DataFrame:
-    """``a, b``: pairs of members of one cell that lie in different classes and that the cell's tree does not rule out.
+    """``key, a, b``: pairs of members of one cell that lie in different classes and that the cell's tree does not rule out.
     ``members``: ``key, id, label, point``.
 
     A cell of more than ``CHUNK`` members is cut into chunks by a hash of the id; each pair of chunks is a cell of its
     own, in which only members of different chunks are compared. A pair that meets in several cells is reported by the
     smallest one. Each member's rows carry its smallest cells: if two members have one of these in common, the smallest
-    of them is the smallest cell that they share at all; otherwise all their cells report the pair."""
-    low = members.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW_CELLS).alias("low"))
-    members = members.join(low, "id")
-    chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = members.join(chunks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    of them is the smallest cell that they share at all; otherwise all their cells report the pair. Forests are reported by
+    each cell."""
+    if kind in (NEAREST, EVERY):
+        members = members.join(members.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW_CELLS).alias("low")), "id")
+    else:
+        members = members.withColumn("low", F.array().cast("array<long>"))
+    # a row for each CHUNK members at most
+    large = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    dealt = members.join(F.broadcast(large), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = dealt.select("key", "id", "label", "point", "low", "own", other.alias("other")).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "point", "low"
@@ -429,7 +451,7 @@ def _cell_pairs(members: DataFrame, p: int, q: int, kind: int) -> DataFrame:
             if kind not in (NEAREST, EVERY):
                 own = forest(labels[x], labels[y], mix(ids[x].view(np.uint64) ^ mix(ids[y].view(np.uint64)) ^ np.uint64(kind)))
                 a, b = ids[x[own]], ids[y[own]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), keys[s])), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
                 continue
             if kind == NEAREST and len(x):
                 # of the partners of a member in one other class the one with the smallest id
@@ -442,9 +464,9 @@ def _cell_pairs(members: DataFrame, p: int, q: int, kind: int) -> DataFrame:
             first = [k for k, (u, v) in enumerate(zip(x.tolist(), y.tolist(), strict=True)) if min(np.intersect1d(smallest(u), smallest(v), assume_unique=True), default=keys[s]) == keys[s]]
             if first:
                 a, b = ids[x[first]], ids[y[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), keys[s])), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, a long, b long")
 
 
 def _runs_of_rows(cell: np.ndarray) -> np.ndarray:
@@ -462,14 +484,23 @@ def set_classes(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, Dat
     wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct(), "wanted")
     holders = semi_join(marks, wanted, "mark").groupBy("mark").agg(F.min("row").alias("row"))
     sets = bucketed(sets_of(maybe_join(rows, durable(holders.select("row"), "holders"), "row"), n), "sets", "mark")
+    points = bucketed(points_of(sets), "points", "mark")
+
+    def told(some: DataFrame) -> DataFrame:
+        """``a, b, linked``; few of the pairs are moved with their sets."""
+        bounded = durable(not_ruled_out(some, points, p, q), "bounded")
+        linked = verify(bounded.where("possible"), sets, p, q)
+        out = durable(linked.unionByName(bounded.where("NOT possible").withColumnRenamed("possible", "linked")), "checked")
+        release(bounded)
+        return out
 
     # first each text with the one it met most often, then what is still apart
     first = durable(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "first")
-    checked = durable(verify(first, sets, p, q), "checked")
+    checked = told(first)
     links = checked.where("linked").select("a", "b")
     classes = components(links)
     rest = durable(between_classes(pairs.select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"), classes), "rest")
-    again = durable(verify(rest, sets, p, q), "checked")
+    again = told(rest)
     if again.where("linked").limit(1).count():
         links = links.unionByName(again.where("linked").select("a", "b"))
         classes = components(links)
@@ -487,9 +518,15 @@ def set_classes(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, Dat
         shape = labelled.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), (F.min("label") != F.max("label")).alias("mixed"))
         mixed = shape.where("m > 2 AND mixed").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
         searched = durable(labelled.join(mixed, "key", "left_semi"), "searched")
-        points = points_of(sets.join(searched.select(F.col("id").alias("mark")).distinct().hint("merge"), "mark", "left_semi"))
-        placed = searched.join(points, F.col("id") == F.col("mark")).drop("mark")
-        more = forest_pairs(placed, p, q, turn) if turn < FORESTS else remaining_pairs(placed, p, q, turn == FORESTS)
+        placed = points.withColumnRenamed("mark", "id").join(searched.hint("merge"), "id")
+        if turn < FORESTS:
+            left = durable(forest_pairs(placed, p, q, turn), "left")
+            # a cell without a pair for the forest has none across classes, which only grow
+            fewer = durable(searched.join(left.select("key").distinct(), "key", "left_semi").select("key", "id"), "members")
+            release(members)
+            members, more = fewer, left.select("a", "b").distinct()
+        else:
+            more = remaining_pairs(placed, p, q, turn == FORESTS)
         more = durable(more.join(done, ["a", "b"], "left_anti"), "more")
         found = durable(verify(more, sets, p, q), "found")
         release(searched, more)
@@ -499,7 +536,7 @@ def set_classes(rows: DataFrame, n: int, p: int, q: int) -> tuple[DataFrame, Dat
         done = done.unionByName(found.select("a", "b"))
         links = links.unionByName(found.where("linked").select("a", "b"))
         classes = components(links)
-    release(sets, members, wanted)
+    release(sets, points, members, wanted)
     return marks, classes
 
 
