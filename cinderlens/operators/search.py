@@ -5,7 +5,8 @@ the largest part that any of them can add to a score. Blocks are some ``DOCS`` d
 every document is spread over all of them. Cells are dealt to folders by a hash of the word, sorted by word, so that a search
 reads the folders and row groups of its own words. For each query a block's bound is the sum of its cells' bounds; the blocks
 with the highest bounds are scored first, and then those whose bound reaches the score that the last hit has so far. All
-words of a query count and no document that could be a hit is left out.
+words of a query count and no document that could be a hit is left out. Each cell is moved once, to the others of its block,
+where it meets the queries that ask for the block; a document is in one block, so its score is summed there.
 
 The index of vectors has lists around centroids, which are fitted on at most ``SAMPLE`` vectors and hold every vector; a long
 list is cut into parts. A search looks at the nearest lists until they hold the candidates wanted, and ranks all their
@@ -70,14 +71,16 @@ def _part(tf: Column, length: Column, mean: float) -> Column:
 
 def word_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", per_block: int = DOCS) -> WordIndex:
     """Write the index of ``docs`` under ``folder``. Null texts have no words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(words(F.col(text_col)), F.array().cast("array<string>")).alias("w"), F.xxhash64(id_col, text_col).alias("h"))
-    total = rows.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean")).first()
+    held = lambda c: F.coalesce(words(c), F.array().cast("array<string>")).alias("w")
+    total = docs.select(held(F.col(text_col))).agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean")).first()
     n, mean = total["docs"], total["mean"] or 1.0
     blocks = max(1, -(-n // per_block))
-    counts = rows.select("doc_id", F.pmod("h", F.lit(blocks)).alias("block"), F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("word", "block", "doc_id", "len").agg(F.count("*").alias("tf"))
+    # the texts move to their block, where all counts are made
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block")).repartition("block").select("doc_id", "block", held(F.col("text")))
+    counts = rows.select("doc_id", "block", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("word", "block", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"))
     cells = counts.groupBy("word", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("d"), F.max(_part(F.col("tf"), F.col("len"), mean)).alias("top"))
     cells = cells.select(F.pmod(F.hash("word"), F.lit(FOLDERS)).alias("folder"), "word", "block", F.col("d.doc_id").alias("docs"), F.col("d.tf").alias("counts"), F.col("d.len").alias("lens"), "top")
-    kept = stored(cells.repartition("folder", "word").sortWithinPartitions("folder", "word", "block"), f"{folder}/cells", ("folder",))
+    kept = stored(cells.repartition("folder", "word", "block").sortWithinPartitions("folder", "word", "block"), f"{folder}/cells", ("folder",))
     df = stored(kept.groupBy("word").agg(F.sum(F.size("docs")).alias("df")), f"{folder}/words")
     return WordIndex(kept, df, n, mean)
 
@@ -98,10 +101,12 @@ def keyword_hits(index: WordIndex, queries: DataFrame, k: int = TOP, least: floa
 
     def scored(pairs: DataFrame) -> DataFrame:
         """The best documents of blocks for the queries that they are paired with."""
-        cells = index.cells.join(asked, ["folder", "word"]).join(pairs, ["query", "block"])
-        found = cells.select("query", "weight", F.explode(F.arrays_zip("docs", "counts", "lens")).alias("d"))
+        own = pairs.groupBy("block").agg(F.collect_set("query").alias("queries"))
+        cells = index.cells.join(asked.select("folder", "word").distinct(), ["folder", "word"], "left_semi").repartition("block")
+        cells = cells.join(own.hint("shuffle_hash"), "block").join(asked, ["folder", "word"]).where(F.array_contains("queries", F.col("query")))
+        found = cells.select("query", "block", "weight", F.explode(F.arrays_zip("docs", "counts", "lens")).alias("d"))
         part = F.col("weight") * _part(F.col("d.counts"), F.col("d.lens"), index.mean_len)
-        sums = found.groupBy("query", F.col("d.docs").alias("doc_id")).agg(F.round(F.sum(part), 6).alias("score"))
+        sums = found.groupBy("query", "block", F.col("d.docs").alias("doc_id")).agg(F.round(F.sum(part), 6).alias("score")).drop("block")
         return sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     hits = stored(scored(first), new_folder(asked.sparkSession, "hits"))

@@ -1,5 +1,7 @@
 """What the plans of queries over reports must not do: move rows of a report twice, or repeat what a page is read by."""
 
+import re
+
 import pytest
 
 from cinderlens import registry
@@ -26,3 +28,10 @@ def test_pages_of_references_are_made_without_pairs(spark):
     from cinderlens.operators import references
 
     assert "Join" not in plan(references._pages(spark, FOLDER))
+
+
+@pytest.mark.parametrize("name", ["search_keyword", "search_keyword_least", "context_pack"])
+def test_cells_of_words_move_by_block_and_not_once_for_each_query(spark, name):
+    text = plan(registry.queries()[name](spark, FOLDER))
+    assert "hashpartitioning(block" in text
+    assert not any("query" in keys and "," in keys for keys in re.findall(r"hashpartitioning\((query#\w+, (?!\d+\))[^)]*)\)", text))
