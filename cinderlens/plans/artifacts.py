@@ -35,9 +35,13 @@ OBJECTS_SQL = """objects AS (SELECT l_orderkey AS report_id, CAST(row_number() O
 
 
 def joined(rows: DataFrame, key: str, part: Column, name: str = "html", head: str = "", tail: str = "", order: str = "ordinal") -> DataFrame:
-    """``key, name``: the parts of each key in order, between head and tail. Keys have as many rows as an order has lines."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p"))))
-    return rows.groupBy(key).agg(F.concat(F.lit(head), F.array_join(F.transform(parts, lambda x: x["p"]), ""), F.lit(tail)).alias(name))
+    """``key, name``: the parts of each key in order, between head and tail. Keys have as many rows as an order has lines, and
+    no two rows of a key have the same place in the order."""
+    # lines of a report lie together; a window leaves them so, where a group by would sort them for each half of it
+    page = Window.partitionBy(key)
+    parts = F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p"))).over(page)
+    whole = rows.select(key, F.col(order).alias("at"), parts.alias("parts"), F.min(order).over(page).alias("start")).where(F.col("at") == F.col("start"))
+    return whole.select(key, F.concat(F.lit(head), F.array_join(F.sort_array("parts").getField("p"), ""), F.lit(tail)).alias(name))
 
 
 def text(*parts) -> Column:

@@ -35,3 +35,9 @@ def test_cells_of_words_move_by_block_and_not_once_for_each_query(spark, name):
     text = plan(registry.queries()[name](spark, FOLDER))
     assert "hashpartitioning(block" in text
     assert not any("query" in keys and "," in keys for keys in re.findall(r"hashpartitioning\((query#\w+, (?!\d+\))[^)]*)\)", text))
+
+
+def test_links_of_a_finding_are_read_once_and_pages_without_numbers_not_at_all(spark):
+    text = registry.queries()["suspect_split"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count(r"stacktrace\s*</a>") == 1 and text.count(r"local\s+variables\s*</a>") == 1
+    assert "all_text" not in text
