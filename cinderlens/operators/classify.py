@@ -103,20 +103,22 @@ def oom_exact(dump: DataFrame, instances: DataFrame) -> DataFrame:
     those that a thread's locals refer to were thrown. The most frequent message of these in a report (of equally frequent
     ones that which stands first on the page) stands for the threads whose stacks show an error; a thread that only stands
     in a call that can fail so gets the message of an error among its own locals. ``instances``: ``report_id, address,
-    message, pos``."""
+    message, pos``, an address once a report."""
     blocks = thread_blocks(dump)
     c = oom_columns(F.col("stack"))
     prone = _any(F.col("stack"), OOM_FRAMES[0][1]) | _any(F.col("stack"), OOM_FRAMES[1][1])
     ids = F.array_distinct(F.regexp_extract_all(F.lower("block"), F.lit("objectid=0x([0-9a-f]+)"), F.lit(1)))
-    # read from the dumps once
-    rows = stored(blocks.select("report_id", "address", c["oom"].alias("seen"), c["type"].alias("inferred"), prone.alias("prone"), ids.alias("ids")), new_folder(dump.sparkSession, "threads"))
-    owned = rows.select("report_id", "address", F.explode("ids").alias("hex")).select("report_id", "address", F.conv("hex", 16, 10).alias("object_id"))
+    threads = blocks.select("report_id", "address", c["oom"].alias("seen"), c["type"].alias("inferred"), prone.alias("prone"), F.posexplode_outer(ids).alias("nth", "hex")).withColumn("object_id", F.conv("hex", 16, 10)).drop("hex")
     known = instances.where("message IS NOT NULL").select("report_id", F.col("address").alias("object_id"), "message", "pos")
-    thrown = stored(owned.join(known, ["report_id", "object_id"]), new_folder(dump.sparkSession, "thrown"))
-    counted = thrown.select("report_id", "object_id", "message", "pos").distinct().groupBy("report_id", "message").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    primary = counted.groupBy("report_id").agg(F.max_by("message", F.struct("n", -F.col("first"))).alias("exact"))
-    own = thrown.groupBy("report_id", "address").agg(F.min_by("message", F.col("object_id").cast("decimal(20,0)")).alias("own"))
-    rows = rows.drop("ids").join(primary, "report_id", "left").join(own, ["report_id", "address"], "left")
+    # both sides are dealt by report, and so is all that follows: dumps and pages are read once, and their rows are put
+    # beside each other where a join by more than the report would move them
+    rows = threads.unionByName(known, allowMissingColumns=True)
+    within = lambda *keys: Window.partitionBy("report_id", *keys)
+    rows = rows.withColumn("thrown", F.col("message").isNotNull() & (F.count("address").over(within("object_id")) > 0)).withColumn("message", F.when(F.col("object_id").isNotNull(), F.max("message").over(within("object_id"))))
+    rows = rows.withColumn("n", F.count_if("thrown").over(within("message"))).withColumn("first", F.min(F.when(F.col("thrown"), F.col("pos"))).over(within("message")))
+    rows = rows.withColumn("exact", F.max_by("message", F.when(F.col("thrown"), F.struct("n", -F.col("first")))).over(within()))
+    own = F.min_by("message", F.when(F.col("message").isNotNull(), F.col("object_id").cast("decimal(20,0)")))
+    rows = rows.where("address IS NOT NULL").withColumn("own", own.over(within("address"))).where("coalesce(nth, 0) = 0")
     kind = F.when(F.col("seen"), F.coalesce("exact", "inferred")).when(F.col("prone"), F.col("own"))
     return rows.withColumn("type", kind).where("type IS NOT NULL").select("report_id", "address", "seen", "type")
 

@@ -28,6 +28,7 @@ TABLE_ROW = "(?is)<tr([^>]*)>" + H.upto("</tr>")
 HEAD_WORDS = ("GNU gdb", "Core was generated by", "Program terminated with signal")
 REGISTER = r"^(\w+)\s+(0x[0-9a-fA-F]+)"
 THREAD = r"^\s*(\*?)\s*(\d+)\s+(Thread\s+\S+(?:\s+\(LWP\s+\d+\))?)\s*(.*)"
+THREAD_MARK = "Thread 0x"
 JAVA_FRAME = r"^at\s+([\w$.]+)\.([\w$<>]+)\(([^)]*)\)$"
 #: Packages of frames of the platform and of frameworks; fixed values.
 PLATFORM = r"^(java\.|javax\.|jdk\.|sun\.|com\.sun\.)"
@@ -45,9 +46,11 @@ def _filled(c: Column) -> Column:
 
 def thread_blocks(rows: DataFrame) -> DataFrame:
     """One row per thread: lower-case address, the frames before its locals, and the block."""
-    blocks = rows.select("report_id", F.explode(F.split("text", "(?=Thread 0x)")).alias("block")).where("block LIKE 'Thread 0x%'")
-    stack = F.trim(F.split("block", "locals:")[0])
-    blocks = worked_out(blocks, address=F.lower(F.regexp_extract("block", "^Thread (0x[0-9a-fA-F]+)", 1)), stack=F.regexp_replace(F.trim(F.regexp_replace(stack, "^[^\n]*\n?", "")), r"\s+$", ""))
+    # what stands before the first mark is no thread's; the mark is put back
+    pieces = F.slice(F.split("text", THREAD_MARK), F.lit(2), F.lit((1 << 31) - 1))
+    blocks = rows.select("report_id", F.explode(pieces).alias("piece")).select("report_id", F.concat(F.lit(THREAD_MARK), "piece").alias("block"))
+    stack = F.trim(F.substring_index("block", "locals:", 1))
+    blocks = worked_out(blocks, address=F.lower(F.regexp_extract("block", "^Thread (0x[0-9a-fA-F]+)", 1)), stack=F.regexp_replace(F.trim(F.regexp_replace(stack, "^[^\n]*\n?", "")), r"\s++$", ""))
     return blocks.select("report_id", "address", "stack", "block")
 
 

@@ -4,7 +4,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
-from cinderlens.operators import extract, history, records
+from cinderlens.operators import classify, extract, history, records
 
 
 def at(hour):
@@ -69,3 +69,20 @@ def test_local_tables_without_a_thread_and_without_a_table(spark):
     table = '<table class="big result"><tbody><tr class="totals selected"><td>Total</td></tr><tr class="selected"><td>at a.B.c(B.java:1)</td><td></td><td></td><td></td><td>1,024</td></tr><tr><td>|\\ &lt;Java Local&gt; x</td></tr><tr class="selected"><td>java.lang.Thread</td></tr></tbody></table>'
     got = extract.local_rows(spark.createDataFrame([(1, table), (2, "<table><tr><td>at a.B.c()</td></tr></table>")], "report_id int, html string")).orderBy("nth").collect()
     assert [(r["report_id"], r["kind"], r["local_heap"], r["significant"]) for r in got] == [(1, "user", 1024, True), (1, "local", None, False)]
+
+
+def test_what_threads_have_thrown(spark):
+    oom, prone = "java.lang.OutOfMemoryError", "at java.nio.Bits.reserveMemory(Bits.java:1)"
+    thread = lambda at, stack, *ids: f"Thread 0x{at} w\n  {stack}\n\n  locals:\n" + "".join(f"    objectId=0x{i}, line=1\n" for i in ids)
+    dumps = [
+        # two messages as often thrown: the one that stands first on the page; instance 3 is held by two threads and counts once
+        (1, "head\n" + thread("A", oom, "3", "3") + thread("B", prone, "3", "2") + thread("C", prone) + thread("D", "at x.Y.z()", "3") + thread("A", oom + ": Metaspace", "4")),
+        # nothing thrown: what the stack says; an address that is none
+        (2, thread("1", oom + ": odd", "9") + thread("zz", oom) + thread("2", prone, "7")),
+        (3, "no threads"),
+        (4, None),
+    ]
+    instances = [(1, "3", "late", 5), (1, "2", "soon", 1), (1, "8", "unheld", 0), (1, "4", None, 7), (2, "8", "unheld", 0), (5, "3", "alone", 0)]
+    got = classify.oom_exact(spark.createDataFrame(dumps, "report_id long, text string"), spark.createDataFrame(instances, "report_id long, address string, message string, pos int"))
+    assert got.columns == ["report_id", "address", "seen", "type"]
+    assert sorted(map(tuple, got.collect())) == [(1, "0xa", True, "soon"), (1, "0xa", True, "soon"), (1, "0xb", False, "soon"), (2, "", True, "Java heap space (inferred)"), (2, "0x1", True, "odd")]
