@@ -258,7 +258,9 @@ _CTX = f"""c AS (SELECT report_id * 64 + ordinal AS id, part % 5 AS k, part, sup
 
 def _error_threads(spark: SparkSession, d: str) -> DataFrame:
     names = A.objects(spark, d).select("report_id", A.thread_address().alias("address"), text("worker-", F.col("supp")).alias("name"))
-    return oom_exact(A.thread_dump(spark, d), oom_instances(_oom_page(spark, d))).join(names, ["report_id", "address"])
+    # put beside each other: both are dealt by report
+    rows = oom_exact(A.thread_dump(spark, d), oom_instances(_oom_page(spark, d))).unionByName(names, allowMissingColumns=True)
+    return rows.groupBy("report_id", "address").agg(*(F.max(x).alias(x) for x in ("seen", "type", "name"))).where("type IS NOT NULL AND name IS NOT NULL")
 
 
 def _rule_file(spark: SparkSession, d: str) -> DataFrame:

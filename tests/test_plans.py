@@ -43,7 +43,7 @@ def test_links_of_a_finding_are_read_once_and_pages_without_numbers_not_at_all(s
     assert "all_text" not in text
 
 
-@pytest.mark.parametrize(("name", "dealt"), [("oom_exact", 2)])
+@pytest.mark.parametrize(("name", "dealt"), [("oom_exact", 2), ("oom_summary", 3)])
 def test_threads_and_errors_are_dealt_by_report_alone(spark, name, dealt):
     text = plan(registry.queries()[name](spark, FOLDER))
     assert re.findall(r"Exchange hashpartitioning\(([^)]*)", text) and len(re.findall(r"Exchange hashpartitioning\(report_id#\w+, \d+\)", text)) == text.count("Exchange hashpartitioning") <= dealt
