@@ -114,7 +114,7 @@ def oom_exact(dump: DataFrame, instances: DataFrame) -> DataFrame:
     # beside each other where a join by more than the report would move them
     rows = threads.unionByName(known, allowMissingColumns=True)
     within = lambda *keys: Window.partitionBy("report_id", *keys)
-    rows = rows.withColumn("thrown", F.col("message").isNotNull() & (F.count("address").over(within("object_id")) > 0)).withColumn("message", F.when(F.col("object_id").isNotNull(), F.max("message").over(within("object_id"))))
+    rows = rows.withColumn("thrown", F.col("message").isNotNull() & (F.count("address").over(within("object_id")) > 0)).withColumn("message", F.when(F.col("object_id").isNotNull(), F.max("message").over(within("object_id")))).where("address IS NOT NULL OR thrown")
     rows = rows.withColumn("n", F.count_if("thrown").over(within("message"))).withColumn("first", F.min(F.when(F.col("thrown"), F.col("pos"))).over(within("message")))
     rows = rows.withColumn("exact", F.max_by("message", F.when(F.col("thrown"), F.struct("n", -F.col("first")))).over(within()))
     own = F.min_by("message", F.when(F.col("message").isNotNull(), F.col("object_id").cast("decimal(20,0)")))
