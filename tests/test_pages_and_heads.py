@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
+from oracle import difference
 from pyspark.sql import functions as F
 
 from cinderlens.functions import sanitize
@@ -143,3 +145,18 @@ def test_findings_are_cut_as_by_plain_patterns(spark):
     whole = {r["report_id"]: r["t"] for r in rows.select("report_id", text(F.col("html")).alias("t")).collect()}
     rest = {r["report_id"]: r["description"] for r in reports.findings(rows).where("title = 'Leak Analysis'").collect()}
     assert rest == {i: t for i, t in whole.items() if (i, 0) not in want and len(t) > 100}
+
+
+@pytest.mark.parametrize(("page", "left"), [("<h1>token = &</h1>", "<h1>token = &</h1>"), ("<p>&</p>", "<p>&</p>"), ("<p>a & b &</p>", "<p>a &amp; b &</p>"), ("a &<x>amp;", "a &amp;amp;")])
+def test_an_ampersand_at_the_end_of_a_text_stays(page, left):
+    assert sanitize.clean(page) == left
+    assert sanitize.clean(left) == left
+
+
+def test_cleaned_pages_with_cut_titles_and_nulls_are_those_of_the_sql(spark, tmp_path):
+    titles = [f"token = {'&quot;'[:n]}" for n in range(7)] + [f"a{'&amp;'[:n]}" for n in range(6)]
+    pages = [(i, f"<html><body><nav>x</nav><h1>{t}</h1><p>&copy; y</p></body></html>") for i, t in enumerate(titles)] + [(98, ""), (99, None)]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert difference(sanitize.html_sanitize(spark, str(tmp_path)), con, sanitize.ORACLE_SQL) is None
