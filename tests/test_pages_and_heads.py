@@ -160,3 +160,10 @@ def test_cleaned_pages_with_cut_titles_and_nulls_are_those_of_the_sql(spark, tmp
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert difference(sanitize.html_sanitize(spark, str(tmp_path)), con, sanitize.ORACLE_SQL) is None
+
+
+def test_suspects_of_pages_without_numbers_are_in_the_query(spark):
+    pages = reports._finding_page(spark, "/root/testdata/sf0.001")
+    unnumbered = {r[0] for r in reports.findings(pages).where("title = 'Leak Analysis'").select("report_id").collect()}
+    got = reports.QUERIES["suspect_split"][0](spark, "/root/testdata/sf0.001").where("title = 'Leak Analysis'")
+    assert unnumbered and {r[0] for r in got.select("report_id").collect()} == unnumbered
