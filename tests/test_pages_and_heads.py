@@ -167,3 +167,18 @@ def test_suspects_of_pages_without_numbers_are_in_the_query(spark):
     unnumbered = {r[0] for r in reports.findings(pages).where("title = 'Leak Analysis'").select("report_id").collect()}
     got = reports.QUERIES["suspect_split"][0](spark, "/root/testdata/sf0.001").where("title = 'Leak Analysis'")
     assert unnumbered and {r[0] for r in got.select("report_id").collect()} == unnumbered
+
+
+def test_sections_have_result_tables_with_headers_and_items_of_lists(spark):
+    table = '<table id="t" class="result"><tr><th>N</th></tr><tr><td>1</td></tr></table>'
+    bare = '<table class="result"><tr><td>1</td></tr></table>'
+    html = (
+        '<h2 id="i0">Page</h2><h3 id="i1">A</h3><p>before</p>' + table + "<p>after</p>" + bare + '<h3 id="i2">B</h3>so' + bare + '<h3 id="i3">C</h3><table><tr><td>5</td></tr></table>'
+        '<h3 id="i4">D</h3>see <ul><li>x  <b>y</b></li><li> </li><LI>z</LI></ul><h3 id="i5">E</h3><ul><li>x</li></ul><h4 id="i6">F</h4>'
+    )
+    rows = reports.sections(spark.createDataFrame([(1, html)], "report_id int, html string"))
+    got = {r["section"]: (r["kind"], r["description"], len(r["tables"])) for r in rows.collect()}
+    # an item is in the text and below it, but not where a deeper heading follows; a table that is no result is not read
+    assert got == {"i1": ("TABLE", "before", 1), "i2": ("TABLE", "so", 0), "i3": ("TEXT", "", 0), "i4": ("TEXT", "see x y z\n- x y\n- z", 0), "i5": ("TEXT", "x", 0), "i6": ("TEXT", "", 0)}
+    # what stands before a table without headers does not keep a section
+    assert {r["section"] for r in reports.prune(rows).collect()} == {"i1", "i4", "i5"}
