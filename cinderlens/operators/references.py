@@ -1,10 +1,13 @@
 """References of objects by address: lists that were worked out beforehand are kept in a side table, the others are worked out
 from the objects' pages when they are asked for.
 
-The side table is dealt to folders by a hash of the address, sorted by address and written with bloom filters on it, so that
-a lookup reads the folders and row groups that can hold its addresses. It has the lists of each report's largest objects, cut
+The side table is dealt to folders by a hash of the address, its files are sorted by address and written with bloom filters on
+it, so that a lookup reads the folders and row groups that can hold its addresses. It has the lists of each report's largest objects, cut
 to a number of entries. A report whose lists are all empty is not kept: its pages could not be read, and empty lists would
 hide what can still be worked out.
+
+All joins are by report, and addresses are looked for in lists of the report's: pages that are dealt by report are worked out
+where they stand, and neither they nor their lists move.
 """
 
 from __future__ import annotations
@@ -28,6 +31,15 @@ def _folder(address: Column) -> Column:
     return F.pmod(F.xxhash64(address), F.lit(FOLDERS)).cast("int")
 
 
+def _addresses(rows: DataFrame, name: str) -> DataFrame:
+    """``of``, a report, and the list ``name`` of the addresses of ``rows`` in it, to be held by tasks."""
+    return rows.groupBy(F.col("report_id").alias("of")).agg(F.collect_set("address").alias(name)).hint("shuffle_hash")
+
+
+def _among(name: str) -> Column:
+    return (F.col("report_id") == F.col("of")) & F.array_contains(name, F.col("address"))
+
+
 def reference_lists(pages: DataFrame, cap: int = REF_CAP) -> DataFrame:
     """``report_id, address, incoming, outgoing`` from ``report_id, address, kind, html``; a page without rows gives an empty
     list."""
@@ -41,22 +53,26 @@ def precompute(objects: DataFrame, pages: DataFrame, folder: str, largest: int =
     """Write the lists of the ``largest`` objects of each report (``report_id, address, retained``) under ``folder``."""
     w = Window.partitionBy("report_id").orderBy(F.desc("retained"), "address")
     top = objects.where(F.col("address").rlike("^0x[0-9a-fA-F]+$")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= largest)
-    lists = reference_lists(pages.join(top.select("report_id", "address"), ["report_id", "address"], "left_semi"), cap)
+    lists = reference_lists(pages.join(_addresses(top, "top"), _among("top"), "left_semi"), cap)
     filled = (F.size("incoming") > 0) | (F.size("outgoing") > 0)
     known = lists.withColumn("any", F.max(filled).over(Window.partitionBy("report_id"))).where("any").drop("any")
-    rows = known.withColumn("folder", _folder(F.col("address"))).repartition("folder").sortWithinPartitions("folder", "address", "report_id")
-    return stored(rows, folder, ("folder",), **{"parquet.bloom.filter.enabled#address": "true"})
+    # each task writes its part of the folders, so that lists do not move; filters are as large as a file's addresses need
+    rows = known.withColumn("folder", _folder(F.col("address"))).sortWithinPartitions("folder", "address", "report_id")
+    return stored(rows, folder, ("folder",), **{"parquet.bloom.filter.enabled#address": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
 
 
 def looked_up(asked: DataFrame, side: DataFrame, pages: DataFrame, cap: int = REF_CAP) -> DataFrame:
     """``report_id, address, source, incoming, outgoing`` of what is asked for (``report_id, address``): from the side table,
     else worked out from the pages (only those of objects that the table does not have are read for it), else nothing."""
     keys = ["report_id", "address"]
-    asked = asked.select(*keys).distinct().withColumn("folder", _folder(F.col("address")))
-    hits = asked.join(side, ["folder", *keys]).select(*keys, F.lit("stored").alias("source"), *KINDS)
-    rest = asked.join(side.select("folder", *keys), ["folder", *keys], "left_anti").select(*keys)
-    made = reference_lists(pages.join(rest, keys, "left_semi"), cap)
-    computed = rest.join(made, keys, "left").select(*keys, F.when(F.col("incoming").isNull(), "none").otherwise("computed").alias("source"), *KINDS)
+    asked = asked.select(*keys).repartition("report_id").distinct()
+    wanted, known = _addresses(asked, "wanted"), _addresses(side, "known")
+    hits = side.join(wanted, _among("wanted"), "left_semi").select(*keys, F.lit("stored").alias("source"), *KINDS)
+    rest = asked.join(known, _among("known"), "left_anti")
+    made = reference_lists(pages.join(known, _among("known"), "left_anti").join(wanted, _among("wanted"), "left_semi"), cap)
+    # a key of two columns would move what is dealt by one
+    made = made.withColumnRenamed("report_id", "of").withColumn("at", F.array("address")).drop("address")
+    computed = rest.hint("shuffle_hash").join(made, _among("at"), "left").select(*keys, F.when(F.col("incoming").isNull(), "none").otherwise("computed").alias("source"), *KINDS)
     return hits.unionByName(computed)
 
 
@@ -92,9 +108,10 @@ QUERY_LARGEST, QUERY_CAP = 2, 3
 
 def object_references(spark: SparkSession, d: str) -> DataFrame:
     """Where the lists of every object come from, how long they are, and their entries."""
-    objects, pages = _objects(spark, d), stored(_pages(spark, d), new_folder(spark, "pages"))
-    side = precompute(objects, pages, new_folder(spark, "references"), QUERY_LARGEST, QUERY_CAP)
-    rows = looked_up(objects, side, pages, QUERY_CAP)
+    # pages are made anew for each of both, as making them takes less than keeping them
+    pages = _pages(spark, d)
+    side = precompute(_objects(spark, d), pages, new_folder(spark, "references"), QUERY_LARGEST, QUERY_CAP)
+    rows = looked_up(A.objects(spark, d).withColumn("address", A.hex_address()), side, pages, QUERY_CAP)
     shown = lambda k: F.array_join(F.transform(k, lambda x: F.concat(x["class_name"], F.lit("@"), F.coalesce(x["address"], F.lit("-")), F.lit(":"), x["retained"].cast("string"))), ",").alias(k)
     return rows.select("report_id", "address", "source", *(F.size(k).alias(f"n_{k}") for k in KINDS), *(shown(k) for k in KINDS))
 

@@ -182,3 +182,17 @@ def test_sections_have_result_tables_with_headers_and_items_of_lists(spark):
     assert got == {"i1": ("TABLE", "before", 1), "i2": ("TABLE", "so", 0), "i3": ("TEXT", "", 0), "i4": ("TEXT", "see x y z\n- x y\n- z", 0), "i5": ("TEXT", "x", 0), "i6": ("TEXT", "", 0)}
     # what stands before a table without headers does not keep a section
     assert {r["section"] for r in reports.prune(rows).collect()} == {"i1", "i4", "i5"}
+
+
+def test_reference_pages_and_lists_do_not_move_from_their_reports(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id % 7 AS report_id", "concat('0x', hex(id)) AS address", "id AS retained", "explode(array('incoming', 'outgoing')) AS kind").repartition("report_id")
+    pages = rows.withColumn("html", F.lit("<table>" + row("a.B") + row("c.D", 2) + "</table>"))
+    side = references.precompute(rows.select("report_id", "address", "retained").distinct(), pages, str(tmp_path / "side"), largest=2)
+    # a filter of each file takes what its addresses need, not a megabyte
+    files = [*(tmp_path / "side").rglob("*.parquet")]
+    assert files and max(f.stat().st_size for f in files) < 100_000
+    got = references.looked_up(rows.select("report_id", "address").unionAll(spark.createDataFrame([(1, "0xfff"), (9, "0x1"), (1, None)], "report_id long, address string")), side, pages)
+    assert {r["source"]: r["n"] for r in got.groupBy("source").agg(F.count("*").alias("n")).collect()} == {"stored": 14, "computed": 26, "none": 3}
+    moved = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if " Exchange " in x or "- Exchange" in x]
+    # each exchange is by report alone; what is dealt by an address too would move pages or their lists again
+    assert moved and not [x for x in moved if re.search(r"hashpartitioning\([^)]*(address|folder)", x)]
