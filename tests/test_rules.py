@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cinderlens.operators import rules
+from cinderlens.operators import classify, rules
 from cinderlens.operators.classify import suspect_context
 
 VALUES = {"class_name": "a.b.C", "instances": 1200, "bytes": 2048, "percent": 24.25, "accumulator": None, "is_high": True, "is_map": False, "referrer": ""}
@@ -83,3 +83,21 @@ def test_rules_in_code_and_severities(spark):
 def test_no_rules(spark):
     texts = spark.createDataFrame([(1, "9 instances of a.B loaded by l occupy 9 (60.00%) bytes.")], "id int, text string")
     assert rules.advised(texts, spark.createDataFrame([], rules.RULE)).count() == 0
+
+
+def test_findings_do_not_meet_rules_again_and_names_are_read_alone(spark):
+    plan = lambda name: rules.QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(rule" not in plan("rule_render") and "hashpartitioning(rule" not in plan("leak_rules")
+    # what no column shows is not rendered
+    assert "MapInArrow" in plan("rule_render") and "MapInArrow" not in plan("leak_rules")
+    texts = ["ONE Instance of a.B LOADED BY  x.L @ 0x1f occupies 1,024 (60.50%) bytes. ACCUMULATED IN one\ninstance of c.D which occupies 9 (1.0%)", "2 instances of [e.F] loaded by K occup", "instances", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    read = classify.suspect_context(rows).select("id", *classify.FINDING_NAMES)
+    assert sorted(classify.suspect_names(rows).collect()) == sorted(read.collect())
+    got = {r["id"]: r for r in classify.suspect_context(rows).collect()}
+    assert (got[0]["class_name"], got[0]["accumulator"], got[0]["loader"], got[0]["instances"], got[0]["accumulator_bytes"], got[0]["percent"]) == ("a.B", "c.D", "x.L", 1, 9, 60.5)
+    assert (got[1]["class_name"], got[1]["loader"]) == ("[e.F]", "K") and got[4]["class_name"] is None and got[4]["severity"] == "medium"
+
+
+def test_only_named_variables_are_read():
+    assert rules.Template("{#if is_high}{bytes|bytes}{#else}{unknown}{class_name}{/if}").names == ("is_high", "bytes", "class_name")
